@@ -13,7 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphframe.functions import text as tx
+from glyphframe.functions.draws import seeded_uniform
+from glyphframe.operators import augment as au
+from glyphframe.operators import batching as ba
+from glyphframe.operators import beams as bm
+from glyphframe.operators import ensemble as en
+from glyphframe.operators import evaluate as ev
 from glyphframe.operators import folds as fo
+from glyphframe.operators import positions
+from glyphframe.operators import submission as sb
+from glyphframe.operators import vocab as vo
+from glyphframe.operators.positions import int_bucket
+from glyphframe.sources import files as fi
 from glyphframe.sources import views as vw
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +60,460 @@ def fold_table(spark: SparkSession, sf_dir: str, shuffle: bool = False, seed: in
 def q_fold_sizes(spark, sf_dir):
     """Flagship: rows each fold trains and validates on, per label length."""
     return fo.fold_sizes(fold_table(spark, sf_dir))
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    """Fold of every long label (length > 1), n = 5, unshuffled."""
+    return fold_table(spark, sf_dir).where(F.col("fold").isNotNull()).select("row_id", "length", "fold")
+
+
+@register("stratified_folds_shuffled")
+def q_stratified_folds_shuffled(spark, sf_dir):
+    """W1 + R2: rows dealt in seeded md5 order inside each stratum (seed 7)."""
+    ft = fold_table(spark, sf_dir, shuffle=True, seed=7)
+    return ft.where(F.col("fold").isNotNull()).select("row_id", "length", "fold")
+
+
+@register("fold_train_set")
+def q_fold_train_set(spark, sf_dir):
+    """Fold 0's train side = short labels + long labels of folds 1..4."""
+    return fo.train_set(fold_table(spark, sf_dir), 0).select("row_id", "img_path", "label", "length")
+
+
+@register("fold_valid_set")
+def q_fold_valid_set(spark, sf_dir):
+    """Fold 2's valid side."""
+    return fo.valid_set(fold_table(spark, sf_dir), 2).select("row_id", "img_path", "label", "length")
+
+
+@register("reset_index")
+def q_reset_index(spark, sf_dir):
+    """Fold 0's train rows renumbered 0..n-1 in concat order (short first)."""
+    train = fo.train_set(fold_table(spark, sf_dir), 0)
+    seg = F.when(F.col("fold").isNull(), 0).otherwise(1)
+    train = train.withColumn("_seg", seg)
+    bucket = F.struct(F.col("_seg"), int_bucket("row_id"))
+    out = positions.reset_index(train, [F.col("_seg"), F.col("row_id")], bucket, out="train_index")
+    return out.select("train_index", "row_id")
+
+
+@register("fold_schedule")
+def q_fold_schedule(spark, sf_dir):
+    """Per-fold step schedule of the training drivers."""
+    return fo.fold_schedule(fold_table(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ projections
+@register("length_histogram")
+def q_length_histogram(spark, sf_dir):
+    """A1."""
+    return ev.length_histogram(fo.with_length(vw.ocr_train(spark, sf_dir)))
+
+
+@register("path_rewrite")
+def q_path_rewrite(spark, sf_dir):
+    """P1."""
+    return vw.ocr_train(spark, sf_dir).select("row_id", tx.rewrite_path("img_path").alias("img_path"))
+
+
+@register("label_length")
+def q_label_length(spark, sf_dir):
+    """P2 on document words (accented text: code points)."""
+    return vw.ocr_words(spark, sf_dir).select("row_id", tx.label_length("label").alias("length"))
+
+
+@register("short_labels")
+def q_short_labels(spark, sf_dir):
+    """P3."""
+    return fo.short_labels(fo.with_length(vw.ocr_words(spark, sf_dir))).select("row_id", "label")
+
+
+@register("long_labels")
+def q_long_labels(spark, sf_dir):
+    """P4."""
+    return fo.long_labels(fo.with_length(vw.ocr_words(spark, sf_dir))).select("row_id", "label", "length")
+
+
+@register("to_subchar")
+def q_to_subchar(spark, sf_dir):
+    """NFKD of Hangul labels (native syllable arithmetic)."""
+    return vw.ocr_train(spark, sf_dir).select("row_id", tx.nfkd("label").alias("subchar"))
+
+
+@register("nfc_compose")
+def q_nfc_compose(spark, sf_dir):
+    """NFC of decomposed labels and of raw predictions with stray jamo."""
+    a = vw.ocr_train(spark, sf_dir).select("row_id", F.lit(-1).alias("fold"), tx.hangul_decompose("label").alias("_t"))
+    b = vw.ocr_raw_pred(spark, sf_dir).select("row_id", "fold", tx.hangul_decompose("raw_text").alias("_t"))
+    return a.unionByName(b).select("row_id", "fold", tx.nfc("_t").alias("text"))
+
+
+@register("clean_text")
+def q_clean_text(spark, sf_dir):
+    """P8 with the Hangul class."""
+    return vw.ocr_raw_pred(spark, sf_dir).select("row_id", "fold", tx.clean_text("raw_text").alias("label"))
+
+
+@register("clean_text_latin")
+def q_clean_text_latin(spark, sf_dir):
+    """P8 with class a-zA-Z on whole documents."""
+    docs = vw.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", tx.clean_text("text", "a-zA-Z").alias("text_clean"))
+
+
+@register("postprocess_predictions")
+def q_postprocess(spark, sf_dir):
+    """NFC -> clean -> exp on raw predictions."""
+    out = sb.postprocess_predictions(vw.ocr_raw_pred(spark, sf_dir))
+    return out.select("row_id", "fold", "label", r6("seq_probs").alias("seq_probs"))
+
+
+@register("wrap_bos_eos")
+def q_wrap_bos_eos(spark, sf_dir):
+    """P9."""
+    return vw.ocr_train(spark, sf_dir).select("row_id", tx.wrap_bos_eos("label", "<s>", "</s>").alias("text"))
+
+
+@register("seq_probability")
+def q_seq_probability(spark, sf_dir):
+    """P10."""
+    return vw.ocr_raw_pred(spark, sf_dir).select("row_id", "fold", r6(tx.seq_probability("seq_score")).alias("seq_prob"))
+
+
+@register("path_leaf")
+def q_path_leaf(spark, sf_dir):
+    """P12 on page URLs."""
+    return vw.table(spark, sf_dir, "pages").select("page_id", tx.path_leaf("url").alias("leaf"))
+
+
+@register("run_stamp")
+def q_run_stamp(spark, sf_dir):
+    """Both stamp patterns on event times."""
+    e = vw.table(spark, sf_dir, "events")
+    return e.select("event_id", tx.run_stamp("ts").alias("stamp"), tx.run_stamp("ts", legacy=True).alias("legacy_stamp"))
+
+
+@register("metric_prefix")
+def q_metric_prefix(spark, sf_dir):
+    """Per-fold metric maps prefixed with 'eval_' (one key already is)."""
+    m = ev.weighted_mean_loss(vw.step_log(spark, sf_dir))
+    m = m.select(
+        "fold",
+        F.create_map(
+            F.lit("loss"), F.col("mean_loss"), F.lit("samples"), F.col("n_samples").cast("double"),
+            F.lit("eval_runtime"), F.lit(0.0),
+        ).alias("metrics"),
+    )
+    out = ev.metric_prefix(m).select("fold", F.explode("metrics").alias("metric", "value"))
+    return out.select("fold", "metric", r6("value").alias("value"))
+
+
+# ------------------------------------------------------------------ vocabulary
+def bench_vocab(spark, sf_dir, specials=vo.DEFAULT_SPECIALS):
+    return vo.build_vocab(vw.table(spark, sf_dir, "benchmark"), "text", specials)
+
+
+def ocr_vocab(spark, sf_dir):
+    return vo.build_vocab(vw.ocr_train(spark, sf_dir), "label")
+
+
+def encoded_train(spark, sf_dir):
+    return vo.encode(vw.ocr_train(spark, sf_dir), ocr_vocab(spark, sf_dir), "label")
+
+
+@register("build_vocab")
+def q_build_vocab(spark, sf_dir):
+    """V1: vocabulary of the even benchmark items."""
+    return vw.char_vocab(spark, sf_dir)
+
+
+@register("encode_labels")
+def q_encode_labels(spark, sf_dir):
+    """V2: benchmark texts encoded with that vocabulary (odd items hit [UNK])."""
+    enc = vo.encode(vw.table(spark, sf_dir, "benchmark"), vw.char_vocab(spark, sf_dir), "text", key="item_id")
+    return enc.select("item_id", ids_text("input_ids").alias("input_ids"))
+
+
+@register("decode_ids")
+def q_decode_ids(spark, sf_dir):
+    """V6: decode(encode(text)) - unknown characters are dropped as special tokens."""
+    voc = vw.char_vocab(spark, sf_dir)
+    enc = vo.encode(vw.table(spark, sf_dir, "benchmark"), voc, "text", key="item_id").select("item_id", "input_ids")
+    return vo.decode(enc, voc, "input_ids", key="item_id").select("item_id", "text")
+
+
+@register("has_oov")
+def q_has_oov(spark, sf_dir):
+    """V3: does any document word hold a character outside the benchmark vocabulary."""
+    return vo.has_oov(vw.ocr_words(spark, sf_dir), bench_vocab(spark, sf_dir), "label")
+
+
+@register("oov_labels")
+def q_oov_labels(spark, sf_dir):
+    """V4: the distinct document words holding such characters."""
+    return vo.oov_labels(vw.ocr_words(spark, sf_dir), bench_vocab(spark, sf_dir), "label")
+
+
+@register("extend_vocab")
+def q_extend_vocab(spark, sf_dir):
+    """V5: even-item vocabulary extended with the benchmark texts that hold unknown
+    characters, as whole tokens (the reference's unit)."""
+    voc = vw.char_vocab(spark, sf_dir)
+    bench = vw.table(spark, sf_dir, "benchmark")
+    new = vo.oov_labels(bench, voc, "text").select(F.col("text").alias("token"))
+    return vo.extend_vocab(voc, new)
+
+
+@register("special_ids")
+def q_special_ids(spark, sf_dir):
+    """V7: special ids of a vocabulary with [PAD], [UNK], <s>, </s> (start falls back to bos)."""
+    voc = bench_vocab(spark, sf_dir, ("[PAD]", "[UNK]", "<s>", "</s>"))
+    return vo.special_ids(voc)
+
+
+# ------------------------------------------------------------------ batching
+@register("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    """B1: batches of 64 in row order."""
+    return ba.batch_assign(vw.ocr_train(spark, sf_dir), 64).select("row_id", "batch_id")
+
+
+@register("pad_to_batch_max")
+def q_pad_to_batch_max(spark, sf_dir):
+    """B2: encoded labels padded to their batch's longest row."""
+    enc = ba.batch_assign(encoded_train(spark, sf_dir), 64)
+    out = ba.pad_to_batch_max(enc, "input_ids", "batch_id", 0)
+    return out.select("row_id", "batch_id", ids_text("input_ids").alias("input_ids"))
+
+
+@register("pad_to_max_length")
+def q_pad_to_max_length(spark, sf_dir):
+    """Encoded labels padded to 32."""
+    out = ba.pad_to_max_length(encoded_train(spark, sf_dir), "input_ids", 32, 0)
+    return out.select("row_id", ids_text("input_ids").alias("input_ids"))
+
+
+def ragged_shards(spark, sf_dir):
+    pred = vw.ocr_raw_pred(spark, sf_dir).withColumn("key", F.col("row_id") * 10 + F.col("fold"))
+    enc = vo.encode(pred, ocr_vocab(spark, sf_dir), "raw_text", key="key", out="pred_ids")
+    shards = ba.pad_to_batch_max(enc, "pred_ids", "fold", 0)
+    return ba.ragged_concat(shards, "pred_ids")
+
+
+@register("ragged_concat")
+def q_ragged_concat(spark, sf_dir):
+    """Per-fold prediction shards (each padded to its own width) concatenated and
+    padded to the widest with -100."""
+    return ragged_shards(spark, sf_dir).select("row_id", "fold", ids_text("pred_ids").alias("pred_ids"))
+
+
+@register("mask_to_pad")
+def q_mask_to_pad(spark, sf_dir):
+    """-100 -> pad id 0 on the concatenated shards."""
+    out = ragged_shards(spark, sf_dir).select("row_id", "fold", tx.mask_to_pad("pred_ids", 0).alias("ids"))
+    return out.select("row_id", "fold", ids_text("ids").alias("ids"))
+
+
+# ------------------------------------------------------------------ beams / ensemble
+def fold_predictions(spark, sf_dir):
+    return sb.postprocess_predictions(vw.ocr_raw_pred(spark, sf_dir)).select("row_id", "fold", "label", "seq_probs")
+
+
+@register("top_k_beams")
+def q_top_k_beams(spark, sf_dir):
+    """Best 3 beams per (image, fold)."""
+    out = bm.top_k_beams(vw.ocr_beams(spark, sf_dir), 3)
+    return out.select("row_id", "fold", "rank", "beam", "raw_text", r6("seq_score").alias("seq_score"))
+
+
+@register("best_beam")
+def q_best_beam(spark, sf_dir):
+    """L1."""
+    out = bm.best_beam(vw.ocr_beams(spark, sf_dir))
+    return out.select("row_id", "fold", "beam", "raw_text", r6("seq_score").alias("seq_score"))
+
+
+@register("zip_beams")
+def q_zip_beams(spark, sf_dir):
+    """Beam sequences paired with beam scores by (row_id, fold, beam)."""
+    b = vw.ocr_beams(spark, sf_dir)
+    out = bm.zip_beams(b.select("row_id", "fold", "beam", "raw_text"), b.select("row_id", "fold", "beam", "seq_score"))
+    return out.select("row_id", "fold", "beam", "raw_text", r6("seq_score").alias("seq_score"))
+
+
+def collected_beams(spark, sf_dir):
+    b = bm.top_k_beams(vw.ocr_beams(spark, sf_dir), 5)
+    b = sb.postprocess_predictions(b).withColumn("seq_probs", r6("seq_probs"))
+    return bm.collect_beams(b)
+
+
+@register("collect_beams")
+def q_collect_beams(spark, sf_dir):
+    """Top-5 beams per image as ordered arrays (texts joined by '|', probabilities
+    in millionths)."""
+    c = collected_beams(spark, sf_dir)
+    probs = F.array_join(F.transform("seq_probs", lambda p: F.round(p * 1e6).cast("bigint").cast("string")), ",")
+    return c.select("row_id", "fold", F.array_join("label", "|").alias("labels"), probs.alias("probs"))
+
+
+@register("beams_json")
+def q_beams_json(spark, sf_dir):
+    """K4: the nested beam cell as JSON text."""
+    c = collected_beams(spark, sf_dir)
+    return fi.beams_json(c).select("row_id", "fold", "beams_json")
+
+
+@register("ensemble_logit_sum")
+def q_ensemble_logit_sum(spark, sf_dir):
+    """Logits summed over folds."""
+    out = en.ensemble_logit_sum(vw.logits(spark, sf_dir))
+    return out.select("row_id", "step", "token_id", r6("logit_sum").alias("logit_sum"), "n_folds")
+
+
+@register("ensemble_argmax")
+def q_ensemble_argmax(spark, sf_dir):
+    """Arg-max token of the summed logits."""
+    return en.ensemble_argmax(en.ensemble_logit_sum(vw.logits(spark, sf_dir)))
+
+
+@register("ensemble_vote")
+def q_ensemble_vote(spark, sf_dir):
+    """Per image, the cleaned text with the largest probability sum over folds."""
+    out = en.ensemble_vote(fold_predictions(spark, sf_dir))
+    return out.select("row_id", "label", r6("score").alias("score"), "votes")
+
+
+# ------------------------------------------------------------------ evaluation
+@register("exact_match_accuracy")
+def q_exact_match(spark, sf_dir):
+    """A2: per-fold exact match of raw decoded text (no normalisation, as the reference)."""
+    pred = vw.ocr_raw_pred(spark, sf_dir).withColumnRenamed("raw_text", "pred")
+    out = ev.exact_match_accuracy(pred, vw.ocr_train(spark, sf_dir))
+    return out.select("fold", r6("accuracy").alias("accuracy"), "n")
+
+
+@register("exact_match_accuracy_postprocessed")
+def q_exact_match_pp(spark, sf_dir):
+    """A2 with the inference normaliser (NFC + clean) on both sides."""
+    pred = vw.ocr_raw_pred(spark, sf_dir).withColumnRenamed("raw_text", "pred")
+    out = ev.exact_match_accuracy(pred, vw.ocr_train(spark, sf_dir), normalizer=tx.postprocess)
+    return out.select("fold", r6("accuracy").alias("accuracy"), "n")
+
+
+@register("optional_label_metrics")
+def q_optional_label_metrics(spark, sf_dir):
+    """A10: documents as predictions (long document = good quality), labels as optional
+    references; per (source, lang)."""
+    docs = vw.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", (F.col("n_chars") > 1000).cast("int").alias("pred_quality")
+    )
+    out = ev.optional_label_metrics(docs, vw.table(spark, sf_dir, "labels"), "doc_id", "pred_quality", "quality", ["source", "lang"])
+    return out.select("source", "lang", "n_pred", "n_ref", r6("accuracy").alias("accuracy"))
+
+
+@register("weighted_mean_loss")
+def q_weighted_mean_loss(spark, sf_dir):
+    """A3."""
+    out = ev.weighted_mean_loss(vw.step_log(spark, sf_dir))
+    return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")
+
+
+@register("sample_count")
+def q_sample_count(spark, sf_dir):
+    """A4: beam rows and distinct images per fold."""
+    return ev.sample_count(vw.ocr_beams(spark, sf_dir))
+
+
+@register("throughput")
+def q_throughput(spark, sf_dir):
+    """A5 per user group of the event log."""
+    e = vw.table(spark, sf_dir, "events").withColumn("fold", (F.col("user_id") % 5).cast("int"))
+    out = ev.throughput(e, ["fold"])
+    return out.select(
+        "fold",
+        r6("eval_runtime").alias("eval_runtime"),
+        "eval_samples",
+        r6("eval_samples_per_second").alias("eval_samples_per_second"),
+        "eval_steps",
+        r6("eval_steps_per_second").alias("eval_steps_per_second"),
+    )
+
+
+@register("truncate_padded")
+def q_truncate_padded(spark, sf_dir):
+    """Fold-0 predictions gathered with wrap-around padding to a multiple of 256
+    (4 shards x 64), then de-duplicated and cut to the sample count."""
+    pred = vw.ocr_raw_pred(spark, sf_dir).where(F.col("fold") == 0)
+    pred = pred.withColumn("sample", (F.col("row_id") / 5).cast("bigint"))
+    n = pred.agg(F.count(F.lit(1))).scalar()
+    extra = (F.lit(256) - n % 256) % 256
+    padded = pred.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("sample") < extra, 1).otherwise(0))).alias("copy"))
+    out = ev.truncate_padded(padded, n, key="sample")
+    return out.select("sample", "row_id", "raw_text")
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, sf_dir):
+    """Best evaluation per fold (events as evaluations: value = accuracy)."""
+    e = vw.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).cast("int").alias("fold"), F.col("event_id").alias("step"), F.col("value").alias("accuracy")
+    )
+    return ev.best_checkpoint(e)
+
+
+@register("retain_latest")
+def q_retain_latest(spark, sf_dir):
+    """The two most recent checkpoints per fold."""
+    e = vw.table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("int").alias("fold"), F.col("event_id").alias("step"))
+    return ev.retain_latest(e, 2).select("fold", "step", "recency")
+
+
+# ------------------------------------------------------------------ draws
+@register("seeded_uniform")
+def q_seeded_uniform(spark, sf_dir):
+    """R1."""
+    return vw.ocr_train(spark, sf_dir).select("row_id", seeded_uniform(42, "draw", F.col("row_id")).alias("u"))
+
+
+@register("augment_plan")
+def q_augment_plan(spark, sf_dir):
+    """G1-G3."""
+    p = au.augment_plan(vw.ocr_train(spark, sf_dir))
+    return p.withColumn("angle", r6("angle"))
+
+
+@register("augment_mix")
+def q_augment_mix(spark, sf_dir):
+    """Counts per augmentation policy."""
+    return au.augment_mix(au.augment_plan(vw.ocr_train(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ submission
+@register("build_submission")
+def q_build_submission(spark, sf_dir):
+    """Test rows with the best fold-0 beam, cleaned, and its probability."""
+    best = bm.best_beam(vw.ocr_beams(spark, sf_dir).where(F.col("fold") == 0))
+    preds = sb.postprocess_predictions(best).select("row_id", "label", "seq_probs")
+    sub = vw.ocr_test(spark, sf_dir).withColumn("label", F.lit(""))
+    out = sb.build_submission(sub, preds)
+    return out.select("row_id", "img_path", "label", r6("seq_probs").alias("seq_probs"))
+
+
+@register("submission_audit")
+def q_submission_audit(spark, sf_dir):
+    """Documents as submission rows, labels as predictions."""
+    return sb.submission_audit(
+        vw.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id")),
+        vw.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")),
+    )
+
+
+@register("label_universe")
+def q_label_universe(spark, sf_dir):
+    """U2 + U3 + O1: train and valid labels of fold 0, distinct, sorted, then NFKD."""
+    ft = fold_table(spark, sf_dir)
+    both = fo.train_set(ft, 0).select("label").unionByName(fo.valid_set(ft, 0).select("label"))
+    uniq = both.distinct()
+    pos = positions.positions(uniq, [F.col("label")], F.substring("label", 1, 1), out="pos")
+    return pos.select("pos", "label", tx.nfkd("label").alias("subchar"))
