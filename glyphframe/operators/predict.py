@@ -11,30 +11,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_MODEL_CACHE: dict[int, Callable] = {}
+
+
 def batch_predict(
     df: DataFrame,
     make_predict_fn: Callable[[], Callable],
     input_col: str,
     return_type: T.DataType = T.IntegerType(),
     batch_size: int = 64,
-    input_tensor_shape: list[int] | None = None,
     out: str = "prediction",
 ) -> DataFrame:
-    """``make_predict_fn()`` returns ``predict(np.ndarray) -> np.ndarray``; it runs
-    once per worker, so a model file is read once, not per batch."""
-    udf = predict_batch_udf(
-        make_predict_fn,
-        return_type=return_type,
-        batch_size=batch_size,
-        input_tensor_shapes=[input_tensor_shape] if input_tensor_shape else None,
-    )
-    return df.withColumn(out, udf(F.col(input_col)))
+    """``make_predict_fn()`` returns ``predict(np.ndarray) -> np.ndarray`` (one row per
+    input row; array cells arrive stacked as a 2-D array). It is built once per Python
+    worker process and reused for every Arrow batch of every task that worker runs."""
+    key = id(make_predict_fn)
+
+    @F.pandas_udf(return_type)
+    def predict_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = _MODEL_CACHE.get(key)
+        if fn is None:
+            fn = _MODEL_CACHE[key] = make_predict_fn()
+        for s in batches:
+            for i in range(0, len(s), batch_size):
+                part = s.iloc[i : i + batch_size]
+                x = np.stack(part.to_numpy()) if part.dtype == object else part.to_numpy()
+                yield pd.Series(fn(x), index=part.index)
+
+    return df.withColumn(out, predict_udf(F.col(input_col)))
 
 
 def nearest_centroid_model(centroid_path: str) -> Callable[[], Callable]:
@@ -49,7 +58,9 @@ def nearest_centroid_model(centroid_path: str) -> Callable[[], Callable]:
         cents = np.stack(tbl["centroid"].to_numpy()).astype(np.float64)
 
         def predict(x: np.ndarray) -> np.ndarray:
-            x = x.astype(np.float64)
+            if x.dtype == object:
+                x = np.stack(x)
+            x = x.astype(np.float64).reshape(len(x), -1)
             # squared Euclidean distance to every centroid; ties go to the smaller label
             d = ((x[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)
             return labels[np.argmin(d, axis=1)].astype(np.int32)

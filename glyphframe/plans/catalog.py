@@ -517,3 +517,103 @@ def q_label_universe(spark, sf_dir):
     uniq = both.distinct()
     pos = positions.positions(uniq, [F.col("label")], F.substring("label", 1, 1), out="pos")
     return pos.select("pos", "label", tx.nfkd("label").alias("subchar"))
+
+
+# ------------------------------------------------------------------ sources and sinks (round trips)
+def _scratch(spark, name):
+    from glyphframe.session import shared_path
+
+    return shared_path(spark, "queries", name)
+
+
+@register("write_folds")
+def q_write_folds(spark, sf_dir):
+    """K1 + S5: the fold table written once partitioned by fold, read back."""
+    path = _scratch(spark, "folds")
+    fi.write_folds(fold_table(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.select("row_id", "img_path", "label", "length", F.col("fold").cast("int").alias("fold"))
+
+
+@register("discover_folds")
+def q_discover_folds(spark, sf_dir):
+    """K3 + S5: per-fold prediction files with probability, discovered under one root
+    and pruned to fold 2 by partition filter."""
+    path = _scratch(spark, "fold_predictions")
+    fi.write_predictions(fold_predictions(spark, sf_dir), path)
+    back = fi.discover_folds(spark, path, fold=2)
+    return back.select("row_id", F.col("fold").cast("int").alias("fold"), "label", r6("seq_probs").alias("seq_probs"))
+
+
+@register("scan_label_csv")
+def q_scan_label_csv(spark, sf_dir):
+    """Document words written as a (img_path, label) CSV in row order, scanned back:
+    NA-like cells become null, row_id = line position."""
+    path = _scratch(spark, "labels_csv")
+    words = vw.ocr_words(spark, sf_dir)
+    fi.write_csv(words.orderBy("row_id").select("img_path", "label"), path)
+    return fi.scan_label_csv(spark, path).select("row_id", "img_path", "label")
+
+
+@register("load_dataset")
+def q_load_dataset(spark, sf_dir):
+    """S2 (+P5, P7): a fold-file-shaped CSV (leading unnamed index column) loaded as a
+    dataset: pixel_values = path, labels = NFKD label."""
+    path = _scratch(spark, "fold_csv")
+    train = vw.ocr_train(spark, sf_dir)
+    fi.write_csv(train.orderBy("row_id").select(F.col("row_id").alias("index"), "img_path", "label"), path)
+    scanned = fi.scan_label_csv(spark, path, index_col=True)
+    return fi.load_dataset(scanned, sub_char=True)
+
+
+@register("write_submission")
+def q_write_submission(spark, sf_dir):
+    """K2: the submission written as one header CSV and read back."""
+    path = _scratch(spark, "submission")
+    sub = q_build_submission(spark, sf_dir)
+    fi.write_csv(sub, path, single_file=True)
+    schema = "row_id long, img_path string, label string, seq_probs double"
+    back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return back.select("row_id", "img_path", F.coalesce("label", F.lit("")).alias("label"), r6("seq_probs").alias("seq_probs"))
+
+
+@register("load_vocab")
+def q_load_vocab(spark, sf_dir):
+    """The even-item vocabulary written as a JSON object file and loaded back."""
+    path = _scratch(spark, "vocab_json")
+    fi.write_vocab(vw.char_vocab(spark, sf_dir), path)
+    return fi.load_vocab(spark, path)
+
+
+# ------------------------------------------------------------------ batch prediction, streaming
+@register("batch_predict")
+def q_batch_predict(spark, sf_dir):
+    """nearest-class-centroid model fitted by Spark, saved to the shared folder,
+    loaded once per Python worker and applied to Arrow batches of embeddings."""
+    from glyphframe.operators import predict as pr
+    from glyphframe.session import local_dir
+
+    emb = vw.table(spark, sf_dir, "embeddings")
+    path = _scratch(spark, "centroids")
+    pr.class_centroids(emb).write.mode("overwrite").parquet(path)
+    model_path = local_dir(path) if path.startswith(("file:", "/")) else path
+    out = pr.batch_predict(emb, pr.nearest_centroid_model(model_path), "embedding", batch_size=64)
+    return out.select("vec_id", "label", "prediction")
+
+
+@register("streaming_running_metric")
+def q_streaming_running_metric(spark, sf_dir):
+    """Running sample-weighted loss per fold over the event log read as a file
+    stream (one file per trigger); the final state equals the batch A3."""
+    from glyphframe.streaming import running as st
+
+    base = sf_dir.rstrip("/")
+    schema = vw.table(spark, sf_dir, "events").schema
+    stream = st.file_stream(spark, f"{base}/events*.parquet", schema, base_path=base)
+    steps = stream.select(
+        (F.col("user_id") % 5).cast("int").alias("fold"),
+        F.col("value").alias("loss"),
+        (F.lit(1) + F.col("event_id") % 64).cast("int").alias("n"),
+    )
+    out = st.run_to_table(st.running_weighted_loss(steps), "running_loss")
+    return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")

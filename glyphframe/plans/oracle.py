@@ -450,3 +450,27 @@ SQL["label_universe"] = with_views(
 FROM (SELECT DISTINCT label FROM ocr_fold_table) u""",
     "ocr_fold_table",
 )
+SQL["write_folds"] = with_views("SELECT row_id, img_path, label, length, fold FROM ocr_fold_table", "ocr_fold_table")
+SQL["discover_folds"] = with_views(
+    "SELECT row_id, fold, label, round(seq_probs, 6) AS seq_probs FROM pred_clean WHERE fold = 2", "pred_clean"
+)
+SQL["scan_label_csv"] = with_views(
+    f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, img_path,
+       CASE WHEN label IN {NA_LIST} THEN NULL ELSE label END AS label FROM ocr_words""",
+    "ocr_words",
+)
+SQL["load_dataset"] = with_views(
+    f"SELECT row_id, img_path AS pixel_values, {nfkd_sql('label')} AS labels FROM ocr_train", "ocr_train"
+)
+SQL["write_submission"] = SQL["build_submission"]
+SQL["load_vocab"] = SQL["build_vocab"]
+SQL["batch_predict"] = """WITH c AS (
+  SELECT label AS c_label, i, avg(CAST(v AS DOUBLE)) AS m
+  FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) x GROUP BY label, i),
+d AS (
+  SELECT e.vec_id, e.label, c.c_label, sum((CAST(e.v AS DOUBLE) - c.m) * (CAST(e.v AS DOUBLE) - c.m)) AS dist
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) e
+  JOIN c ON c.i = e.i GROUP BY e.vec_id, e.label, c.c_label)
+SELECT vec_id, label, CAST(c_label AS INTEGER) AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c_label) AS rn FROM d) r WHERE rn = 1"""
+SQL["streaming_running_metric"] = SQL["weighted_mean_loss"]

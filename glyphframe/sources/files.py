@@ -72,10 +72,13 @@ def scan_label_csv(
     schema: T.StructType | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
     index_col: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Header CSV with an explicit schema; NA-like cells become null (as the pandas
     reader does); ``row_id`` = line position. ``index_col``: the file starts with an
-    unnamed index column (as fold files written by pandas do); it is dropped."""
+    unnamed index column (as fold files written by pandas do); it is dropped.
+    ``multi_line`` accepts quoted line breaks inside cells (RFC 4180, as pandas does);
+    a file is then read by one task, so large inputs should come as many files."""
     schema = schema or LABEL_SCHEMA
     if index_col:
         schema = T.StructType([T.StructField("_index", T.StringType())] + list(schema.fields))
@@ -85,6 +88,8 @@ def scan_label_csv(
         .option("mode", "FAILFAST")
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
     if index_col:
@@ -144,7 +149,7 @@ def write_folds(folds: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """K2: header CSV without an index; one file only when asked for."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:

@@ -56,5 +56,11 @@ def run_to_table(agg: DataFrame, name: str, max_files_per_trigger: int | None =
     return spark.read.parquet(out)
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+def file_stream(
+    spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1, base_path: str | None = None
+) -> DataFrame:
+    """Parquet files arriving under a folder (or matching a glob) as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if base_path:
+        reader = reader.option("basePath", base_path)
+    return reader.parquet(path)
