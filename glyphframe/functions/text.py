@@ -46,8 +46,10 @@ def code_of(ch) -> Column:
 
 
 def chars(col) -> Column:
-    """Array of the code points of a string, as one-character strings ([] for '')."""
-    return F.split(_c(col), "")
+    """Array of the code points of a string, as one-character strings ([] for '';
+    a plain ``split(s, '')`` gives [''] there)."""
+    c = _c(col)
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def rewrite_path(col, old: str = DATA_PREFIX_FROM, new: str = DATA_PREFIX_TO) -> Column:

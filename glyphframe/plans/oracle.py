@@ -169,10 +169,15 @@ def vocab_sql(source: str, specials: tuple[str, ...] = ("[PAD]", "[UNK]")) -> st
   WHERE token <> '')"""
 
 
+def split_sql(text: str) -> str:
+    """Characters of a string; [] for '' (string_split gives [''] there)."""
+    return f"(CASE WHEN {text} = '' THEN [] ELSE string_split({text}, '') END)"
+
+
 def chars_sql(source: str, key: str, text: str) -> str:
     """(key, pos, ch) for every character, pos 0-based."""
-    return f"""SELECT {key} AS k, unnest(range(0, len(string_split({text}, '')))) AS pos,
-       unnest(string_split({text}, '')) AS ch FROM ({source}) s"""
+    return f"""SELECT {key} AS k, unnest(range(0, len({split_sql(text)}))) AS pos,
+       unnest({split_sql(text)}) AS ch FROM ({source}) s"""
 
 
 def encode_sql(source: str, key: str, text: str, vocab: str) -> str:
@@ -292,22 +297,22 @@ SQL["decode_ids"] = with_views(
     "char_vocab",
 )
 SQL["has_oov"] = with_views(
-    """SELECT count(*) > 0 AS has_oov FROM (SELECT 1 FROM ocr_words w, unnest(string_split(w.label, '')) u(ch)
+    f"""SELECT count(*) > 0 AS has_oov FROM (SELECT 1 FROM ocr_words w, unnest({split_sql('w.label')}) u(ch)
 WHERE ch NOT IN (SELECT token FROM bench_vocab) LIMIT 1) x""",
     "ocr_words",
     "bench_vocab",
 )
 SQL["oov_labels"] = with_views(
-    """SELECT DISTINCT label FROM (SELECT w.label, unnest(string_split(w.label, '')) AS ch FROM ocr_words w) x
+    f"""SELECT DISTINCT label FROM (SELECT w.label, unnest({split_sql('w.label')}) AS ch FROM ocr_words w) x
 WHERE ch NOT IN (SELECT token FROM bench_vocab)""",
     "ocr_words",
     "bench_vocab",
 )
 SQL["extend_vocab"] = with_views(
-    """SELECT token, id FROM char_vocab
+    f"""SELECT token, id FROM char_vocab
 UNION ALL
 SELECT text AS token, CAST((SELECT max(id) FROM char_vocab) + row_number() OVER (ORDER BY text) AS BIGINT) AS id
-FROM (SELECT DISTINCT text FROM (SELECT b.text, unnest(string_split(b.text, '')) AS ch FROM benchmark b) x
+FROM (SELECT DISTINCT text FROM (SELECT b.text, unnest({split_sql('b.text')}) AS ch FROM benchmark b) x
       WHERE ch NOT IN (SELECT token FROM char_vocab)) n
 WHERE text NOT IN (SELECT token FROM char_vocab)""",
     "char_vocab",

@@ -112,7 +112,7 @@ def attach_files(df: DataFrame, files_root: str, path_col: str = "pixel_values",
     matched after normalising both sides to the part under ``files_root``."""
     spark = df.sparkSession
     root = files_root.rstrip("/")
-    files = spark.read.format("binaryFile").load(root).select(
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
         F.regexp_extract("path", r"^(?:file:)?/*(.*)$", 1).alias("_abs"), F.col("content").alias(out)
     )
     rel_root = root.lstrip("/")
