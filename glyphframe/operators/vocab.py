@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphframe.functions.text import chars, code_of, nfkd
+from glyphframe.functions.text import chars, nfkd
 from glyphframe.operators.common import checked_broadcast
 from glyphframe.operators.positions import positions
 
@@ -22,8 +23,6 @@ UNK = "[UNK]"
 DEFAULT_SPECIALS = (PAD, UNK)
 PAD_ID = 0
 UNK_ID = 1
-# Characters per ordering bucket when numbering a vocabulary (by code point).
-_VOCAB_BUCKET = 1024
 
 
 def _special_rows(df: DataFrame, specials: Sequence[str]) -> DataFrame:
@@ -37,11 +36,13 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials: Sequence[str] =
     """V1: specials, then the distinct characters of ``text_col`` sorted by code point.
 
     ``explode`` + ``distinct`` de-duplicates map-side, so the shuffle carries at most the
-    distinct characters of each partition; numbering uses code-point buckets.
+    distinct characters of each partition. The distinct set has at most one row per code
+    point (1,114,112), a proven bound, so it is numbered by one ordered window after a
+    single pass over the corpus.
     """
     toks = df.select(F.explode(chars(text_col)).alias("token")).where(F.col("token") != "").distinct()
-    numbered = positions(toks, [F.col("token")], F.floor(code_of("token") / _VOCAB_BUCKET), out="pos")
-    body = numbered.select("token", (F.col("pos") + len(specials)).cast("bigint").alias("id"))
+    rank = F.row_number().over(Window.orderBy("token")) - 1 + len(specials)
+    body = toks.select("token", rank.cast("bigint").alias("id"))
     return _special_rows(df, specials).unionByName(body)
 
 
@@ -64,7 +65,7 @@ def encode(
     the re-aggregation then run inside that partitioning (no second shuffle).
     """
     v = checked_broadcast(vocab.select("token", "id"))
-    unk = vocab.where(F.col("token") == UNK).select("id").scalar()
+    unk = v.where(F.col("token") == UNK).select("id").scalar()
     text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
     others = [c for c in df.columns if c != key]
     base = df.repartition(key)
@@ -118,16 +119,17 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
 
 def extend_vocab(vocab: DataFrame, new_tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """V5: add tokens not yet present, sorted, with ids after the current maximum."""
+    v = checked_broadcast(vocab.select("token", "id"))
     fresh = (
         new_tokens.select(F.col(token_col).alias("token"))
         .where(F.col("token").isNotNull())
         .distinct()
-        .join(vocab.select("token"), "token", "left_anti")
-    )
-    start = vocab.agg(F.max("id")).scalar()
+        .join(v.select("token"), "token", "left_anti")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    start = v.agg(F.max("id")).scalar()
     numbered = positions(fresh, [F.col("token")], F.substring("token", 1, 2), out="pos")
     added = numbered.select("token", (start + 1 + F.col("pos")).cast("bigint").alias("id"))
-    return vocab.select("token", "id").unionByName(added)
+    return v.unionByName(added)
 
 
 def special_ids(

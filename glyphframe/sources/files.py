@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphframe.functions.text import nfkd
+from glyphframe.operators.common import checked_broadcast
 
 # The default missing-value tokens of the pandas CSV reader (1.5).
 NA_TOKENS = (
@@ -50,9 +51,11 @@ def with_row_index(df: DataFrame, out: str = "row_id") -> DataFrame:
         F.monotonically_increasing_id().alias("_m"),
     )
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    # One row per file split: a small table, ordered once.
+    # One row per file split (bounded by the file listing): ordered once, then broadcast
+    # after a size check - a shuffle join on a handful of split keys would put every
+    # row of a file in one task.
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offs = checked_broadcast(splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
     return (
         d.join(offs, ["_f", "_b"], "inner")
         .withColumn(out, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("bigint"))
