@@ -186,3 +186,11 @@ def fold_schedule(
         F.floor(epoch_len / 2).cast("bigint").alias("epoch_eval_steps"),
         F.floor(epoch_len / 2).cast("bigint").alias("epoch_save_steps"),
     )
+
+
+def leak_check(train: DataFrame, valid: DataFrame, key: str = "row_id") -> DataFrame:
+    """Q16: valid rows that also appear in train (a full-data run validating on its own
+    train file shows every row here). One row: ``leaked_rows``, ``valid_rows``."""
+    seen = train.select(key).distinct().withColumn("_in_train", F.lit(1))
+    marked = valid.select(key).join(seen, key, "left")
+    return marked.agg(F.count(F.col("_in_train")).alias("leaked_rows"), F.count(F.lit(1)).alias("valid_rows"))

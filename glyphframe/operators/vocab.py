@@ -51,50 +51,58 @@ def exploded_chars(df: DataFrame, key: str, text_col: str, sub_char: bool = Fals
     return df.select(key, F.posexplode(chars(text)).alias("pos", "token"))
 
 
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
     text_col: str = "label",
-    key: str = "row_id",
+    key: str | Sequence[str] = "row_id",
     out: str = "input_ids",
     sub_char: bool = False,
 ) -> DataFrame:
-    """V2: text -> array of ids, unknown characters -> ``[UNK]``.
+    """V2: text -> array of ids, unknown characters -> ``[UNK]``. ``key`` (one column or
+    several) must identify a row.
 
-    Rows are hash-partitioned on ``key`` once; explode, the broadcast vocabulary join and
+    Rows are hash-partitioned on the key once; explode, the broadcast vocabulary join and
     the re-aggregation then run inside that partitioning (no second shuffle).
     """
+    keys = _keys(key)
     v = checked_broadcast(vocab.select("token", "id"))
     unk = v.where(F.col("token") == UNK).select("id").scalar()
     text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    others = [c for c in df.columns if c != key]
-    base = df.repartition(key)
+    others = [c for c in df.columns if c not in keys]
+    base = df.repartition(*keys)
     ex = base.select("*", F.posexplode_outer(chars(text)).alias("_pos", "token"))
     joined = ex.join(v, "token", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("id"), unk).alias("id")))
-    agg = joined.groupBy(key).agg(
+    agg = joined.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in others],
         F.sort_array(F.collect_list(item)).alias("_ids"),
     )
-    return agg.select(key, *others, F.transform("_ids", lambda s: s["id"]).alias(out))
+    return agg.select(*keys, *others, F.transform("_ids", lambda s: s["id"]).alias(out))
 
 
 def decode(
     df: DataFrame,
     vocab: DataFrame,
     ids_col: str = "pred_ids",
-    key: str = "row_id",
+    key: str | Sequence[str] = "row_id",
     out: str = "text",
     specials: Sequence[str] = DEFAULT_SPECIALS,
 ) -> DataFrame:
-    """V6: ids -> text, skipping special tokens (and ids outside the vocabulary)."""
+    """V6: ids -> text, skipping special tokens (and ids outside the vocabulary).
+    ``key`` (one column or several) must identify a row."""
+    keys = _keys(key)
     v = checked_broadcast(vocab.where(~F.col("token").isin(*specials)).select("token", "id"))
-    others = [c for c in df.columns if c != key]
-    ex = df.repartition(key).select("*", F.posexplode_outer(ids_col).alias("_pos", "id"))
+    others = [c for c in df.columns if c not in keys]
+    ex = df.repartition(*keys).select("*", F.posexplode_outer(ids_col).alias("_pos", "id"))
     joined = ex.join(v, "id", "left")
     item = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos"), F.col("token")))
-    agg = joined.groupBy(key).agg(*[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(item)).alias("_t"))
-    return agg.select(key, *others, F.array_join(F.transform("_t", lambda s: s["token"]), "").alias(out))
+    agg = joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(item)).alias("_t"))
+    return agg.select(*keys, *others, F.array_join(F.transform("_t", lambda s: s["token"]), "").alias(out))
 
 
 def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
@@ -117,6 +125,18 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
     return oov_chars(df, vocab, text_col, sub_char).select(F.col("_label").alias(text_col)).distinct()
 
 
+def oov_units(
+    df: DataFrame, vocab: DataFrame, text_col: str = "label", unit: str = "label", sub_char: bool = False
+) -> DataFrame:
+    """Q12: what V5 would add - whole labels holding an unknown character (the
+    reference's unit) or the unknown characters themselves (``unit="char"``)."""
+    if unit == "label":
+        return oov_labels(df, vocab, text_col, sub_char).select(F.col(text_col).alias("token"))
+    if unit == "char":
+        return oov_chars(df, vocab, text_col, sub_char).select("token").distinct()
+    raise ValueError("unit must be 'label' or 'char'")
+
+
 def extend_vocab(vocab: DataFrame, new_tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """V5: add tokens not yet present, sorted, with ids after the current maximum."""
     v = checked_broadcast(vocab.select("token", "id"))

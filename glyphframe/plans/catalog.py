@@ -21,6 +21,7 @@ from glyphframe.operators import beams as bm
 from glyphframe.operators import ensemble as en
 from glyphframe.operators import evaluate as ev
 from glyphframe.operators import folds as fo
+from glyphframe.operators import labels as lb
 from glyphframe.operators import positions
 from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
@@ -295,8 +296,8 @@ def q_pad_to_max_length(spark, sf_dir):
 
 
 def ragged_shards(spark, sf_dir):
-    pred = vw.ocr_raw_pred(spark, sf_dir).withColumn("key", F.col("row_id") * 10 + F.col("fold"))
-    enc = vo.encode(pred, ocr_vocab(spark, sf_dir), "raw_text", key="key", out="pred_ids")
+    pred = vw.ocr_raw_pred(spark, sf_dir)
+    enc = vo.encode(pred, ocr_vocab(spark, sf_dir), "raw_text", key=["row_id", "fold"], out="pred_ids")
     shards = ba.pad_to_batch_max(enc, "pred_ids", "fold", 0)
     return ba.ragged_concat(shards, "pred_ids")
 
@@ -513,10 +514,20 @@ def q_submission_audit(spark, sf_dir):
 def q_label_universe(spark, sf_dir):
     """U2 + U3 + O1: train and valid labels of fold 0, distinct, sorted, then NFKD."""
     ft = fold_table(spark, sf_dir)
-    both = fo.train_set(ft, 0).select("label").unionByName(fo.valid_set(ft, 0).select("label"))
-    uniq = both.distinct()
-    pos = positions.positions(uniq, [F.col("label")], F.substring("label", 1, 1), out="pos")
-    return pos.select("pos", "label", tx.nfkd("label").alias("subchar"))
+    return lb.label_universe(fo.train_set(ft, 0), fo.valid_set(ft, 0))
+
+
+@register("fold_leak_check")
+def q_fold_leak_check(spark, sf_dir):
+    """Q16: valid rows of fold 0 that also sit in its train side (expected 0)."""
+    ft = fold_table(spark, sf_dir)
+    return fo.leak_check(fo.train_set(ft, 0), fo.valid_set(ft, 0))
+
+
+@register("oov_chars")
+def q_oov_chars(spark, sf_dir):
+    """Q12 (unit="char"): the document characters outside the benchmark vocabulary."""
+    return vo.oov_units(vw.ocr_words(spark, sf_dir), bench_vocab(spark, sf_dir), "label", unit="char")
 
 
 # ------------------------------------------------------------------ sources and sinks (round trips)
@@ -617,3 +628,18 @@ def q_streaming_running_metric(spark, sf_dir):
     )
     out = st.run_to_table(st.running_weighted_loss(steps), "running_loss")
     return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")
+
+
+@register("streaming_running_accuracy")
+def q_streaming_running_accuracy(spark, sf_dir):
+    """Running exact-match counts per fold over prediction files arriving one per
+    trigger (the predictions are written by Spark from the test rows, 8 files)."""
+    from glyphframe.streaming import running as st
+
+    src = _scratch(spark, "prediction_stream")
+    pred = vw.ocr_raw_pred(spark, sf_dir).join(vw.ocr_train(spark, sf_dir).select("row_id", "label"), "row_id")
+    pred = pred.select("row_id", "fold", F.col("raw_text").alias("pred"), "label")
+    pred.repartition(8, "row_id").write.mode("overwrite").parquet(src)
+    stream = st.file_stream(spark, src, pred.schema)
+    out = st.run_to_table(st.running_accuracy(stream), "running_accuracy")
+    return out.select("fold", "correct", "n")

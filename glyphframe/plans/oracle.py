@@ -479,3 +479,20 @@ d AS (
 SELECT vec_id, label, CAST(c_label AS INTEGER) AS prediction FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c_label) AS rn FROM d) r WHERE rn = 1"""
 SQL["streaming_running_metric"] = SQL["weighted_mean_loss"]
+SQL["fold_leak_check"] = with_views(
+    """SELECT count(t.row_id) AS leaked_rows, count(*) AS valid_rows
+FROM (SELECT row_id FROM ocr_fold_table WHERE fold = 0) v
+LEFT JOIN (SELECT DISTINCT row_id FROM ocr_fold_table WHERE fold IS NULL OR fold <> 0) t ON t.row_id = v.row_id""",
+    "ocr_fold_table",
+)
+SQL["oov_chars"] = with_views(
+    f"""SELECT DISTINCT ch AS token FROM (SELECT unnest({split_sql('label')}) AS ch FROM ocr_words) x
+WHERE ch NOT IN (SELECT token FROM bench_vocab)""",
+    "ocr_words",
+    "bench_vocab",
+)
+SQL["streaming_running_accuracy"] = with_views(
+    """SELECT p.fold, CAST(sum(CASE WHEN p.raw_text = t.label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n
+FROM ocr_raw_pred p JOIN ocr_train t ON p.row_id = t.row_id GROUP BY p.fold""",
+    "ocr_raw_pred",
+)
