@@ -84,10 +84,13 @@ def throughput(
     )
 
 
-def truncate_padded(df: DataFrame, num_samples, key: str = "row_id", copy_col: str = "copy") -> DataFrame:
+def truncate_padded(
+    df: DataFrame, num_samples, key: str = "row_id", copy_col: str = "copy", group: Sequence[str] = ()
+) -> DataFrame:
     """Drop the copies added by shard rounding and keep the first ``num_samples``
-    rows (``key`` is the 0-based sample position). Partial group limit per key."""
-    w = Window.partitionBy(key).orderBy(copy_col)
+    rows (``key`` is the 0-based sample position inside ``group``; ``num_samples`` a
+    number or a column). The window keeps one row per key with a partial group limit."""
+    w = Window.partitionBy(*group, key).orderBy(copy_col)
     n = num_samples if isinstance(num_samples, Column) else F.lit(num_samples)
     return df.where(F.col(key) < n).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

@@ -25,6 +25,7 @@ from glyphframe.operators import labels as lb
 from glyphframe.operators import positions
 from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
+from glyphframe.operators.common import checked_broadcast
 from glyphframe.operators.positions import int_bucket
 from glyphframe.sources import files as fi
 from glyphframe.sources import views as vw
@@ -197,14 +198,19 @@ def q_run_stamp(spark, sf_dir):
 
 @register("metric_prefix")
 def q_metric_prefix(spark, sf_dir):
-    """Per-fold metric maps prefixed with 'eval_' (one key already is)."""
-    m = ev.weighted_mean_loss(vw.step_log(spark, sf_dir))
-    m = m.select(
-        "fold",
+    """Per-fold metric maps (loss, samples, and an already prefixed eval_runtime)
+    get the 'eval_' prefix where missing."""
+    e = vw.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).cast("int").alias("fold"), "ts", F.col("value").alias("loss"),
+        (F.lit(1) + F.col("event_id") % 64).alias("n"),
+    )
+    runtime = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    m = e.groupBy("fold").agg(
         F.create_map(
-            F.lit("loss"), F.col("mean_loss"), F.lit("samples"), F.col("n_samples").cast("double"),
-            F.lit("eval_runtime"), F.lit(0.0),
-        ).alias("metrics"),
+            F.lit("loss"), F.sum(F.col("loss") * F.col("n")) / F.sum("n"),
+            F.lit("samples"), F.sum("n").cast("double"),
+            F.lit("eval_runtime"), runtime,
+        ).alias("metrics")
     )
     out = ev.metric_prefix(m).select("fold", F.explode("metrics").alias("metric", "value"))
     return out.select("fold", "metric", r6("value").alias("value"))
@@ -443,15 +449,17 @@ def q_throughput(spark, sf_dir):
 
 @register("truncate_padded")
 def q_truncate_padded(spark, sf_dir):
-    """Fold-0 predictions gathered with wrap-around padding to a multiple of 256
-    (4 shards x 64), then de-duplicated and cut to the sample count."""
-    pred = vw.ocr_raw_pred(spark, sf_dir).where(F.col("fold") == 0)
-    pred = pred.withColumn("sample", (F.col("row_id") / 5).cast("bigint"))
-    n = pred.agg(F.count(F.lit(1))).scalar()
-    extra = (F.lit(256) - n % 256) % 256
-    padded = pred.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("sample") < extra, 1).otherwise(0))).alias("copy"))
-    out = ev.truncate_padded(padded, n, key="sample")
-    return out.select("sample", "row_id", "raw_text")
+    """Each fold's predictions gathered with wrap-around padding to a multiple of 256
+    (4 shards x 64), then de-duplicated and cut to that fold's sample count."""
+    pred = vw.ocr_raw_pred(spark, sf_dir).withColumn("sample", (F.col("row_id") / 5).cast("bigint"))
+    # one row per fold: joined by broadcast (a shuffle on 5 keys would be 5 hot tasks)
+    counts = checked_broadcast(pred.groupBy("fold").agg(F.count(F.lit(1)).alias("n_samples")))
+    pred = pred.join(counts, "fold")
+    extra = (F.lit(256) - F.col("n_samples") % 256) % 256
+    copies = F.sequence(F.lit(0), F.when(F.col("sample") < extra, 1).otherwise(0))
+    padded = pred.select("*", F.explode(copies).alias("copy"))
+    out = ev.truncate_padded(padded, F.col("n_samples"), key="sample", group=["fold"])
+    return out.select("fold", "sample", "row_id", "raw_text")
 
 
 @register("best_checkpoint")
@@ -643,3 +651,14 @@ def q_streaming_running_accuracy(spark, sf_dir):
     stream = st.file_stream(spark, src, pred.schema)
     out = st.run_to_table(st.running_accuracy(stream), "running_accuracy")
     return out.select("fold", "correct", "n")
+
+
+@register("kfold_submission")
+def q_kfold_submission(spark, sf_dir):
+    """Entry 3 for all five folds at once: best beam -> NFC -> clean -> probability ->
+    submission rows per fold."""
+    from glyphframe.plans import entries
+
+    sub = vw.ocr_test(spark, sf_dir).withColumn("label", F.lit(""))
+    out = entries.kfold_inference(vw.ocr_beams(spark, sf_dir), sub)
+    return out.select("row_id", "img_path", "fold", "label", r6("seq_probs").alias("seq_probs"))

@@ -278,12 +278,10 @@ SQL["seq_probability"] = with_views(
 SQL["path_leaf"] = "SELECT page_id, string_split(url, '/')[-1] AS leaf FROM pages"
 SQL["run_stamp"] = """SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M') AS stamp, strftime(ts, '%Y-%H-%M-%S') AS legacy_stamp
 FROM events"""
-SQL["metric_prefix"] = with_views(
-    """SELECT fold, 'eval_loss' AS metric, round(sum(loss * n) / sum(n), 6) AS value FROM step_log GROUP BY fold
-UNION ALL SELECT fold, 'eval_samples', CAST(sum(n) AS DOUBLE) FROM step_log GROUP BY fold
-UNION ALL SELECT fold, 'eval_runtime', 0.0 FROM step_log GROUP BY fold""",
-    "step_log",
-)
+SQL["metric_prefix"] = """WITH e AS (SELECT CAST(user_id % 5 AS INTEGER) AS fold, ts, value AS loss, 1 + event_id % 64 AS n FROM events)
+SELECT fold, 'eval_loss' AS metric, round(sum(loss * n) / sum(n), 6) AS value FROM e GROUP BY fold
+UNION ALL SELECT fold, 'eval_samples', CAST(sum(n) AS DOUBLE) FROM e GROUP BY fold
+UNION ALL SELECT fold, 'eval_runtime', round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) FROM e GROUP BY fold"""
 SQL["build_vocab"] = with_views("SELECT token, id FROM char_vocab", "char_vocab")
 SQL["encode_labels"] = with_views(
     f"SELECT k AS item_id, ids AS input_ids FROM ({encode_sql('SELECT * FROM benchmark', 'item_id', 'text', 'char_vocab')}) e",
@@ -406,7 +404,7 @@ SQL["throughput"] = """SELECT fold, round(rt, 6) AS eval_runtime, n AS eval_samp
 FROM (SELECT CAST(user_id % 5 AS INTEGER) AS fold, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS rt, count(*) AS n
       FROM events GROUP BY 1) s"""
 SQL["truncate_padded"] = with_views(
-    "SELECT row_id // 5 AS sample, row_id, raw_text FROM ocr_raw_pred WHERE fold = 0", "ocr_raw_pred"
+    "SELECT fold, row_id // 5 AS sample, row_id, raw_text FROM ocr_raw_pred", "ocr_raw_pred"
 )
 SQL["best_checkpoint"] = """SELECT fold, step AS best_step, value AS best_accuracy FROM (
   SELECT CAST(user_id % 5 AS INTEGER) AS fold, event_id AS step, value,
@@ -496,3 +494,10 @@ SQL["streaming_running_accuracy"] = with_views(
 FROM ocr_raw_pred p JOIN ocr_train t ON p.row_id = t.row_id GROUP BY p.fold""",
     "ocr_raw_pred",
 )
+SQL["kfold_submission"] = with_views(
+    """SELECT t.row_id, t.img_path, b.fold, regexp_replace(nfc_normalize(b.raw_text), '[^가-힣]', '', 'g') AS label,
+       round(exp(b.seq_score), 6) AS seq_probs
+FROM ocr_test t JOIN beams_ranked b ON b.row_id = t.row_id AND b.rank = 1""",
+    "ocr_test",
+    "beams_ranked",
+)
