@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphframe.functions.text import IGNORE_INDEX
+from glyphframe.operators.common import checked_broadcast
 
 
 def batch_assign(df: DataFrame, batch_size: int, index_col: str = "row_id", out: str = "batch_id") -> DataFrame:
@@ -28,6 +29,17 @@ def pad_to_batch_max(
     return df.withColumn(out or ids_col, pad_to(ids_col, longest, pad_id))
 
 
+def pad_to_shard_max(
+    df: DataFrame, ids_col: str, shard_cols: list[str] | tuple[str, ...] = ("fold",), pad_id: int = 0, out: str | None = None
+) -> DataFrame:
+    """B2 for a few large shards (e.g. one per fold): the width per shard is a partial
+    aggregate joined back by broadcast, so no task holds a whole shard (a window over
+    the shard key would)."""
+    widths = df.groupBy(*shard_cols).agg(F.max(F.size(ids_col)).alias("_w"))
+    joined = df.join(checked_broadcast(widths), list(shard_cols))
+    return joined.withColumn(out or ids_col, pad_to(ids_col, F.col("_w"), pad_id)).drop("_w")
+
+
 def pad_to_max_length(df: DataFrame, ids_col: str, max_length: int, pad_id: int = 0, out: str | None = None) -> DataFrame:
     """Pad to a fixed length; longer rows are never cut. Pure projection."""
     return df.withColumn(out or ids_col, pad_to(ids_col, F.lit(max_length), pad_id))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphframe.functions.text import nfkd
-from glyphframe.operators.positions import positions
+from glyphframe.operators.positions import sorted_positions
 
 
 def label_universe(
@@ -18,8 +18,8 @@ def label_universe(
 ) -> DataFrame:
     """UNION ALL of the sides given (either may be absent, Q11), DISTINCT, numbered in
     code-point order (``pos``), then NFKD after the distinct (as the reference does,
-    so no second de-duplication). Numbering uses first-character buckets, not one
-    global window."""
+    so no second de-duplication). Numbering is a range-partitioned sort, not one global
+    window."""
     sides = [s.select(F.col(label_col).alias("label")) for s in (train, valid) if s is not None]
     if not sides:
         raise ValueError("give at least one of train / valid")
@@ -27,6 +27,6 @@ def label_universe(
     for s in sides[1:]:
         both = both.unionByName(s)
     uniq = both.where(F.col("label").isNotNull()).distinct()
-    numbered = positions(uniq, [F.col("label")], F.substring("label", 1, 1), out="pos")
+    numbered = sorted_positions(uniq, [F.col("label")], out="pos")
     out = numbered.select("pos", "label")
     return out.withColumn("subchar", nfkd("label")) if sub_char else out

@@ -72,3 +72,24 @@ def positions(
 def reset_index(df: DataFrame, order: Sequence[str | Column], bucket: Column, out: str = "index") -> DataFrame:
     """Renumber rows 0..n-1 in the given order (``reset_index(drop=True)``)."""
     return positions(df, order, bucket, (), out)
+
+
+def sorted_positions(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:
+    """Global 0-based position in ``order`` for keys without a bounded bucket (strings).
+
+    The sort-then-index idiom: ``orderBy`` range-partitions on a sample of the keys
+    (balanced partitions for distinct keys, whatever their prefixes), each row takes
+    ``monotonically_increasing_id`` (partition index in the high bits, row index in the
+    low 33), and a reliable ``checkpoint`` in ``spark.checkpoint.dir`` fixes both before
+    they are used twice. Partition counts (one row per partition) are broadcast."""
+    from glyphframe.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True)
+    s = s.withColumn("_p", F.shiftright("_m", 33)).withColumn("_l", F.col("_m").bitwiseAND((1 << 33) - 1))
+    counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    # one row per sort partition: bounded by the shuffle partition count
+    joined = s.join(F.broadcast(offs), "_p")
+    return joined.withColumn(out, (F.col("_off") + F.col("_l")).cast("bigint")).drop("_m", "_p", "_l", "_off")

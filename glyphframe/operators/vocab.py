@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphframe.functions.text import chars, nfkd
 from glyphframe.operators.common import checked_broadcast
-from glyphframe.operators.positions import positions
+from glyphframe.operators.positions import sorted_positions
 
 # Fixed values that must equal the reference's vocabulary layout.
 PAD = "[PAD]"
@@ -145,9 +144,9 @@ def extend_vocab(vocab: DataFrame, new_tokens: DataFrame, token_col: str = "toke
         .where(F.col("token").isNotNull())
         .distinct()
         .join(v.select("token"), "token", "left_anti")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
     start = v.agg(F.max("id")).scalar()
-    numbered = positions(fresh, [F.col("token")], F.substring("token", 1, 2), out="pos")
+    numbered = sorted_positions(fresh, [F.col("token")], out="pos")
     added = numbered.select("token", (start + 1 + F.col("pos")).cast("bigint").alias("id"))
     return v.unionByName(added)
 

@@ -96,3 +96,12 @@ def test_schedule_arithmetic(spark):
         epoch = r.train_rows // 64
         assert r.epoch_steps == epoch and r.total_steps == epoch * 10
         assert r.eval_steps == epoch * 10 // 10 and r.logging_steps == epoch // 10 and r.epoch_eval_steps == epoch // 2
+
+
+def test_sorted_positions_skewed_prefix(spark):
+    # a third of the keys share one long prefix; positions must still be exact
+    keys = [f"hot-prefix-{i:06d}" for i in range(3000)] + [f"k{i:06d}" for i in range(6000)]
+    df = spark.createDataFrame([(k,) for k in keys], "label string").repartition(7)
+    got = sorted((r.pos, r.label) for r in positions.sorted_positions(df, [F.col("label")]).collect())
+    assert [p for p, _ in got] == list(range(len(keys)))
+    assert [k for _, k in got] == sorted(keys)
