@@ -45,15 +45,38 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials: Sequence[str] =
     return _special_rows(df, specials).unionByName(body)
 
 
-def exploded_chars(df: DataFrame, key: str, text_col: str, sub_char: bool = False) -> DataFrame:
-    text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    return df.select(key, F.posexplode(chars(text)).alias("pos", "token"))
-
-
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _explode_carrying(df: DataFrame, keys: list[str], items: Column, item_type: str) -> tuple[DataFrame, list[str]]:
+    """Explode ``items`` (an array) into ``(keys, p, t)`` rows, carrying the row's other
+    columns once, on a sentinel element with ``p = -1`` (field ``r``), instead of copying
+    them into every exploded row (quadratic in text length)."""
+    others = [c for c in df.columns if c not in keys]
+    rest = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(None).alias("_none"))
+    rest_type = df.select(rest.alias("r")).schema["r"].dataType
+    head = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast(item_type).alias("t"), rest.alias("r")))
+    body = F.transform(
+        F.coalesce(items, F.array().cast(f"array<{item_type}>")),
+        lambda x, i: F.struct(i.alias("p"), x.alias("t"), F.lit(None).cast(rest_type).alias("r")),
+    )
+    ex = df.select(*keys, F.explode(F.concat(head, body)).alias("_e")).select(*keys, "_e.p", "_e.t", "_e.r")
+    return ex, others
+
+
+def _regroup(joined: DataFrame, df: DataFrame, keys: list[str], others: list[str], item: Column, out: str, finish) -> DataFrame:
+    """Per key: the carried columns back from the sentinel, the items in position order.
+    All elements of a row sit in one partition, so the partial aggregate already holds
+    the complete row and the one shuffle moves about the output itself."""
+    agg = joined.groupBy(*keys).agg(
+        F.first("r", ignorenulls=True).alias("r"),
+        F.sort_array(F.collect_list(F.when(F.col("p") >= 0, item))).alias("_items"),
+    )
+    cols = [F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns]
+    return agg.select(*cols, finish(F.col("_items")).alias(out))
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -62,26 +85,21 @@ def encode(
     out: str = "input_ids",
     sub_char: bool = False,
 ) -> DataFrame:
-    """V2: text -> array of ids, unknown characters -> ``[UNK]``. ``key`` (one column or
-    several) must identify a row.
+    """V2: text -> array of ids, unknown characters -> ``[UNK]``; null text -> null.
+    ``key`` (one column or several) must identify a row.
 
-    Rows are hash-partitioned on the key once; explode, the broadcast vocabulary join and
-    the re-aggregation then run inside that partitioning (no second shuffle).
+    Plan: explode (no shuffle) -> broadcast hash join with the size-checked vocabulary
+    -> partial + final ``collect_list`` per key: one shuffle, of about the output size.
     """
     keys = _keys(key)
-    v = checked_broadcast(vocab.select("token", "id"))
-    unk = v.where(F.col("token") == UNK).select("id").scalar()
+    v = checked_broadcast(vocab.select(F.col("token").alias("t"), "id"))
+    unk = v.where(F.col("t") == UNK).select("id").scalar()
     text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    others = [c for c in df.columns if c not in keys]
-    base = df.repartition(*keys)
-    ex = base.select("*", F.posexplode_outer(chars(text)).alias("_pos", "token"))
-    joined = ex.join(v, "token", "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("id"), unk).alias("id")))
-    agg = joined.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.sort_array(F.collect_list(item)).alias("_ids"),
-    )
-    return agg.select(*keys, *others, F.transform("_ids", lambda s: s["id"]).alias(out))
+    ex, others = _explode_carrying(df, keys, chars(text), "string")
+    joined = ex.join(v, "t", "left")
+    item = F.struct(F.col("p"), F.coalesce(F.col("id"), unk).alias("id"))
+    res = _regroup(joined, df, keys, others, item, out, lambda a: F.transform(a, lambda s: s["id"]))
+    return res.withColumn(out, F.when(F.col(text_col).isNotNull(), F.col(out)))
 
 
 def decode(
@@ -92,36 +110,53 @@ def decode(
     out: str = "text",
     specials: Sequence[str] = DEFAULT_SPECIALS,
 ) -> DataFrame:
-    """V6: ids -> text, skipping special tokens (and ids outside the vocabulary).
-    ``key`` (one column or several) must identify a row."""
+    """V6: ids -> text, skipping special tokens (and ids outside the vocabulary); null
+    ids -> null. Same plan shape as ``encode``."""
     keys = _keys(key)
-    v = checked_broadcast(vocab.where(~F.col("token").isin(*specials)).select("token", "id"))
-    others = [c for c in df.columns if c not in keys]
-    ex = df.repartition(*keys).select("*", F.posexplode_outer(ids_col).alias("_pos", "id"))
-    joined = ex.join(v, "id", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos"), F.col("token")))
-    agg = joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(item)).alias("_t"))
-    return agg.select(*keys, *others, F.array_join(F.transform("_t", lambda s: s["token"]), "").alias(out))
+    v = checked_broadcast(vocab.where(~F.col("token").isin(*specials)).select("token", F.col("id").alias("t")))
+    id_type = df.schema[ids_col].dataType.elementType.simpleString()
+    ex, others = _explode_carrying(df, keys, F.col(ids_col), id_type)
+    joined = ex.join(v, ex["t"].cast("bigint") == v["t"], "left").drop(v["t"])
+    item = F.when(F.col("token").isNotNull(), F.struct(F.col("p"), F.col("token")))
+    res = _regroup(joined, df, keys, others, item, out, lambda a: F.array_join(F.transform(a, lambda s: s["token"]), ""))
+    return res.withColumn(out, F.when(F.col(ids_col).isNotNull(), F.col(out)))
 
 
-def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """(label, token) pairs whose token is not in the vocabulary."""
+def _with_text(df: DataFrame, text_col: str, sub_char: bool) -> DataFrame:
     text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    ex = df.select(F.col(text_col).alias("_label"), text.alias("_t")).select(
-        "_label", F.explode(chars("_t")).alias("token")
-    )
-    return ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti")
+    return df.select(F.col(text_col).alias("_label"), text.alias("_t")).where(F.col("_t").isNotNull())
+
+
+def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
+    """The distinct characters of ``text_col`` that are not in the vocabulary."""
+    ex = _with_text(df, text_col, sub_char).select(F.explode(chars("_t")).alias("token"))
+    return ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti").distinct()
 
 
 def has_oov(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """V3: one row, ``has_oov`` - stops at the first unknown character found."""
-    hit = oov_chars(df, vocab, text_col, sub_char).limit(1)
+    """V3: one row, ``has_oov`` - each task stops at its first unknown character."""
+    ex = _with_text(df, text_col, sub_char).select(F.explode(chars("_t")).alias("token"))
+    hit = ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti").limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("has_oov"))
 
 
 def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """V4: the distinct labels containing at least one unknown character."""
-    return oov_chars(df, vocab, text_col, sub_char).select(F.col("_label").alias(text_col)).distinct()
+    """V4: the distinct labels containing at least one unknown character.
+
+    Characters are exploded with a 64-bit hash of their label, not the label itself
+    (long texts would be copied once per character). Unknown characters are collected
+    per hash (bounded by the distinct characters), and a label is kept when it contains
+    one of the unknown characters of its hash - exact even if two labels collide."""
+    t = _with_text(df, text_col, sub_char).withColumn("_h", F.xxhash64("_t"))
+    ex = t.select("_h", F.explode(chars("_t")).alias("token"))
+    bad = (
+        ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti")
+        .groupBy("_h")
+        .agg(F.collect_set("token").alias("_bad"))
+    )
+    cand = t.select("_label", "_t", "_h").distinct().join(bad, "_h", "inner")
+    hit = F.expr("exists(_bad, c -> instr(_t, c) > 0)")
+    return cand.where(hit).select(F.col("_label").alias(text_col))
 
 
 def oov_units(
@@ -132,7 +167,7 @@ def oov_units(
     if unit == "label":
         return oov_labels(df, vocab, text_col, sub_char).select(F.col(text_col).alias("token"))
     if unit == "char":
-        return oov_chars(df, vocab, text_col, sub_char).select("token").distinct()
+        return oov_chars(df, vocab, text_col, sub_char)
     raise ValueError("unit must be 'label' or 'char'")
 
 

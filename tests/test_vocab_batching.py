@@ -28,7 +28,7 @@ def test_encode_unknown_and_empty(spark):
     voc = vo.build_vocab(spark.createDataFrame([("ab",)], "text string"), "text")
     df = spark.createDataFrame([(0, "abz"), (1, ""), (2, None)], "row_id long, label string")
     got = {r.row_id: r.input_ids for r in vo.encode(df, voc, "label").collect()}
-    assert got == {0: [2, 3, 1], 1: [], 2: []}
+    assert got == {0: [2, 3, 1], 1: [], 2: None}  # null text stays null
 
 
 def test_encode_uses_broadcast(spark):
