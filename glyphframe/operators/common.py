@@ -20,4 +20,7 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    if n <= max_rows:
+        return F.broadcast(small)
+    small.unpersist()
+    return small

@@ -110,18 +110,34 @@ def load_dataset(df: DataFrame, sub_char: bool = True, key: str = "row_id") -> D
     return df.select(*cols)
 
 
-def attach_files(df: DataFrame, files_root: str, path_col: str = "pixel_values", out: str = "image") -> DataFrame:
-    """S3: image bytes by path. ``binaryFile`` content is read only if selected; paths are
-    matched after normalising both sides to the part under ``files_root``."""
+def attach_files(
+    df: DataFrame, files_root: str, path_col: str = "pixel_values", out: str = "image", max_broadcast_rows: int = 2_000_000
+) -> DataFrame:
+    """S3: image bytes by path (``binaryFile``; ``content`` is read only when selected).
+    Paths are matched after normalising both sides to the part under ``files_root``.
+
+    The label rows are the small side: when they pass the size check they are
+    broadcast and the bytes stream through an inner hash join without being shuffled;
+    labels without a file are added by an anti join that reads paths only. Beyond the
+    limit it is a plain left join."""
     spark = df.sparkSession
     root = files_root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        F.regexp_extract("path", r"^(?:file:)?/*(.*)$", 1).alias("_abs"), F.col("content").alias(out)
-    )
     rel_root = root.lstrip("/")
-    files = files.withColumn("_rel", F.expr(f"substr(_abs, {len(rel_root) + 2})"))
+
+    def listing(with_content: bool) -> DataFrame:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rel = F.expr(f"substr(regexp_extract(path, '^(?:file:)?/*(.*)$', 1), {len(rel_root) + 2})")
+        cols = [rel.alias("_rel")] + ([F.col("content").alias(out)] if with_content else [])
+        return f.select(*cols)
+
     key = F.regexp_replace(F.regexp_replace(F.col(path_col), r"^(\./)+", ""), r"^data/", "")
-    return df.withColumn("_rel", key).join(files.drop("_abs"), "_rel", "left").drop("_rel")
+    labels = df.withColumn("_rel", key)
+    small = checked_broadcast(labels, max_broadcast_rows)
+    if small is labels:  # too large to broadcast
+        return labels.join(listing(True), "_rel", "left").drop("_rel")
+    matched = listing(True).join(small, "_rel", "inner")
+    missing = small.join(listing(False), "_rel", "left_anti").withColumn(out, F.lit(None).cast("binary"))
+    return matched.unionByName(missing).select(*df.columns, out)
 
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:

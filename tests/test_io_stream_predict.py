@@ -43,6 +43,8 @@ def test_attach_files(spark, tmp_dir):
     df = spark.createDataFrame([(i, f"./train/T_{i}.png") for i in range(4)], "row_id long, pixel_values string")
     got = {r.row_id: r.image for r in fi.attach_files(df, tmp_dir).collect()}
     assert got[0] == b"\x00" and got[2] == b"\x02\x02\x02" and got[3] is None
+    shuffled = {r.row_id: r.image for r in fi.attach_files(df, tmp_dir, max_broadcast_rows=0).collect()}
+    assert shuffled == got and len(got) == 4
 
 
 def test_load_vocab(spark, tmp_dir):
