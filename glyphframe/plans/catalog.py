@@ -640,7 +640,7 @@ def q_streaming_running_metric(spark, sf_dir):
 
 @register("streaming_running_accuracy")
 def q_streaming_running_accuracy(spark, sf_dir):
-    """Running exact-match counts per fold over prediction files arriving one per
+    """Running exact-match counts per fold over prediction files arriving four per
     trigger (the predictions are written by Spark from the test rows, 8 files)."""
     from glyphframe.streaming import running as st
 
@@ -648,7 +648,7 @@ def q_streaming_running_accuracy(spark, sf_dir):
     pred = vw.ocr_raw_pred(spark, sf_dir).join(vw.ocr_train(spark, sf_dir).select("row_id", "label"), "row_id")
     pred = pred.select("row_id", "fold", F.col("raw_text").alias("pred"), "label")
     pred.repartition(8, "row_id").write.mode("overwrite").parquet(src)
-    stream = st.file_stream(spark, src, pred.schema)
+    stream = st.file_stream(spark, src, pred.schema, max_files_per_trigger=4)
     out = st.run_to_table(st.running_accuracy(stream), "running_accuracy")
     return out.select("fold", "correct", "n")
 
