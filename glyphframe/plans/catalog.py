@@ -662,3 +662,19 @@ def q_kfold_submission(spark, sf_dir):
     sub = vw.ocr_test(spark, sf_dir).withColumn("label", F.lit(""))
     out = entries.kfold_inference(vw.ocr_beams(spark, sf_dir), sub)
     return out.select("row_id", "img_path", "fold", "label", r6("seq_probs").alias("seq_probs"))
+
+
+def _batch_stats(pdf):
+    """A per-batch pandas transform (F3): code-point length and syllable count."""
+    out = pdf[["row_id"]].copy()
+    out["n_chars"] = pdf["label"].str.len().astype("int32")
+    out["n_syllables"] = pdf["label"].str.count("[가-힣]").astype("int32")
+    return out
+
+
+@register("per_batch_transform")
+def q_per_batch_transform(spark, sf_dir):
+    """a pandas function applied lazily to Arrow batches of the label table."""
+    from glyphframe.operators import predict as pr
+
+    return pr.map_batches(vw.ocr_train(spark, sf_dir), _batch_stats, "row_id long, n_chars int, n_syllables int")

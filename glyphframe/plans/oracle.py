@@ -501,3 +501,8 @@ FROM ocr_test t JOIN beams_ranked b ON b.row_id = t.row_id AND b.rank = 1""",
     "ocr_test",
     "beams_ranked",
 )
+SQL["per_batch_transform"] = with_views(
+    """SELECT row_id, CAST(length(label) AS INTEGER) AS n_chars,
+       CAST(length(regexp_replace(label, '[^가-힣]', '', 'g')) AS INTEGER) AS n_syllables FROM ocr_train""",
+    "ocr_train",
+)
