@@ -77,6 +77,13 @@ def q_stratified_folds_shuffled(spark, sf_dir):
     return ft.where(F.col("fold").isNotNull()).select("row_id", "length", "fold")
 
 
+@register("stratified_folds_words")
+def q_stratified_folds_words(spark, sf_dir):
+    """W1 over document words as labels: many strata of very different sizes."""
+    long_rows = fo.long_labels(fo.prepare_labels(vw.ocr_words(spark, sf_dir)))
+    return fo.assign_folds(long_rows, 5).select("row_id", "length", "fold")
+
+
 @register("fold_train_set")
 def q_fold_train_set(spark, sf_dir):
     """Fold 0's train side = short labels + long labels of folds 1..4."""

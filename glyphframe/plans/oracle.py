@@ -135,16 +135,16 @@ GROUP BY 1, 2""",
 )
 
 
-def _folds_view(order: str) -> str:
+def _folds_view(order: str, source: str = "ocr_train") -> str:
     """W1 restated: row_number per stratum + quota ranges per (stratum, fold)."""
     return f"""SELECT r.row_id, r.img_path, r.label, r.length, CAST(q.f AS INTEGER) AS fold
 FROM (SELECT row_id, replace(img_path, './', './data/') AS img_path, label, CAST(length(label) AS INTEGER) AS length,
              row_number() OVER (PARTITION BY length(label) ORDER BY {order}) - 1 AS rn
-      FROM ocr_train WHERE length(label) > 1) r
+      FROM {source} WHERE length(label) > 1) r
 JOIN (SELECT length, f, sum(a) OVER (PARTITION BY length ORDER BY f) - a AS lo, sum(a) OVER (PARTITION BY length ORDER BY f) AS hi
       FROM (SELECT length, f, floor((s + c - 1 - f) / 5.0) - floor((s - 1 - f) / 5.0) AS a
             FROM (SELECT length, c, coalesce(sum(c) OVER (ORDER BY first, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-                  FROM (SELECT length(label) AS length, count(*) AS c, min(row_id) AS first FROM ocr_train WHERE length(label) > 1 GROUP BY 1) s0) s1,
+                  FROM (SELECT length(label) AS length, count(*) AS c, min(row_id) AS first FROM {source} WHERE length(label) > 1 GROUP BY 1) s0) s1,
                  range(0, 5) t(f)) q0) q
   ON r.length = q.length AND r.rn >= q.lo AND r.rn < q.hi"""
 
@@ -506,3 +506,5 @@ SQL["per_batch_transform"] = with_views(
        CAST(length(regexp_replace(label, '[^가-힣]', '', 'g')) AS INTEGER) AS n_syllables FROM ocr_train""",
     "ocr_train",
 )
+VIEWS["word_folds"] = (("ocr_words",), _folds_view("row_id", "ocr_words"))
+SQL["stratified_folds_words"] = with_views("SELECT row_id, length, fold FROM word_folds", "word_folds")
