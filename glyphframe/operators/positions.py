@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,12 @@ def sorted_positions(df: DataFrame, order: Sequence[str | Column], out: str = "p
     from glyphframe.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    s = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ordered = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
+    # persisted around the eager checkpoint so the sort runs once (the checkpoint write
+    # would otherwise recompute it); afterwards only the checkpoint files are read
+    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
+    s = ordered.checkpoint(eager=True)
+    ordered.unpersist()
     s = s.withColumn("_p", F.shiftright("_m", 33)).withColumn("_l", F.col("_m").bitwiseAND((1 << 33) - 1))
     counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
