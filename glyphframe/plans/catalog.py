@@ -583,12 +583,12 @@ def q_scan_label_csv(spark, sf_dir):
 
 @register("load_dataset")
 def q_load_dataset(spark, sf_dir):
-    """S2 (+P5, P7): a fold-file-shaped CSV (leading unnamed index column) loaded as a
-    dataset: pixel_values = path, labels = NFKD label."""
+    """S2 (+P5, P7): a fold-file-shaped CSV (unnamed index column, path, label, length)
+    loaded as a dataset: pixel_values = path, labels = NFKD label."""
     path = _scratch(spark, "fold_csv")
-    train = vw.ocr_train(spark, sf_dir)
-    fi.write_csv(train.orderBy("row_id").select(F.col("row_id").alias("index"), "img_path", "label"), path)
-    scanned = fi.scan_label_csv(spark, path, index_col=True)
+    train = fo.with_length(vw.ocr_train(spark, sf_dir))
+    fi.write_csv(train.orderBy("row_id").select(F.col("row_id").alias(""), "img_path", "label", "length"), path)
+    scanned = fi.scan_label_csv(spark, path)
     return fi.load_dataset(scanned, sub_char=True)
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glyphframe.functions.text import mask_to_pad, rewrite_path
 from glyphframe.operators import beams as bm
@@ -21,8 +20,6 @@ from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
 from glyphframe.sources import files as fi
 
-TEST_SCHEMA = T.StructType([T.StructField("img_path", T.StringType())])
-
 
 def preprocess(
     spark: SparkSession,
@@ -39,7 +36,7 @@ def preprocess(
     label is empty or null and so sit in no fold (Q3)."""
     root = out_root.rstrip("/")
     train = fi.scan_label_csv(spark, train_csv)
-    test = fi.scan_label_csv(spark, test_csv, schema=TEST_SCHEMA)
+    test = fi.scan_label_csv(spark, test_csv)
     fo.prepare_labels(train).write.mode("overwrite").parquet(f"{root}/train")
     test.withColumn("img_path", rewrite_path("img_path")).write.mode("overwrite").parquet(f"{root}/test")
     stored = spark.read.parquet(f"{root}/train")

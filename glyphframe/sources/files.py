@@ -39,7 +39,6 @@ NA_TOKENS = (
     "nan",
     "null",
 )
-LABEL_SCHEMA = T.StructType([T.StructField("img_path", T.StringType()), T.StructField("label", T.StringType())])
 
 
 def with_row_index(df: DataFrame, out: str = "row_id") -> DataFrame:
@@ -72,22 +71,20 @@ def null_na_tokens(df: DataFrame, cols: Sequence[str], tokens: Sequence[str] = N
 def scan_label_csv(
     spark: SparkSession,
     path: str,
-    schema: T.StructType | None = None,
+    columns: Sequence[str] = ("img_path", "label"),
+    required: Sequence[str] = ("img_path",),
     na_tokens: Sequence[str] = NA_TOKENS,
-    index_col: bool = False,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Header CSV with an explicit schema; NA-like cells become null (as the pandas
-    reader does); ``row_id`` = line position. ``index_col``: the file starts with an
-    unnamed index column (as fold files written by pandas do); it is dropped.
+    """Header CSV read the way the pandas reader is used: columns are taken by header
+    name as text (no schema inference pass), the ones in ``columns`` that exist are kept
+    (so ``label`` is optional and an unnamed index column or extra columns such as
+    ``length`` are ignored), NA-like cells become null, ``row_id`` = line position.
     ``multi_line`` accepts quoted line breaks inside cells (RFC 4180, as pandas does);
     a file is then read by one task, so large inputs should come as many files."""
-    schema = schema or LABEL_SCHEMA
-    if index_col:
-        schema = T.StructType([T.StructField("_index", T.StringType())] + list(schema.fields))
     raw = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("mode", "FAILFAST")
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
@@ -95,10 +92,11 @@ def scan_label_csv(
         .option("multiLine", multi_line)
         .csv(path)
     )
-    if index_col:
-        raw = raw.drop("_index")
-    str_cols = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name != "_index"]
-    return with_row_index(null_na_tokens(raw, str_cols, na_tokens))
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} not in {path}")
+    present = [c for c in columns if c in raw.columns]
+    return with_row_index(null_na_tokens(raw.select(*present), present, na_tokens))
 
 
 def load_dataset(df: DataFrame, sub_char: bool = True, key: str = "row_id") -> DataFrame:

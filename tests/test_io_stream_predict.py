@@ -94,3 +94,13 @@ def test_batch_predict_custom_model(spark):
 
     out = pr.batch_predict(df, make, "v", batch_size=7)
     assert {r.id: r.prediction for r in out.collect()} == {i: int(i > 50) for i in range(100)}
+
+
+def test_scan_fold_file_with_index_and_length(spark, tmp_dir):
+    # the layout a pandas-written fold file has: unnamed index, path, label, length (float text when nulls exist)
+    with open(os.path.join(tmp_dir, "fold0_train.csv"), "w", encoding="utf-8") as f:
+        f.write(",img_path,label,length\n0,./data/train/a.png,가나,2.0\n1,./data/train/b.png,,\n2,./data/train/c.png,다,1.0\n")
+    got = [tuple(r) for r in fi.scan_label_csv(spark, tmp_dir).orderBy("row_id").collect()]
+    assert got == [("./data/train/a.png", "가나", 0), ("./data/train/b.png", None, 1), ("./data/train/c.png", "다", 2)]
+    ds = fi.load_dataset(fi.scan_label_csv(spark, tmp_dir), sub_char=False)
+    assert ds.columns == ["row_id", "pixel_values", "labels"]
