@@ -84,9 +84,12 @@ def encode(
     key: str | Sequence[str] = "row_id",
     out: str = "input_ids",
     sub_char: bool = False,
+    start_id: int | None = None,
+    end_id: int | None = None,
 ) -> DataFrame:
     """V2: text -> array of ids, unknown characters -> ``[UNK]``; null text -> null.
-    ``key`` (one column or several) must identify a row.
+    ``key`` (one column or several) must identify a row. ``start_id`` / ``end_id`` (see
+    ``special_ids``) are put around the ids, as a tokenizer adds its specials.
 
     Plan: explode (no shuffle) -> broadcast hash join with the size-checked vocabulary
     -> partial + final ``collect_list`` per key: one shuffle, of about the output size.
@@ -98,7 +101,15 @@ def encode(
     ex, others = _explode_carrying(df, keys, chars(text), "string")
     joined = ex.join(v, "t", "left")
     item = F.struct(F.col("p"), F.coalesce(F.col("id"), unk).alias("id"))
-    res = _regroup(joined, df, keys, others, item, out, lambda a: F.transform(a, lambda s: s["id"]))
+    def finish(a):
+        ids = F.transform(a, lambda s: s["id"])
+        if start_id is not None:
+            ids = F.concat(F.array(F.lit(start_id).cast("bigint")), ids)
+        if end_id is not None:
+            ids = F.concat(ids, F.array(F.lit(end_id).cast("bigint")))
+        return ids
+
+    res = _regroup(joined, df, keys, others, item, out, finish)
     return res.withColumn(out, F.when(F.col(text_col).isNotNull(), F.col(out)))
 
 

@@ -29,6 +29,8 @@ def test_encode_unknown_and_empty(spark):
     df = spark.createDataFrame([(0, "abz"), (1, ""), (2, None)], "row_id long, label string")
     got = {r.row_id: r.input_ids for r in vo.encode(df, voc, "label").collect()}
     assert got == {0: [2, 3, 1], 1: [], 2: None}  # null text stays null
+    wrapped = {r.row_id: r.input_ids for r in vo.encode(df, voc, "label", start_id=7, end_id=8).collect()}
+    assert wrapped == {0: [7, 2, 3, 1, 8], 1: [7, 8], 2: None}
 
 
 def test_encode_uses_broadcast(spark):
