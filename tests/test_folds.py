@@ -105,3 +105,17 @@ def test_sorted_positions_skewed_prefix(spark):
     got = sorted((r.pos, r.label) for r in positions.sorted_positions(df, [F.col("label")]).collect())
     assert [p for p, _ in got] == list(range(len(keys)))
     assert [k for _, k in got] == sorted(keys)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_draws_and_reset_index_partition_independent(spark, parts):
+    from glyphframe.functions.draws import seeded_uniform
+    from glyphframe.operators import augment as au
+
+    base = vw.ocr_train(spark, SF001)
+    moved = base.repartition(parts)
+    u = lambda d: sorted(d.select("row_id", seeded_uniform(5, "x", F.col("row_id")).alias("u")).collect())
+    assert u(base) == u(moved)
+    assert sorted(au.augment_plan(base).collect()) == sorted(au.augment_plan(moved).collect())
+    idx = lambda d: sorted(positions.reset_index(d, [F.col("row_id")], positions.int_bucket("row_id", 16), "i").select("row_id", "i").collect())
+    assert idx(base) == idx(moved)
