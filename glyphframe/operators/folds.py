@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphframe.functions.draws import draw_key
-from glyphframe.functions.text import label_length, rewrite_path
+from glyphframe.functions.text import label_length, nfc, rewrite_path
 from glyphframe.operators.positions import (
     DEFAULT_BUCKET_ROWS,
     bucket_counts,
@@ -38,9 +38,16 @@ def with_length(df: DataFrame, label_col: str = "label", out: str = "length") ->
     return df.withColumn(out, label_length(label_col))
 
 
-def prepare_labels(df: DataFrame, path_col: str = "img_path", label_col: str = "label") -> DataFrame:
-    """The preprocessing projection: P1 path rewrite + P2 length, one codegen stage."""
-    return df.withColumn(path_col, rewrite_path(path_col)).withColumn("length", label_length(label_col))
+def prepare_labels(
+    df: DataFrame, path_col: str = "img_path", label_col: str = "label", nfc_first: bool = False
+) -> DataFrame:
+    """The preprocessing projection: P1 path rewrite + P2 length, one codegen stage.
+    Length counts raw code points, so a decomposed label counts longer than its composed
+    form (Q4); ``nfc_first`` composes labels before measuring."""
+    out = df.withColumn(path_col, rewrite_path(path_col))
+    if nfc_first:
+        out = out.withColumn(label_col, nfc(label_col))
+    return out.withColumn("length", label_length(label_col))
 
 
 def short_labels(df: DataFrame, length_col: str = "length") -> DataFrame:
@@ -124,11 +131,12 @@ def fold_table(
     shuffle: bool = False,
     seed: int = 0,
     id_col: str = "row_id",
+    nfc_first: bool = False,
 ) -> DataFrame:
     """All labelled rows with ``length`` and ``fold``: long rows carry their fold, short
     rows carry null (they are in every train set, never in a valid set). Rows with empty
     or null labels are dropped (they are in no fold, as in the reference)."""
-    prepared = prepare_labels(labels)
+    prepared = prepare_labels(labels, nfc_first=nfc_first)
     long_rows = assign_folds(long_labels(prepared), n_splits, shuffle=shuffle, seed=seed, id_col=id_col)
     short_rows = short_labels(prepared).withColumn("fold", F.lit(None).cast("int"))
     return long_rows.unionByName(short_rows)

@@ -119,3 +119,11 @@ def test_draws_and_reset_index_partition_independent(spark, parts):
     assert sorted(au.augment_plan(base).collect()) == sorted(au.augment_plan(moved).collect())
     idx = lambda d: sorted(positions.reset_index(d, [F.col("row_id")], positions.int_bucket("row_id", 16), "i").select("row_id", "i").collect())
     assert idx(base) == idx(moved)
+
+
+def test_nfc_first_changes_length_of_decomposed_labels(spark):
+    import unicodedata
+
+    df = spark.createDataFrame([(0, "./a.png", unicodedata.normalize("NFD", "한국"))], "row_id long, img_path string, label string")
+    assert fo.prepare_labels(df).first().length == 5
+    assert fo.prepare_labels(df, nfc_first=True).first().length == 2
