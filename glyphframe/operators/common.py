@@ -18,9 +18,9 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     executor recomputes the blocks from lineage). Beyond ``max_rows`` the side is
     returned as is and the planner joins by shuffle (sort-merge, AQE skew splitting).
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
+    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
     if n <= max_rows:
-        return F.broadcast(small)
-    small.unpersist()
+        return F.broadcast(kept)
+    kept.unpersist()
     return small

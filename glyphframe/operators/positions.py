@@ -49,8 +49,17 @@ def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str = "_bk") ->
 def positions_with_offsets(
     df: DataFrame, offsets: DataFrame, by: Sequence[str], order: Sequence[str | Column], out: str, bucket: str = "_bk"
 ) -> DataFrame:
+    """Join the offsets (one row per (group, bucket)) and number rows inside a bucket.
+
+    The offsets side is broadcast explicitly after a size check: the planner sizes an
+    exploded input by its source (before the explode), so left alone it may pick the
+    row side as the broadcast side. Beyond the check it is a sort-merge join on
+    (group, bucket), whose shuffle the window then reuses."""
+    from glyphframe.operators.common import checked_broadcast
+
     w = Window.partitionBy(*by, bucket).orderBy(*order)
-    joined = df.join(offsets, [*by, bucket], "inner")
+    small = checked_broadcast(offsets)
+    joined = df.join(small if small is not offsets else offsets.hint("merge"), [*by, bucket], "inner")
     return joined.withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
 
 

@@ -165,7 +165,9 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
         .groupBy("_h")
         .agg(F.collect_set("token").alias("_bad"))
     )
-    cand = t.select("_label", "_t", "_h").distinct().join(bad, "_h", "inner")
+    # sort-merge: both sides come from exploded text, whose size the planner
+    # underestimates, so no automatic broadcast may be chosen here
+    cand = t.select("_label", "_t", "_h").distinct().join(bad.hint("merge"), "_h", "inner")
     hit = F.expr("exists(_bad, c -> instr(_t, c) > 0)")
     return cand.where(hit).select(F.col("_label").alias(text_col))
 
