@@ -133,14 +133,21 @@ def decode(
     return res.withColumn(out, F.when(F.col(ids_col).isNotNull(), F.col(out)))
 
 
-def _with_text(df: DataFrame, text_col: str, sub_char: bool) -> DataFrame:
-    text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    return df.select(F.col(text_col).alias("_label"), text.alias("_t")).where(F.col("_t").isNotNull())
+def _with_text(df: DataFrame, text_col: str, sub_char: bool, distinct: bool = False) -> DataFrame:
+    """(_label, _t): the label and the text to split (NFKD when ``sub_char``); with
+    ``distinct`` the labels are de-duplicated before the (possibly Python) NFKD."""
+    labels = df.select(F.col(text_col).alias("_label")).where(F.col("_label").isNotNull())
+    if distinct:
+        labels = labels.distinct()
+    return labels.select("_label", (nfkd("_label") if sub_char else F.col("_label")).alias("_t"))
 
 
 def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """The distinct characters of ``text_col`` that are not in the vocabulary."""
-    ex = _with_text(df, text_col, sub_char).select(F.explode(chars("_t")).alias("token"))
+    """The distinct characters of ``text_col`` that are not in the vocabulary. Labels are
+    de-duplicated first (a partial aggregate collapses repeats map-side), so only distinct
+    labels are exploded."""
+    uniq = _with_text(df, text_col, sub_char, distinct=True)
+    ex = uniq.select(F.explode(chars("_t")).alias("token"))
     return ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti").distinct()
 
 
@@ -158,7 +165,9 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
     (long texts would be copied once per character). Unknown characters are collected
     per hash (bounded by the distinct characters), and a label is kept when it contains
     one of the unknown characters of its hash - exact even if two labels collide."""
-    t = _with_text(df, text_col, sub_char).withColumn("_h", F.xxhash64("_t"))
+    # distinct first, as the reference de-duplicates labels before tokenising: repeats
+    # collapse map-side and only distinct labels are exploded
+    t = _with_text(df, text_col, sub_char, distinct=True).withColumn("_h", F.xxhash64("_t"))
     ex = t.select("_h", F.explode(chars("_t")).alias("token"))
     bad = (
         ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti")
@@ -167,7 +176,7 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
     )
     # sort-merge: both sides come from exploded text, whose size the planner
     # underestimates, so no automatic broadcast may be chosen here
-    cand = t.select("_label", "_t", "_h").distinct().join(bad.hint("merge"), "_h", "inner")
+    cand = t.join(bad.hint("merge"), "_h", "inner")
     hit = F.expr("exists(_bad, c -> instr(_t, c) > 0)")
     return cand.where(hit).select(F.col("_label").alias(text_col))
 
