@@ -32,12 +32,14 @@ def running_accuracy(stream: DataFrame, group: Sequence[str] = ("fold",)) -> Dat
     )
 
 
-def run_to_table(agg: DataFrame, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def run_to_table(agg: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Run a complete-mode aggregation to the end of its input (``availableNow``),
-    writing every micro-batch result as a Parquet table in the shared folder; return
-    the final table. The stream checkpoint sits in the shared folder too."""
+    writing every micro-batch result as a Parquet table (overwritten per batch, so a
+    retried batch rewrites the same result); return the final table. The stream
+    checkpoint sits next to it in the shared folder, so running again with the same
+    ``path`` resumes from the saved state and only reads new files."""
     spark: SparkSession = agg.sparkSession
-    out = shared_path(spark, "streams", name)
+    out = path or shared_path(spark, "streams", name)
     ckpt = out + "-checkpoint"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:

@@ -104,3 +104,20 @@ def test_scan_fold_file_with_index_and_length(spark, tmp_dir):
     assert got == [("./data/train/a.png", "가나", 0), ("./data/train/b.png", None, 1), ("./data/train/c.png", "다", 2)]
     ds = fi.load_dataset(fi.scan_label_csv(spark, tmp_dir), sub_char=False)
     assert ds.columns == ["row_id", "pixel_values", "labels"]
+
+
+def test_stream_resumes_from_checkpoint(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "arriving")
+    out = os.path.join(tmp_dir, "running")
+    steps = vw.step_log(spark, SF01)
+    first, second = steps.where("step % 2 = 0"), steps.where("step % 2 = 1")
+    first.repartition(2).write.parquet(os.path.join(src, "batch=0"))
+    stream = lambda: st.file_stream(spark, os.path.join(src, "*"), steps.schema, max_files_per_trigger=1)
+    part = sorted(st.run_to_table(st.running_weighted_loss(stream()), "r", out).collect())
+    assert [(r.fold, r.n_samples) for r in part] == sorted((r.fold, r.n_samples) for r in ev.weighted_mean_loss(first).collect())
+    # stop, new files arrive, restart from the same checkpoint: state carries over
+    second.repartition(2).write.parquet(os.path.join(src, "batch=1"))
+    full = sorted(st.run_to_table(st.running_weighted_loss(stream()), "r", out).collect())
+    want = sorted(ev.weighted_mean_loss(steps).collect())
+    assert [(r.fold, r.n_samples) for r in full] == [(r.fold, r.n_samples) for r in want]
+    assert all(abs(a.mean_loss - b.mean_loss) < 1e-9 for a, b in zip(full, want))
