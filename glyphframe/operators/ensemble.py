@@ -16,6 +16,32 @@ def ensemble_logit_sum(
     return logits.groupBy(*keys).agg(F.sum(logit_col).alias("logit_sum"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def ensemble_logit_sum_dense(
+    logits: DataFrame, keys: Sequence[str] = ("row_id", "step"), vec_col: str = "logits", out: str = "logit_sum"
+) -> DataFrame:
+    """A7, dense form: one row per (row, step, fold) holding the whole logit vector;
+    ``Summarizer.sum`` adds the vectors of a key as a partial aggregate (folds combine
+    map-side), so the shuffle carries one vector per key and partition instead of one
+    row per token."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vec = array_to_vector(F.col(vec_col).cast("array<double>"))
+    agg = logits.select(*keys, vec.alias("_v")).groupBy(*keys).agg(Summarizer.metrics("sum", "count").summary(F.col("_v")).alias("_s"))
+    return agg.select(*keys, vector_to_array(F.col("_s.sum")).alias(out), F.col("_s.count").alias("n_folds"))
+
+
+def dense_argmax(summed: DataFrame, keys: Sequence[str] = ("row_id", "step"), vec_col: str = "logit_sum", digits: int = 6) -> DataFrame:
+    """T2 on dense sums: position of the largest rounded value, ties to the smallest id
+    (one pass over the vector, no explode)."""
+    best = F.aggregate(
+        F.transform(vec_col, lambda v, i: F.struct(F.round(v, digits).alias("v"), (-i).alias("t"))),
+        F.struct(F.lit(float("-inf")).alias("v"), F.lit(1).alias("t")),
+        lambda acc, x: F.greatest(acc, x),
+    )
+    return summed.select(*keys, (-best["t"]).cast("int").alias("token_id"), best["v"].alias("logit_sum"))
+
+
 def ensemble_argmax(
     summed: DataFrame,
     keys: Sequence[str] = ("row_id", "step"),

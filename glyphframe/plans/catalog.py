@@ -391,6 +391,16 @@ def q_ensemble_argmax(spark, sf_dir):
     return en.ensemble_argmax(en.ensemble_logit_sum(vw.logits(spark, sf_dir)))
 
 
+@register("ensemble_dense_argmax")
+def q_ensemble_dense_argmax(spark, sf_dir):
+    """A7 + T2 in dense form: the embedding vectors of each class (folds = vectors) summed
+    with ``Summarizer`` and the arg-max position taken; equals the long-form result."""
+    emb = vw.table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("bigint").alias("row_id"), F.lit(0).alias("step"), F.col("embedding").alias("logits")
+    )
+    return en.dense_argmax(en.ensemble_logit_sum_dense(emb))
+
+
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf_dir):
     """Per image, the cleaned text with the largest probability sum over folds."""

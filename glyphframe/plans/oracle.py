@@ -508,3 +508,4 @@ SQL["per_batch_transform"] = with_views(
 )
 VIEWS["word_folds"] = (("ocr_words",), _folds_view("row_id", "ocr_words"))
 SQL["stratified_folds_words"] = with_views("SELECT row_id, length, fold FROM word_folds", "word_folds")
+SQL["ensemble_dense_argmax"] = SQL["ensemble_argmax"]
