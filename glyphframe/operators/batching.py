@@ -50,3 +50,23 @@ def ragged_concat(shards: DataFrame, ids_col: str, pad_id: int = IGNORE_INDEX, o
     one scalar subquery (partial max per partition), not a join or a global window."""
     widest = shards.agg(F.max(F.size(ids_col))).scalar()
     return shards.withColumn(out or ids_col, pad_to(ids_col, widest, pad_id))
+
+
+def pad_shards_then_concat(
+    df: DataFrame,
+    ids_col: str,
+    shard_cols: list[str] | tuple[str, ...] = ("fold",),
+    pad_id: int = 0,
+    ignore_id: int = IGNORE_INDEX,
+    out: str | None = None,
+) -> DataFrame:
+    """B2 per shard then B4: each shard padded to its own widest row with ``pad_id``, then
+    every row to the widest overall with ``ignore_id`` - as predictions gathered from
+    several processes are. One partial aggregate gives the per-shard widths; the overall
+    width is a scalar over that small (persisted, broadcast) table, so the rows are not
+    computed a second time."""
+    widths = checked_broadcast(df.groupBy(*shard_cols).agg(F.max(F.size(ids_col)).alias("_w")))
+    widest = widths.agg(F.max("_w")).scalar()
+    joined = df.join(widths, list(shard_cols))
+    padded = pad_to(pad_to(ids_col, F.col("_w"), pad_id), widest, ignore_id)
+    return joined.withColumn(out or ids_col, padded).drop("_w")

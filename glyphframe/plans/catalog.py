@@ -311,8 +311,7 @@ def q_pad_to_max_length(spark, sf_dir):
 def ragged_shards(spark, sf_dir):
     pred = vw.ocr_raw_pred(spark, sf_dir)
     enc = vo.encode(pred, ocr_vocab(spark, sf_dir), "raw_text", key=["row_id", "fold"], out="pred_ids")
-    shards = ba.pad_to_shard_max(enc, "pred_ids", ["fold"], 0)
-    return ba.ragged_concat(shards, "pred_ids")
+    return ba.pad_shards_then_concat(enc, "pred_ids", ["fold"], 0)
 
 
 @register("ragged_concat")

@@ -65,3 +65,11 @@ def test_padding_never_cuts(spark):
     assert got[0] == [1, 2, 3] and got[1] == [4, 0, 0] and len(got[2]) == 40
     rag = {r.row_id: r.ids for r in ba.ragged_concat(df, "ids").collect()}
     assert all(len(v) == 40 for v in rag.values()) and rag[1][1] == -100
+
+
+def test_pad_shards_then_concat(spark):
+    df = spark.createDataFrame(
+        [(0, 0, [1, 2, 3]), (1, 0, [4]), (2, 1, [5, 6, 7, 8, 9]), (3, 1, [])], "row_id long, fold int, ids array<int>"
+    )
+    got = {r.row_id: r.ids for r in ba.pad_shards_then_concat(df, "ids", ["fold"]).collect()}
+    assert got == {0: [1, 2, 3, -100, -100], 1: [4, 0, 0, -100, -100], 2: [5, 6, 7, 8, 9], 3: [0, 0, 0, 0, 0]}
