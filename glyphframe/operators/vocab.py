@@ -45,6 +45,13 @@ def build_vocab(df: DataFrame, text_col: str = "text", specials: Sequence[str] =
     return _special_rows(df, specials).unionByName(body)
 
 
+def char_tokens(vocab: DataFrame) -> DataFrame:
+    """The one-character tokens: the only ones a character can match. Bounded by the
+    code-point space (1,114,112) however far the vocabulary was extended with whole
+    labels, so this side always passes the broadcast size check."""
+    return vocab.where(F.length("token") == 1)
+
+
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -95,7 +102,10 @@ def encode(
     -> partial + final ``collect_list`` per key: one shuffle, of about the output size.
     """
     keys = _keys(key)
-    v = checked_broadcast(vocab.select(F.col("token").alias("t"), "id"))
+    # one-character tokens plus [UNK] (which no character can equal): persisted once,
+    # so the [UNK] id is read from it rather than re-deriving the vocabulary
+    lookup = vocab.where((F.length("token") == 1) | (F.col("token") == UNK))
+    v = checked_broadcast(lookup.select(F.col("token").alias("t"), "id"))
     unk = v.where(F.col("t") == UNK).select("id").scalar()
     text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
     ex, others = _explode_carrying(df, keys, chars(text), "string")
@@ -148,13 +158,13 @@ def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char
     labels are exploded."""
     uniq = _with_text(df, text_col, sub_char, distinct=True)
     ex = uniq.select(F.explode(chars("_t")).alias("token"))
-    return ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti").distinct()
+    return ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti").distinct()
 
 
 def has_oov(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
     """V3: one row, ``has_oov`` - each task stops at its first unknown character."""
     ex = _with_text(df, text_col, sub_char).select(F.explode(chars("_t")).alias("token"))
-    hit = ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti").limit(1)
+    hit = ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti").limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("has_oov"))
 
 
@@ -170,7 +180,7 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
     t = _with_text(df, text_col, sub_char, distinct=True).withColumn("_h", F.xxhash64("_t"))
     ex = t.select("_h", F.explode(chars("_t")).alias("token"))
     bad = (
-        ex.join(checked_broadcast(vocab.select("token")), "token", "left_anti")
+        ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti")
         .groupBy("_h")
         .agg(F.collect_set("token").alias("_bad"))
     )
@@ -194,7 +204,9 @@ def oov_units(
 
 
 def extend_vocab(vocab: DataFrame, new_tokens: DataFrame, token_col: str = "token") -> DataFrame:
-    """V5: add tokens not yet present, sorted, with ids after the current maximum."""
+    """V5: add tokens not yet present, sorted, with ids after the current maximum.
+    Encoding stays character-level (an added whole-label token is never produced by
+    ``encode``); ``decode`` maps its id back to the whole label."""
     v = checked_broadcast(vocab.select("token", "id"))
     fresh = (
         new_tokens.select(F.col(token_col).alias("token"))
