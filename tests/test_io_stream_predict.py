@@ -4,7 +4,6 @@ import json
 import os
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01

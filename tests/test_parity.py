@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001, SF01
+from conftest import SF001, SF01  # noqa: F401
 from parity import compare, duck
 
 NAMES = sorted(E.queries())
