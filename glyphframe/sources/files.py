@@ -138,19 +138,39 @@ def attach_files(
     return matched.unionByName(missing).select(*df.columns, out)
 
 
+# Entries one JSON object file may hold: it is written and parsed as a single value.
+VOCAB_OBJECT_MAX = 2_000_000
+
+
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object file ``{token: id}`` -> table ``(token, id)``."""
+    """A JSON object file ``{token: id}`` (the tokenizer file format) -> table
+    ``(token, id)``. One object is one value, parsed by one task; large vocabularies
+    belong in JSON lines (``load_vocab_lines``)."""
     whole = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.LongType()))
     return whole.select(F.explode(m).alias("token", "id"))
 
 
-def write_vocab(vocab: DataFrame, path: str) -> None:
-    """The vocabulary as one JSON object (the tokenizer file format)."""
+def write_vocab(vocab: DataFrame, path: str, max_entries: int = VOCAB_OBJECT_MAX) -> None:
+    """The vocabulary as one JSON object (the tokenizer file format). A character
+    vocabulary is bounded by the code-point space; beyond ``max_entries`` (a vocabulary
+    extended with whole labels) use ``write_vocab_lines``."""
+    n = vocab.count()
+    if n > max_entries:
+        raise ValueError(f"{n} tokens is too many for one JSON object; use write_vocab_lines")
     obj = vocab.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "id"))))).alias("value"))
     obj.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_vocab_lines(vocab: DataFrame, path: str) -> None:
+    """Any vocabulary as JSON lines (one ``{"token", "id"}`` per line, many files)."""
+    vocab.select("token", "id").write.mode("overwrite").json(path)
+
+
+def load_vocab_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("token string, id bigint").json(path)
+
+
 def discover_folds(spark: SparkSession, root: str, fold: int | None = None) -> DataFrame:
     """Read outputs written under ``root/fold=k``; ``fold`` prunes partitions."""
     df = spark.read.parquet(root)

@@ -120,3 +120,15 @@ def test_stream_resumes_from_checkpoint(spark, tmp_dir):
     want = sorted(ev.weighted_mean_loss(steps).collect())
     assert [(r.fold, r.n_samples) for r in full] == [(r.fold, r.n_samples) for r in want]
     assert all(abs(a.mean_loss - b.mean_loss) < 1e-9 for a, b in zip(full, want))
+
+
+def test_vocab_lines_round_trip(spark, tmp_dir):
+    from glyphframe.operators import vocab as vo
+
+    voc = vo.build_vocab(vw.table(spark, SF001, "benchmark"), "text")
+    fi.write_vocab_lines(voc, os.path.join(tmp_dir, "v"))
+    assert sorted(fi.load_vocab_lines(spark, os.path.join(tmp_dir, "v")).collect()) == sorted(voc.collect())
+    import pytest
+
+    with pytest.raises(ValueError):
+        fi.write_vocab(voc, os.path.join(tmp_dir, "w"), max_entries=3)
