@@ -15,6 +15,20 @@ def batch_assign(df: DataFrame, batch_size: int, index_col: str = "row_id", out:
     return df.withColumn(out, F.floor(F.col(index_col) / batch_size).cast("bigint"))
 
 
+def length_grouped_batches(
+    df: DataFrame, batch_size: int, length_col: str = "length", id_col: str = "row_id", out: str = "batch_id"
+) -> DataFrame:
+    """Batches of rows with similar lengths (SURVEY 4.2: sort by length before padding
+    to the batch maximum): position in (length, id) order, then ``div batch_size``.
+    Positions use (length, id-range) buckets, so one very common length is still
+    spread over many window tasks."""
+    from glyphframe.operators.positions import int_bucket, positions
+
+    bucket = F.struct(F.col(length_col), int_bucket(id_col))
+    pos = positions(df, [F.col(length_col), F.col(id_col)], bucket, out="_pos")
+    return pos.withColumn(out, F.floor(F.col("_pos") / batch_size).cast("bigint")).drop("_pos")
+
+
 def pad_to(col, length, pad_id: int):
     c = F.col(col) if isinstance(col, str) else col
     return F.concat(c, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(0), length - F.size(c)).cast("int")))

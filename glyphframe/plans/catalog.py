@@ -301,6 +301,13 @@ def q_pad_to_batch_max(spark, sf_dir):
     return out.select("row_id", "batch_id", ids_text("input_ids").alias("input_ids"))
 
 
+@register("length_grouped_batches")
+def q_length_grouped_batches(spark, sf_dir):
+    """Batches of 64 document words of similar length (less padding per batch)."""
+    words = fo.with_length(vw.ocr_words(spark, sf_dir))
+    return ba.length_grouped_batches(words, 64).select("row_id", "length", "batch_id")
+
+
 @register("pad_to_max_length")
 def q_pad_to_max_length(spark, sf_dir):
     """Encoded labels padded to 32."""

@@ -509,3 +509,8 @@ SQL["per_batch_transform"] = with_views(
 VIEWS["word_folds"] = (("ocr_words",), _folds_view("row_id", "ocr_words"))
 SQL["stratified_folds_words"] = with_views("SELECT row_id, length, fold FROM word_folds", "word_folds")
 SQL["ensemble_dense_argmax"] = SQL["ensemble_argmax"]
+SQL["length_grouped_batches"] = with_views(
+    """SELECT row_id, CAST(length(label) AS INTEGER) AS length,
+       (row_number() OVER (ORDER BY length(label), row_id) - 1) // 64 AS batch_id FROM ocr_words""",
+    "ocr_words",
+)

@@ -73,3 +73,14 @@ def test_pad_shards_then_concat(spark):
     )
     got = {r.row_id: r.ids for r in ba.pad_shards_then_concat(df, "ids", ["fold"]).collect()}
     assert got == {0: [1, 2, 3, -100, -100], 1: [4, 0, 0, -100, -100], 2: [5, 6, 7, 8, 9], 3: [0, 0, 0, 0, 0]}
+
+
+def test_length_grouped_batches_cut_padding(spark):
+    from glyphframe.operators import folds as fo
+
+    words = fo.with_length(vw.ocr_words(spark, SF001)).where("length > 0")
+    pad = lambda d: d.groupBy("batch_id").agg((F.max("length") * F.count("*") - F.sum("length")).alias("w")).agg(F.sum("w")).first()[0]
+    grouped = ba.length_grouped_batches(words, 64)
+    plain = ba.batch_assign(words.withColumn("i", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("row_id")) - 1), 64, "i")
+    assert grouped.groupBy("batch_id").count().agg(F.max("count")).first()[0] == 64
+    assert pad(grouped) < pad(plain) / 5
