@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 # Rows a dimension side may have and still be broadcast. A character vocabulary is
 # bounded by the code-point space (1,114,112), so it always fits.
 BROADCAST_MAX_ROWS = 2_000_000
+# Bytes (as cached in memory) a broadcast side may take.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after counting it.
+def cached_size_bytes(df: DataFrame) -> int:
+    """Size of a persisted and materialised DataFrame as Spark measured it while caching
+    (the statistics of its in-memory relation)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def checked_broadcast(
+    small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Broadcast ``small`` only after measuring it: rows by a count, bytes by the size
+    of the cached data.
 
     The side is persisted first so the count and the later join read it once (a lost
-    executor recomputes the blocks from lineage). Beyond ``max_rows`` the side is
+    executor recomputes the blocks from lineage). Beyond either limit the side is
     returned as is and the planner joins by shuffle (sort-merge, AQE skew splitting).
     """
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = kept.count()
-    if n <= max_rows:
+    if n <= max_rows and cached_size_bytes(kept) <= max_bytes:
         return F.broadcast(kept)
     kept.unpersist()
     return small

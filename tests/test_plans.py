@@ -42,3 +42,15 @@ def test_projections_do_not_shuffle(audits):
     for n in ["path_rewrite", "label_length", "clean_text", "wrap_bos_eos", "seq_probability", "path_leaf",
               "run_stamp", "seeded_uniform", "augment_plan", "batch_assign", "to_subchar"]:
         assert audits[n]["shuffles"] == 0, n
+
+
+def test_checked_broadcast_limits(spark):
+    from pyspark.sql import functions as F
+
+    from glyphframe.operators.common import cached_size_bytes, checked_broadcast
+
+    small = spark.range(1000).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert checked_broadcast(small) is not small  # broadcast
+    assert checked_broadcast(small, max_rows=999) is small  # too many rows
+    assert checked_broadcast(small, max_bytes=100_000) is small  # too many bytes
+    assert 900_000 < cached_size_bytes(small.persist()) < 2_000_000
