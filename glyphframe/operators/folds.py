@@ -87,8 +87,9 @@ def assign_folds(
     """Add ``out`` (int) to every row of ``df`` (the long labels).
 
     Plan: one shuffle of the rows on (stratum, bucket); the strata table and the
-    per-bucket offsets come from one partial aggregate and are tiny. A stratum holding
-    most of the rows is split over many buckets, so no task sorts a whole stratum.
+    per-bucket offsets come from one persisted partial aggregate, are tiny and reach the
+    rows by a size-checked broadcast. A stratum holding most of the rows is split over
+    many buckets, so no task sorts a whole stratum (``tests/skew_experiment.py``).
     """
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")

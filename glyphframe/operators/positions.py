@@ -9,7 +9,9 @@ per-bucket count table supplies the offsets:
     bucket counts  (partial aggregate, tiny)  ->  running sum per group  ->  offsets
     rows  join offsets on (group, bucket)  ->  row_number() within (group, bucket)
 
-One shuffle of the rows on (group, bucket); the join and the window share it.
+The offsets are broadcast after a size check, so the window's shuffle on (group,
+bucket) is the only shuffle of the rows; past the check the join is a sort-merge
+join on the same keys, whose shuffle the window reuses.
 """
 
 from __future__ import annotations
