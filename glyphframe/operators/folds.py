@@ -133,11 +133,14 @@ def fold_table(
     seed: int = 0,
     id_col: str = "row_id",
     nfc_first: bool = False,
+    prepare: bool = True,
 ) -> DataFrame:
     """All labelled rows with ``length`` and ``fold``: long rows carry their fold, short
     rows carry null (they are in every train set, never in a valid set). Rows with empty
     or null labels are dropped (they are in no fold, as in the reference)."""
-    prepared = prepare_labels(labels, nfc_first=nfc_first)
+    # ``prepare=False``: the input already went through ``prepare_labels`` (rewritten
+    # paths and a ``length`` column), so the paths are not rewritten a second time
+    prepared = prepare_labels(labels, nfc_first=nfc_first) if prepare else labels
     long_rows = assign_folds(long_labels(prepared), n_splits, shuffle=shuffle, seed=seed, id_col=id_col)
     short_rows = short_labels(prepared).withColumn("fold", F.lit(None).cast("int"))
     return long_rows.unionByName(short_rows)

@@ -701,3 +701,17 @@ def q_per_batch_transform(spark, sf_dir):
     from glyphframe.operators import predict as pr
 
     return pr.map_batches(vw.ocr_train(spark, sf_dir), _batch_stats, "row_id long, n_chars int, n_syllables int")
+
+
+@register("preprocess_folds")
+def q_preprocess_folds(spark, sf_dir):
+    """Entry 1 end to end: train/test label CSVs (written from the label views) ->
+    scan -> path rewrite -> length -> stratified 5-fold -> one partitioned write; the
+    fold table read back."""
+    from glyphframe.plans import entries
+
+    root = _scratch(spark, "preprocess")
+    fi.write_csv(vw.ocr_train(spark, sf_dir).orderBy("row_id").select("img_path", "label"), f"{root}/in/train")
+    fi.write_csv(vw.ocr_test(spark, sf_dir).orderBy("row_id").select("img_path"), f"{root}/in/test")
+    out = entries.preprocess(spark, f"{root}/in/train", f"{root}/in/test", f"{root}/out")
+    return out["folds"].select("row_id", "img_path", "label", "length", F.col("fold").cast("int").alias("fold"))

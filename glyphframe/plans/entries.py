@@ -40,7 +40,7 @@ def preprocess(
     fo.prepare_labels(train).write.mode("overwrite").parquet(f"{root}/train")
     test.withColumn("img_path", rewrite_path("img_path")).write.mode("overwrite").parquet(f"{root}/test")
     stored = spark.read.parquet(f"{root}/train")
-    fi.write_folds(fo.fold_table(stored.drop("length"), n_splits, shuffle=shuffle, seed=seed), f"{root}/folds")
+    fi.write_folds(fo.fold_table(stored, n_splits, shuffle=shuffle, seed=seed, prepare=False), f"{root}/folds")
     return {
         "train": stored,
         "test": spark.read.parquet(f"{root}/test"),

@@ -514,3 +514,4 @@ SQL["length_grouped_batches"] = with_views(
        (row_number() OVER (ORDER BY length(label), row_id) - 1) // 64 AS batch_id FROM ocr_words""",
     "ocr_words",
 )
+SQL["preprocess_folds"] = SQL["write_folds"]

@@ -32,6 +32,9 @@ def test_preprocess(spark, tmp_dir):
     assert folds.count() == len(train)
     assert folds.where("length = 1").where(F.col("fold").isNotNull()).count() == 0
     assert folds.where("length > 1").select("fold").distinct().count() == 5
+    # paths rewritten exactly once, in every output
+    assert folds.where(~F.col("img_path").startswith("./data/train/")).count() == 0
+    assert out["train"].where(F.col("img_path").contains("./data/data/")).count() == 0
 
 
 def test_evaluate_ids(spark):
