@@ -715,3 +715,19 @@ def q_preprocess_folds(spark, sf_dir):
     fi.write_csv(vw.ocr_test(spark, sf_dir).orderBy("row_id").select("img_path"), f"{root}/in/test")
     out = entries.preprocess(spark, f"{root}/in/train", f"{root}/in/test", f"{root}/out")
     return out["folds"].select("row_id", "img_path", "label", "length", F.col("fold").cast("int").alias("fold"))
+
+
+@register("evaluate_predictions")
+def q_evaluate_predictions(spark, sf_dir):
+    """Entry 2's metric end to end: predicted and reference texts encoded to ids (the
+    references padded with -100 to their batch's longest row), then -100 -> pad, both
+    decoded skipping special tokens, exact match per fold."""
+    from glyphframe.plans import entries
+
+    voc = ocr_vocab(spark, sf_dir)
+    preds = vo.encode(vw.ocr_raw_pred(spark, sf_dir), voc, "raw_text", key=["row_id", "fold"], out="pred_ids")
+    refs = ba.batch_assign(vo.encode(vw.ocr_test(spark, sf_dir).join(vw.ocr_train(spark, sf_dir).select("row_id", "label"), "row_id"),
+                                     voc, "label", out="label_ids"), 64)
+    refs = ba.pad_to_batch_max(refs, "label_ids", "batch_id", -100)
+    out = entries.evaluate_ids(preds.select("row_id", "fold", "pred_ids"), refs.select("row_id", "label_ids"), voc)
+    return out.select("fold", r6("accuracy").alias("accuracy"), "n")

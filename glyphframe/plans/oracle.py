@@ -515,3 +515,14 @@ SQL["length_grouped_batches"] = with_views(
     "ocr_words",
 )
 SQL["preprocess_folds"] = SQL["write_folds"]
+SQL["evaluate_predictions"] = with_views(
+    f"""SELECT p.fold, round(avg(CASE WHEN coalesce(d.text, '') = t.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n
+FROM ocr_raw_pred p
+LEFT JOIN (SELECT c.k, string_agg(c.ch, '' ORDER BY c.pos) AS text
+           FROM ({chars_sql('SELECT row_id * 10 + fold AS key, raw_text FROM ocr_raw_pred', 'key', 'raw_text')}) c
+           JOIN ocr_vocab v ON v.token = c.ch WHERE v.token NOT IN ('[PAD]', '[UNK]') GROUP BY c.k) d ON d.k = p.row_id * 10 + p.fold
+JOIN ocr_train t ON t.row_id = p.row_id
+GROUP BY p.fold""",
+    "ocr_raw_pred",
+    "ocr_vocab",
+)
