@@ -610,10 +610,12 @@ def q_load_dataset(spark, sf_dir):
 
 @register("write_submission")
 def q_write_submission(spark, sf_dir):
-    """K2: the submission written as one header CSV and read back."""
+    """K2: the submission written as header CSV files (no index column) and read back.
+    One file is an option of ``write_csv`` (it funnels every row through one task), not
+    used here."""
     path = _scratch(spark, "submission")
     sub = q_build_submission(spark, sf_dir)
-    fi.write_csv(sub, path, single_file=True)
+    fi.write_csv(sub, path)
     schema = "row_id long, img_path string, label string, seq_probs double"
     back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     return back.select("row_id", "img_path", F.coalesce("label", F.lit("")).alias("label"), r6("seq_probs").alias("seq_probs"))
