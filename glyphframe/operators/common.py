@@ -20,9 +20,7 @@ def cached_size_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
-def checked_broadcast(
-    small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
-) -> DataFrame:
+def checked_broadcast(small: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Broadcast ``small`` only after measuring it: rows by a count, bytes by the size
     of the cached data.
 
@@ -30,6 +28,8 @@ def checked_broadcast(
     executor recomputes the blocks from lineage). Beyond either limit the side is
     returned as is and the planner joins by shuffle (sort-merge, AQE skew splitting).
     """
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = kept.count()
     if n <= max_rows and cached_size_bytes(kept) <= max_bytes:
