@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, licences, packing
+from glyphframe.llm import decontaminate, licences, packing, suffixdedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -58,6 +58,14 @@ def op5_license_scan(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), "score")
 
 
+@register
+def op9_suffix_array_dedup(spark, sf_dir):
+    """Every byte of a 400-byte string that stands twice or more, over all documents."""
+    found = suffixdedup.find_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL["op2_benchmark_decontamination"] = rf"""
