@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, licences, neardup, packing, suffixdedup
+from glyphframe.llm import decontaminate, langid, licences, neardup, packing, suffixdedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -73,6 +73,24 @@ def op9_suffix_array_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op10_language_id(spark, sf_dir):
+    """Language of every document: text, declared language, and its source as the host."""
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "language", "text_language", "posterior", "accepted")
+
+
+@register
+def language_id_pages(spark, sf_dir):
+    """The same over every page: language declared in its markup, address suffix, host."""
+    pages = table(spark, sf_dir, "pages")
+    address = F.regexp_extract("url", "://([^/?#]*)", 1)
+    tag = F.regexp_extract("html", r"(?i)<html[^>]{0,500}?\blang\s*=\s*[\"']?([a-z-]+)", 1)
+    rows = pages.select("page_id", "html", F.when(tag != "", tag).alias("declared"), F.when(address != "", address).alias("host"))
+    found = langid.identify(rows, "page_id", "html", "declared", "host", markup=True)
+    return found.select("page_id", "language", "text_language", "posterior", "accepted")
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL["op2_benchmark_decontamination"] = rf"""
