@@ -204,8 +204,9 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keys = classes.select("node", "sign").mapInArrow(_keys, "key long, node long")
     keys = stored(keys, "near-keys")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    held = stored(keys.join(buckets.select("key", "pivot"), "key"), "near-buckets")
+    # Stored before the join: a hot key is then a plain skewed side, which Spark can split.
+    buckets = stored(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "near-pivots")
+    held = stored(keys.join(buckets, "key"), "near-buckets")
     star = stored(held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-star")
     links = _linked(star, classes, texts, "star")
 
@@ -213,6 +214,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links.select("a", "b"), "near-first")
     placed = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
+    open_keys = stored(open_keys, "near-open-keys")
     facts = classes.select("node", "size")
     still = stored(placed.join(open_keys, "key").join(facts, "node"), "near-open")
     a, b = still.alias("a"), still.alias("b")
