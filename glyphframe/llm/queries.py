@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, langid, licences, neardup, packing, suffixdedup
+from glyphframe.llm import decontaminate, langid, licences, neardup, packing, styletree, suffixdedup, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -51,6 +51,22 @@ def op2_benchmark_decontamination(spark, sf_dir):
     )
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@register
+def op3_url_filter(spark, sf_dir):
+    """Verdict on the url of every page: rules, else trust over the host graph."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
+@register
+def op4_html_extraction(spark, sf_dir):
+    """Main text of every page by the style tree of its site."""
+    found = styletree.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register
 def op5_license_scan(spark, sf_dir):
     """Licence phrases and expressions of every document."""
