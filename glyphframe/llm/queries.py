@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, langid, licences, neardup, packing, styletree, suffixdedup, urlfilter
+from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, styletree, suffixdedup, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -74,6 +74,12 @@ def op5_license_scan(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), "score")
 
 
+@register
+def op6_multi_index_search(spark, sf_dir):
+    """The 20 nearest of every 20th vector."""
+    return multiindex.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op8_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate components of every document (shingles of 3 words, similarity 0.85)."""
