@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, styletree, suffixdedup, urlfilter
+from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, styletree, suffixdedup, toxicity, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -80,6 +80,13 @@ def op6_multi_index_search(spark, sf_dir):
     return multiindex.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+@register
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @register
 def op8_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate components of every document (shingles of 3 words, similarity 0.85)."""
