@@ -7,13 +7,17 @@
    8 * 2 > 15). The allowed chunk errors are enumerated: each chunk gives 4 keys, one symbol
    left out at a time. So all pairs within distance 15 share a key. Texts of similarity 0.85
    lie beyond that distance with probability 4e-6.
-3. Sets are compared in full (``100 * shared >= 85 * united``); only then is there a link.
-   Components need no more links than connect them, so the first pass compares each class
-   with the least class of its buckets (as many pairs as rows), whatever a bucket's size.
-   The second pass takes, of buckets that still span several components, the pairs across
-   components that are within the signature distance and whose sizes allow a link; no pair
-   is skipped, and pairs inside a component can't change the result.
-4. Components by alternating stars; the least document id of a component names it.
+3. Pairs of a bucket are compared where they meet, and only survivors leave the task. Each
+   class carries 1,024 parity bits (a shingle flips the bit of its hash). The bits in which
+   two classes differ are at most the shingles in which they differ, so a pair whose bits
+   differ too much can't be linked: a bound, no estimate. Buckets of more than
+   ``BLOCK`` classes are cut into blocks, and a task takes a pair of blocks.
+4. Sets of survivors are compared in full (``100 * shared >= 85 * united``); only then is
+   there a link. The first pass sends a spanning forest of the survivors of each bucket
+   (fewer rows than the bucket has). The second pass takes the buckets that still span
+   several components and sends every survivor that crosses components, so no pair that
+   could join two components stays untested; pairs inside a component can't change it.
+5. Components by alternating stars; the least document id of a component names it.
 
 Defined results: null, empty and white-space texts have no shingles, belong to themselves
 and are kept; repeated rows share class, component and decision; a null id never names a
@@ -34,8 +38,10 @@ from glyphframe.llm.graph import components, small_side, spare_names, stored
 from glyphframe.llm.kernels import BASE, BYTE_CODE, IS_SPACE, SPACE_TABLE, U64, inverse64, mix64, powers, seeds, text_chunks
 
 SHINGLE = 3
-SYMBOLS, CHUNK, DISTANCE = 32, 4, 15
+SYMBOLS, CHUNK = 32, 4
 PERCENT = 85
+PARITY_BITS = 1024
+BLOCK = 1000
 _XOR, _MUL = seeds(SYMBOLS, 101), seeds(SYMBOLS, 202) | U64(1)
 _MIX = seeds(8, 303) | U64(1)
 
@@ -103,21 +109,32 @@ def signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, one.view(np.int64), two.view(np.int64)
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity bits of every set, packed in 64-bit words."""
+    n = len(first) - 1
+    place = np.repeat(np.arange(n), np.diff(first)) * PARITY_BITS + (values >> U64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * PARITY_BITS) & 1).astype(np.uint8).reshape(n, PARITY_BITS)
+    return np.packbits(odd, axis=1).view(U64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         n = batch.num_rows
         size, one, two = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         signs = np.zeros((n, SYMBOLS), np.uint16)
+        bits = np.zeros((n, PARITY_BITS // 64), U64)
         for a, b, raw, ends in text_chunks(batch.column(1), max_bytes=1 << 19):
             values, first = shingler.sets(raw, ends)
             size[a:b] = np.diff(first)
+            bits[a:b] = parities(values, first)
             full = np.flatnonzero(np.diff(first) > 0)
             if len(full):
                 at = np.append(first[full], len(values))
                 signs[a + full], one[a + full], two[a + full] = signatures(values, at)
-        sign = pa.array([signs[i].tobytes() if size[i] else None for i in range(n)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(one), pa.array(two), sign], names=["doc", "print", "size", "one", "two", "sign"])
+        sign = pa.array([signs[i].tobytes() for i in range(n)], pa.binary())
+        parity = pa.array([bits[i].tobytes() for i in range(n)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(one), pa.array(two), sign, parity], names=["doc", "print", "size", "one", "two", "sign", "parity"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +157,80 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
-def _sizes_allow(a: str, b: str) -> F.Column:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(f"{a}.size", f"{b}.size") >= PERCENT * F.greatest(f"{a}.size", f"{b}.size")
+def _survivors(forest: bool):
+    """Rows ``key, x, y, side, node, root, size, parity`` sorted by bucket, block pair and
+    node -> pairs of nodes that may be linked: a spanning forest per task's share of a bucket
+    (``forest``), or all pairs of different roots."""
+
+    def of_group(node, root, size, side, bits) -> tuple[list, list]:
+        label = np.arange(len(node)) if forest else np.unique(root, return_inverse=True)[1]
+        across = side[0] != side[-1] or (side != side[0]).any()
+        a, b = [], []
+        for q in range(1, len(node)):
+            ok = label[:q] != label[q]
+            if across:
+                ok &= side[:q] != side[q]
+            near = np.flatnonzero(ok)
+            if not len(near):
+                continue
+            differ = np.bitwise_count(bits[near] ^ bits[q]).sum(1, dtype=np.int64)
+            near = near[(100 + PERCENT) * differ <= (100 - PERCENT) * (size[near] + size[q])]
+            if not len(near):
+                continue
+            if forest:
+                trees, at = np.unique(label[near], return_index=True)
+                near = near[at]
+                label[np.isin(label, trees)] = label[q]
+            a += [node[q]] * len(near)
+            b += node[near].tolist()
+        return a, b
+
+    def of_rows(table: pa.Table) -> pa.RecordBatch:
+        key, x, y, side, node, root, size = (table[c].to_numpy() for c in ("key", "x", "y", "side", "node", "root", "size"))
+        bits = np.frombuffer(b"".join(table["parity"].to_pylist()), U64).reshape(len(key), -1)
+        new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        begin, end = np.concatenate([[0], new]), np.append(new, len(key))
+        two = begin[end - begin == 2]  # most buckets: one comparison for all of them
+        differ = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64)
+        ok = ((100 + PERCENT) * differ <= (100 - PERCENT) * (size[two] + size[two + 1])) & ((x[two] == y[two]) | (side[two] != side[two + 1]))
+        if not forest:
+            ok &= root[two] != root[two + 1]
+        a, b = node[two[ok] + 1].tolist(), node[two[ok]].tolist()
+        for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
+            more = of_group(node[lo:hi], root[lo:hi], size[lo:hi], side[lo:hi], bits[lo:hi])
+            a += more[0]
+            b += more[1]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            if not len(table):
+                continue
+            same = np.ones(len(table), bool)
+            for c in ("key", "x", "y"):
+                v = table[c].to_numpy()
+                same &= v == v[-1]
+            ready = len(table) - int(np.argmin(same[::-1])) if not same.all() else 0
+            rest = table.slice(ready)
+            if ready:
+                yield of_rows(table.slice(0, ready))
+        if rest is not None and len(rest):
+            yield of_rows(rest)
+
+    return run
+
+
+def _candidates(held: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Distinct survivors ``a, b`` of the buckets ``held`` (``key, node, root, n``)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = held.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "root")
+    full = dealt.join(classes.select("node", "size", "parity"), "node").select("key", "x", "y", "side", "node", "root", "size", "parity")
+    full = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return full.mapInArrow(_survivors(forest), "a long, b long").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +253,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose signatures differ in at most ``DISTANCE`` symbols."""
-    for batch in batches:
-        n = batch.num_rows
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(n, SYMBOLS) for k in (2, 3))
-        close = (x != y).sum(1) <= DISTANCE
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close))
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (``a, b`` distinct) that are links."""
-    facts = classes.select("node", "size", "sign")
-    x, y = facts.alias("x"), facts.alias("y")
-    joined = pairs.alias("p").join(x, F.col("p.a") == F.col("x.node")).join(y, F.col("p.b") == F.col("y.node")).where(_sizes_allow("x", "y"))
-    close = stored(joined.select("p.a", "p.b", F.col("x.sign").alias("s"), F.col("y.sign").alias("t")).mapInArrow(_distances, "a long, b long"), f"near-{name}")
-    nodes = stored(close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc", "print"), "node"), f"near-{name}-nodes")
+def _linked(close: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs (``a, b``, stored) that are links."""
+    nodes = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
+    nodes = stored(nodes.join(classes.select("node", "doc", "print"), "node"), f"near-{name}-nodes")
     t = texts.alias("t")
     found = t.join(small_side(nodes).alias("n"), F.col("t.doc").eqNullSafe(F.col("n.doc")) & (F.col("t.print") == F.col("n.print")))
     found = stored(found.select("n.node", "t.text").dropDuplicates(["node"]), f"near-{name}-texts")
@@ -196,31 +272,26 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("print", F.xxhash64("text"))
     id_type = texts.schema["doc"].dataType.simpleString()
-    signed = stored(texts.select("doc", "text", "print").mapInArrow(_sign, f"doc {id_type}, print long, size long, one long, two long, sign binary"), "near-signed")
+    signed = stored(texts.select("doc", "text", "print").mapInArrow(_sign, f"doc {id_type}, print long, size long, one long, two long, sign binary, parity binary"), "near-signed")
 
     members = signed.where("size > 0").groupBy("size", "one", "two")
-    classes = members.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("rep"), F.min("sign").alias("sign"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "size", "one", "two", "sign", "rep.doc", "rep.print"), "near-classes")
+    classes = members.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("rep"), F.min("sign").alias("sign"), F.min("parity").alias("parity"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "size", "one", "two", "sign", "parity", "rep.doc", "rep.print"), "near-classes")
 
     keys = classes.select("node", "sign").mapInArrow(_keys, "key long, node long")
     keys = stored(keys, "near-keys")
     # Stored before the join: a hot key is then a plain skewed side, which Spark can split.
-    buckets = stored(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "near-pivots")
+    buckets = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-bucket-sizes")
     held = stored(keys.join(buckets, "key"), "near-buckets")
-    star = stored(held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-star")
-    links = _linked(star, classes, texts, "star")
-
-    # Second pass: pairs across components inside the buckets that span several.
-    roots = components(links.select("a", "b"), "near-first")
-    placed = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
-    open_keys = stored(open_keys, "near-open-keys")
-    facts = classes.select("node", "size")
-    still = stored(placed.join(open_keys, "key").join(facts, "node"), "near-open")
-    a, b = still.alias("a"), still.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _sizes_allow("a", "b"))
-    cross = cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _linked(cross, classes, texts, "cross")
+    first = stored(_candidates(held.withColumn("root", F.col("node")), classes, True), "near-first")
+    links = _linked(first, classes, texts, "first")
+
+    # Second pass: buckets that span several components.
+    roots = components(links, "near-first-components")
+    placed = stored(held.where("n > 2").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+    open_keys = stored(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "near-open-keys")
+    second = _candidates(placed.join(open_keys, "key"), classes, False).join(first, ["a", "b"], "left_anti")
+    more = _linked(stored(second, "near-second"), classes, texts, "second")
     return signed, classes, links.unionAll(more)
 
 
