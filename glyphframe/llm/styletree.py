@@ -7,8 +7,8 @@
    which styles (sequences of child labels) and with which contents, all by grouped counts.
 3. Importance of a branch. Content: a text that stands on ``c`` of the ``m`` pages with its
    path has the entropy ``ln c / ln m``; a branch's content importance is 1 minus the mean
-   entropy of the distinct texts below it, smoothed towards the same path over all hosts (a
-   host of few pages says little). Presentation: how the branch is marked up. The label of
+   entropy of the distinct texts below it, smoothed by ``SMOOTH`` pages towards the same path
+   over all hosts, and that towards 1 (few pages say little). Presentation: how the branch is marked up. The label of
    the nearest element that names a role (``article`` or ``main``; ``nav``, ``footer``,
    ``aside``, ``class="ad"`` ...) speaks for or against it; without one, variety of styles
    does. The two are combined with ``ROLE_WEIGHT`` where a role is named, else with
@@ -182,8 +182,9 @@ def branch_importance(pages: DataFrame) -> DataFrame:
     counts = stored(counts.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("pages")), "style-counts")
     own = _importances(counts, ["host", "path"])
     everywhere = _importances(counts.groupBy("path", "kind", "value").agg(F.sum("pages").alias("pages")), ["path"])
-    everywhere = everywhere.select("path", F.when(F.col("texts") > 0, F.col("worth") / F.col("texts")).alias("usual"))
-    smooth = (F.col("worth") + SMOOTH * F.coalesce("usual", F.lit(1.0))) / (F.col("texts") + SMOOTH)
+    shrink = lambda n, toward: (F.col("m") * F.col("worth") / F.col("texts") + n * toward) / (F.col("m") + n)
+    everywhere = everywhere.select("path", F.when(F.col("texts") > 0, shrink(SMOOTH, F.lit(1.0))).alias("usual"))
+    smooth = shrink(SMOOTH, F.coalesce("usual", F.lit(1.0)))
     nodes = stored(own.join(everywhere, "path", "left").withColumn("worth", F.when(F.col("texts") > 0, smooth * F.col("texts")).otherwise(0.0)), "style-nodes")
     # A branch has the texts of every path below it.
     steps = F.split("path", ">")

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphframe.llm.graph import spare_names, stored
 from glyphframe.llm.kernels import BASE, BYTE_CODE, U64, inverse64, mix64, powers, text_chunks
-from glyphframe.session import shared_path
 
 MATCH = 400
 ANCHOR = 100
@@ -378,21 +378,14 @@ def _unite(match: int):
 def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc, print, removed`` (runs of bytes to remove, ends excluded) of every document of
     ``rows`` (``doc, text, print``) that has any."""
-    spark = rows.sparkSession
     id_type = rows.schema["doc"].dataType.simpleString()
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(spark, f"suffix-{name}")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    everything = stored(segment_table(rows, match, anchor), "segments")
+    everything = stored(segment_table(rows, match, anchor), "suffix-segments")
     shared = everything.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key")
-    some = stored(everything.join(shared, "key"), "shared")
+    some = stored(everything.join(shared, "key"), "suffix-shared")
 
     rep = F.min(F.struct("doc", "print", "first", "last", "anchors")).alias("rep")
     prints = some.groupBy("key", "cover").agg(F.count("*").alias("copies"), rep)
-    prints = stored(prints.select("key", "cover", "copies", "rep.*"), "prints")
+    prints = stored(prints.select("key", "cover", "copies", "rep.*"), "suffix-prints")
 
     size = F.col("last") - F.col("first") + match + 1
     open_keys = (
@@ -400,7 +393,7 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
         .agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.max(F.when(F.col("copies") == 1, F.col("anchors"))).alias("own"), F.sum(size).alias("bytes"))
         .where("least = 1 and (kinds > 1 or own > 1)")
     )
-    wanted = stored(prints.join(open_keys.select("key", "bytes"), "key"), "open")
+    wanted = stored(prints.join(open_keys.select("key", "bytes"), "key"), "suffix-open")
     total = wanted.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
     salts = F.ceil(F.col("bytes") / shard_bytes).cast("int")
@@ -408,7 +401,7 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
     wanted = wanted.withColumn("salts", salts).withColumn("shard", F.pmod(F.xxhash64("key", salt), F.lit(shards)).cast("int"))
     wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "cover", "first", "last", "copies", "salts", "shard")).alias("want"))
     out_schema = f"doc {id_type}, print long, first int, last int, a long, b long, copies long"
-    found = stored(_cut(rows, wanted, match).groupBy("shard").applyInArrow(_shard_function(_arrow_id(rows), match), out_schema), "windows")
+    found = stored(_cut(rows, wanted, match).groupBy("shard").applyInArrow(_shard_function(_arrow_id(rows), match), out_schema), "suffix-windows")
 
     digests = found.where("a is not null")
     crossed = digests.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_merge_digests, f"doc {id_type}, print long, first int, last int")
@@ -435,6 +428,32 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.select(F.col("r.doc").alias(id_col), F.length(raw).cast("long").alias("n_bytes"), removed.alias("removed"), _kept(raw, F.col("x.removed")).alias("kept"))
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The documents without their repeated bytes, all other columns as they were
+    (``length_col``, if there, is the new length in characters). A character that a run cuts
+    goes whole. Documents without repeats are passed on untouched."""
+    doc, mark, own, removed, kept = spare_names(docs, "doc", "mark", "own", "removed", "kept")
+    runs = repeated_runs(_rows(docs, id_col, text_col), match, anchor, shard_bytes).toDF(doc, mark, removed)
+    print_of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    both = docs.withColumn(own, print_of).join(runs, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)), "left")
+    raw = F.encode(text_col, "UTF-8")
+    cut = F.col(removed).isNotNull()
+    whole = F.transform(removed, lambda r: F.struct(_character(raw, r["begin"], -1).alias("begin"), _character(raw, r["end"], 1).alias("end")))
+    both = both.withColumn(kept, F.when(cut, F.decode(_kept(raw, whole), "UTF-8")))
+    new = {text_col: F.when(cut, F.col(kept)).otherwise(F.col(text_col))}
+    if length_col and length_col in docs.columns:
+        new[length_col] = F.when(cut, F.length(kept).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return both.withColumns(new).select(*docs.columns)
+
+
+def _character(raw: F.Column, at: F.Column, step: int) -> F.Column:
+    """The first place from ``at`` on (``step`` 1) or back (-1) that begins a character."""
+    for _ in range(3):  # UTF-8 has three continuation bytes at most
+        inside = F.substring(raw, at + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+        at = F.when(inside, at + step).otherwise(at)
+    return at
+
+
 def _kept(raw: F.Column, removed: F.Column) -> F.Column:
     """Bytes outside the runs: what stands before each run, and after the last."""
     state = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
