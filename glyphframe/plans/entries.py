@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ def preprocess(
     fo.prepare_labels(train).write.mode("overwrite").parquet(f"{root}/train")
     test.withColumn("img_path", rewrite_path("img_path")).write.mode("overwrite").parquet(f"{root}/test")
     stored = spark.read.parquet(f"{root}/train")
+    few = fo.small_strata(fo.long_labels(stored), n_splits).orderBy("length").take(10)
+    if few:
+        warnings.warn(f"lengths with fewer than n_splits={n_splits} rows: {[(r.length, r.n) for r in few]}", stacklevel=2)
     fi.write_folds(fo.fold_table(stored, n_splits, shuffle=shuffle, seed=seed, prepare=False), f"{root}/folds")
     return {
         "train": stored,
@@ -61,7 +66,7 @@ def evaluate_ids(
     exact-match accuracy per fold."""
     refs = labels.select("row_id", mask_to_pad("label_ids", pad_id).alias("label_ids"))
     ref_text = vo.decode(refs, vocab, "label_ids", out="label").select("row_id", "label")
-    pred_text = vo.decode(preds, vocab, "pred_ids", key=["row_id", *group], out="pred")
+    pred_text = vo.decode(preds, vocab, "pred_ids", out="pred")
     return ev.exact_match_accuracy(pred_text, ref_text, group=group)
 
 
@@ -72,11 +77,12 @@ def kfold_inference(
 ) -> DataFrame:
     """Entry 3 for all folds at once: ``beams (row_id, fold, beam, raw_text,
     seq_score)`` -> best beam per (row, fold) -> NFC -> clean -> exp -> submission
-    rows with ``label`` and ``seq_probs`` per fold; written partitioned by fold when
-    ``out_root`` is given (K3)."""
+    rows with ``label`` and ``seq_probs`` per fold. Every fold must predict every submission
+    row exactly once (J1). Written when ``out_root`` is given (K3): a stamped folder per run,
+    a part per fold."""
     best = bm.best_beam(beams)
     preds = sb.postprocess_predictions(best).select("row_id", "fold", "label", "seq_probs")
-    out = sb.build_submission(submission, preds)
+    out = sb.build_submission(submission, preds, group=["fold"])
     if out_root:
-        fi.write_predictions(out, out_root)
+        fi.write_fold_run(out, out_root)
     return out

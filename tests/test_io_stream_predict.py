@@ -4,7 +4,9 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF001, SF01
 from glyphframe.operators import evaluate as ev
@@ -126,9 +128,77 @@ def test_vocab_lines_round_trip(spark, tmp_dir):
     from glyphframe.operators import vocab as vo
 
     voc = vo.build_vocab(vw.table(spark, SF001, "benchmark"), "text")
-    fi.write_vocab_lines(voc, os.path.join(tmp_dir, "v"))
+    fi.write_vocab(voc, os.path.join(tmp_dir, "v"))
     assert sorted(fi.load_vocab_lines(spark, os.path.join(tmp_dir, "v")).collect()) == sorted(voc.collect())
+    fi.write_char_vocab(voc, os.path.join(tmp_dir, "w"))
+    assert sorted(fi.load_vocab(spark, os.path.join(tmp_dir, "w")).collect()) == sorted(voc.collect())
     import pytest
 
-    with pytest.raises(ValueError):
-        fi.write_vocab(voc, os.path.join(tmp_dir, "w"), max_entries=3)
+    words = voc.unionByName(spark.createDataFrame([("whole label", 999)], "token string, id long"))
+    with pytest.raises(Exception, match="character vocabulary only"):
+        fi.write_char_vocab(words, os.path.join(tmp_dir, "x"))
+
+
+def test_damaged_vocab_file_is_an_error(spark, tmp_dir):
+    import pytest
+
+    with open(os.path.join(tmp_dir, "v.json"), "w") as f:
+        f.write('{"a": 1, "b"')
+    with pytest.raises(Exception):
+        fi.load_vocab(spark, tmp_dir).collect()
+
+
+def test_swapped_headers_are_an_error(spark, tmp_dir):
+    import pytest
+
+    for name, text in (("a", "img_path,label\n./1.png,x\n"), ("b", "label,img_path\ny,./2.png\n")):
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        fi.scan_label_csv(spark, tmp_dir).collect()
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_row_ids_do_not_depend_on_how_the_scan_is_cut(spark, tmp_dir, multi_line):
+    """Settings change between building and running: the same ids, every row."""
+    want = []
+    for k in range(8):
+        lines = [f"./{k}-{i}.png" for i in range(200)]
+        want += lines
+        with open(os.path.join(tmp_dir, f"f{k}.csv"), "w") as f:
+            f.write("img_path,label\n" + "".join(f"{x},l\n" for x in lines))
+    confs = ["spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+    try:
+        spark.conf.set(confs[0], "1")
+        df = fi.scan_label_csv(spark, tmp_dir, multi_line=multi_line)
+        spark.conf.set(confs[0], "64")
+        spark.conf.set(confs[1], "1")
+        spark.conf.set(confs[2], "512")
+        got = {r.row_id: r.img_path for r in df.collect()}
+    finally:
+        for c in confs:
+            spark.conf.unset(c)
+    assert got == dict(enumerate(want))
+
+
+def test_runs_keep_their_results(spark, tmp_dir):
+    df = spark.createDataFrame([(0, 0, "a"), (1, 1, "b")], "row_id long, fold int, label string")
+    a, b = fi.write_fold_run(df, tmp_dir), fi.write_fold_run(df, tmp_dir)
+    assert a != b and spark.read.parquet(a).count() == spark.read.parquet(b).count() == 2
+    assert fi.write_submission(df, tmp_dir) != fi.write_submission(df, tmp_dir)
+
+
+def test_model_is_built_once_per_worker(spark, tmp_dir):
+    from glyphframe.operators import predict as pr
+
+    def make():
+        import uuid
+
+        open(os.path.join(tmp_dir, uuid.uuid4().hex), "w").close()
+        return lambda x: x * 2
+
+    df = spark.range(64).repartition(16).selectExpr("cast(id as double) as x")
+    out = pr.batch_predict(df, make, "x", return_type=T.DoubleType())
+    assert sorted(r.prediction for r in out.collect()) == [2.0 * i for i in range(64)]
+    workers = spark.sparkContext.defaultParallelism
+    assert len(os.listdir(tmp_dir)) <= workers
