@@ -1,16 +1,25 @@
 """Character vocabulary and token arrays (S4 helpers, V1-V7).
 
 A vocabulary is a table ``(token string, id bigint)``: specials first (``[PAD]`` = 0,
-``[UNK]`` = 1), then characters in code-point order. Lookups are joins against the
-vocabulary, broadcast after a size check; no map is built on the driver.
+``[UNK]`` = 1), then characters in code-point order, then any tokens added later.
+
+Texts are encoded and decoded in place, batch by batch: the vocabulary is a broadcast array
+indexed by code point (encode; at most 1,114,112 entries) or by id (decode), so there is no
+explode, no shuffle and no key. Tokens of several characters that a vocabulary was extended
+with take part: the longest that fits at the leftmost place comes first, as a tokenizer does
+with added tokens. A vocabulary is held whole by every worker, as by any tokenizer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphframe.functions.text import chars, nfkd
 from glyphframe.operators.common import checked_broadcast
@@ -52,95 +61,156 @@ def char_tokens(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.length("token") == 1)
 
 
-def _keys(key: str | Sequence[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
-
-
-def _explode_carrying(df: DataFrame, keys: list[str], items: Column, item_type: str) -> tuple[DataFrame, list[str]]:
-    """Explode ``items`` (an array) into ``(keys, p, t)`` rows, carrying the row's other
-    columns once, on a sentinel element with ``p = -1`` (field ``r``), instead of copying
-    them into every exploded row (quadratic in text length)."""
-    others = [c for c in df.columns if c not in keys]
-    rest = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(None).alias("_none"))
-    rest_type = df.select(rest.alias("r")).schema["r"].dataType
-    head = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast(item_type).alias("t"), rest.alias("r")))
-    body = F.transform(
-        F.coalesce(items, F.array().cast(f"array<{item_type}>")),
-        lambda x, i: F.struct(i.alias("p"), x.alias("t"), F.lit(None).cast(rest_type).alias("r")),
-    )
-    ex = df.select(*keys, F.explode(F.concat(head, body)).alias("_e")).select(*keys, "_e.p", "_e.t", "_e.r")
-    return ex, others
-
-
-def _regroup(joined: DataFrame, df: DataFrame, keys: list[str], others: list[str], item: Column, out: str, finish) -> DataFrame:
-    """Per key: the carried columns back from the sentinel, the items in position order.
-    All elements of a row sit in one partition, so the partial aggregate already holds
-    the complete row and the one shuffle moves about the output itself."""
-    agg = joined.groupBy(*keys).agg(
-        F.first("r", ignorenulls=True).alias("r"),
-        F.sort_array(F.collect_list(F.when(F.col("p") >= 0, item))).alias("_items"),
-    )
-    cols = [F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns]
-    return agg.select(*cols, finish(F.col("_items")).alias(out))
+class CharTable:
+    """Ids by code point, the id of ``[UNK]``, and the tokens of several characters."""
+
+    def __init__(self, rows: list[tuple[str, int]], specials: Sequence[str]):
+        chars_ = [(ord(t), i) for t, i in rows if len(t) == 1]
+        self.ids = np.full(max((c for c, _ in chars_), default=0) + 2, -1, np.int64)
+        for c, i in chars_:
+            self.ids[c] = i
+        self.unk = next((i for t, i in rows if t == UNK), UNK_ID)
+        self.added = {t: i for t, i in rows if len(t) > 1 and t not in specials}
+        self._automaton = None
+
+    def _spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Places ``(begin, end, id)`` of added tokens, leftmost and longest first."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for t, i in self.added.items():
+                self._automaton.add_word(t, (len(t), i))
+            self._automaton.make_automaton()
+        return [(end - size + 1, end + 1, i) for end, (size, i) in self._automaton.iter_long(text)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, offsets)`` of all texts one after the other; -1 marks an unknown
+        character."""
+        texts = pc.fill_null(texts, "")
+        words = texts.to_pylist()
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = self.ids[np.minimum(codes, len(self.ids) - 1)]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if self.added:
+            drop = np.zeros(len(ids), bool)
+            at = 0
+            for k, w in enumerate(words):
+                for begin, end, i in self._spans(w) if len(w) > 1 else ():
+                    ids[at + begin] = i
+                    drop[at + begin + 1 : at + end] = True
+                    sizes[k] -= end - begin - 1
+                at += len(w)
+            ids = ids[~drop]
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _char_table(vocab: DataFrame, specials: Sequence[str] = DEFAULT_SPECIALS):
+    rows = [(r.token, r.id) for r in vocab.where("token is not null").select("token", "id").toLocalIterator()]
+    return vocab.sparkSession.sparkContext.broadcast(CharTable(rows, specials))
 
 
 def encode(
     df: DataFrame,
     vocab: DataFrame,
     text_col: str = "label",
-    key: str | Sequence[str] = "row_id",
     out: str = "input_ids",
     sub_char: bool = False,
     start_id: int | None = None,
     end_id: int | None = None,
 ) -> DataFrame:
-    """V2: text -> array of ids, unknown characters -> ``[UNK]``; null text -> null.
-    ``key`` (one column or several) must identify a row. ``start_id`` / ``end_id`` (see
-    ``special_ids``) are put around the ids, as a tokenizer adds its specials.
-
-    Plan: explode (no shuffle) -> broadcast hash join with the size-checked vocabulary
-    -> partial + final ``collect_list`` per key: one shuffle, of about the output size.
-    """
-    keys = _keys(key)
-    # one-character tokens plus [UNK] (which no character can equal): persisted once,
-    # so the [UNK] id is read from it rather than re-deriving the vocabulary
-    lookup = vocab.where((F.length("token") == 1) | (F.col("token") == UNK))
-    v = checked_broadcast(lookup.select(F.col("token").alias("t"), "id"))
-    unk = v.where(F.col("t") == UNK).select("id").scalar()
-    text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
-    ex, others = _explode_carrying(df, keys, chars(text), "string")
-    joined = ex.join(v, "t", "left")
-    item = F.struct(F.col("p"), F.coalesce(F.col("id"), unk).alias("id"))
-    def finish(a):
-        ids = F.transform(a, lambda s: s["id"])
-        if start_id is not None:
-            ids = F.concat(F.array(F.lit(start_id).cast("bigint")), ids)
-        if end_id is not None:
-            ids = F.concat(ids, F.array(F.lit(end_id).cast("bigint")))
-        return ids
-
-    res = _regroup(joined, df, keys, others, item, out, finish)
-    return res.withColumn(out, F.when(F.col(text_col).isNotNull(), F.col(out)))
+    """V2: text -> array of ids, unknown characters -> ``[UNK]``; null text -> null. Every
+    row stays a row, whatever its keys. ``start_id`` / ``end_id`` (see ``special_ids``) are
+    put around the ids, as a tokenizer adds its specials. No shuffle."""
+    shared = _char_table(vocab)
+    kept = df.drop(out) if out in df.columns and out != text_col else df
+    source = kept.withColumn("_encode", nfkd(F.col(text_col)) if sub_char else F.col(text_col))
+    names = [c for c in kept.columns if c != out]
+    around = [[x] if x is not None else [] for x in (start_id, end_id)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            ids, offsets = table.encode(texts)
+            ids = np.where(ids < 0, table.unk, ids)
+            if around[0] or around[1]:
+                n = len(offsets) - 1
+                ids = np.insert(ids, np.repeat(offsets[:-1], len(around[0])), np.tile(around[0], n).astype(np.int64))
+                offsets = offsets + np.arange(n + 1) * len(around[0])
+                ids = np.insert(ids, np.repeat(offsets[1:], len(around[1])), np.tile(around[1], n).astype(np.int64))
+                offsets = offsets + np.arange(n + 1) * len(around[1])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()), mask=pc.is_null(texts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), lists], names=[*names, out])
+
+    fields = [f for f in kept.schema if f.name != out]
+    return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.LongType()))]))
 
 
 def decode(
     df: DataFrame,
     vocab: DataFrame,
     ids_col: str = "pred_ids",
-    key: str | Sequence[str] = "row_id",
     out: str = "text",
     specials: Sequence[str] = DEFAULT_SPECIALS,
 ) -> DataFrame:
     """V6: ids -> text, skipping special tokens (and ids outside the vocabulary); null
-    ids -> null. Same plan shape as ``encode``."""
-    keys = _keys(key)
-    v = checked_broadcast(vocab.where(~F.col("token").isin(*specials)).select("token", F.col("id").alias("t")))
-    id_type = df.schema[ids_col].dataType.elementType.simpleString()
-    ex, others = _explode_carrying(df, keys, F.col(ids_col), id_type)
-    joined = ex.join(v, ex["t"].cast("bigint") == v["t"], "left").drop(v["t"])
-    item = F.when(F.col("token").isNotNull(), F.struct(F.col("p"), F.col("token")))
-    res = _regroup(joined, df, keys, others, item, out, lambda a: F.array_join(F.transform(a, lambda s: s["token"]), ""))
-    return res.withColumn(out, F.when(F.col(ids_col).isNotNull(), F.col(out)))
+    ids -> null. No shuffle."""
+    rows = [(r.id, r.token) for r in vocab.where(~F.col("token").isin(*specials)).select("id", "token").toLocalIterator()]
+    top = max((i for i, _ in rows), default=0)
+    tokens = [""] * (top + 2)  # the last entry stands for every other id
+    for i, t in rows:
+        tokens[i] = t
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    kept = df.drop(out) if out in df.columns and out != ids_col else df
+    source = kept.withColumn("_decode", F.col(ids_col).cast("array<bigint>"))
+    names = [c for c in kept.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids > len(table) - 2), len(table) - 1, ids)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(ids))), "")
+            texts = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), texts], names=[*names, out])
+
+    fields = [f for f in kept.schema if f.name != out]
+    return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
+
+
+def _unknown(labels: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(_label, unknown)`` of the rows ``(_label, _t)`` whose text holds characters that
+    the vocabulary cannot encode."""
+    shared = _char_table(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            ids, offsets = table.encode(batch.column(1))
+            bad = np.flatnonzero(np.add.reduceat(np.append(ids < 0, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0)) if len(offsets) > 1 else []
+            found = []
+            for k in bad:
+                text = batch.column(1)[int(k)].as_py()
+                found.append(sorted({c for c in _outside_spans(text, table) if ord(c) >= len(table.ids) - 1 or table.ids[ord(c)] < 0}))
+            at = pa.array(np.asarray(bad, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.list_(pa.string()))], names=["_label", "unknown"])
+
+    return labels.select("_label", "_t").mapInArrow(run, "_label string, unknown array<string>")
+
+
+def _outside_spans(text: str, table: CharTable) -> str:
+    """The characters of a text that no added token covers."""
+    if not table.added:
+        return text
+    out, at = [], 0
+    for begin, end, _ in table._spans(text):
+        out.append(text[at:begin])
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def _with_text(df: DataFrame, text_col: str, sub_char: bool, distinct: bool = False) -> DataFrame:
@@ -153,42 +223,24 @@ def _with_text(df: DataFrame, text_col: str, sub_char: bool, distinct: bool = Fa
 
 
 def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """The distinct characters of ``text_col`` that are not in the vocabulary. Labels are
-    de-duplicated first (a partial aggregate collapses repeats map-side), so only distinct
-    labels are exploded."""
+    """The distinct characters of ``text_col`` that the vocabulary cannot encode. Labels are
+    de-duplicated first (a partial aggregate collapses repeats map-side)."""
     uniq = _with_text(df, text_col, sub_char, distinct=True)
-    ex = uniq.select(F.explode(chars("_t")).alias("token"))
-    return ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti").distinct()
+    return _unknown(uniq, vocab).select(F.explode("unknown").alias("token")).distinct()
 
 
 def has_oov(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """V3: one row, ``has_oov`` - each task stops at its first unknown character."""
-    ex = _with_text(df, text_col, sub_char).select(F.explode(chars("_t")).alias("token"))
-    hit = ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti").limit(1)
+    """V3: one row, ``has_oov`` - each task stops at its first unknown character. A label
+    that the vocabulary was extended with is known."""
+    hit = _unknown(_with_text(df, text_col, sub_char), vocab).limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("has_oov"))
 
 
 def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
-    """V4: the distinct labels containing at least one unknown character.
-
-    Characters are exploded with a 64-bit hash of their label, not the label itself
-    (long texts would be copied once per character). Unknown characters are collected
-    per hash (bounded by the distinct characters), and a label is kept when it contains
-    one of the unknown characters of its hash - exact even if two labels collide."""
-    # distinct first, as the reference de-duplicates labels before tokenising: repeats
-    # collapse map-side and only distinct labels are exploded
-    t = _with_text(df, text_col, sub_char, distinct=True).withColumn("_h", F.xxhash64("_t"))
-    ex = t.select("_h", F.explode(chars("_t")).alias("token"))
-    bad = (
-        ex.join(checked_broadcast(char_tokens(vocab).select("token")), "token", "left_anti")
-        .groupBy("_h")
-        .agg(F.collect_set("token").alias("_bad"))
-    )
-    # sort-merge: both sides come from exploded text, whose size the planner
-    # underestimates, so no automatic broadcast may be chosen here
-    cand = t.join(bad.hint("merge"), "_h", "inner")
-    hit = F.expr("exists(_bad, c -> instr(_t, c) > 0)")
-    return cand.where(hit).select(F.col("_label").alias(text_col))
+    """V4: the distinct labels containing at least one unknown character. Distinct first, as
+    the reference de-duplicates labels before tokenising."""
+    uniq = _with_text(df, text_col, sub_char, distinct=True)
+    return _unknown(uniq, vocab).select(F.col("_label").alias(text_col))
 
 
 def oov_units(
@@ -204,9 +256,8 @@ def oov_units(
 
 
 def extend_vocab(vocab: DataFrame, new_tokens: DataFrame, token_col: str = "token") -> DataFrame:
-    """V5: add tokens not yet present, sorted, with ids after the current maximum.
-    Encoding stays character-level (an added whole-label token is never produced by
-    ``encode``); ``decode`` maps its id back to the whole label."""
+    """V5: add tokens not yet present, sorted, with ids after the current maximum. ``encode``
+    then gives an added token where it stands (longest first), ``decode`` maps it back."""
     v = checked_broadcast(vocab.select("token", "id"))
     fresh = (
         new_tokens.select(F.col(token_col).alias("token"))

@@ -9,7 +9,7 @@ from glyphframe.operators import common
 from parity import compare, duck
 
 USES_CHECKED_BROADCAST = [
-    "encode_labels", "decode_ids", "has_oov", "oov_labels", "oov_chars", "extend_vocab", "scan_label_csv",
+    "extend_vocab", "scan_label_csv",
     "stratified_folds", "stratified_folds_words", "reset_index", "truncate_padded", "ragged_concat",
     "length_grouped_batches", "fold_sizes",
 ]

@@ -33,11 +33,26 @@ def test_encode_unknown_and_empty(spark):
     assert wrapped == {0: [7, 2, 3, 1, 8], 1: [7, 8], 2: None}
 
 
-def test_encode_uses_broadcast(spark):
-    train = vw.ocr_train(spark, SF001)
-    plan = vo.encode(train, vo.build_vocab(train, "label"), "label")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert "Python" not in plan
+def test_encode_and_decode_keep_every_row(spark):
+    voc = vo.build_vocab(spark.createDataFrame([("ab",)], "text string"), "text")
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "ab"), (None, "ba"), (1, "a")], "row_id long, label string")
+    enc = vo.encode(df, voc, "label")
+    assert sorted((r.label, r.input_ids) for r in enc.collect()) == [("a", [2]), ("a", [2]), ("ab", [2, 3]), ("b", [3]), ("ba", [3, 2])]
+    assert sorted(r.text for r in vo.decode(enc, voc, "input_ids").collect()) == ["a", "a", "ab", "b", "ba"]
+
+
+def test_added_tokens_are_encoded_longest_first(spark):
+    voc = vo.build_vocab(spark.createDataFrame([("abc ",)], "text string"), "text")
+    df = spark.createDataFrame([(0, "xy"), (1, "a xyz b"), (2, "xyx")], "row_id long, label string")
+    assert vo.has_oov(df, voc).first().has_oov
+    more = vo.extend_vocab(voc, spark.createDataFrame([("xy",), ("xyz",)], "token string"))
+    ids = {r.token: r.id for r in more.collect()}
+    got = {r.row_id: r.input_ids for r in vo.encode(df, more, "label").collect()}
+    assert got == {0: [ids["xy"]], 1: [ids["a"], ids[" "], ids["xyz"], ids[" "], ids["b"]], 2: [ids["xy"], 1]}
+    assert {r.row_id: r.text for r in vo.decode(vo.encode(df, more, "label"), more, "input_ids").collect()} == {0: "xy", 1: "a xyz b", 2: "xy"}
+    assert [r.token for r in vo.oov_chars(df, more).collect()] == ["x"]
+    full = vo.extend_vocab(voc, vo.oov_labels(df, voc).select(F.col("label").alias("token")))
+    assert not vo.has_oov(df, full).first().has_oov
 
 
 def test_oov_functions(spark):
