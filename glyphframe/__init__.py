@@ -1,7 +1,9 @@
 """glyphframe: the data side of text-recognition work as Spark DataFrame operators.
 
-Every public function takes DataFrames (and plain keyword arguments) and returns a lazy
-DataFrame; nothing is collected to the driver. See README.md for the operator map.
+Every public function takes DataFrames (and plain keyword arguments) and returns a
+DataFrame. Building it may run jobs of bounded size (a probe before a broadcast, a
+vocabulary) or write a step to the shared folder; rows are never collected to the driver.
+See README.md for the operator map.
 """
 
 import sys

@@ -1,6 +1,7 @@
 """Scalar text and path expressions (P1-P14). All are JVM-side Column expressions,
-except the two Unicode normal forms, which Spark lacks and which run as Arrow-batched
-pandas UDFs only on the rows that need them."""
+except the two general Unicode normal forms, which Spark lacks and which run as
+Arrow-batched pandas UDFs. For Hangul both directions are syllable arithmetic
+(``hangul_compose``, ``hangul_decompose``) and stay in the JVM."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ LEGACY_STAMP_FORMAT = "yyyy-HH-mm-ss"
 
 # Unicode Hangul syllable arithmetic (from the Unicode standard, section 3.12).
 S_BASE, L_BASE, V_BASE, T_BASE = 0xAC00, 0x1100, 0x1161, 0x11A7
-V_COUNT, T_COUNT = 21, 28
+L_COUNT, V_COUNT, T_COUNT = 19, 21, 28
 N_COUNT = V_COUNT * T_COUNT  # 588
 S_COUNT = 11172
 
@@ -108,6 +109,28 @@ def hangul_decompose(col) -> Column:
     return F.array_join(F.transform(chars(col), one), "")
 
 
+def hangul_compose(col) -> Column:
+    """NFC of conjoining jamo by Unicode arithmetic, in the JVM: a lead and the vowel after
+    it make a syllable, a syllable without tail takes the tail after it; other characters
+    pass unchanged. Hangul composes with nothing else, so this is all of NFC that can make
+    or change a syllable, and all of NFC for text of ASCII, syllables and jamo."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+
+    def step(state: Column, ch: Column) -> Column:
+        last, code = code_of(state["last"]), code_of(ch)
+        lead, vowel, tail = last - F.lit(L_BASE), code - F.lit(V_BASE), code - F.lit(T_BASE)
+        open_syllable = last.between(S_BASE, S_BASE + S_COUNT - 1) & ((last - F.lit(S_BASE)) % T_COUNT == 0)
+        joined = F.when(lead.between(0, L_COUNT - 1) & vowel.between(0, V_COUNT - 1), char_from_code(F.lit(S_BASE) + lead * N_COUNT + vowel * T_COUNT)).when(
+            open_syllable & tail.between(1, T_COUNT - 1), char_from_code(last + tail)
+        )
+        return F.struct(
+            F.when(joined.isNull(), F.concat(state["done"], state["last"])).otherwise(state["done"]).alias("done"),
+            F.coalesce(joined, ch).alias("last"),
+        )
+
+    return F.aggregate(chars(col), start, step, lambda s: F.concat(s["done"], s["last"]))
+
+
 def is_simple_text(col) -> Column:
     return _c(col).rlike(_SIMPLE_RE)
 
@@ -141,5 +164,7 @@ def nfkd(col) -> Column:
 
 
 def postprocess(col, keep: str = HANGUL_SYLLABLES) -> Column:
-    """NFC then charset cleaning, in that order (jamo would be deleted otherwise)."""
-    return clean_text(nfc(col), keep)
+    """NFC then charset cleaning, in that order (jamo would be deleted otherwise). If only
+    syllables are kept, composing jamo is all of NFC that matters, and no row goes to
+    Python; another ``keep`` takes the general form."""
+    return clean_text(hangul_compose(col) if keep == HANGUL_SYLLABLES else nfc(col), keep)

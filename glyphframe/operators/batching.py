@@ -20,12 +20,13 @@ def length_grouped_batches(
 ) -> DataFrame:
     """Batches of rows with similar lengths (SURVEY 4.2: sort by length before padding
     to the batch maximum): position in (length, id) order, then ``div batch_size``.
-    Positions use (length, id-range) buckets, so one very common length is still
-    spread over many window tasks."""
-    from glyphframe.operators.positions import int_bucket, positions
+    Positions use (length, id-range) buckets of about a fixed number of rows, so one very
+    common length is still spread over many window tasks; offsets are two-level (all
+    buckets of a length, then inside it)."""
+    from glyphframe.operators.positions import int_bucket, measured_bucket_rows, positions
 
-    bucket = F.struct(F.col(length_col), int_bucket(id_col))
-    pos = positions(df, [F.col(length_col), F.col(id_col)], bucket, out="_pos")
+    bucket = F.struct(F.col(length_col).alias("length"), int_bucket(id_col, measured_bucket_rows(df, id_col)).alias("ids"))
+    pos = positions(df, [F.col(length_col), F.col(id_col)], bucket, out="_pos", coarse=F.col("_bk.length"))
     return pos.withColumn(out, F.floor(F.col("_pos") / batch_size).cast("bigint")).drop("_pos")
 
 

@@ -23,14 +23,26 @@ def exact_match_accuracy(
     group: Sequence[str] = ("fold",),
     normalizer: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """A2 (+J4): accuracy of decoded text against references, joined by key. By default
-    no normalisation, as in the reference; an empty group gives null (not an error)."""
+    """A2 (+J4): accuracy of decoded text against references: right predictions over the
+    number of references. A null prediction, and a reference without a prediction, count as
+    wrong. References with the ``group`` columns are counted per group, others are expected
+    in every group. By default no normalisation, as in the reference; a group without
+    references gives null (not an error)."""
     p = F.col(pred_col) if normalizer is None else normalizer(F.col(pred_col))
-    r = F.col(ref_col) if normalizer is None else normalizer(F.col(ref_col))
-    joined = preds.join(refs.select(key, F.col(ref_col)), key, "inner")
-    return joined.groupBy(*group).agg(
-        F.avg((p == r).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")
-    )
+    r = F.col("_ref") if normalizer is None else normalizer(F.col("_ref"))
+    own = [g for g in group if g in refs.columns]
+    keys = [key, *own]
+    sides = refs.select(*keys, F.col(ref_col).alias("_ref"))
+    joined = preds.select(*{key: None, **dict.fromkeys(group)}, pred_col).join(sides, keys, "left")
+    right = F.sum(F.coalesce(p == r, F.lit(False)).cast("long"))
+    if len(own) == len(group) and group:
+        n = refs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+        scored = n.join(joined.groupBy(*group).agg(right.alias("_right")), list(group), "left")
+        scored = scored.withColumn("_right", F.coalesce("_right", F.lit(0)))
+    else:
+        total = refs.agg(F.count(F.lit(1)).alias("n")).scalar()
+        scored = joined.groupBy(*group).agg(right.alias("_right")).withColumn("n", total)
+    return scored.select(*group, F.when(F.col("n") > 0, F.col("_right") / F.col("n")).alias("accuracy"), F.col("n"))
 
 
 def optional_label_metrics(
@@ -60,11 +72,12 @@ def weighted_mean_loss(steps: DataFrame, group: Sequence[str] = ("fold",), loss_
     )
 
 
-def sample_count(df: DataFrame, group: Sequence[str] = ("fold",), key: str = "row_id") -> DataFrame:
-    """A4: rows observed and distinct samples."""
-    return df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_samples")
-    )
+def sample_count(df: DataFrame, group: Sequence[str] = ("fold",), key: str = "row_id", declared: Column | int | None = None) -> DataFrame:
+    """A4: rows observed and samples: the ``declared`` number (an aggregate, or a number)
+    where the data set declares its length, else the distinct samples observed."""
+    seen = F.count_distinct(key)
+    known = F.lit(None).cast("bigint") if declared is None else declared if isinstance(declared, Column) else F.lit(declared).cast("bigint")
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(known, seen).alias("n_samples"))
 
 
 def throughput(

@@ -10,7 +10,6 @@ shuffled), fill the folds in contiguous blocks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from glyphframe.functions.draws import draw_key
 from glyphframe.functions.text import label_length, nfc, rewrite_path
 from glyphframe.operators.positions import (
     DEFAULT_BUCKET_ROWS,
+    _null_safe,
     bucket_counts,
     bucket_offsets,
     hash_bucket,
@@ -86,9 +86,9 @@ def assign_folds(
 ) -> DataFrame:
     """Add ``out`` (int) to every row of ``df`` (the long labels).
 
-    Plan: one shuffle of the rows on (stratum, bucket); the strata table and the
-    per-bucket offsets come from one persisted partial aggregate, are tiny and reach the
-    rows by a size-checked broadcast. A stratum holding most of the rows is split over
+    A null stratum is a stratum like any other. Plan: one shuffle of the rows on (stratum,
+    bucket); the strata table and the per-bucket offsets come from one partial aggregate,
+    are tiny and reach the rows by a size-checked broadcast. A stratum holding most of the rows is split over
     many buckets, so no task sorts a whole stratum (``tests/skew_experiment.py``).
     """
     if n_splits < 2:
@@ -101,9 +101,9 @@ def assign_folds(
         d = df.withColumn("_bk", int_bucket(id_col, bucket_rows))
         order = [F.col(id_col)]
 
-    # One row per (stratum, bucket). It feeds both the strata table and the offsets;
-    # persisting it keeps the input to two scans (counts, rows) instead of three.
-    counts = bucket_counts(d, [stratum_col], extra=[F.min(id_col).alias("_first")]).persist(StorageLevel.MEMORY_AND_DISK)
+    # One row per (stratum, bucket). It feeds both the strata table and the offsets, whose
+    # plans share its exchange.
+    counts = bucket_counts(d, [stratum_col], extra=[F.min(id_col).alias("_first")])
     first_w = Window.orderBy("_first", stratum_col).rowsBetween(Window.unboundedPreceding, -1)
     # Unpartitioned window over the strata table: one row per distinct stratum value.
     strata = (
@@ -120,12 +120,18 @@ def assign_folds(
         )
         .select(stratum_col, "_cum")
     )
-    offs = bucket_offsets(counts, [stratum_col]).select(stratum_col, "_bk", "_off").join(strata, stratum_col)
+    offs = _null_safe(bucket_offsets(counts, [stratum_col]).select(stratum_col, "_bk", "_off"), strata, [stratum_col], "inner")
     res = positions_with_offsets(d, offs, [stratum_col], order, "_pos")
     fold = F.size(F.filter(F.col("_cum"), lambda x: x <= F.col("_pos"))).cast("int")
     return res.withColumn(out, fold).drop("_bk", "_off", "_cum", "_pos", "_key")
 
 
+def small_strata(df: DataFrame, n_splits: int = DEFAULT_SPLITS, stratum_col: str = "length") -> DataFrame:
+    """Strata with fewer rows than folds (``stratum, n``): some folds validate on none of
+    their rows. The published splitter warns about them; so does ``plans.entries.preprocess``."""
+    return df.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < n_splits)
+
+
 def fold_table(
     labels: DataFrame,
     n_splits: int = DEFAULT_SPLITS,

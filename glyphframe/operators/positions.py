@@ -42,27 +42,49 @@ def bucket_counts(df: DataFrame, by: Sequence[str], bucket: str = "_bk", extra:
     return df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"), *extra)
 
 
-def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str = "_bk") -> DataFrame:
-    """Rows before each bucket inside its group (window over the small count table)."""
-    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint"))
+# Buckets per coarse bucket in two-level offsets.
+COARSE = 1 << 12
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` with null equal to null; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str = "_bk", coarse: Column | None = None) -> DataFrame:
+    """Rows before each bucket inside its group. With ``coarse`` (monotone in the bucket, a
+    few thousand buckets each) in two levels: a running sum over the coarse buckets, then
+    one inside each, so no window holds the whole bucket table."""
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    if coarse is None:
+        return counts.withColumn("_off", before(Window.partitionBy(*by).orderBy(bucket)))
+    fine = counts.withColumn("_cb", coarse)
+    inside = fine.withColumn("_in", before(Window.partitionBy(*by, "_cb").orderBy(bucket)))
+    total = fine.groupBy(*by, "_cb").agg(F.sum("_n").alias("_n"))
+    outside = total.select(*by, "_cb", before(Window.partitionBy(*by).orderBy("_cb")).alias("_out"))
+    both = _null_safe(inside, outside, [*by, "_cb"], "inner")
+    return both.withColumn("_off", F.col("_in") + F.col("_out")).drop("_in", "_out", "_cb")
 
 
 def positions_with_offsets(
     df: DataFrame, offsets: DataFrame, by: Sequence[str], order: Sequence[str | Column], out: str, bucket: str = "_bk"
 ) -> DataFrame:
-    """Join the offsets (one row per (group, bucket)) and number rows inside a bucket.
+    """Join the offsets (one row per (group, bucket)) and number rows inside a bucket. A null
+    group or a null id is a value like any other (nulls come first); a row without an offset
+    is an error.
 
     The offsets side is broadcast explicitly after a size check: the planner sizes an
     exploded input by its source (before the explode), so left alone it may pick the
-    row side as the broadcast side. Beyond the check it is a sort-merge join on
-    (group, bucket), whose shuffle the window then reuses."""
+    row side as the broadcast side. Beyond the check it is a sort-merge join."""
     from glyphframe.operators.common import checked_broadcast
 
     w = Window.partitionBy(*by, bucket).orderBy(*order)
     small = checked_broadcast(offsets)
-    joined = df.join(small if small is not offsets else offsets.hint("merge"), [*by, bucket], "inner")
-    return joined.withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
+    joined = _null_safe(df, small if small is not offsets else offsets.hint("merge"), [*by, bucket], "left")
+    off = F.coalesce(F.col("_off"), F.raise_error(F.lit("a bucket has no offset")).cast("bigint"))
+    return joined.withColumn(out, off + F.row_number().over(w) - 1)
 
 
 def positions(
@@ -71,19 +93,28 @@ def positions(
     bucket: Column,
     by: Sequence[str] = (),
     out: str = "pos",
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Add ``out`` = 0-based position of each row inside its ``by`` group, ordered by
     ``order`` (which must be unique inside a group). ``bucket`` must be monotone in the
-    order: a row with a smaller sort key never has a larger bucket."""
+    order: a row with a smaller sort key never has a larger bucket. ``coarse`` (of the
+    column ``_bk``) makes the offsets two-level, for bucket tables that grow with the data."""
     d = df.withColumn("_bk", bucket)
-    offs = bucket_offsets(bucket_counts(d, by), by).drop("_n")
+    offs = bucket_offsets(bucket_counts(d, by), by, coarse=coarse).drop("_n")
     res = positions_with_offsets(d, offs, by, order, out)
     return res.drop("_bk", "_off")
 
 
-def reset_index(df: DataFrame, order: Sequence[str | Column], bucket: Column, out: str = "index") -> DataFrame:
+def measured_bucket_rows(df: DataFrame, id_col: str, rows: int = DEFAULT_BUCKET_ROWS) -> int:
+    """Width of id ranges that hold about ``rows`` rows on average: ids that are spread
+    widely get wide buckets. One pass over the ids."""
+    low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    return max(1, (high - low + 1) // max(1, -(-n // rows))) if n else rows
+
+
+def reset_index(df: DataFrame, order: Sequence[str | Column], bucket: Column, out: str = "index", coarse: Column | None = None) -> DataFrame:
     """Renumber rows 0..n-1 in the given order (``reset_index(drop=True)``)."""
-    return positions(df, order, bucket, (), out)
+    return positions(df, order, bucket, (), out, coarse)
 
 
 def sorted_positions(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:

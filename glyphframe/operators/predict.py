@@ -1,8 +1,8 @@
 """Distributed batch prediction with a user-supplied model (F1) and per-batch lazy
 transforms (F3).
 
-The model is loaded once per Python worker (``predict_batch_udf``'s ``make_predict_fn``)
-and fed Arrow batches; rows never pass through the driver.
+``pyspark.ml.functions.predict_batch_udf`` builds the model once per Python worker and feeds
+it batches; rows never pass through the driver.
 """
 
 from __future__ import annotations
@@ -11,14 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_MODEL_CACHE: dict[int, Callable] = {}
-
-
 def batch_predict(
     df: DataFrame,
     make_predict_fn: Callable[[], Callable],
@@ -26,40 +24,30 @@ def batch_predict(
     return_type: T.DataType = T.IntegerType(),
     batch_size: int = 64,
     out: str = "prediction",
+    width: int | None = None,
 ) -> DataFrame:
     """``make_predict_fn()`` returns ``predict(np.ndarray) -> np.ndarray`` (one row per
-    input row; array cells arrive stacked as a 2-D array). It is built once per Python
-    worker process and reused for every Arrow batch of every task that worker runs."""
-    key = id(make_predict_fn)
-
-    @F.pandas_udf(return_type)
-    def predict_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = _MODEL_CACHE.get(key)
-        if fn is None:
-            fn = _MODEL_CACHE[key] = make_predict_fn()
-        for s in batches:
-            for i in range(0, len(s), batch_size):
-                part = s.iloc[i : i + batch_size]
-                x = np.stack(part.to_numpy()) if part.dtype == object else part.to_numpy()
-                yield pd.Series(fn(x), index=part.index)
-
-    return df.withColumn(out, predict_udf(F.col(input_col)))
-
-
-def nearest_centroid_model(centroid_path: str) -> Callable[[], Callable]:
-    """A concrete model for F1: nearest class centroid, the centroids read from a
-    Parquet file (label int, centroid array<double>) in the shared folder."""
+    input row). It is built once per Python worker process and reused for every batch of
+    every task that worker runs. Array cells arrive stacked as a 2-D array of ``width``
+    columns (measured if not given)."""
+    if width is None and isinstance(df.schema[input_col].dataType, T.ArrayType):
+        width = df.select(F.max(F.size(input_col))).first()[0] or 0
+    shapes = [[width]] if width is not None else None
+    predict = predict_batch_udf(make_predict_fn, return_type=return_type, batch_size=batch_size, input_tensor_shapes=shapes)
+    return df.withColumn(out, predict(F.col(input_col)))
+
+
+def nearest_centroid_model(spark: SparkSession, centroid_path: str) -> Callable[[], Callable]:
+    """A concrete model for F1: nearest class centroid. The centroids (label int, centroid
+    array<double>; one row per class) are read through Spark, so any path that Spark can
+    read will do, and travel with the function as one broadcast."""
+    rows = spark.read.parquet(centroid_path).orderBy("label").collect()
+    shared = spark.sparkContext.broadcast((np.array([r.label for r in rows]), np.array([r.centroid for r in rows], np.float64)))
 
     def make():
-        import pyarrow.parquet as pq
-
-        tbl = pq.read_table(centroid_path).to_pandas().sort_values("label")
-        labels = tbl["label"].to_numpy()
-        cents = np.stack(tbl["centroid"].to_numpy()).astype(np.float64)
+        labels, cents = shared.value
 
         def predict(x: np.ndarray) -> np.ndarray:
-            if x.dtype == object:
-                x = np.stack(x)
             x = x.astype(np.float64).reshape(len(x), -1)
             # squared Euclidean distance to every centroid; ties go to the smaller label
             d = ((x[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)

@@ -19,7 +19,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ocr_train": (
         (),
         """SELECT p_partkey AS row_id,
-       './train/TRAIN_' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '.png' AS img_path,
+       './train/TRAIN_' || CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 5 THEN lpad(CAST(p_partkey AS VARCHAR), 5, '0') ELSE CAST(p_partkey AS VARCHAR) END || '.png' AS img_path,
        array_to_string(list_transform(range(1, 2 + p_partkey % 6),
            lambda i: chr(CAST(44032 + (p_partkey * 7919 + i * 104729) % 11172 AS INTEGER))), '') AS label
 FROM part""",
@@ -27,19 +27,19 @@ FROM part""",
     "ocr_names": (
         (),
         """SELECT p_partkey AS row_id,
-       './train/TRAIN_' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '.png' AS img_path,
+       './train/TRAIN_' || CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 5 THEN lpad(CAST(p_partkey AS VARCHAR), 5, '0') ELSE CAST(p_partkey AS VARCHAR) END || '.png' AS img_path,
        p_name AS label
 FROM part""",
     ),
     "ocr_words": (
         (),
-        """SELECT doc_id * 100000 + w.pos - 1 AS row_id,
-       './train/TRAIN_' || lpad(CAST(doc_id * 100000 + w.pos - 1 AS VARCHAR), 5, '0') || '.png' AS img_path,
+        """SELECT doc_id * 2147483648 + w.pos - 1 AS row_id,
+       './train/TRAIN_' || CASE WHEN length(CAST((doc_id * 2147483648 + w.pos - 1) AS VARCHAR)) < 5 THEN lpad(CAST((doc_id * 2147483648 + w.pos - 1) AS VARCHAR), 5, '0') ELSE CAST((doc_id * 2147483648 + w.pos - 1) AS VARCHAR) END || '.png' AS img_path,
        w.word AS label
 FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word,
              unnest(range(1, len(string_split(text, ' ')) + 1)) AS pos FROM documents) w""",
     ),
-    "ocr_test": (("ocr_train",), "SELECT row_id, img_path FROM ocr_train WHERE row_id % 5 = 0"),
+    "ocr_test": (("ocr_train",), "SELECT row_id, img_path FROM ocr_train"),
     "ocr_raw_pred": (
         ("ocr_train",),
         f"""SELECT row_id, CAST(fold AS INTEGER) AS fold,
@@ -48,7 +48,7 @@ FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word,
             ELSE label END AS raw_text,
        -3 * u AS seq_score
 FROM (SELECT t.row_id, t.label, f.fold, {u_sql("'42'", "'pred' || CAST(f.fold AS VARCHAR)", "t.row_id")} AS u
-      FROM ocr_train t, range(0, 5) f(fold) WHERE t.row_id % 5 = 0) x""",
+      FROM ocr_train t, range(0, 5) f(fold)) x""",
     ),
     "ocr_beams": (
         ("ocr_raw_pred",),
@@ -63,7 +63,7 @@ FROM ocr_raw_pred, range(0, 5) b(beam)""",
   SELECT '[PAD]' AS token, 0 AS id UNION ALL SELECT '[UNK]', 1
   UNION ALL
   SELECT token, 1 + row_number() OVER (ORDER BY token) FROM (
-    SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark WHERE item_id % 2 = 0) c
+    SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark) c
   WHERE token <> '')""",
     ),
     "logits": (
@@ -284,14 +284,14 @@ UNION ALL SELECT fold, 'eval_samples', CAST(sum(n) AS DOUBLE) FROM e GROUP BY fo
 UNION ALL SELECT fold, 'eval_runtime', round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) FROM e GROUP BY fold"""
 SQL["build_vocab"] = with_views("SELECT token, id FROM char_vocab", "char_vocab")
 SQL["encode_labels"] = with_views(
-    f"SELECT k AS item_id, ids AS input_ids FROM ({encode_sql('SELECT * FROM benchmark', 'item_id', 'text', 'char_vocab')}) e",
+    f"SELECT k AS doc_id, ids AS input_ids FROM ({encode_sql('SELECT * FROM documents', 'doc_id', 'text', 'char_vocab')}) e",
     "char_vocab",
 )
 SQL["decode_ids"] = with_views(
-    f"""SELECT s.item_id, coalesce(d.text, '') AS text FROM benchmark s LEFT JOIN (
+    f"""SELECT s.doc_id, coalesce(d.text, '') AS text FROM documents s LEFT JOIN (
   SELECT c.k, string_agg(c.ch, '' ORDER BY c.pos) AS text
-  FROM ({chars_sql('SELECT * FROM benchmark', 'item_id', 'text')}) c
-  JOIN char_vocab v ON v.token = c.ch WHERE v.token NOT IN ('[PAD]', '[UNK]') GROUP BY c.k) d ON d.k = s.item_id""",
+  FROM ({chars_sql('SELECT * FROM documents', 'doc_id', 'text')}) c
+  JOIN char_vocab v ON v.token = c.ch WHERE v.token NOT IN ('[PAD]', '[UNK]') GROUP BY c.k) d ON d.k = s.doc_id""",
     "char_vocab",
 )
 SQL["has_oov"] = with_views(
@@ -309,12 +309,15 @@ WHERE ch NOT IN (SELECT token FROM bench_vocab)""",
 SQL["extend_vocab"] = with_views(
     f"""SELECT token, id FROM char_vocab
 UNION ALL
-SELECT text AS token, CAST((SELECT max(id) FROM char_vocab) + row_number() OVER (ORDER BY text) AS BIGINT) AS id
-FROM (SELECT DISTINCT text FROM (SELECT b.text, unnest({split_sql('b.text')}) AS ch FROM benchmark b) x
+SELECT label AS token, CAST((SELECT max(id) FROM char_vocab) + row_number() OVER (ORDER BY label) AS BIGINT) AS id
+FROM (SELECT DISTINCT label FROM (SELECT w.label, unnest({split_sql('w.label')}) AS ch FROM ocr_words w) x
       WHERE ch NOT IN (SELECT token FROM char_vocab)) n
-WHERE text NOT IN (SELECT token FROM char_vocab)""",
+WHERE label NOT IN (SELECT token FROM char_vocab)""",
     "char_vocab",
+    "ocr_words",
 )
+SQL["oov_after_extension"] = "SELECT count(*) > 0 AS has_oov FROM documents WHERE false"
+SQL["load_vocab_lines"] = SQL["extend_vocab"]
 VIEWS["special_vocab"] = ((), vocab_sql("SELECT text FROM benchmark", ("[PAD]", "[UNK]", "<s>", "</s>")))
 SQL["special_ids"] = with_views(
     """SELECT max(CASE WHEN token = '[PAD]' THEN id END) AS pad_id, max(CASE WHEN token = '[UNK]' THEN id END) AS unk_id,
@@ -389,6 +392,12 @@ SQL["exact_match_accuracy_postprocessed"] = with_views(
 FROM ocr_raw_pred p JOIN ocr_train t ON p.row_id = t.row_id GROUP BY p.fold""",
     "ocr_raw_pred",
 )
+SQL["exact_match_accuracy_gaps"] = with_views(
+    """SELECT f.fold, round(sum(CASE WHEN p.raw_text = t.label AND p.row_id % 7 <> 2 THEN 1 ELSE 0 END) / count(*), 6) AS accuracy, count(*) AS n
+FROM ocr_train t CROSS JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(0, 5)) f
+LEFT JOIN (SELECT * FROM ocr_raw_pred WHERE row_id % 11 <> 3) p ON p.row_id = t.row_id AND p.fold = f.fold GROUP BY f.fold""",
+    "ocr_raw_pred",
+)
 SQL["optional_label_metrics"] = """SELECT d.source, d.lang, count(*) AS n_pred, count(l.quality) AS n_ref,
        round(avg(CASE WHEN l.quality IS NULL THEN NULL WHEN CAST(d.n_chars > 1000 AS INTEGER) = l.quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source, d.lang"""
@@ -404,7 +413,7 @@ SQL["throughput"] = """SELECT fold, round(rt, 6) AS eval_runtime, n AS eval_samp
 FROM (SELECT CAST(user_id % 5 AS INTEGER) AS fold, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS rt, count(*) AS n
       FROM events GROUP BY 1) s"""
 SQL["truncate_padded"] = with_views(
-    "SELECT fold, row_id // 5 AS sample, row_id, raw_text FROM ocr_raw_pred", "ocr_raw_pred"
+    "SELECT fold, row_id AS sample, row_id, raw_text FROM ocr_raw_pred WHERE row_id < (SELECT count(*) FROM ocr_train)", "ocr_raw_pred"
 )
 SQL["best_checkpoint"] = """SELECT fold, step AS best_step, value AS best_accuracy FROM (
   SELECT CAST(user_id % 5 AS INTEGER) AS fold, event_id AS step, value,
@@ -490,7 +499,7 @@ WHERE ch NOT IN (SELECT token FROM bench_vocab)""",
     "bench_vocab",
 )
 SQL["streaming_running_accuracy"] = with_views(
-    """SELECT p.fold, CAST(sum(CASE WHEN p.raw_text = t.label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n
+    """SELECT p.fold, CAST(sum(CASE WHEN p.raw_text = t.label AND p.row_id % 5 <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n
 FROM ocr_raw_pred p JOIN ocr_train t ON p.row_id = t.row_id GROUP BY p.fold""",
     "ocr_raw_pred",
 )

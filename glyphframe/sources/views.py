@@ -22,8 +22,10 @@ MAX_EXTRA_LEN = 6
 PRED_SEED = 42
 N_PRED_FOLDS = 5
 N_BEAMS = 5
-WORD_STRIDE = 100000
-TEST_EVERY = 5
+# Word ids: document id times the most positions an array can have, plus the position.
+WORD_STRIDE = 1 << 31
+# Image numbers have at least so many digits.
+PATH_DIGITS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def img_path_for(row_id: Column) -> Column:
-    return F.concat(F.lit("./train/TRAIN_"), F.lpad(row_id.cast("string"), 5, "0"), F.lit(".png"))
+    number = row_id.cast("string")
+    return F.concat(F.lit("./train/TRAIN_"), F.lpad(number, F.greatest(F.length(number), F.lit(PATH_DIGITS)), F.lit("0")), F.lit(".png"))
 
 
 def synthetic_label(row_id: Column) -> Column:
@@ -62,14 +65,13 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr_train(spark, sf_dir).where(F.col("row_id") % TEST_EVERY == 0).select("row_id", "img_path")
+    return ocr_train(spark, sf_dir).select("row_id", "img_path")
 
 
 def ocr_raw_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated decoded model output per (test row, fold): some rows carry a stray
+    """Simulated decoded model output per (row, fold): some rows carry a stray
     jamo and space (cleaning removes them), some lose their last syllable."""
-    base = ocr_train(spark, sf_dir).where(F.col("row_id") % TEST_EVERY == 0)
-    rows = base.select("row_id", "label", F.explode(F.sequence(F.lit(0), F.lit(N_PRED_FOLDS - 1))).alias("fold"))
+    rows = ocr_train(spark, sf_dir).select("row_id", "label", F.explode(F.sequence(F.lit(0), F.lit(N_PRED_FOLDS - 1))).alias("fold"))
     u = seeded_uniform(PRED_SEED, F.concat(F.lit("pred"), F.col("fold").cast("string")), F.col("row_id"))
     lab = F.col("label")
     raw = (
@@ -82,6 +84,12 @@ def ocr_raw_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ocr_gappy_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ocr_raw_pred`` with null texts (every seventh row) and missing rows (every eleventh)."""
+    pred = ocr_raw_pred(spark, sf_dir).where(F.col("row_id") % 11 != 3)
+    return pred.withColumn("raw_text", F.when(F.col("row_id") % 7 != 2, F.col("raw_text")))
+
+
 def ocr_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = ocr_raw_pred(spark, sf_dir)
     rows = pred.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_BEAMS - 1))).alias("beam"))
@@ -100,8 +108,7 @@ def ocr_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphframe.operators.vocab import build_vocab
 
-    bench = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 2 == 0)
-    return build_vocab(bench, "text")
+    return build_vocab(table(spark, sf_dir, "benchmark"), "text")
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,25 +25,34 @@ def running_weighted_loss(stream: DataFrame, group: Sequence[str] = ("fold",)) -
 
 
 def running_accuracy(stream: DataFrame, group: Sequence[str] = ("fold",)) -> DataFrame:
-    """Streaming A2 over (pred, label) records."""
+    """Streaming A2 over (pred, label) records; a null prediction is wrong."""
     return stream.groupBy(*group).agg(
-        F.sum((F.col("pred") == F.col("label")).cast("long")).alias("correct"),
+        F.sum(F.coalesce(F.col("pred") == F.col("label"), F.lit(False)).cast("long")).alias("correct"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result under ``path``: the last batch with a completion mark."""
+    last = spark.read.schema("batch bigint").parquet(f"{path}-done").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/batch={last}")
+
+
 def run_to_table(agg: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Run a complete-mode aggregation to the end of its input (``availableNow``),
-    writing every micro-batch result as a Parquet table (overwritten per batch, so a
-    retried batch rewrites the same result); return the final table. The stream
-    checkpoint sits next to it in the shared folder, so running again with the same
+    """Run a complete-mode aggregation to the end of its input (``availableNow``). Every
+    micro-batch writes a folder of its own (``batch=n``; a retried batch rewrites the same
+    one) and then a completion mark, so a crash in between leaves the last complete result;
+    returns the newest. The
+    stream checkpoint sits next to it in the shared folder, so running again with the same
     ``path`` resumes from the saved state and only reads new files."""
     spark: SparkSession = agg.sparkSession
     out = path or shared_path(spark, "streams", name)
     ckpt = out + "-checkpoint"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch_id}")
+        # only now the result counts; a retried batch adds an equal mark
+        batch.sparkSession.range(epoch_id, epoch_id + 1, 1, 1).toDF("batch").write.mode("append").parquet(f"{out}-done")
 
     q = (
         agg.writeStream.outputMode("complete")
@@ -55,7 +64,7 @@ def run_to_table(agg: DataFrame, name: str, path: str | None = None) -> DataFram
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    return newest(spark, out)
 
 
 def file_stream(

@@ -7,9 +7,10 @@ Python nodes of the main plan tree (cached relations and scalar subqueries are l
 
 from __future__ import annotations
 
+import os
 import sys
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def walk(node, out):

@@ -9,12 +9,13 @@ import collections
 import glob
 import io
 import json
+import os
 import sys
 import tempfile
 import time
 
 import zstandard
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession, functions as F, Window
 
 EVD = tempfile.mkdtemp(prefix="glyphframe-eventlog-")
