@@ -94,7 +94,7 @@ def scan_label_csv(
     ``multi_line`` accepts quoted line breaks inside cells (RFC 4180, as pandas does);
     a file is then read by one task, so large inputs should come as many files. Every
     file must have the first file's header (``enforceSchema`` off: another order is an
-    error, not a silent swap)."""
+    error, not a silent swap), unless there are unnamed columns."""
     reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -104,13 +104,11 @@ def scan_label_csv(
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
-    # Spark names an unnamed (index) column _cN, but its header cell reads as the null marker.
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField("\u0000" if re.fullmatch(r"_c\d+", c) else c, T.StringType()) for c in names])
-    if len(set(schema.names)) == len(names):
-        raw = reader.schema(schema).option("enforceSchema", False).csv(path)
-    else:  # several unnamed columns: positions only
-        raw = reader.csv(path)
+    raw = reader.csv(path)
+    # An unnamed (index) column has a name of Spark's own (_cN), which no header holds: such
+    # files go by position.
+    if not any(re.fullmatch(r"_c\d+", c) for c in raw.columns):
+        raw = reader.schema(raw.schema).option("enforceSchema", False).csv(path)
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"columns {missing} not in {path}")
