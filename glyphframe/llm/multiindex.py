@@ -13,7 +13,8 @@
    larger cell spans several). A query goes to every block that holds one of its cells, with a
    bitmap of its cells. Queries are dealt in turns of bounded size, so a task sees one block
    and one turn: one matrix product in double precision scores them, only vectors in cells of
-   the query count, and the best ``k`` stay. A final top-k merges the blocks.
+   the query count, and the best ``k`` stay. A final top-k merges the blocks, so fewer, larger
+   blocks mean fewer rows on the way (a block of 16,384 vectors is a few MB).
 
 ``share`` is calibrated: the least of a few values at which the traversal finds ``recall`` of
 the true neighbours inside the sample. Clustered vectors need a small part of the cells;
@@ -46,7 +47,8 @@ SAMPLE_ROWS = 20_000
 RECALL = 0.95
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 1.0)
 PROBES = 200
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 1 << 14
+TURN_ROWS = 2000
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -243,7 +245,7 @@ def search(index: DataFrame, books, queries: DataFrame, share: float, k: int = K
         sizes[r.cell] = r["count"]
     first, parts = layout(sizes, block_rows)
     need = max(k + 1, int(np.ceil(share * sizes.sum())))
-    turns = max(1, -(-queries.count() // block_rows))
+    turns = max(1, -(-queries.count() // TURN_ROWS))
     shared = spark.sparkContext.broadcast((books, sizes, first, parts))
     by = ["block", "turn"]
     asked = queries.mapInArrow(_walks(shared, need, turns), "block long, turn int, id long, vec array<double>, cells binary")
