@@ -164,3 +164,20 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+SQL["op9_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, p, md5_number(substr(h, 2 * p + 1, 800)) AS win FROM (SELECT row, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)),
+twice AS MATERIALIZED (SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY win) AS n FROM w) WHERE n > 1),
+cover AS (SELECT row, p, max(p) OVER (PARTITION BY row ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM twice),
+runs AS (SELECT row, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY p) AS run FROM cover),
+spans AS (SELECT row, run, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY row, run),
+gaps AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS s FROM spans),
+kept AS (
+  SELECT g.row, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * s + 1, 2 * (a - s)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM gaps g JOIN d USING (row) GROUP BY g.row
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
