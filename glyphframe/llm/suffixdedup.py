@@ -380,7 +380,8 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
     ``rows`` (``doc, text, print``) that has any."""
     id_type = rows.schema["doc"].dataType.simpleString()
     everything = stored(segment_table(rows, match, anchor), "suffix-segments")
-    shared = everything.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key")
+    # Sums are stored before a join: a hot key is then a plain skewed side, which Spark splits.
+    shared = stored(everything.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key"), "suffix-keys")
     some = stored(everything.join(shared, "key"), "suffix-shared")
 
     rep = F.min(F.struct("doc", "print", "first", "last", "anchors")).alias("rep")
@@ -392,8 +393,10 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
         prints.groupBy("key")
         .agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.max(F.when(F.col("copies") == 1, F.col("anchors"))).alias("own"), F.sum(size).alias("bytes"))
         .where("least = 1 and (kinds > 1 or own > 1)")
+        .select("key", "bytes")
     )
-    wanted = stored(prints.join(open_keys.select("key", "bytes"), "key"), "suffix-open")
+    open_keys = stored(open_keys, "suffix-open-keys")
+    wanted = stored(prints.join(open_keys, "key"), "suffix-open")
     total = wanted.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
     salts = F.ceil(F.col("bytes") / shard_bytes).cast("int")
