@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphframe.llm.graph import stored, text_session
 from glyphframe.llm.kernels import BASE, BYTE_CODE, U64, WordStream, mix64, powers, text_chunks
 
 CAPACITY = 2048
@@ -45,6 +46,8 @@ class Bins:
     def __init__(self, capacity: int):
         self.size = 1 << max(1, capacity).bit_length()
         self.all_have = [-1] * (2 * self.size)  # AND of the source bitmaps below; -1: no bin
+        self.clock = 0
+        self.since: dict[int, int] = {}  # bin -> when it got its present residual
         self.at: list[dict[int, dict[int, int]]] = [{} for _ in range(self.size)]  # residual -> source bitmap -> bin -> cluster bitmap
 
     def _refresh(self, room: int) -> None:
@@ -81,6 +84,8 @@ class Bins:
     def put(self, number: int, room: int, sources: int, clusters: int) -> None:
         if room <= 0:
             return
+        self.clock += 1
+        self.since[number] = self.clock
         group = self.at[room].setdefault(sources, {})
         group[number] = clusters
         if len(group) == 1:
@@ -88,7 +93,7 @@ class Bins:
 
     def take(self, need: int, source: int, cluster: int) -> tuple[int, int, int, int] | None:
         """Removes and returns the tightest compatible bin: ``(bin, residual, source bitmap,
-        cluster bitmap)``; the oldest such bin on ties."""
+        cluster bitmap)``; on ties the bin that has had its residual longest."""
         room = self._next(need, source or 1 << 62)
         while room >= 0:
             best = None
@@ -96,7 +101,7 @@ class Bins:
                 if bitmap & source:
                     continue
                 number = next((b for b, held in group.items() if not held & cluster), None)
-                if number is not None and (best is None or number < best[0]):
+                if number is not None and (best is None or self.since[number] < self.since[best[0]]):
                     best = (number, bitmap)
             if best:
                 number, bitmap = best
@@ -191,10 +196,7 @@ def best_fit(measured: DataFrame, capacity: int = CAPACITY, source_limit: bool =
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, source_limit: bool = True, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Measures and packs documents; the measures are written to the shared folder, so the
     count, the shards and a retried task all see the same rows."""
-    from glyphframe.session import shared_path
-
-    spark = docs.sparkSession
-    path = shared_path(spark, "pack-measures")
-    measure_words(docs, id_col, text_col, source_col).write.parquet(path)
-    packed = best_fit(spark.read.parquet(path), capacity, source_limit, shard_rows)
+    text_session(docs)
+    measured = stored(measure_words(docs, id_col, text_col, source_col), "pack-measures")
+    packed = best_fit(measured, capacity, source_limit, shard_rows)
     return packed if id_col == "doc_id" else packed.withColumnRenamed("doc_id", id_col)

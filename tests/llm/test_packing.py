@@ -7,15 +7,16 @@ from glyphframe.llm import packing
 
 
 def brute(sizes, sources, clusters, capacity, source_limit):
-    bins = []  # [number, room, sources, clusters], oldest first
+    bins = []  # [number, room, sources, clusters, when it got its room]
     where = [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         fits = [b for b in bins if b[1] >= sizes[i] and not (source_limit and sources[i] in b[2]) and clusters[i] not in b[3]] if sizes[i] < capacity else []
-        best = min(fits, key=lambda b: (b[1], b[0]), default=None)
+        best = min(fits, key=lambda b: (b[1], b[4]), default=None)
         if best is None:
-            best = [len(bins), capacity, set(), set()]
+            best = [len(bins), capacity, set(), set(), 0]
             bins.append(best)
         best[1] -= sizes[i]
+        best[4] = max(b[4] for b in bins) + 1
         best[2].add(sources[i])
         best[3].add(clusters[i])
         where[i] = best[0]
