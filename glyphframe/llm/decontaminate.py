@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphframe.llm.graph import text_session
 from glyphframe.llm.kernels import U64, WordStream, text_chunks
 
 WINDOW = 10
@@ -209,7 +210,7 @@ def _annotate(shared, names: list[str]) -> Callable:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: its id, ``n_words``, ``hits`` (merged runs of hit words, first
     and last word counted from 0) and ``items`` (ids of the items found, sorted)."""
-    spark = docs.sparkSession
+    spark = text_session(docs)
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(text_col).cast("string").alias("text"),
@@ -226,7 +227,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_hit_words: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents of which fewer than ``min_hit_words`` words are hit (with 1: those in
     which no window occurs), all columns as they were."""
-    spark = docs.sparkSession
+    spark = text_session(docs)
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(dict(benchmark_windows(block, window)))
 

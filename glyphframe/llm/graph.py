@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphframe.session import shared_path
 
 BROADCAST_ROWS = 500_000
+TEXT_BATCH_ROWS = 1000
+
+
+def text_session(df: DataFrame) -> SparkSession:
+    """The session of ``df``, with Arrow batches of at most ``TEXT_BATCH_ROWS`` rows: texts are
+    long, and a batch is held several times (by the JVM, by the Python worker, in its padded
+    form). A smaller setting of the user stays."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    return spark
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphframe.llm.graph import text_session
 from glyphframe.llm.kernels import WordStream, text_chunks
 
 # Base phrases with their labels.
@@ -217,6 +218,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the parsed licence expressions (see the module docstring)."""
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text" if id_col == "text" else "text"))
     id_type = rows.schema[0].dataType.simpleString()
+    text_session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()

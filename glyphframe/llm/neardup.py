@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.graph import components, small_side, spare_names, stored
+from glyphframe.llm.graph import components, small_side, spare_names, stored, text_session
 from glyphframe.llm.kernels import BASE, BYTE_CODE, IS_SPACE, SPACE_TABLE, U64, inverse64, mix64, powers, seeds, text_chunks
 
 SHINGLE = 3
@@ -269,6 +269,7 @@ def _linked(close: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(signed, classes, links)``: per document its class, the classes, and links between
     classes enough to connect every component."""
+    text_session(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("print", F.xxhash64("text"))
     id_type = texts.schema["doc"].dataType.simpleString()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.graph import small_side, stored
+from glyphframe.llm.graph import small_side, stored, text_session
 
 THRESHOLD = 0.3
 ROLE_WEIGHT, STYLE_WEIGHT = 0.75, 0.1
@@ -225,6 +225,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: id, url, ``text`` (main text) and ``blocks`` (its parts)."""
+    text_session(pages)
     address = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(address, "://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -13,8 +13,8 @@ strings repeat is decided by suffix arrays over the bytes themselves; hashes onl
    repeat. They are counted with map-side aggregation, so a passage held by a third of all
    documents is one row per task.
 4. *Variants.* Where a key has several prints and some occur once, the bytes of one segment
-   per print go to a shard. A shard takes whole keys up to ``shard_bytes``; a key with more is
-   salted over several shards. Each shard builds a suffix array by Larsson-Sadakane
+   per print go to a shard. A shard takes whole keys, ``shard_bytes`` on average; a key of
+   over twice that is salted over several shards. Each shard builds a suffix array by Larsson-Sadakane
    refinement (only groups that are not yet sorted are refined, ranks double in depth) and
    Kasai common prefixes; a window repeats if the common prefix with a neighbour reaches
    ``match``.
@@ -36,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.graph import spare_names, stored
+from glyphframe.llm.graph import spare_names, stored, text_session
 from glyphframe.llm.kernels import BASE, BYTE_CODE, U64, inverse64, mix64, powers, text_chunks
 
 MATCH = 400
 ANCHOR = 100
 SHARD_BYTES = 2 << 20
+SALT_SHARDS = 2  # a key is salted from so many shards' bytes on
 GAP = 0xFF  # never a byte of UTF-8 text
 _SEGMENT = "doc {id}, print long, key long, cover long, first int, last int, anchors int"
 
@@ -117,8 +118,8 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     head = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(U64)
-    order = np.argsort(head)
-    rank = np.empty(n, np.int64)
+    order = np.argsort(head).astype(np.int32)
+    rank = np.empty(n, np.int32)
 
     def number(at: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Gives the suffixes at the sorted places ``at`` the place of their group's first
@@ -128,16 +129,17 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         rank[order[at]] = np.repeat(at[group], size)
         return at[np.repeat(size > 1, size)]
 
-    sorted_head = head[order]
+    head = head[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_head[1:] != sorted_head[:-1]
-    at = number(np.arange(n), new)
+    new[1:] = head[1:] != head[:-1]
+    del head
+    at = number(np.arange(n, dtype=np.int32), new)
     h = 8
     while len(at):
         suffix = order[at]
-        after = suffix + h
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        pair = (rank[suffix] << 32) | second
+        after = suffix + np.int32(h)
+        pair = rank[suffix].astype(np.int64) << 32
+        pair |= np.where(after < n, rank[np.minimum(after, n - 1)] + np.int32(1), np.int32(0))
         by = np.argsort(pair)
         order[at] = suffix[by]
         pair = pair[by]
@@ -153,7 +155,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     one before it in the order, up to ``limit``. Runs of the text go in step, a lane each;
     a lane keeps its length less one from place to place, 8 bytes are compared at once."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     # Different fillers would be needed past the end; a place past it never equals a byte.
     padded = np.concatenate([data, np.zeros(limit + 16, np.uint8)])
@@ -164,7 +166,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     stop = np.minimum(p + width, n)
     length = np.zeros(len(p), np.int64)
     while len(p):
-        q = before[p]
+        q = before[p].astype(np.int64)
         room = np.minimum(limit, n - np.maximum(p, q))
         differ = words[p + length] ^ words[np.maximum(q, 0) + length]
         low = (differ & (~differ + U64(1))).astype(np.float64)
@@ -378,6 +380,7 @@ def _unite(match: int):
 def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc, print, removed`` (runs of bytes to remove, ends excluded) of every document of
     ``rows`` (``doc, text, print``) that has any."""
+    text_session(rows)
     id_type = rows.schema["doc"].dataType.simpleString()
     everything = stored(segment_table(rows, match, anchor), "suffix-segments")
     # Sums are stored before a join: a hot key is then a plain skewed side, which Spark splits.
@@ -399,7 +402,7 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
     wanted = stored(prints.join(open_keys, "key"), "suffix-open")
     total = wanted.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    salts = F.ceil(F.col("bytes") / shard_bytes).cast("int")
+    salts = F.ceil(F.col("bytes") / (SALT_SHARDS * shard_bytes)).cast("int")
     salt = F.when(salts > 1, F.pmod(F.xxhash64("cover"), salts)).otherwise(F.lit(0))
     wanted = wanted.withColumn("salts", salts).withColumn("shard", F.pmod(F.xxhash64("key", salt), F.lit(shards)).cast("int"))
     wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "cover", "first", "last", "copies", "salts", "shard")).alias("want"))
