@@ -3,8 +3,10 @@
 1. *Lexicon.* Words, and beginnings of words (4, 5 and 6 bytes, for languages that build
    words from stems), that toxic rows hold far more often than others. They are counted by
    document over a bounded sample of labelled rows (``sample_rows``, drawn by a hash of the
-   id), as hashes, with the sums merged by grouped aggregation; the log-odds ratio over its
-   standard error must reach ``z``. A short fixed list of insults is added.
+   id), as hashes, with the sums merged by grouped aggregation. A unit needs a majority of
+   toxic rows and a likelihood ratio against the overall share of at least ``evidence``
+   (30: by chance in fewer than one of ten million units). A short fixed list of insults is
+   added.
 2. *Features* of each whole text, on all rows: densities and counts of both lexicons, how
    many lexicon words stand within three words of a second person, capitals, punctuation,
    and obfuscation (digits or signs inside words, drawn-out letters, words that are in a
@@ -34,11 +36,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.graph import small_side, stored
+from glyphframe.llm.graph import small_side, stored, text_session
 from glyphframe.llm.kernels import BASE, BYTE_CODE, U64, WORD_TABLE, inverse64, mix64, powers, text_chunks
 
 SAMPLE_ROWS = 20_000
-Z, MIN_ROWS, LEXICON_SIZE = 3.0, 3, 2000
+EVIDENCE, LEXICON_SIZE = 30.0, 20_000
 TREES, DEPTH = 20, 3
 NEAR = 3
 STEMS = (4, 5, 6)
@@ -177,16 +179,17 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(units[at].view(np.int64)), pa.array(t), pa.array(n - t)], names=["unit", "toxic", "other"])
 
 
-def learn_lexicon(sample: DataFrame, z: float = Z, min_rows: int = MIN_ROWS, size: int = LEXICON_SIZE) -> np.ndarray:
+def learn_lexicon(sample: DataFrame, evidence: float = EVIDENCE, size: int = LEXICON_SIZE) -> np.ndarray:
     """Sorted hashes of the words and stems that mark toxic rows of ``sample`` (``text,
     toxic``)."""
     totals = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not totals[0] or not totals[1]:
         return np.zeros(0, U64)
     tally = sample.select("text", "toxic").mapInArrow(_tally, "unit long, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (totals[0] - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (totals[1] - F.col("c") + 0.5))
-    score = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = tally.where(F.col("t") >= min_rows).withColumn("z", score).where(F.col("z") >= z).orderBy(F.desc("z"), "unit").limit(size)
+    share = totals[0] / (totals[0] + totals[1])
+    n = F.col("t") + F.col("c")
+    ratio = 2 * (F.col("t") * F.log(F.col("t") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
+    best = tally.where("t > c").withColumn("ratio", ratio).where(F.col("ratio") >= evidence).orderBy(F.desc("ratio"), "unit").limit(size)
     return np.sort(np.array([r.unit for r in best.select("unit").collect()], np.int64).view(U64))
 
 
@@ -214,6 +217,7 @@ def held_out(doc: F.Column) -> F.Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: id, ``held_out``, ``score``, ``predicted`` and ``features``."""
+    text_session(docs)
     known = labels.select(F.col(label_id_col).alias("doc"), F.col(label_col).cast("long").alias("toxic")).where("doc is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc"))).groupBy("doc").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     known = stored(known, "toxic-labels")
