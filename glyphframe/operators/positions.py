@@ -79,7 +79,12 @@ def positions_with_offsets(
     exploded input by its source (before the explode), so left alone it may pick the
     row side as the broadcast side. Beyond the check it is a sort-merge join."""
     from glyphframe.operators.common import checked_broadcast
+    from glyphframe.session import shared_path
 
+    # Stored, so the probe and the join read a small table instead of counting the rows again.
+    path = shared_path(offsets.sparkSession, "offsets")
+    offsets.write.parquet(path)
+    offsets = offsets.sparkSession.read.parquet(path)
     w = Window.partitionBy(*by, bucket).orderBy(*order)
     small = checked_broadcast(offsets)
     joined = _null_safe(df, small if small is not offsets else offsets.hint("merge"), [*by, bucket], "left")
