@@ -1,18 +1,20 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
-1. A text's set is its distinct 3-word shingles. Texts with equal sets are one class (known
+1. A text's set is its distinct shingles of ``width`` words. Texts with equal sets are one class (known
    by size and two 64-bit sums over the set), so exact copies never meet in a join.
 2. A class has a signature of 32 min-hashes of 16 bits. Two signatures differ in at most 15
    symbols only if one of their 8 chunks of 4 symbols differs in at most 1 (pigeonhole:
    8 * 2 > 15). The allowed chunk errors are enumerated: each chunk gives 4 keys, one symbol
-   left out at a time. So all pairs within distance 15 share a key. Texts of similarity 0.85
-   lie beyond that distance with probability 4e-6.
+   left out at a time. So all pairs within distance 15 share a key. Pairs further apart are
+   not ruled out: a pair shares no key only if each of its 8 chunks differs in 2 symbols or
+   more. At similarity s a chunk does with ``q = 1 - s**4 - 4 * (1 - s) * s**3``, so a pair is
+   missed with ``q**8``: 2e-8 at 0.85, 1.1e-6 at 0.8.
 3. Pairs of a bucket are compared where they meet, and only survivors leave the task. Each
    class carries 1,024 parity bits (a shingle flips the bit of its hash). The bits in which
    two classes differ are at most the shingles in which they differ, so a pair whose bits
    differ too much can't be linked: a bound, no estimate. Buckets of more than
    ``BLOCK`` classes are cut into blocks, and a task takes a pair of blocks.
-4. Sets of survivors are compared in full (``100 * shared >= 85 * united``); only then is
+4. Sets of survivors are compared in full (``100 * shared >= percent * united``); only then is
    there a link. The first pass sends a spanning forest of the survivors of each bucket
    (fewer rows than the bucket has). The second pass takes the buckets that still span
    several components and sends every survivor that crosses components, so no pair that
@@ -117,24 +119,27 @@ def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(U64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch in batches:
-        n = batch.num_rows
-        size, one, two = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        signs = np.zeros((n, SYMBOLS), np.uint16)
-        bits = np.zeros((n, PARITY_BITS // 64), U64)
-        for a, b, raw, ends in text_chunks(batch.column(1), max_bytes=1 << 19):
-            values, first = shingler.sets(raw, ends)
-            size[a:b] = np.diff(first)
-            bits[a:b] = parities(values, first)
-            full = np.flatnonzero(np.diff(first) > 0)
-            if len(full):
-                at = np.append(first[full], len(values))
-                signs[a + full], one[a + full], two[a + full] = signatures(values, at)
-        sign = pa.array([signs[i].tobytes() for i in range(n)], pa.binary())
-        parity = pa.array([bits[i].tobytes() for i in range(n)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(one), pa.array(two), sign, parity], names=["doc", "print", "size", "one", "two", "sign", "parity"])
+def _sign(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            n = batch.num_rows
+            size, one, two = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            signs = np.zeros((n, SYMBOLS), np.uint16)
+            bits = np.zeros((n, PARITY_BITS // 64), U64)
+            for a, b, raw, ends in text_chunks(batch.column(1), max_bytes=1 << 19):
+                values, first = shingler.sets(raw, ends)
+                size[a:b] = np.diff(first)
+                bits[a:b] = parities(values, first)
+                full = np.flatnonzero(np.diff(first) > 0)
+                if len(full):
+                    at = np.append(first[full], len(values))
+                    signs[a + full], one[a + full], two[a + full] = signatures(values, at)
+            sign = pa.array([signs[i].tobytes() for i in range(n)], pa.binary())
+            parity = pa.array([bits[i].tobytes() for i in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(one), pa.array(two), sign, parity], names=["doc", "print", "size", "one", "two", "sign", "parity"])
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
-def _survivors(forest: bool):
+def _survivors(forest: bool, percent: int):
     """Rows ``key, x, y, side, node, root, size, parity`` sorted by bucket, block pair and
     node -> pairs of nodes that may be linked: a spanning forest per task's share of a bucket
     (``forest``), or all pairs of different roots."""
@@ -174,7 +179,7 @@ def _survivors(forest: bool):
             if not len(near):
                 continue
             differ = np.bitwise_count(bits[near] ^ bits[q]).sum(1, dtype=np.int64)
-            near = near[(100 + PERCENT) * differ <= (100 - PERCENT) * (size[near] + size[q])]
+            near = near[(100 + percent) * differ <= (100 - percent) * (size[near] + size[q])]
             if not len(near):
                 continue
             if forest:
@@ -192,7 +197,7 @@ def _survivors(forest: bool):
         begin, end = np.concatenate([[0], new]), np.append(new, len(key))
         two = begin[end - begin == 2]  # most buckets: one comparison for all of them
         differ = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64)
-        ok = ((100 + PERCENT) * differ <= (100 - PERCENT) * (size[two] + size[two + 1])) & ((x[two] == y[two]) | (side[two] != side[two + 1]))
+        ok = ((100 + percent) * differ <= (100 - percent) * (size[two] + size[two + 1])) & ((x[two] == y[two]) | (side[two] != side[two + 1]))
         if not forest:
             ok &= root[two] != root[two + 1]
         a, b = node[two[ok] + 1].tolist(), node[two[ok]].tolist()
@@ -223,37 +228,41 @@ def _survivors(forest: bool):
     return run
 
 
-def _candidates(held: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+def _candidates(held: DataFrame, classes: DataFrame, forest: bool, percent: int) -> DataFrame:
     """Distinct survivors ``a, b`` of the buckets ``held`` (``key, node, root, n``)."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = held.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "root")
     full = dealt.join(classes.select("node", "size", "parity"), "node").select("key", "x", "y", "side", "node", "root", "size", "parity")
     full = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return full.mapInArrow(_survivors(forest), "a long, b long").distinct()
+    return full.mapInArrow(_survivors(forest, percent), "a long, b long").distinct()
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(width: int, percent: int):
     """Pairs of texts -> pairs whose full sets are similar enough."""
-    shingler = Shingler()
-    held: tuple[int, np.ndarray] | None = None
-    for batch in batches:
-        left = batch.column(2)
-        b_nodes, b_texts = batch.column(1).to_pylist(), batch.column(3)
-        good = np.zeros(batch.num_rows, bool)
-        for a, b, raw, ends in text_chunks(left, max_bytes=1 << 19):
-            values, first = shingler.sets(raw, ends)
-            for i in range(a, b):
-                if held is None or held[0] != b_nodes[i]:
-                    _, _, other, other_ends = next(text_chunks(b_texts.slice(i, 1)))
-                    held = (b_nodes[i], shingler.sets(other, other_ends)[0])
-                mine = values[first[i - a] : first[i - a + 1]]
-                shared = len(mine) + len(held[1]) - len(np.unique(np.concatenate([mine, held[1]])))
-                good[i] = 100 * shared >= PERCENT * (len(mine) + len(held[1]) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
-
-
-def _linked(close: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        held: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            left = batch.column(2)
+            b_nodes, b_texts = batch.column(1).to_pylist(), batch.column(3)
+            good = np.zeros(batch.num_rows, bool)
+            for a, b, raw, ends in text_chunks(left, max_bytes=1 << 19):
+                values, first = shingler.sets(raw, ends)
+                for i in range(a, b):
+                    if held is None or held[0] != b_nodes[i]:
+                        _, _, other, other_ends = next(text_chunks(b_texts.slice(i, 1)))
+                        held = (b_nodes[i], shingler.sets(other, other_ends)[0])
+                    mine = values[first[i - a] : first[i - a + 1]]
+                    shared = len(mine) + len(held[1]) - len(np.unique(np.concatenate([mine, held[1]])))
+                    good[i] = 100 * shared >= percent * (len(mine) + len(held[1]) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _linked(close: DataFrame, classes: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """The pairs (``a, b``, stored) that are links."""
     nodes = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
     nodes = stored(nodes.join(classes.select("node", "doc", "print"), "node"), f"near-{name}-nodes")
@@ -263,17 +272,17 @@ def _linked(close: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -
     a, b = found.alias("a"), found.alias("b")
     both = close.alias("p").join(a, F.col("p.a") == F.col("a.node")).select("p.a", "p.b", F.col("a.text").alias("left")).alias("p").join(b, F.col("p.b") == F.col("b.node"))
     both = both.select("p.a", "p.b", "p.left", F.col("b.text").alias("right")).sortWithinPartitions("b")
-    return stored(both.mapInArrow(_compare, "a long, b long"), f"near-{name}-links")
+    return stored(both.mapInArrow(_compare(width, percent), "a long, b long"), f"near-{name}-links")
 
 
-def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(signed, classes, links)``: per document its class, the classes, and links between
     classes enough to connect every component."""
     text_session(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("print", F.xxhash64("text"))
     id_type = texts.schema["doc"].dataType.simpleString()
-    signed = stored(texts.select("doc", "text", "print").mapInArrow(_sign, f"doc {id_type}, print long, size long, one long, two long, sign binary, parity binary"), "near-signed")
+    signed = stored(texts.select("doc", "text", "print").mapInArrow(_sign(width), f"doc {id_type}, print long, size long, one long, two long, sign binary, parity binary"), "near-signed")
 
     members = signed.where("size > 0").groupBy("size", "one", "two")
     classes = members.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("rep"), F.min("sign").alias("sign"), F.min("parity").alias("parity"))
@@ -284,22 +293,23 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Stored before the join: a hot key is then a plain skewed side, which Spark can split.
     buckets = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-bucket-sizes")
     held = stored(keys.join(buckets, "key"), "near-buckets")
-    first = stored(_candidates(held.withColumn("root", F.col("node")), classes, True), "near-first")
-    links = _linked(first, classes, texts, "first")
+    first = stored(_candidates(held.withColumn("root", F.col("node")), classes, True, percent), "near-first")
+    links = _linked(first, classes, texts, "first", width, percent)
 
     # Second pass: buckets that span several components.
     roots = components(links, "near-first-components")
     placed = stored(held.where("n > 2").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")), "near-placed")
     open_keys = stored(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "near-open-keys")
-    second = _candidates(placed.join(open_keys, "key"), classes, False).join(first, ["a", "b"], "left_anti")
-    more = _linked(stored(second, "near-second"), classes, texts, "second")
+    second = _candidates(placed.join(open_keys, "key"), classes, False, percent).join(first, ["a", "b"], "left_anti")
+    more = _linked(stored(second, "near-second"), classes, texts, "second", width, percent)
     return signed, classes, links.unionAll(more)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``print`` (hash of its text), ``n_shingles``,
-    ``component_id`` and ``kept`` (its id names the component)."""
-    signed, classes, links = classes_and_links(docs, id_col, text_col)
+    ``component_id`` and ``kept`` (its id names the component). Texts are linked if their
+    shingles of ``width`` words are similar to ``percent`` or more."""
+    signed, classes, links = classes_and_links(docs, id_col, text_col, width, percent)
     roots = components(links, "near-components")
     named = classes.join(roots, "node", "left").select("size", "one", "two", "doc", F.coalesce("root", "node").alias("root"))
     named = stored(named, "near-named")
@@ -311,10 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias(id_col), "print", "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that name their component, once each; all columns as they were."""
     doc, mark, own = spare_names(docs, "doc", "mark", "own")
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(doc), F.col("print").alias(mark)).distinct()
+    kept = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col(id_col).alias(doc), F.col("print").alias(mark)).distinct()
     print_of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = docs.withColumn(own, print_of).join(kept, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)))
     return out.dropDuplicates([id_col, own]).select(*docs.columns)

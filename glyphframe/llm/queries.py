@@ -90,7 +90,7 @@ def op7_toxicity(spark, sf_dir):
 @register
 def op8_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate components of every document (shingles of 3 words, similarity 0.85)."""
-    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
