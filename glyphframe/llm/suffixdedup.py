@@ -22,6 +22,12 @@ strings repeat is decided by suffix arrays over the bytes themselves; hashes onl
    digests are sorted over the cluster, and binary search in the sorted runs finds windows
    that two shards have.
 
+Passages of words (``remove_passages``) go the same way with words for bytes: a window is
+``words`` words with the bytes between them, however short, and belongs to the smallest hash
+of the runs of ``anchor`` words inside it. Windows differ in bytes, so instead of step 4 the
+windows of open keys are counted by two 64-bit digests. Words are what stands between ASCII
+white space; text without white space has no passages.
+
 Rows are known by ``(id, hash of the text)``: repeated rows have the same result, and each
 counts as a place of its own. Defined results: null and empty texts have no bytes and no
 runs; texts shorter than ``match`` keep all; an empty table gives an empty result.
@@ -37,13 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphframe.llm.graph import spare_names, stored, text_session
-from glyphframe.llm.kernels import BASE, BYTE_CODE, U64, inverse64, mix64, powers, text_chunks
+from glyphframe.llm.kernels import BASE, BYTE_CODE, IS_SPACE, U64, inverse64, mix64, powers, text_chunks
 
 MATCH = 400
 ANCHOR = 100
 SHARD_BYTES = 2 << 20
 SALT_SHARDS = 2  # a key is salted from so many shards' bytes on
 GAP = 0xFF  # never a byte of UTF-8 text
+WORDS, ANCHOR_WORDS = 51, 13
 _SEGMENT = "doc {id}, print long, key long, cover long, first int, last int, anchors int"
 
 
@@ -71,13 +78,61 @@ class _Powers:
 def segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int = MATCH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...] | None:
     """``(text, key, cover, first, last, anchors)`` of the segments of texts that lie one after
     the other in ``raw``; ``anchors`` is 2 if the key's string stands twice or more in it."""
-    n, width = len(raw), match - anchor + 1
+    n = len(raw)
     if n < match:
         return None
     up, down = table.upto(n + 1)
     prefix = np.zeros(n + 1, U64)
     np.cumsum(BYTE_CODE[raw] * up[:n], out=prefix[1:])
     hashes = mix64((prefix[anchor:] - prefix[:-anchor]) * down[: n - anchor + 1])
+    got = _segments_of(hashes, ends, match, anchor)
+    if got is None:
+        return None
+    text, key, first, last, anchors = got
+    cover = _print(prefix, down, first, last + match)
+    begin = np.concatenate([[0], ends[:-1]])[text]
+    return text, key, cover, first - begin, last - begin, anchors
+
+
+def words_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(begin, stop, ends)``: where the words of texts that each end in a space begin and
+    end, and the number of words up to the end of each text."""
+    word = ~IS_SPACE[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(raw) and word[0]:
+        edge = np.concatenate([[0], edge])
+    begin = edge[::2]
+    return begin, edge[1::2], np.searchsorted(begin, ends)
+
+
+def word_segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int = WORDS, anchor: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...] | None:
+    """As ``segments`` over windows of ``match`` words, of texts that each end in a space;
+    ``first`` is the first byte of the segment's first word, ``last`` the end of its last."""
+    begin, stop, word_ends = words_of(raw, ends)
+    if len(begin) < match:
+        return None
+    up, down = table.upto(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, U64)
+    np.cumsum(BYTE_CODE[raw] * up[: len(raw)], out=prefix[1:])
+    hashes = _print(prefix, down, begin[: len(begin) - anchor + 1], stop[anchor - 1 :])
+    got = _segments_of(hashes, word_ends, match, anchor)
+    if got is None:
+        return None
+    text, key, first, last, anchors = got
+    lo, hi = begin[first], stop[last + match - 1]
+    start = np.concatenate([[0], ends[:-1]])[text]
+    return text, key, _print(prefix, down, lo, hi), lo - start, hi - start, anchors
+
+
+def _print(prefix: np.ndarray, down: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from ``first`` to ``end`` and of their number."""
+    return mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _segments_of(hashes: np.ndarray, ends: np.ndarray, match: int, anchor: int) -> tuple[np.ndarray, ...] | None:
+    """``(text, key, first, last, anchors)`` by the hashes of all anchors; places count from
+    the first text's begin, in bytes or words as ``ends`` does."""
+    n, width = len(hashes) + anchor - 1, match - anchor + 1
     least = sliding(hashes, width, np.minimum)  # of the windows from 0 to n - match
     starts = np.concatenate([[0], ends[:-1]])
     long = ends - starts >= match
@@ -105,11 +160,7 @@ def segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int = MAT
         todo = todo[(at[todo] < stop[todo]) & (anchors[todo] < 2)]
         anchors[todo] += hashes[places[at[todo]]] == key[todo]
         at[todo] += 1
-    size = last + match - first
-    cover = mix64((prefix[last + match] - prefix[first]) * down[first] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
-    text = np.searchsorted(ends, first, side="right")
-    begin = np.concatenate([[0], ends[:-1]])[text]
-    return text, key, cover, first - begin, last - begin, anchors
+    return np.searchsorted(ends, first, side="right"), key, first, last, anchors
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -215,15 +266,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("print", F.xxhash64("text"))
 
 
-def segment_table(rows: DataFrame, match: int, anchor: int) -> DataFrame:
-    """Step 1 over ``(doc, text, print)``."""
+def segment_table(rows: DataFrame, match: int, anchor: int, words: bool = False) -> DataFrame:
+    """Step 1 over ``(doc, text, print)``; with ``words``, ``match`` and ``anchor`` count words."""
+    cut, pad, least = (word_segments, b" ", 2 * match - 1) if words else (segments, b"", match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Powers()
         for batch in batches:
             found = []
-            for a, _, raw, ends in text_chunks(batch.column(1), max_bytes=1 << 17, pad=b""):
-                got = segments(raw, ends, table, match, anchor)
+            for a, _, raw, ends in text_chunks(batch.column(1), max_bytes=1 << 17, pad=pad):
+                got = cut(raw, ends, table, match, anchor)
                 if got is not None:
                     found.append((got[0] + a, *got[1:]))
             if not found:
@@ -233,7 +285,7 @@ def segment_table(rows: DataFrame, match: int, anchor: int) -> DataFrame:
             ints = [pa.array(x.view(np.int64)) for x in (key, cover)] + [pa.array(x.astype(np.int32)) for x in (first, last, anchors)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *ints], names=["doc", "print", "key", "cover", "first", "last", "anchors"])
 
-    return rows.where(F.octet_length("text") >= match).mapInArrow(run, _SEGMENT.format(id=rows.schema["doc"].dataType.simpleString()))
+    return rows.where(F.octet_length("text") >= least).mapInArrow(run, _SEGMENT.format(id=rows.schema["doc"].dataType.simpleString()))
 
 
 def _cut(rows: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
@@ -377,28 +429,100 @@ def _unite(match: int):
     return run
 
 
-def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``doc, print, removed`` (runs of bytes to remove, ends excluded) of every document of
-    ``rows`` (``doc, text, print``) that has any."""
+def _shared_segments(rows: DataFrame, match: int, anchor: int, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 to 3: the segments of keys seen twice or more, and their distinct prints with
+    the number of copies and one place of each."""
     text_session(rows)
-    id_type = rows.schema["doc"].dataType.simpleString()
-    everything = stored(segment_table(rows, match, anchor), "suffix-segments")
+    everything = stored(segment_table(rows, match, anchor, words), "suffix-segments")
     # Sums are stored before a join: a hot key is then a plain skewed side, which Spark splits.
     shared = stored(everything.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key"), "suffix-keys")
     some = stored(everything.join(shared, "key"), "suffix-shared")
-
     rep = F.min(F.struct("doc", "print", "first", "last", "anchors")).alias("rep")
     prints = some.groupBy("key", "cover").agg(F.count("*").alias("copies"), rep)
-    prints = stored(prints.select("key", "cover", "copies", "rep.*"), "suffix-prints")
+    return some, stored(prints.select("key", "cover", "copies", "rep.*"), "suffix-prints")
+
+
+def _open_keys(prints: DataFrame, *sums: F.Column) -> DataFrame:
+    """Keys of which some print occurs once and may hold windows that repeat; with ``sums``."""
+    own = F.max(F.when(F.col("copies") == 1, F.col("anchors"))).alias("own")
+    grouped = prints.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), own, *sums)
+    return grouped.where("least = 1 and (kinds > 1 or own > 1)").drop("kinds", "least", "own")
+
+
+def _window_digests(match: int):
+    """Rows ``doc, print, text, want`` -> two prints and the bytes (``first``, ``last``) of
+    every window of ``match`` words of the wanted segments."""
+
+    def of_pieces(pieces: list[bytes], table: _Powers) -> tuple[np.ndarray, ...]:
+        raw = np.frombuffer(b"".join(x + b" " for x in pieces), np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in pieces])
+        begin, stop, word_ends = words_of(raw, ends)
+        piece = np.searchsorted(ends, begin, side="right")
+        at = np.flatnonzero(piece[: len(piece) - match + 1] == piece[match - 1 :])
+        lo, hi, piece = begin[at], stop[at + match - 1], piece[at]
+        up, down = table.upto(len(raw) + 1)
+        out = []
+        for codes in (BYTE_CODE, mix64(BYTE_CODE.copy())):
+            prefix = np.zeros(len(raw) + 1, U64)
+            np.cumsum(codes[raw] * up[: len(raw)], out=prefix[1:])
+            out.append(_print(prefix, down, lo, hi).view(np.int64))
+        start = np.concatenate([[0], ends[:-1]])[piece]
+        return piece, lo - start, hi - start, *out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Powers()
+        for batch in batches:
+            row, first, known, pieces, held = [], [], [], [], 0
+
+            def windows() -> pa.RecordBatch:
+                piece, lo, hi, a, b = of_pieces(pieces, table)
+                take, start = pa.array(np.asarray(row, np.int64)[piece]), np.asarray(first, np.int64)[piece]
+                cols = [pa.array((start + lo).astype(np.int32)), pa.array((start + hi).astype(np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(known, bool)[piece])]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=["doc", "print", "first", "last", "a", "b", "known"])
+
+            for i, want in enumerate(batch.column(3).to_pylist()):
+                raw = batch.column(2)[i].as_buffer().to_pybytes()
+                for s in want:
+                    row.append(i)
+                    first.append(s["first"])
+                    known.append(s["copies"] > 1)
+                    pieces.append(raw[s["first"] : s["last"]])
+                    held += s["last"] - s["first"]
+                    if held > 1 << 20:
+                        yield windows()
+                        row, first, known, pieces, held = [], [], [], [], 0
+            if pieces:
+                yield windows()
+
+    return run
+
+
+def repeated_passages(rows: DataFrame, words: int = WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """``doc, print, removed`` (runs of bytes, ends excluded) of every document of ``rows``
+    (``doc, text, print``) with a passage of ``words`` words or more that stands elsewhere
+    too, byte for byte."""
+    id_type = rows.schema["doc"].dataType.simpleString()
+    some, prints = _shared_segments(rows, words, anchor, words=True)
+    wanted = prints.join(stored(_open_keys(prints), "suffix-open-keys"), "key")
+    wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last", "copies")).alias("want"))
+    pairs = rows.alias("r").join(wanted.alias("w"), F.col("r.doc").eqNullSafe(F.col("w.doc")) & (F.col("r.print") == F.col("w.print")))
+    digests = pairs.select("r.doc", "r.print", "r.text", "w.want").mapInArrow(_window_digests(words), f"doc {id_type}, print long, first int, last int, a long, b long, known boolean")
+    digests = stored(digests, "suffix-windows")
+    twice = stored(digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "suffix-twice")
+    found = digests.where("not known").join(twice, ["a", "b"]).select("doc", "print", "first", "last")
+    copied = some.join(prints.where("copies > 1").select("key", "cover"), ["key", "cover"]).select("doc", "print", "first", "last")
+    per_doc = copied.unionAll(found).groupBy("doc", "print").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    return per_doc.mapInArrow(_unite(0), f"doc {id_type}, print long, removed array<struct<begin:int,end:int>>")
+
+
+def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``doc, print, removed`` (runs of bytes to remove, ends excluded) of every document of
+    ``rows`` (``doc, text, print``) that has any."""
+    id_type = rows.schema["doc"].dataType.simpleString()
+    some, prints = _shared_segments(rows, match, anchor)
 
     size = F.col("last") - F.col("first") + match + 1
-    open_keys = (
-        prints.groupBy("key")
-        .agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.max(F.when(F.col("copies") == 1, F.col("anchors"))).alias("own"), F.sum(size).alias("bytes"))
-        .where("least = 1 and (kinds > 1 or own > 1)")
-        .select("key", "bytes")
-    )
-    open_keys = stored(open_keys, "suffix-open-keys")
+    open_keys = stored(_open_keys(prints, F.sum(size).alias("bytes")), "suffix-open-keys")
     wanted = stored(prints.join(open_keys, "key"), "suffix-open")
     total = wanted.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
@@ -438,8 +562,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents without their repeated bytes, all other columns as they were
     (``length_col``, if there, is the new length in characters). A character that a run cuts
     goes whole. Documents without repeats are passed on untouched."""
+    return _without(docs, repeated_runs(_rows(docs, id_col, text_col), match, anchor, shard_bytes), id_col, text_col, length_col)
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", words: int = WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """The same for passages of ``words`` words or more that stand twice or more."""
+    return _without(docs, repeated_passages(_rows(docs, id_col, text_col), words, anchor), id_col, text_col, length_col)
+
+
+def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
     doc, mark, own, removed, kept = spare_names(docs, "doc", "mark", "own", "removed", "kept")
-    runs = repeated_runs(_rows(docs, id_col, text_col), match, anchor, shard_bytes).toDF(doc, mark, removed)
+    runs = runs.toDF(doc, mark, removed)
     print_of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     both = docs.withColumn(own, print_of).join(runs, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)), "left")
     raw = F.encode(text_col, "UTF-8")
