@@ -24,8 +24,8 @@ vectors.
 If fewer than ``k`` candidates exist, all are returned. Defined results: vectors that are
 null, empty, zero, of another length than most, or hold null or non-finite components take
 no part, neither as query nor as candidate; a null id takes no part; ties go to the smaller
-id; repeated ids are separate vectors (a query id that stands twice is two queries with the
-same rows, of which one is kept); an empty table gives an empty result.
+id; a row that repeats (same id, same vector) counts once, before anything is indexed; one id
+with several vectors is several vectors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,12 +137,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def build(vectors: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS, k: int = K, recall: float = RECALL) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None, float]:
     """``(index, codebooks, share)``: ``id, vec, cell`` of every vector, stored, and the share
     of it that a search has to visit."""
-    n = vectors.count()
+    n = vectors.select("id", F.xxhash64("vec")).distinct().count()
     if not n:
         return vectors.withColumn("cell", F.lit(0)), None, 1.0
     parts = 1_000_000
     share = min(parts, int(parts * sample_rows / n) + 1)
-    sample = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(parts)) < share).select("vec").orderBy(F.xxhash64("vec")).limit(2 * sample_rows)
+    sample = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(parts)) < share).dropDuplicates(["id", "vec"]).select("vec").orderBy(F.xxhash64("vec")).limit(2 * sample_rows)
     points = np.array([r.vec for r in sample.toLocalIterator()] or [vectors.first().vec])
     half = points.shape[1] // 2
     books = (kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids))
@@ -157,7 +157,7 @@ def build(vectors: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAM
                 cell = nearest(m[:, :h], one) * len(two) + nearest(m[:, h:], two)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vec", "cell"])
 
-    index = stored(vectors.mapInArrow(run, "id long, vec array<double>, cell int"), "multiindex")
+    index = stored(vectors.dropDuplicates(["id", "vec"]).mapInArrow(run, "id long, vec array<double>, cell int"), "multiindex")
     return index, books, calibrate(points, books, k, recall)
 
 
