@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, styletree, suffixdedup, toxicity, urlfilter
+from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, ranked, styletree, suffixdedup, toxicity, urlfilter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -109,6 +109,12 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", "language", "text_language", "posterior", "accepted")
 
 
+@register
+def op13_ranked_search(spark, sf_dir):
+    """The 50 best documents for every benchmark item."""
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def language_id_pages(spark, sf_dir):
     """The same over every page: language declared in its markup, address suffix, host."""
@@ -181,3 +187,21 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
        sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (row)
 """
+
+SQL["op13_ranked_search"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+size AS (SELECT count(*) AS n_docs, sum(len(w)) AS total FROM d WHERE len(w) > 0),
+b AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+),
+p AS MATERIALIZED (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY row, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, size GROUP BY t),
+score AS (
+  SELECT item_id, row, CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n_docs) // total)))) AS BIGINT) AS score
+  FROM p JOIN weight USING (t) JOIN b USING (t) JOIN d USING (row), size GROUP BY item_id, row
+),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM score JOIN d USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
