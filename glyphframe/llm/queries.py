@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, langid, licences, multiindex, neardup, packing, ranked, styletree, suffixdedup, toxicity, urlfilter
+from glyphframe.llm import chatformat, convrepair, decontaminate, langid, licences, multiindex, neardup, packing, ranked, styletree, suffixdedup, toxicity, urlfilter
+from glyphframe.llm.graph import stored
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -109,6 +110,48 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", "language", "text_language", "posterior", "accepted")
 
 
+def damaged(conversations):
+    """Rows with faults, drawn by the checksum of ``conv_id:turn``; ``copies`` says how often each
+    stands."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(shown("role")).alias("role"),
+        text.alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+@register
+def op11_structure_repair(spark, sf_dir):
+    """Cheapest repair of every conversation after damage."""
+    return convrepair.repair_conversations(damaged(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+@register
+def op12_chat_format(spark, sf_dir):
+    """Every conversation, and one that says control strings, rendered and read back."""
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
+    out = stored(chatformat.format_conversations(rows), "chat-formatted")
+    turns = F.transform(chatformat.parse_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = out.select("conv_id", turns.alias("turns"), chatformat.learned_text(F.col("formatted"), F.col("mask")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @register
 def op13_ranked_search(spark, sf_dir):
     """The 50 best documents for every benchmark item."""
@@ -205,3 +248,66 @@ score AS (
 ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM score JOIN d USING (row) WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+SQL["op12_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+r AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*/?(?:s>|(?:SYS|INST|OUT|ROLE)\]))', '\1\\\2', 'g') AS shown, regexp_replace(role, '([<\[])(\\*/?(?:s>|(?:SYS|INST|OUT|ROLE)\]))', '\1\\\2', 'g') AS named FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       CAST(sum(length(shown) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 20 WHEN 'assistant' THEN 18 ELSE 20 + length(named) END) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+SQL["op11_structure_repair"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+),
+f AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(unicode(substr(key, i, 1)) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)), CAST(4294967295 AS BIGINT))) % 20 AS fault FROM c
+),
+d AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f
+),
+o AS (
+  SELECT *, row_number() OVER w AS pos, lead(role) OVER w AS next, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen FROM o),
+r AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count_if(blank) AS BIGINT) AS blank, CAST(count_if(seen AND NOT blank) AS BIGINT) AS duplicate, CAST(count_if(open AND NOT seen AND NOT blank) AS BIGINT) AS truncated,
+         CAST(count_if(next IS NOT NULL AND role[1:1] || next[1:1] NOT IN ('su', 'ua', 'au')) AS BIGINT) AS illegal
+  FROM g GROUP BY conv_id
+),
+inserts(s, s2, c, a, t) AS (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+  (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+keeps(s, initial, s2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+rerole(s, s2, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')),
+edits AS (
+  SELECT conv_id, pos, s, s AS s2, 2 AS c, 'D' AS a, CAST([] AS VARCHAR[]) AS t FROM g, unnest([0, 1, 2, 3]) AS states(s)
+  UNION ALL SELECT conv_id, pos, s, s2, CASE WHEN open THEN 5 ELSE 0 END, 'K', [role || ':' || text] FROM g JOIN keeps ON role[1:1] = initial WHERE NOT blank AND NOT seen
+  UNION ALL SELECT conv_id, pos, s, s2, CASE WHEN open THEN 6 ELSE 1 END, 'R', [rerole.role || ':' || text] FROM g, rerole WHERE NOT blank AND NOT seen
+),
+ways(conv_id, pos, s, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])} FROM r
+  UNION ALL
+  SELECT ways.conv_id, ways.pos + 1, edits.s2, min({'c': CAST(best.c + inserts.c + edits.c AS BIGINT), 'a': best.a || inserts.a || edits.a, 't': list_concat(list_concat(best.t, inserts.t), edits.t)})
+  FROM ways JOIN inserts ON inserts.s = ways.s JOIN edits ON edits.conv_id IS NOT DISTINCT FROM ways.conv_id AND edits.pos = ways.pos + 1 AND edits.s = inserts.s2
+  GROUP BY ways.conv_id, ways.pos, edits.s2
+),
+ends AS (
+  SELECT ways.conv_id, min({'c': CAST(best.c + inserts.c AS BIGINT), 'a': best.a || inserts.a, 't': list_concat(best.t, inserts.t)}) AS b
+  FROM ways JOIN r ON r.conv_id IS NOT DISTINCT FROM ways.conv_id AND ways.pos = r.n JOIN inserts ON inserts.s = ways.s WHERE s2 IN (0, 3) GROUP BY ways.conv_id
+)
+SELECT r.conv_id, gaps, blank, duplicate, truncated, illegal, b.c AS cost, b.a AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM r JOIN ends ON ends.conv_id IS NOT DISTINCT FROM r.conv_id
+UNION ALL SELECT DISTINCT conv_id, 0, 0, 0, 0, 0, 0, '', sha256('') FROM conversations WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id IS NOT DISTINCT FROM conversations.conv_id)
+"""
