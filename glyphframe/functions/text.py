@@ -30,6 +30,8 @@ S_COUNT = 11172
 # syllable arithmetic alone, so they never need the Python path.
 _SIMPLE_CLASS = r"[\x00-\x7F가-힣]"
 _SIMPLE_RE = rf"^{_SIMPLE_CLASS}*$"
+# Jamo that join what stands before them.
+_JOINING_RE = "[\u1161-\u1175\u11a8-\u11c2]"
 
 
 def _c(col) -> Column:
@@ -41,6 +43,17 @@ def char_from_code(cp) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(_c(cp).cast("bigint")), 8, "0")), "UTF-32")
 
 
+def hex_of(code: Column) -> Column:
+    """Eight hex digits of a code point, as ``text_of`` takes them."""
+    return F.lpad(F.hex(code.cast("bigint")), 8, "0")
+
+
+def text_of(hexes: Column) -> Column:
+    """The text of an array of hex digits (``hex_of``, several together or none): decoded as a whole, after
+    a byte-order mark, so that such a mark inside the text stays."""
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(hexes, ""))), "UTF-32")
+
+
 def code_of(ch) -> Column:
     """Code point of the first character of a string column."""
     return F.ascii(_c(ch))
@@ -100,35 +113,52 @@ def hangul_decompose(col) -> Column:
     """
 
     def one(ch: Column) -> Column:
-        i = code_of(ch) - F.lit(S_BASE)
-        lead = char_from_code(F.lit(L_BASE) + F.floor(i / N_COUNT))
-        vowel = char_from_code(F.lit(V_BASE) + F.floor((i % N_COUNT) / T_COUNT))
-        tail = F.when(i % T_COUNT > 0, char_from_code(F.lit(T_BASE) + i % T_COUNT)).otherwise(F.lit(""))
-        return F.when(i.between(0, S_COUNT - 1), F.concat(lead, vowel, tail)).otherwise(ch)
+        code = code_of(ch)
+        i = code - F.lit(S_BASE)
+        lead = hex_of(F.lit(L_BASE) + F.floor(i / N_COUNT))
+        vowel = hex_of(F.lit(V_BASE) + F.floor((i % N_COUNT) / T_COUNT))
+        tail = F.when(i % T_COUNT > 0, hex_of(F.lit(T_BASE) + i % T_COUNT)).otherwise(F.lit(""))
+        return F.when(i.between(0, S_COUNT - 1), F.concat(lead, vowel, tail)).otherwise(hex_of(code))
 
-    return F.array_join(F.transform(chars(col), one), "")
+    c = _c(col)
+    return F.when(c.rlike(f"[{HANGUL_SYLLABLES}]"), text_of(F.transform(chars(c), one))).otherwise(c)
 
 
 def hangul_compose(col) -> Column:
     """NFC of conjoining jamo by Unicode arithmetic, in the JVM: a lead and the vowel after
     it make a syllable, a syllable without tail takes the tail after it; other characters
     pass unchanged. Hangul composes with nothing else, so this is all of NFC that can make
-    or change a syllable, and all of NFC for text of ASCII, syllables and jamo."""
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
-
-    def step(state: Column, ch: Column) -> Column:
-        last, code = code_of(state["last"]), code_of(ch)
-        lead, vowel, tail = last - F.lit(L_BASE), code - F.lit(V_BASE), code - F.lit(T_BASE)
-        open_syllable = last.between(S_BASE, S_BASE + S_COUNT - 1) & ((last - F.lit(S_BASE)) % T_COUNT == 0)
-        joined = F.when(lead.between(0, L_COUNT - 1) & vowel.between(0, V_COUNT - 1), char_from_code(F.lit(S_BASE) + lead * N_COUNT + vowel * T_COUNT)).when(
-            open_syllable & tail.between(1, T_COUNT - 1), char_from_code(last + tail)
-        )
-        return F.struct(
-            F.when(joined.isNull(), F.concat(state["done"], state["last"])).otherwise(state["done"]).alias("done"),
-            F.coalesce(joined, ch).alias("last"),
+    or change a syllable, and all of NFC for text of ASCII, syllables and jamo.
+
+    What a character becomes depends on its two neighbours on either side alone, so the codes are
+    laid side by side with themselves shifted and each is mapped once; text without a vowel
+    or tail jamo has nothing to compose and is passed on."""
+    c = _c(col)
+    codes = F.transform(chars(c), code_of)
+    none = F.lit(0)
+    sides = F.arrays_zip(
+        codes.alias("c"),
+        F.concat(F.array(none), codes).alias("p"),
+        F.concat(F.array(none, none), codes).alias("q"),
+        F.slice(F.concat(codes, F.array(none)), F.lit(2), F.length(c)).alias("n"),
+        F.slice(F.concat(codes, F.array(none, none)), F.lit(3), F.length(c)).alias("m"),
+    )
+    lead = lambda x: x.between(L_BASE, L_BASE + L_COUNT - 1)
+    vowel = lambda x: x.between(V_BASE, V_BASE + V_COUNT - 1)
+    tail = lambda x: x.between(T_BASE + 1, T_BASE + T_COUNT - 1)
+    open_syllable = lambda x: x.between(S_BASE, S_BASE + S_COUNT - 1) & ((x - F.lit(S_BASE)) % T_COUNT == 0)
+
+    def one(x: Column) -> Column:
+        taken = F.when(vowel(x["c"]), lead(x["p"])).when(tail(x["c"]), (vowel(x["p"]) & lead(x["q"])) | open_syllable(x["p"])).otherwise(False)
+        begun = F.lit(S_BASE) + (x["c"] - L_BASE) * N_COUNT + (x["n"] - V_BASE) * T_COUNT
+        code = (
+            F.when(lead(x["c"]) & vowel(x["n"]), begun + F.when(tail(x["m"]), x["m"] - T_BASE).otherwise(0))
+            .when(open_syllable(x["c"]) & tail(x["n"]), x["c"] + x["n"] - T_BASE)
+            .otherwise(x["c"])
         )
+        return F.when(x["c"].isNull() | taken, F.lit("")).otherwise(hex_of(code))
 
-    return F.aggregate(chars(col), start, step, lambda s: F.concat(s["done"], s["last"]))
+    return F.when(c.rlike(_JOINING_RE), text_of(F.transform(sides, one))).otherwise(c)
 
 
 def is_simple_text(col) -> Column:

@@ -46,8 +46,9 @@ def best_beam(
 def zip_beams(
     sequences: DataFrame, scores: DataFrame, keys: Sequence[str] = ("row_id", "fold", "beam")
 ) -> DataFrame:
-    """Pair beam sequences with beam scores by key (equi-join)."""
-    return sequences.join(scores, list(keys), "inner")
+    """Pair beam sequences with beam scores by key (equi-join). What has no partner stays,
+    with null in the columns of the other side."""
+    return sequences.join(scores, list(keys), "full_outer")
 
 
 def collect_beams(

@@ -48,3 +48,21 @@ def checked_broadcast(small: DataFrame, max_rows: int | None = None, max_bytes:
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
     return F.broadcast(small) if fits(small, max_rows, max_bytes) else small
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows neither recomputes it nor
+    depends on the executors that made it."""
+    from glyphframe.session import shared_path
+
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or that after underscores, whichever no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

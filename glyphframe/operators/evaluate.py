@@ -25,16 +25,22 @@ def exact_match_accuracy(
 ) -> DataFrame:
     """A2 (+J4): accuracy of decoded text against references: right predictions over the
     number of references. A null prediction, and a reference without a prediction, count as
-    wrong. References with the ``group`` columns are counted per group, others are expected
-    in every group. By default no normalisation, as in the reference; a group without
+    wrong; a key predicted twice in a group or listed twice is an error (as in a submission),
+    as its reference would count twice. References with the ``group`` columns are counted per
+    group, others are expected in every group. By default no normalisation, as in the reference; a group without
     references gives null (not an error)."""
-    p = F.col(pred_col) if normalizer is None else normalizer(F.col(pred_col))
-    r = F.col("_ref") if normalizer is None else normalizer(F.col("_ref"))
     own = [g for g in group if g in refs.columns]
-    keys = [key, *own]
-    sides = refs.select(*keys, F.col(ref_col).alias("_ref"))
-    joined = preds.select(*{key: None, **dict.fromkeys(group)}, pred_col).join(sides, keys, "left")
-    right = F.sum(F.coalesce(p == r, F.lit(False)).cast("long"))
+    keys, unit = [key, *own], list(dict.fromkeys((key, *group)))
+    same = lambda c: F.col(c) if normalizer is None else normalizer(F.col(c))
+    sides = refs.select(*keys, same(ref_col).alias("_ref"))
+    joined = preds.select(*unit, same(pred_col).alias("_pred")).join(sides, keys, "left")
+    hit = F.coalesce(F.col("_pred") == F.col("_ref"), F.lit(False)).cast("long")
+    # Per key first: a shuffled join has the rows of a key together already.
+    joined = joined.groupBy(*unit).agg(F.sum(hit).alias("_hit"), F.count(F.lit(1)).alias("_times"))
+    shown = F.concat_ws("/", *[F.col(c).cast("string") for c in unit])
+    twice = F.raise_error(F.concat(F.lit("predicted or listed more than once: "), shown)).cast("boolean")
+    joined = joined.where(F.when((F.col("_times") > 1) & F.col(key).isNotNull(), twice).otherwise(True))
+    right = F.sum("_hit")
     if len(own) == len(group) and group:
         n = refs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
         scored = n.join(joined.groupBy(*group).agg(right.alias("_right")), list(group), "left")
@@ -54,13 +60,19 @@ def optional_label_metrics(
     group: Sequence[str] = (),
 ) -> DataFrame:
     """A10: evaluate with or without references. Every prediction counts; metrics use
-    only rows that have a reference, and are null (not 0) where a group has none."""
+    only rows that have a reference, and are null (not 0) where a group has none. A null
+    prediction that has a reference is wrong."""
     joined = preds.join(refs.select(key, ref_col), key, "left")
-    has = F.col(ref_col).isNotNull()
+    return label_metrics(joined, pred_col, ref_col, group)
+
+
+def label_metrics(joined: DataFrame, pred_col: str, ref_col: str, group: Sequence[str] = ()) -> DataFrame:
+    """A10 over predictions that carry their reference, or null where they have none."""
+    right = F.coalesce(F.col(pred_col) == F.col(ref_col), F.lit(False)).cast("double")
     return joined.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_pred"),
         F.count(F.col(ref_col)).alias("n_ref"),
-        F.avg(F.when(has, (F.col(pred_col) == F.col(ref_col)).cast("double"))).alias("accuracy"),
+        F.avg(F.when(F.col(ref_col).isNotNull(), right)).alias("accuracy"),
     )
 
 

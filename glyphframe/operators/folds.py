@@ -18,10 +18,12 @@ from glyphframe.functions.text import label_length, nfc, rewrite_path
 from glyphframe.operators.positions import (
     DEFAULT_BUCKET_ROWS,
     _null_safe,
+    balanced_buckets,
     bucket_counts,
     bucket_offsets,
+    coarse_split,
     hash_bucket,
-    int_bucket,
+    hash_digits,
     positions_with_offsets,
 )
 
@@ -88,18 +90,19 @@ def assign_folds(
 
     A null stratum is a stratum like any other. Plan: one shuffle of the rows on (stratum,
     bucket); the strata table and the per-bucket offsets come from one partial aggregate,
-    are tiny and reach the rows by a size-checked broadcast. A stratum holding most of the rows is split over
-    many buckets, so no task sorts a whole stratum (``tests/skew_experiment.py``).
+    are tiny (a row per stratum and per ``bucket_rows`` rows) and reach the rows by a
+    size-checked broadcast. A stratum holding most of the rows is split at quantiles of its ids
+    (of its md5 keys when shuffled), so no task sorts a whole stratum (``tests/skew_experiment.py``).
     """
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
     if shuffle:
         key = draw_key(seed, "kfold", F.col(id_col))
-        d = df.withColumn("_key", key).withColumn("_bk", hash_bucket("_key"))
-        order = [F.col("_key"), F.col(id_col)]
+        d = df.withColumn("_key", key).withColumn("_bk", hash_bucket("_key", hash_digits(df, [stratum_col], bucket_rows)))
+        order, coarse = [F.col("_key"), F.col(id_col)], None
     else:
-        d = df.withColumn("_bk", int_bucket(id_col, bucket_rows))
-        order = [F.col(id_col)]
+        d = balanced_buckets(df, [stratum_col], id_col, bucket_rows)
+        order, coarse = [F.col(id_col)], coarse_split()
 
     # One row per (stratum, bucket). It feeds both the strata table and the offsets, whose
     # plans share its exchange.
@@ -120,7 +123,7 @@ def assign_folds(
         )
         .select(stratum_col, "_cum")
     )
-    offs = _null_safe(bucket_offsets(counts, [stratum_col]).select(stratum_col, "_bk", "_off"), strata, [stratum_col], "inner")
+    offs = _null_safe(bucket_offsets(counts, [stratum_col], coarse=coarse).select(stratum_col, "_bk", "_off"), strata, [stratum_col], "inner")
     res = positions_with_offsets(d, offs, [stratum_col], order, "_pos")
     fold = F.size(F.filter(F.col("_cum"), lambda x: x <= F.col("_pos"))).cast("int")
     return res.withColumn(out, fold).drop("_bk", "_off", "_cum", "_pos", "_key")

@@ -7,23 +7,27 @@ Texts are encoded and decoded in place, batch by batch: the vocabulary is a broa
 indexed by code point (encode; at most 1,114,112 entries) or by id (decode), so there is no
 explode, no shuffle and no key. Tokens of several characters that a vocabulary was extended
 with take part: the longest that fits at the leftmost place comes first, as a tokenizer does
-with added tokens. A vocabulary is held whole by every worker, as by any tokenizer.
+with added tokens. A vocabulary is held whole by every worker only if it passes the size check
+of ``common``; one that was extended beyond it meets the texts in joins (``token_match``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphframe.functions.text import chars, nfkd
-from glyphframe.operators.common import checked_broadcast
+from glyphframe.operators import common
+from glyphframe.operators.common import checked_broadcast, fits, spare, stored
 from glyphframe.operators.positions import sorted_positions
+from glyphframe.operators.token_match import found_places, joined_text, leftmost_longest
 
 # Fixed values that must equal the reference's vocabulary layout.
 PAD = "[PAD]"
@@ -64,17 +68,21 @@ def char_tokens(vocab: DataFrame) -> DataFrame:
 class CharTable:
     """Ids by code point, the id of ``[UNK]``, and the tokens of several characters."""
 
-    def __init__(self, rows: list[tuple[str, int]], specials: Sequence[str]):
-        chars_ = [(ord(t), i) for t, i in rows if len(t) == 1]
-        self.ids = np.full(max((c for c, _ in chars_), default=0) + 2, -1, np.int64)
-        for c, i in chars_:
-            self.ids[c] = i
-        self.unk = next((i for t, i in rows if t == UNK), UNK_ID)
-        self.added = {t: i for t, i in rows if len(t) > 1 and t not in specials}
+    def __init__(self, rows: pa.Table, specials: Sequence[str]):
+        tokens, numbers = rows.column("token").combine_chunks(), rows.column("id").to_numpy().astype(np.int64)
+        single = pc.equal(pc.utf8_length(tokens), 1).to_numpy(zero_copy_only=False)
+        codes = np.frombuffer("".join(tokens.filter(pa.array(single)).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.ids = np.full(int(codes.max(initial=0)) + 2, -1, np.int64)
+        self.ids[codes] = numbers[single]
+        longer = dict(zip(tokens.filter(pa.array(~single)).to_pylist(), numbers[~single].tolist(), strict=True))
+        self.unk = longer.get(UNK, UNK_ID)
+        self.added = {t: i for t, i in longer.items() if t and t not in specials}
         self._automaton = None
 
-    def _spans(self, text: str) -> list[tuple[int, int, int]]:
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Places ``(begin, end, id)`` of added tokens, leftmost and longest first."""
+        if not self.added or len(text) < 2:
+            return []
         if self._automaton is None:
             import ahocorasick
 
@@ -84,19 +92,19 @@ class CharTable:
             self._automaton.make_automaton()
         return [(end - size + 1, end + 1, i) for end, (size, i) in self._automaton.iter_long(text)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, places: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of all texts one after the other; -1 marks an unknown
-        character."""
-        texts = pc.fill_null(texts, "")
-        words = texts.to_pylist()
+        character. ``places`` are the added tokens' places where the table has none."""
+        words = pc.fill_null(texts, "").to_pylist()
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         ids = self.ids[np.minimum(codes, len(self.ids) - 1)]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        if self.added:
+        if self.added or places is not None:
+            found = map(self.spans, words) if places is None else map(leftmost_longest, places.to_pylist())
             drop = np.zeros(len(ids), bool)
             at = 0
-            for k, w in enumerate(words):
-                for begin, end, i in self._spans(w) if len(w) > 1 else ():
+            for k, (w, spans) in enumerate(zip(words, found, strict=True)):
+                for begin, end, i in spans:
                     ids[at + begin] = i
                     drop[at + begin + 1 : at + end] = True
                     sizes[k] -= end - begin - 1
@@ -104,10 +112,44 @@ class CharTable:
             ids = ids[~drop]
         return ids, np.concatenate([[0], np.cumsum(sizes)])
 
-
-def _char_table(vocab: DataFrame, specials: Sequence[str] = DEFAULT_SPECIALS):
-    rows = [(r.token, r.id) for r in vocab.where("token is not null").select("token", "id").toLocalIterator()]
-    return vocab.sparkSession.sparkContext.broadcast(CharTable(rows, specials))
+    def unknown(self, texts: pa.Array, places: pa.Array | None = None) -> pa.Array:
+        """Per text, the sorted characters that neither stand for a token nor lie in one."""
+        ids, offsets = self.encode(texts, places)
+        bad = np.zeros(len(texts), bool)
+        bad[np.searchsorted(offsets, np.flatnonzero(ids < 0), side="right") - 1] = True
+        out: list[list[str]] = [[]] * len(texts)
+        for k in np.flatnonzero(bad).tolist():
+            text = texts[k].as_py()
+            spans = self.spans(text) if places is None else leftmost_longest(places[k].as_py())
+            rest, at = [], 0
+            for begin, end, _ in spans:
+                rest.append(text[at:begin])
+                at = end
+            rest = "".join([*rest, text[at:]])
+            out[k] = sorted({c for c in rest if ord(c) >= len(self.ids) or self.ids[ord(c)] < 0})
+        return pa.array(out, pa.list_(pa.string()))
+
+
+def _tables(vocab: DataFrame, specials: Sequence[str] = DEFAULT_SPECIALS) -> tuple[Broadcast, DataFrame | None]:
+    """The vocabulary as a broadcast ``CharTable``, if the size check lets it; else the table of the
+    one-character tokens and the specials (bounded by the code points) and, as a
+    DataFrame, the added tokens, which then meet the texts in a join."""
+    known = stored(vocab.where("token is not null").select("token", "id"), "vocab")
+    if fits(known, common.BROADCAST_MAX_ROWS, common.BROADCAST_MAX_BYTES):
+        near, far = known, None
+    else:
+        added = (F.length("token") > 1) & ~F.col("token").isin(*specials)
+        near, far = known.where(~added), known.where(added)
+    return vocab.sparkSession.sparkContext.broadcast(CharTable(near.toArrow(), specials)), far
+
+
+def _with_places(df: DataFrame, text: Column, far: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` stored with its text and the places of the added tokens in it."""
+    text_name, row, places = spare(df, "_text"), spare(df, "_row"), spare(df, "_places")
+    rows = stored(df.withColumn(text_name, text).withColumn(row, F.monotonically_increasing_id()), "vocab-texts")
+    found = found_places(rows.select(F.col(row).alias("row"), F.col(text_name).alias("text")), far)
+    found = found.select(F.col("row").alias(row), F.col("places").alias(places))
+    return rows.join(found, row, "left").drop(row), text_name, places
 
 
 def encode(
@@ -121,30 +163,40 @@ def encode(
 ) -> DataFrame:
     """V2: text -> array of ids, unknown characters -> ``[UNK]``; null text -> null. Every
     row stays a row, whatever its keys. ``start_id`` / ``end_id`` (see ``special_ids``) are
-    put around the ids, as a tokenizer adds its specials. No shuffle."""
-    shared = _char_table(vocab)
-    kept = df.drop(out) if out in df.columns and out != text_col else df
-    source = kept.withColumn("_encode", nfkd(F.col(text_col)) if sub_char else F.col(text_col))
-    names = [c for c in kept.columns if c != out]
+    put around the ids, as a tokenizer adds its specials. No shuffle while the vocabulary
+    passes the size check: only the text goes to Python, all other columns stay in the JVM."""
+    shared, far = _tables(vocab)
     around = [[x] if x is not None else [] for x in (start_id, end_id)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids_of(texts: pa.Array, places: pa.Array | None = None) -> pa.Array:
         table = shared.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            ids, offsets = table.encode(texts)
-            ids = np.where(ids < 0, table.unk, ids)
-            if around[0] or around[1]:
-                n = len(offsets) - 1
-                ids = np.insert(ids, np.repeat(offsets[:-1], len(around[0])), np.tile(around[0], n).astype(np.int64))
-                offsets = offsets + np.arange(n + 1) * len(around[0])
-                ids = np.insert(ids, np.repeat(offsets[1:], len(around[1])), np.tile(around[1], n).astype(np.int64))
-                offsets = offsets + np.arange(n + 1) * len(around[1])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()), mask=pc.is_null(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), lists], names=[*names, out])
-
-    fields = [f for f in kept.schema if f.name != out]
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.LongType()))]))
+        ids, offsets = table.encode(texts, places)
+        ids = np.where(ids < 0, table.unk, ids)
+        if around[0] or around[1]:
+            n = len(offsets) - 1
+            ids = np.insert(ids, np.repeat(offsets[:-1], len(around[0])), np.tile(around[0], n).astype(np.int64))
+            offsets = offsets + np.arange(n + 1) * len(around[0])
+            ids = np.insert(ids, np.repeat(offsets[1:], len(around[1])), np.tile(around[1], n).astype(np.int64))
+            offsets = offsets + np.arange(n + 1) * len(around[1])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()), mask=pc.is_null(texts))
+
+    kept = [c for c in df.columns if c != out]
+    text = nfkd(F.col(text_col)) if sub_char else F.col(text_col)
+    kind = T.ArrayType(T.LongType())
+    if far is None:
+
+        @F.arrow_udf(kind)
+        def one(texts: pa.Array) -> pa.Array:
+            return ids_of(texts)
+
+        return df.select(*kept, one(text).alias(out))
+
+    @F.arrow_udf(kind)
+    def placed(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return ids_of(texts, places)
+
+    rows, text_name, places = _with_places(df, text, far)
+    return rows.select(*kept, placed(text_name, places).alias(out))
 
 
 def decode(
@@ -155,62 +207,69 @@ def decode(
     specials: Sequence[str] = DEFAULT_SPECIALS,
 ) -> DataFrame:
     """V6: ids -> text, skipping special tokens (and ids outside the vocabulary); null
-    ids -> null. No shuffle."""
-    rows = [(r.id, r.token) for r in vocab.where(~F.col("token").isin(*specials)).select("id", "token").toLocalIterator()]
-    top = max((i for i, _ in rows), default=0)
-    tokens = [""] * (top + 2)  # the last entry stands for every other id
-    for i, t in rows:
-        tokens[i] = t
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
-    kept = df.drop(out) if out in df.columns and out != ids_col else df
-    source = kept.withColumn("_decode", F.col(ids_col).cast("array<bigint>"))
-    names = [c for c in kept.columns if c != out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.string())
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
-            ids = np.where((ids < 0) | (ids > len(table) - 2), len(table) - 1, ids)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(ids))), "")
-            texts = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), texts], names=[*names, out])
-
-    fields = [f for f in kept.schema if f.name != out]
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
-
-
-def _unknown(labels: DataFrame, vocab: DataFrame) -> DataFrame:
+    ids -> null. No shuffle while the vocabulary passes the size check: its ids are a
+    sorted array, so its size does not depend on how large they are. Else a join by id."""
+    known = stored(vocab.where("token is not null and id is not null").where(~F.col("token").isin(*specials)).select("token", "id"), "vocab")
+    kept = [c for c in df.columns if c != out]
+    ids = F.col(ids_col).cast("array<bigint>")
+    if not fits(known, common.BROADCAST_MAX_ROWS, common.BROADCAST_MAX_BYTES):
+        return _decode_by_join(df, known, ids, kept, out)
+    held = known.toArrow().sort_by([("id", "ascending"), ("token", "ascending")])
+    tokens = held.column("token").combine_chunks().to_pylist()
+    shared = df.sparkSession.sparkContext.broadcast((held.column("id").to_numpy(), [*tokens, ""]))
+
+    @F.arrow_udf(T.StringType())
+    def text_of(lists: pa.Array) -> pa.Array:
+        numbers, names = shared.value
+        names = pa.array(names, pa.string())
+        flat = lists.flatten()
+        asked = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(numbers, asked, side="right") - 1
+        hit = (at >= 0) & ~flat.is_null().to_numpy(zero_copy_only=False)
+        hit[hit] = numbers[at[hit]] == asked[hit]
+        at = np.where(hit, at, len(names) - 1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(at))), "")
+        return pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), texts)
+
+    return df.select(*kept, text_of(ids).alias(out))
+
+
+def _decode_by_join(df: DataFrame, known: DataFrame, ids: Column, kept: list[str], out: str) -> DataFrame:
+    """The ids with their places meet the vocabulary by id and are put together per row."""
+    row, list_name, text_name = spare(df, "_row"), spare(df, "_ids"), spare(df, "_text")
+    rows = stored(df.withColumn(list_name, ids).withColumn(row, F.monotonically_increasing_id()), "vocab-ids")
+    flat = rows.select(F.col(row).alias("row"), F.posexplode(list_name).alias("pos", "id"))
+    one = known.groupBy("id").agg(F.max("token").alias("token"))
+    pieces = flat.hint("merge").join(one, "id").groupBy("row").agg(F.collect_list(F.struct("pos", "token")).alias("p"))
+    texts = pieces.select(F.col("row").alias(row), joined_text(F.col("p")).alias(text_name))
+    whole = F.when(F.col(list_name).isNotNull(), F.coalesce(F.col(text_name), F.lit("")))
+    return rows.join(texts, row, "left").select(*kept, whole.alias(out))
+
+
+def _unknown(labels: DataFrame, tables: tuple[Broadcast, DataFrame | None]) -> DataFrame:
     """``(_label, unknown)`` of the rows ``(_label, _t)`` whose text holds characters that
-    the vocabulary cannot encode."""
-    shared = _char_table(vocab)
+    the vocabulary (its ``_tables``) cannot encode."""
+    shared, far = tables
+    kind = T.ArrayType(T.StringType())
+    if far is None:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            ids, offsets = table.encode(batch.column(1))
-            bad = np.flatnonzero(np.add.reduceat(np.append(ids < 0, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0)) if len(offsets) > 1 else []
-            found = []
-            for k in bad:
-                text = batch.column(1)[int(k)].as_py()
-                found.append(sorted({c for c in _outside_spans(text, table) if ord(c) >= len(table.ids) - 1 or table.ids[ord(c)] < 0}))
-            at = pa.array(np.asarray(bad, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.list_(pa.string()))], names=["_label", "unknown"])
-
-    return labels.select("_label", "_t").mapInArrow(run, "_label string, unknown array<string>")
-
-
-def _outside_spans(text: str, table: CharTable) -> str:
-    """The characters of a text that no added token covers."""
-    if not table.added:
-        return text
-    out, at = [], 0
-    for begin, end, _ in table._spans(text):
-        out.append(text[at:begin])
-        at = end
-    return "".join([*out, text[at:]])
+        @F.arrow_udf(kind)
+        def one(texts: pa.Array) -> pa.Array:
+            return shared.value.unknown(texts)
+
+        # not deterministic: else the filter below is pushed in front of a distinct
+        marked = labels.select("_label", one.asNondeterministic()("_t").alias("unknown"))
+    else:
+
+        @F.arrow_udf(kind)
+        def placed(texts: pa.Array, places: pa.Array) -> pa.Array:
+            return shared.value.unknown(texts, places)
+
+        rows, text_name, places = _with_places(labels.select("_label", "_t"), F.col("_t"), far)
+        marked = rows.select("_label", placed.asNondeterministic()(text_name, places).alias("unknown"))
+    return marked.where(F.size("unknown") > 0)
 
 
 def _with_text(df: DataFrame, text_col: str, sub_char: bool, distinct: bool = False) -> DataFrame:
@@ -226,13 +285,16 @@ def oov_chars(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char
     """The distinct characters of ``text_col`` that the vocabulary cannot encode. Labels are
     de-duplicated first (a partial aggregate collapses repeats map-side)."""
     uniq = _with_text(df, text_col, sub_char, distinct=True)
-    return _unknown(uniq, vocab).select(F.explode("unknown").alias("token")).distinct()
+    return _unknown(uniq, _tables(vocab)).select(F.explode("unknown").alias("token")).distinct()
 
 
 def has_oov(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_char: bool = False) -> DataFrame:
     """V3: one row, ``has_oov`` - each task stops at its first unknown character. A label
-    that the vocabulary was extended with is known."""
-    hit = _unknown(_with_text(df, text_col, sub_char), vocab).limit(1)
+    that the vocabulary was extended with is known; against such a vocabulary, which leaves
+    few labels unknown and takes a matcher to tell, labels are made distinct first."""
+    tables = _tables(vocab)
+    extended = tables[1] is not None or bool(tables[0].value.added)
+    hit = _unknown(_with_text(df, text_col, sub_char, distinct=extended), tables).limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("has_oov"))
 
 
@@ -240,7 +302,7 @@ def oov_labels(df: DataFrame, vocab: DataFrame, text_col: str = "label", sub_cha
     """V4: the distinct labels containing at least one unknown character. Distinct first, as
     the reference de-duplicates labels before tokenising."""
     uniq = _with_text(df, text_col, sub_char, distinct=True)
-    return _unknown(uniq, vocab).select(F.col("_label").alias(text_col))
+    return _unknown(uniq, _tables(vocab)).select(F.col("_label").alias(text_col))
 
 
 def oov_units(

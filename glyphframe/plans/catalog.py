@@ -27,7 +27,6 @@ from glyphframe.operators import positions
 from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
 from glyphframe.operators.common import checked_broadcast
-from glyphframe.operators.positions import int_bucket
 from glyphframe.sources import files as fi
 from glyphframe.sources import views as vw
 
@@ -103,8 +102,10 @@ def q_reset_index(spark, sf_dir):
     train = fo.train_set(fold_table(spark, sf_dir), 0)
     seg = F.when(F.col("fold").isNull(), 0).otherwise(1)
     train = train.withColumn("_seg", seg)
-    bucket = F.struct(F.col("_seg"), int_bucket("row_id"))
-    out = positions.reset_index(train, [F.col("_seg"), F.col("row_id")], bucket, out="train_index")
+    cut = positions.balanced_buckets(train, ["_seg"], "row_id", out="_part")
+    bucket = F.struct(F.col("_seg"), F.col("_part"))
+    coarse = F.struct(F.col("_bk._seg").alias("seg"), positions.coarse_split("_bk._part").alias("part"))
+    out = positions.reset_index(cut, [F.col("_seg"), F.col("row_id")], bucket, out="train_index", coarse=coarse)
     return out.select("train_index", "row_id")
 
 
@@ -672,6 +673,19 @@ def q_batch_predict(spark, sf_dir):
     return out.select("vec_id", "label", "prediction")
 
 
+@register("batch_generate")
+def q_batch_generate(spark, sf_dir):
+    """F1 with ids and score: a model of successors fitted by Spark on the labels' ids, applied
+    to the ids of every raw prediction in batches of similar length."""
+    from glyphframe.operators import predict as pr
+
+    path = _scratch(spark, "bigrams")
+    pr.bigrams(encoded_train(spark, sf_dir)).write.parquet(path)
+    ids = vo.encode(vw.ocr_raw_pred(spark, sf_dir), ocr_vocab(spark, sf_dir), "raw_text")
+    out = pr.batch_generate(ids, pr.bigram_model(spark, path), "input_ids")
+    return out.select("row_id", "fold", ids_text("generated.ids").alias("ids"), r6("generated.score").alias("score"))
+
+
 @register("streaming_running_metric")
 def q_streaming_running_metric(spark, sf_dir):
     """Running sample-weighted loss per fold over the event log read as a file
@@ -706,6 +720,52 @@ def q_streaming_running_accuracy(spark, sf_dir):
     return out.select("fold", "correct", "n")
 
 
+# How far event times stray from the order of arrival, and references from their predictions.
+STRAY_SECONDS = 100
+ARRIVALS = 4
+# When the first document was predicted.
+FIRST_SECOND = 1_700_000_000
+
+
+def _arriving(rows: DataFrame, path: str, draw: str) -> int:
+    """Documents' rows with an event time (a second a document), written in order of arrival,
+    which strays from that of the event times; returns the seconds of one arrival."""
+    at = F.col("doc_id") + F.floor(seeded_uniform(7, draw, F.col("doc_id")) * STRAY_SECONDS)
+    top = rows.agg(F.max("doc_id")).first()[0] or 0
+    width = (top + STRAY_SECONDS) // ARRIVALS + 1
+    timed = rows.withColumn("ts", F.timestamp_seconds(F.col("doc_id") + FIRST_SECOND)).withColumn("_arrival", F.floor(at / width))
+    for k in range(ARRIVALS):
+        timed.where(F.col("_arrival") == k).drop("_arrival").repartition(ARRIVALS).write.mode("append").parquet(path)
+    return width
+
+
+@register("streaming_late_references")
+def q_streaming_late_references(spark, sf_dir):
+    """A10 / J4 over two streams: predictions (documents) and references (labels) arrive out of
+    order, meet in a stream-stream outer join with watermarks, and the metrics over the
+    table it leaves equal the batch A10."""
+    from glyphframe.streaming import late
+    from glyphframe.streaming import running as st
+
+    docs = vw.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("n_chars") > 1000).cast("int").alias("pred_quality"))
+    labels = vw.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    preds_path, refs_path = _scratch(spark, "late_predictions"), _scratch(spark, "late_references")
+    width = max(_arriving(docs, preds_path, "pred"), _arriving(labels, refs_path, "ref"))
+    # a trigger may read the first files of the next arrival
+    delay = 2 * (width + STRAY_SECONDS)
+    end = FIRST_SECOND + ARRIVALS * width + 2 * delay
+    schemas = [spark.read.parquet(p).schema for p in (preds_path, refs_path)]
+    for path in (preds_path, refs_path):
+        written = spark.read.parquet(path)
+        late.closing_row(written, "doc_id", "ts", F.timestamp_seconds(F.lit(end))).write.mode("append").parquet(path)
+    preds, refs = (st.file_stream(spark, p, s, max_files_per_trigger=ARRIVALS) for p, s in zip((preds_path, refs_path), schemas, strict=True))
+    joined = late.attach_references(preds, refs, "doc_id", "quality", f"{delay} seconds", f"{STRAY_SECONDS} SECONDS")
+    path, _ = late.run_attached(joined, "late_references")
+    attached = late.read_attached(spark, path, closed_at=F.timestamp_seconds(F.lit(end)))
+    out = ev.label_metrics(attached, "pred_quality", "quality", ["source", "lang"])
+    return out.select("source", "lang", "n_pred", "n_ref", r6("accuracy").alias("accuracy"))
+
+
 @register("kfold_submission")
 def q_kfold_submission(spark, sf_dir):
     """Entry 3 for all five folds at once: best beam -> NFC -> clean -> probability ->

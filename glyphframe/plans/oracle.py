@@ -485,6 +485,20 @@ d AS (
   JOIN c ON c.i = e.i GROUP BY e.vec_id, e.label, c.c_label)
 SELECT vec_id, label, CAST(c_label AS INTEGER) AS prediction FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c_label) AS rn FROM d) r WHERE rn = 1"""
+_listed = "CASE WHEN ids = '' THEN [] ELSE list_transform(string_split(ids, ','), lambda x: CAST(x AS BIGINT)) END"
+SQL["batch_generate"] = with_views(
+    f"""SELECT k // 10 AS row_id, CAST(k % 10 AS INTEGER) AS fold, coalesce(s.ids, '') AS ids, round(coalesce(s.score, 0.0), 6) AS score
+FROM pred_encoded LEFT JOIN (
+  SELECT k, string_agg(CAST(nxt AS VARCHAR), ',' ORDER BY pos) AS ids, sum(ln(share)) AS score
+  FROM (SELECT k, unnest(l) AS id, unnest(range(len(l))) AS pos FROM (SELECT k, {_listed} AS l FROM pred_encoded) y) x
+  JOIN (SELECT id, nxt, n / sum(n) OVER (PARTITION BY id) AS share, row_number() OVER (PARTITION BY id ORDER BY n DESC, nxt) AS rn
+        FROM (SELECT id, nxt, count(*) AS n FROM (SELECT unnest(l[1:len(l) - 1]) AS id, unnest(l[2:]) AS nxt FROM (SELECT {_listed} AS l FROM ocr_encoded) y) z GROUP BY id, nxt) c) b
+    ON b.id = x.id AND b.rn = 1
+  GROUP BY k) s USING (k)""",
+    "pred_encoded",
+    "ocr_encoded",
+)
+SQL["streaming_late_references"] = SQL["optional_label_metrics"]
 SQL["streaming_running_metric"] = SQL["weighted_mean_loss"]
 SQL["fold_leak_check"] = with_views(
     """SELECT count(t.row_id) AS leaked_rows, count(*) AS valid_rows

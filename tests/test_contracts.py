@@ -87,3 +87,79 @@ def test_hangul_composition_equals_unicode(spark):
     df = spark.createDataFrame(rows, "t string")
     for r in df.select("t", tx.hangul_compose("t").alias("c")).collect():
         assert r.c == (None if r.t is None else unicodedata.normalize("NFC", r.t))
+
+
+@pytest.mark.parametrize("how", ["predicted", "listed"])
+def test_accuracy_refuses_doubled_keys(spark, how):
+    refs = [(0, "a"), (1, "b")]
+    preds = [(0, 0, "a"), (1, 0, "b")]
+    (preds if how == "predicted" else refs).append((1, 0, "b") if how == "predicted" else (1, "b"))
+    r, p = spark.createDataFrame(refs, "row_id long, label string"), spark.createDataFrame(preds, "row_id long, fold int, pred string")
+    with pytest.raises(Exception, match="more than once: 1/0"):
+        ev.exact_match_accuracy(p, r).collect()
+
+
+def test_null_predictions_with_a_reference_are_wrong(spark):
+    p = spark.createDataFrame([(1, 1), (2, None), (3, 1), (None, 1)], "k long, pred int")
+    r = spark.createDataFrame([(1, 1), (2, 0)], "k long, label int")
+    got = ev.optional_label_metrics(p, r, "k", "pred", "label").first()
+    assert (got.n_pred, got.n_ref, got.accuracy) == (4, 2, 0.5)
+
+
+def test_unpaired_beams_stay(spark):
+    from glyphframe.operators import beams as bm
+
+    a = spark.createDataFrame([(0, 0, 0, "x"), (0, 0, 1, "y")], "row_id long, fold int, beam int, raw_text string")
+    b = spark.createDataFrame([(0, 0, 0, -1.0), (0, 0, 2, -2.0)], "row_id long, fold int, beam int, seq_score double")
+    got = sorted((r.beam, r.raw_text, r.seq_score) for r in bm.zip_beams(a, b).collect())
+    assert got == [(0, "x", -1.0), (1, "y", None), (2, None, -2.0)]
+
+
+def spread_ids(n):
+    """Ids of very uneven density, with repeats and nulls."""
+    dense = [i for i in range(n // 2)]
+    sparse = [10**9 + i * (1 << 31) for i in range(n // 4)]
+    same = [777_777] * (n - len(dense) - len(sparse) - 3)
+    return dense + sparse + same + [None, -5, 1 << 60]
+
+
+def test_balanced_buckets_hold_equal_rows(spark):
+    rows = [(g, i) for g, n in (("a", 6000), ("b", 90), (None, 3000)) for i in spread_ids(n)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(6)
+    cut = po.balanced_buckets(df, ["g"], "id", rows=20).collect()
+    by = {}
+    for r in cut:
+        by.setdefault((r.g, r._bk), []).append(r.id)
+    free = [v for v in by.values() if len(set(v)) > 1]
+    assert max(len([x for x in v if x != 777_777]) for v in by.values()) <= 60
+    assert len(by) <= len(rows) / 8, "offset rows follow the rows, not the ids"
+    for g in ("a", "b", None):
+        spans = sorted((min(x), max(x)) for (h, _), v in by.items() if h == g for x in [[-(1 << 61) if y is None else y for y in v]])
+        order = sorted((b, min(x), max(x)) for (h, b), v in by.items() if h == g for x in [[-(1 << 61) if y is None else y for y in v]])
+        assert [s[1:] for s in order] == spans and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert free
+
+
+def test_positions_over_balanced_buckets(spark):
+    ids = list(dict.fromkeys(x for x in spread_ids(4000) if x is not None))
+    df = spark.createDataFrame([(x,) for x in ids], "id long").repartition(5)
+    cut = po.balanced_buckets(df, [], "id", rows=16, out="_part")
+    assert cut.select("_part").distinct().count() > 64, "more than one level"
+    out = po.reset_index(cut, [F.col("id")], F.col("_part"), coarse=po.coarse_split())
+    assert [r["index"] for r in sorted(out.collect(), key=lambda r: r.id)] == list(range(len(ids)))
+
+
+def test_offset_rows_follow_the_rows(spark):
+    """Word ids are 2^31 apart per document; their offsets are as few as the strata."""
+    long_rows = fo.long_labels(fo.prepare_labels(vw.ocr_words(spark, "/root/testdata/sf0.01")))
+    cut = po.balanced_buckets(long_rows, ["length"], "row_id")
+    counts = po.bucket_counts(cut, ["length"])
+    assert counts.count() <= long_rows.count() / po.DEFAULT_BUCKET_ROWS + long_rows.select("length").distinct().count()
+
+
+def test_folds_do_not_depend_on_buckets(spark):
+    words = fo.long_labels(fo.prepare_labels(vw.ocr_words(spark, "/root/testdata/sf0.001"))).select("row_id", "length")
+    want = sorted(map(tuple, fo.assign_folds(words).collect()))
+    assert sorted(map(tuple, fo.assign_folds(words, bucket_rows=50).collect())) == want
+    mixed = sorted(map(tuple, fo.assign_folds(words, shuffle=True, seed=3).collect()))
+    assert sorted(map(tuple, fo.assign_folds(words, shuffle=True, seed=3, bucket_rows=50).collect())) == mixed

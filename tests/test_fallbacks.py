@@ -11,7 +11,7 @@ from parity import compare, duck
 USES_CHECKED_BROADCAST = [
     "extend_vocab", "scan_label_csv",
     "stratified_folds", "stratified_folds_words", "reset_index", "truncate_padded", "ragged_concat",
-    "length_grouped_batches", "fold_sizes",
+    "length_grouped_batches", "fold_sizes", "encode_labels", "decode_ids", "oov_chars", "oov_after_extension",
 ]
 
 

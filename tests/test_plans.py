@@ -9,7 +9,7 @@ from plan_audit import audit
 PYTHON_ALLOWED = {
     # general Unicode normal forms (no Spark built-in), Arrow batches through the vocabulary
     # array, the user model, the per-batch transform
-    "label_universe", "load_dataset", "batch_predict", "per_batch_transform", "encode_labels", "decode_ids", "has_oov",
+    "label_universe", "load_dataset", "batch_predict", "batch_generate", "per_batch_transform", "encode_labels", "decode_ids", "has_oov",
     "oov_labels", "oov_chars", "extend_vocab", "oov_after_extension", "load_vocab_lines", "pad_to_batch_max",
     "pad_to_max_length", "ragged_concat", "mask_to_pad", "evaluate_predictions",
 }
