@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphframe.operators.common import fits
 from glyphframe.session import shared_path
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 TEXT_BATCH_ROWS = 1000
 
 
@@ -42,10 +44,10 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of narrow fixed-width rows, marked for broadcast only if it has at
-    most ``max_rows`` rows (counted from the file footers); else joins shuffle it."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast only if it has at most ``max_rows`` rows and its
+    values, arrays included, take at most ``max_bytes``; else joins shuffle it."""
+    return F.broadcast(table) if fits(table, max_rows, max_bytes) else table
 
 
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -97,10 +97,19 @@ def op8_minhash_near_dedup(spark, sf_dir):
 
 @register
 def op9_suffix_array_dedup(spark, sf_dir):
-    """Every byte of a 400-byte string that stands twice or more, over all documents."""
-    found = suffixdedup.find_repeats(table(spark, sf_dir, "documents"))
+    """Every byte of a 400-byte string that stands twice or more, over all documents; after
+    that the passages of over 50 words that do, and the text without them."""
+    found = suffixdedup.find_repeats(table(spark, sf_dir, "documents"), words=51)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"])
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        "text",
+    )
 
 
 @register
@@ -163,7 +172,7 @@ def language_id_pages(spark, sf_dir):
     """The same over every page: language declared in its markup, address suffix, host."""
     pages = table(spark, sf_dir, "pages")
     address = F.regexp_extract("url", "://([^/?#]*)", 1)
-    tag = F.regexp_extract("html", r"(?i)<html[^>]{0,500}?\blang\s*=\s*[\"']?([a-z-]+)", 1)
+    tag = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z-]+)", 1)
     rows = pages.select("page_id", "html", F.when(tag != "", tag).alias("declared"), F.when(address != "", address).alias("host"))
     found = langid.identify(rows, "page_id", "html", "declared", "host", markup=True)
     return found.select("page_id", "language", "text_language", "posterior", "accepted")
@@ -225,10 +234,25 @@ gaps AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0
 kept AS (
   SELECT g.row, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * s + 1, 2 * (a - s)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
   FROM gaps g JOIN d USING (row) GROUP BY g.row
-)
+),
+words AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS k, regexp_extract(coalesce(text, ''), '[\x20\x09-\x0D]*\z') AS tail FROM documents
+),
+ww AS (SELECT row, i, md5_number(regexp_replace(array_to_string(k[i:i + 50], ''), '^[\x20\x09-\x0D]+', '')) AS win FROM (SELECT row, k, unnest(range(1, len(k) - 49)) AS i FROM words WHERE len(k) > 50)),
+ptwice AS MATERIALIZED (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY win) AS n FROM ww) WHERE n > 1),
+pcover AS (SELECT row, i, max(i) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ptwice),
+pruns AS (SELECT row, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS run FROM pcover),
+pspans AS MATERIALIZED (SELECT row, run, min(i) AS a, max(i) + 50 AS b FROM pruns GROUP BY row, run),
+gone AS (SELECT row, a, unnest(range(a, b + 1)) AS i FROM pspans),
+told AS (SELECT row, unnest(k) AS tok, unnest(range(1, len(k) + 1)) AS i FROM words WHERE row IN (SELECT row FROM pspans)),
+left_over AS (
+  SELECT told.row, string_agg(CASE WHEN a IS NULL THEN tok WHEN a = told.i THEN regexp_extract(tok, '^[\x20\x09-\x0D]*') ELSE '' END, '' ORDER BY told.i) AS rest
+  FROM told LEFT JOIN gone ON gone.row = told.row AND gone.i = told.i GROUP BY told.row
+),
+passages AS (SELECT row, count(*) AS n FROM pspans GROUP BY row)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(k, h))) AS kept_sha256
-FROM d LEFT JOIN kept USING (row)
+       sha256(unhex(coalesce(kept.k, h))) AS kept_sha256, CAST(coalesce(passages.n, 0) AS BIGINT) AS n_passages, coalesce(rest || words.tail, decode(unhex(h))) AS text
+FROM d LEFT JOIN kept USING (row) JOIN words USING (row) LEFT JOIN left_over USING (row) LEFT JOIN passages USING (row)
 """
 
 SQL["op13_ranked_search"] = r"""

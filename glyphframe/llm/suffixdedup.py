@@ -9,24 +9,26 @@ strings repeat is decided by suffix arrays over the bytes themselves; hashes onl
    / 2 windows, stored as ``(key, first, last, print)``, where the print is a hash of all
    bytes that its windows cover. No text moves in this step.
 2. *Keys seen once* (one anchor in the whole corpus) can hold no repeat and go.
-3. *Copies.* Segments of one key with the same print cover the same bytes: all their windows
-   repeat. They are counted with map-side aggregation, so a passage held by a third of all
-   documents is one row per task.
+3. *Copies.* Segments of one key whose bytes have the same two independent 64-bit prints are
+   copies: all their windows repeat. They are counted with map-side aggregation, so a passage
+   held by a third of all documents is one row per task. These prints decide (two different
+   contexts of one anchor would need 128 equal bits); only what differs is compared.
 4. *Variants.* Where a key has several prints and some occur once, the bytes of one segment
    per print go to a shard. A shard takes whole keys, ``shard_bytes`` on average; a key of
    over twice that is salted over several shards. Each shard builds a suffix array by Larsson-Sadakane
    refinement (only groups that are not yet sorted are refined, ranks double in depth) and
    Kasai common prefixes; a window repeats if the common prefix with a neighbour reaches
-   ``match``.
-5. *Cross-shard merge.* Of salted keys, each shard sends one digest per distinct window. The
-   digests are sorted over the cluster, and binary search in the sorted runs finds windows
+   its length.
+5. *Cross-shard merge.* Of salted keys, each shard sends one digest (two prints) per distinct
+   window. The digests are sorted over the cluster, and binary search in the sorted runs finds windows
    that two shards have.
 
 Passages of words (``remove_passages``) go the same way with words for bytes: a window is
 ``words`` words with the bytes between them, however short, and belongs to the smallest hash
-of the runs of ``anchor`` words inside it. Windows differ in bytes, so instead of step 4 the
-windows of open keys are counted by two 64-bit digests. Words are what stands between ASCII
-white space; text without white space has no passages.
+of the runs of ``anchor`` words inside it. In step 4 only the places where windows begin are
+looked at in suffix order, each with the length of its own window; bytes are renumbered so that
+what ends a word sorts first, which keeps equal windows side by side. Words are what stands
+between ASCII white space; text without white space has no passages.
 
 Rows are known by ``(id, hash of the text)``: repeated rows have the same result, and each
 counts as a place of its own. Defined results: null and empty texts have no bytes and no
@@ -51,7 +53,12 @@ SHARD_BYTES = 2 << 20
 SALT_SHARDS = 2  # a key is salted from so many shards' bytes on
 GAP = 0xFF  # never a byte of UTF-8 text
 WORDS, ANCHOR_WORDS = 51, 13
-_SEGMENT = "doc {id}, print long, key long, cover long, first int, last int, anchors int"
+_SEGMENT = "doc {id}, print long, key long, cover long, check long, first int, last int, anchors int"
+# Bytes renumbered: white space, the gap, everything else.
+_SPACES = np.flatnonzero(IS_SPACE)
+_ENDS_FIRST = np.empty(256, np.uint8)
+_ENDS_FIRST[np.concatenate([_SPACES, [GAP], np.setdiff1d(np.arange(256), [*_SPACES, GAP])])] = np.arange(256)
+CHECK_CODE = mix64(BYTE_CODE.copy())
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -76,22 +83,23 @@ class _Powers:
 
 
 def segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int = MATCH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...] | None:
-    """``(text, key, cover, first, last, anchors)`` of the segments of texts that lie one after
-    the other in ``raw``; ``anchors`` is 2 if the key's string stands twice or more in it."""
+    """``(text, key, cover, check, first, last, anchors)`` of the segments of texts that lie one
+    after the other in ``raw``: ``cover`` and ``check`` are independent prints of their bytes;
+    ``anchors`` is 2 if the key's string stands twice or more in it."""
     n = len(raw)
     if n < match:
         return None
     up, down = table.upto(n + 1)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_CODE[raw] * up[:n], out=prefix[1:])
+    prefix = _prefix(raw, up, BYTE_CODE)
     hashes = mix64((prefix[anchor:] - prefix[:-anchor]) * down[: n - anchor + 1])
     got = _segments_of(hashes, ends, match, anchor)
     if got is None:
         return None
     text, key, first, last, anchors = got
     cover = _print(prefix, down, first, last + match)
+    check = _print(_prefix(raw, up, CHECK_CODE), down, first, last + match)
     begin = np.concatenate([[0], ends[:-1]])[text]
-    return text, key, cover, first - begin, last - begin, anchors
+    return text, key, cover, check, first - begin, last - begin, anchors
 
 
 def words_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +120,7 @@ def word_segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int
     if len(begin) < match:
         return None
     up, down = table.upto(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTE_CODE[raw] * up[: len(raw)], out=prefix[1:])
+    prefix = _prefix(raw, up, BYTE_CODE)
     hashes = _print(prefix, down, begin[: len(begin) - anchor + 1], stop[anchor - 1 :])
     got = _segments_of(hashes, word_ends, match, anchor)
     if got is None:
@@ -121,7 +128,14 @@ def word_segments(raw: np.ndarray, ends: np.ndarray, table: _Powers, match: int
     text, key, first, last, anchors = got
     lo, hi = begin[first], stop[last + match - 1]
     start = np.concatenate([[0], ends[:-1]])[text]
-    return text, key, _print(prefix, down, lo, hi), lo - start, hi - start, anchors
+    check = _print(_prefix(raw, up, CHECK_CODE), down, lo, hi)
+    return text, key, _print(prefix, down, lo, hi), check, lo - start, hi - start, anchors
+
+
+def _prefix(raw: np.ndarray, up: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(raw) + 1, U64)
+    np.cumsum(codes[raw] * up[: len(raw)], out=out[1:])
+    return out
 
 
 def _print(prefix: np.ndarray, down: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -256,6 +270,34 @@ def repeated(pieces: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.nd
     return data, begins, repeats & window, leads & window
 
 
+def repeated_words(pieces: list[bytes], words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """Over the windows of ``words`` words of all pieces: ``(data, piece, lo, hi, repeats, leads)``,
+    one entry per window in order; ``lo`` and ``hi`` are its bytes in ``data``."""
+    data = np.frombuffer(b"".join(x + bytes([GAP]) for x in pieces), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in pieces])
+    begin, stop, _ = words_of(np.where(data == GAP, np.uint8(32), data), ends)
+    piece = np.searchsorted(ends, begin, side="right")
+    at = np.flatnonzero(piece[: max(len(piece) - words + 1, 0)] == piece[words - 1 :])
+    lo, hi, piece = begin[at], stop[at + words - 1], piece[at]
+    repeats, leads = np.zeros(len(at), bool), np.ones(len(at), bool)
+    if len(at) > 1:
+        sorts = _ENDS_FIRST[data]
+        order = suffix_order(sorts)
+        size = hi - lo
+        lcp = common_prefixes(sorts, order, int(size.max()))[order]
+        window = np.full(len(data), -1, np.int64)
+        window[lo] = np.arange(len(at))
+        places = np.flatnonzero(window[order] >= 0)
+        found = window[order[places]]
+        # Common prefix with the window before: the least on the way to it.
+        shared = np.minimum.reduceat(lcp[: places[-1] + 1], places[:-1] + 1)
+        same = np.concatenate([[False], (shared >= size[found[1:]]) & (size[found[1:]] == size[found[:-1]])])
+        leads[found] = ~same
+        repeats[found] = same
+        repeats[found[:-1]] |= same[1:]
+    return data, piece, lo, hi, repeats, leads
+
+
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
@@ -280,101 +322,116 @@ def segment_table(rows: DataFrame, match: int, anchor: int, words: bool = False)
                     found.append((got[0] + a, *got[1:]))
             if not found:
                 continue
-            text, key, cover, first, last, anchors = (np.concatenate(x) for x in zip(*found, strict=True))
+            text, key, cover, check, first, last, anchors = (np.concatenate(x) for x in zip(*found, strict=True))
             take = pa.array(text)
-            ints = [pa.array(x.view(np.int64)) for x in (key, cover)] + [pa.array(x.astype(np.int32)) for x in (first, last, anchors)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *ints], names=["doc", "print", "key", "cover", "first", "last", "anchors"])
+            ints = [pa.array(x.view(np.int64)) for x in (key, cover, check)] + [pa.array(x.astype(np.int32)) for x in (first, last, anchors)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *ints], names=["doc", "print", "key", "cover", "check", "first", "last", "anchors"])
 
     return rows.where(F.octet_length("text") >= least).mapInArrow(run, _SEGMENT.format(id=rows.schema["doc"].dataType.simpleString()))
 
 
-def _cut(rows: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
-    """The bytes that each wanted segment covers: ``wanted`` has one row per document with
-    its segments as an array."""
+def _cut(rows: DataFrame, wanted: DataFrame, beyond: int) -> DataFrame:
+    """The bytes that each wanted segment covers, ``beyond`` its ``last``: ``wanted`` has one row
+    per document with its segments as an array."""
     id_type = rows.schema["doc"].dataType.simpleString()
     pairs = rows.alias("r").join(wanted.alias("w"), F.col("r.doc").eqNullSafe(F.col("w.doc")) & (F.col("r.print") == F.col("w.print")))
     pairs = pairs.select("r.doc", "r.print", "r.text", "w.want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # repeated rows give their segments once
+        seen: set[tuple[int, int, int]] = set()  # repeated rows give their segments once
         for batch in batches:
             texts, wants = batch.column(2), batch.column(3).to_pylist()
-            at, cols = [], [[] for _ in range(7)]
+            at, cols = [], [[] for _ in range(8)]
             for i, want in enumerate(wants):
                 raw = None
                 for s in want:
-                    if (s["key"], s["cover"]) in seen:
+                    if (s["key"], s["cover"], s["check"]) in seen:
                         continue
-                    seen.add((s["key"], s["cover"]))
+                    seen.add((s["key"], s["cover"], s["check"]))
                     raw = raw if raw is not None else texts[i].as_buffer().to_pybytes()
                     at.append(i)
-                    for c, v in zip(cols, (s["key"], s["cover"], s["first"], s["copies"], s["salts"], s["shard"], raw[s["first"] : s["last"] + match]), strict=True):
+                    for c, v in zip(cols, (s["key"], s["cover"], s["check"], s["first"], s["copies"], s["salts"], s["shard"], raw[s["first"] : s["last"] + beyond]), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc", "print", "key", "cover", "first", "copies", "salts", "shard", "bytes"],
+                names=["doc", "print", "key", "cover", "check", "first", "copies", "salts", "shard", "bytes"],
             )
 
-    return pairs.mapInArrow(run, f"doc {id_type}, print long, key long, cover long, first int, copies long, salts int, shard int, bytes binary")
+    return pairs.mapInArrow(run, f"doc {id_type}, print long, key long, cover long, check long, first int, copies long, salts int, shard int, bytes binary")
 
 
-def _digests(data: np.ndarray, places: np.ndarray, match: int, table: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit prints of the windows at ``places``."""
+def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit prints of the bytes from ``lo`` to ``hi``."""
     up, down = table.upto(len(data) + 1)
-    out = []
-    for codes in (BYTE_CODE, mix64(BYTE_CODE.copy())):
-        prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(codes[data] * up[: len(data)], out=prefix[1:])
-        out.append(mix64((prefix[places + match] - prefix[places]) * down[places]).view(np.int64))
-    return out[0], out[1]
-
-
-def _shard_function(id_type: pa.DataType, match: int):
+    a, b = (_print(_prefix(data, up, codes), down, lo, hi).view(np.int64) for codes in (BYTE_CODE, CHECK_CODE))
+    return a, b
+
+
+def _byte_windows(pieces: list[bytes], copied: np.ndarray, salted: np.ndarray, match: int) -> tuple:
+    """``(piece, first, last)`` of the runs of repeating windows in pieces without copies, and
+    ``(piece, place, repeats, a, b)`` of the distinct windows of salted pieces; places count from
+    the piece's begin."""
+    data, begins, repeats, leads = repeated(pieces, match)
+    own, first, last = [], [], []
+    for i, (piece, begin) in enumerate(zip(pieces, begins.tolist(), strict=True)):
+        if not copied[i]:
+            for lo, hi in _runs(repeats[begin : begin + len(piece)]):
+                own.append(i)
+                first.append(lo)
+                last.append(hi)
+    places = np.zeros(0, np.int64)
+    if salted.any():
+        mask = np.zeros(len(data), bool)
+        for i in np.flatnonzero(salted).tolist():
+            mask[begins[i] : begins[i] + len(pieces[i])] = True
+        places = np.flatnonzero(leads & mask)
+    owner = np.searchsorted(begins, places, side="right") - 1
+    at = places - begins[owner]
+    return (own, first, last), (owner, at, at, repeats[places], *_digests(data, places, places + match, _Powers()))
+
+
+def _word_windows(pieces: list[bytes], copied: np.ndarray, salted: np.ndarray, words: int) -> tuple:
+    """The same for windows of words, whose ``last`` is the end of their bytes."""
+    data, piece, lo, hi, repeats, leads = repeated_words(pieces, words)
+    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in pieces])[:-1]])[piece]
+    run = np.flatnonzero(repeats & ~copied[piece])
+    # Windows one after the other in a piece overlap and are one run.
+    new = np.ones(len(run), bool)
+    new[1:] = (np.diff(run) > 1) | (piece[run[1:]] != piece[run[:-1]])
+    heads, tails = run[new], run[np.append(np.flatnonzero(new)[1:], len(run)) - 1] if len(run) else run
+    far = np.flatnonzero(leads & salted[piece])
+    ours = (piece[heads].tolist(), (lo - begins)[heads].tolist(), (hi - begins)[tails].tolist())
+    return ours, (piece[far], (lo - begins)[far], (hi - begins)[far], repeats[far], *_digests(data, lo[far], hi[far], _Powers()))
+
+
+def _shard_function(id_type: pa.DataType, match: int, words: bool):
     """Step 4 on one shard. Rows out: runs of repeating windows of segments without copies
-    (``a`` null), and for salted keys one digest per distinct window (``a``, ``b``; first =
-    last = its place; ``copies`` over 1 if it is known to repeat)."""
+    (``a`` null), and for salted keys one digest per distinct window (``a``, ``b``; its own
+    ``first`` and ``last``; ``copies`` over 0 if it is known to repeat)."""
     names = ["doc", "print", "first", "last", "a", "b", "copies"]
 
     def run(shard: pa.Table) -> pa.Table:
         seen, keep = set(), []
-        for i, pair in enumerate(zip(shard["key"].to_pylist(), shard["cover"].to_pylist(), strict=True)):
-            if pair not in seen:
-                seen.add(pair)
+        for i, name in enumerate(zip(*(shard[c].to_pylist() for c in ("key", "cover", "check")), strict=True)):
+            if name not in seen:
+                seen.add(name)
                 keep.append(i)
         shard = shard.take(pa.array(keep, pa.int64()))
-        pieces, firsts = shard["bytes"].to_pylist(), shard["first"].to_pylist()
-        copies, salts = shard["copies"].to_pylist(), shard["salts"].to_pylist()
-        data, begins, repeats, leads = repeated(pieces, match)
-        at, first, last, a, b, known = [], [], [], [], [], []
-        for i, (piece, begin) in enumerate(zip(pieces, begins.tolist(), strict=True)):
-            if copies[i] == 1:
-                for lo, hi in _runs(repeats[begin : begin + len(piece)]):
-                    at.append(i)
-                    first.append(firsts[i] + lo)
-                    last.append(firsts[i] + hi)
-        n = len(at)
-        a, b, known = [None] * n, [None] * n, [0] * n
-        salted = [i for i in range(len(pieces)) if salts[i] > 1]
-        if salted:
-            mask = np.zeros(len(data), bool)
-            for i in salted:
-                mask[begins[i] : begins[i] + len(pieces[i])] = True
-            places = np.flatnonzero(leads & mask)
-            x, y = _digests(data, places, match, _Powers())
-            owner = np.searchsorted(begins, places, side="right") - 1
-            own = np.asarray(firsts)[owner] + places - begins[owner]
-            at += owner.tolist()
-            first += own.tolist()
-            last += own.tolist()
-            a += x.tolist()
-            b += y.tolist()
-            known += ((np.asarray(copies)[owner] > 1) | repeats[places]).astype(int).tolist()
-        take = pa.array(at, pa.int64())
-        cols = [shard["doc"].combine_chunks().take(take) if n or salted else pa.array([], id_type), shard["print"].combine_chunks().take(take)]
-        cols += [pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(known, pa.int64())]
-        return pa.Table.from_arrays(cols, names=names)
+        pieces, firsts = shard["bytes"].to_pylist(), shard["first"].to_numpy().astype(np.int64)
+        copied, salted = shard["copies"].to_numpy() > 1, shard["salts"].to_numpy() > 1
+        (own, lo, hi), (owner, at, end, repeats, a, b) = (_word_windows if words else _byte_windows)(pieces, copied, salted, match)
+        n, own = len(own), np.concatenate([np.asarray(own, np.int64), owner])
+        first = firsts[own] + np.concatenate([np.asarray(lo, np.int64), at])
+        last = firsts[own] + np.concatenate([np.asarray(hi, np.int64), end])
+        known = np.concatenate([np.zeros(n, bool), copied[owner] | repeats]).astype(np.int64)
+        nothing = np.arange(len(own)) < n
+        take = pa.array(own, pa.int64())
+        cols = [shard["doc"].combine_chunks().take(take) if len(own) else pa.array([], id_type), shard["print"].combine_chunks().take(take)]
+        cols += [pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+        cols += [pa.array(np.concatenate([np.zeros(n, np.int64), x]), pa.int64(), mask=nothing) for x in (a, b)]
+        return pa.Table.from_arrays([*cols, pa.array(known, pa.int64())], names=names)
 
     return run
 
@@ -438,8 +495,8 @@ def _shared_segments(rows: DataFrame, match: int, anchor: int, words: bool = Fal
     shared = stored(everything.groupBy("key").agg(F.sum("anchors").alias("n")).where("n > 1").select("key"), "suffix-keys")
     some = stored(everything.join(shared, "key"), "suffix-shared")
     rep = F.min(F.struct("doc", "print", "first", "last", "anchors")).alias("rep")
-    prints = some.groupBy("key", "cover").agg(F.count("*").alias("copies"), rep)
-    return some, stored(prints.select("key", "cover", "copies", "rep.*"), "suffix-prints")
+    prints = some.groupBy("key", "cover", "check").agg(F.count("*").alias("copies"), rep)
+    return some, stored(prints.select("key", "cover", "check", "copies", "rep.*"), "suffix-prints")
 
 
 def _open_keys(prints: DataFrame, *sums: F.Column) -> DataFrame:
@@ -449,79 +506,15 @@ def _open_keys(prints: DataFrame, *sums: F.Column) -> DataFrame:
     return grouped.where("least = 1 and (kinds > 1 or own > 1)").drop("kinds", "least", "own")
 
 
-def _window_digests(match: int):
-    """Rows ``doc, print, text, want`` -> two prints and the bytes (``first``, ``last``) of
-    every window of ``match`` words of the wanted segments."""
-
-    def of_pieces(pieces: list[bytes], table: _Powers) -> tuple[np.ndarray, ...]:
-        raw = np.frombuffer(b"".join(x + b" " for x in pieces), np.uint8)
-        ends = np.cumsum([len(x) + 1 for x in pieces])
-        begin, stop, word_ends = words_of(raw, ends)
-        piece = np.searchsorted(ends, begin, side="right")
-        at = np.flatnonzero(piece[: len(piece) - match + 1] == piece[match - 1 :])
-        lo, hi, piece = begin[at], stop[at + match - 1], piece[at]
-        up, down = table.upto(len(raw) + 1)
-        out = []
-        for codes in (BYTE_CODE, mix64(BYTE_CODE.copy())):
-            prefix = np.zeros(len(raw) + 1, U64)
-            np.cumsum(codes[raw] * up[: len(raw)], out=prefix[1:])
-            out.append(_print(prefix, down, lo, hi).view(np.int64))
-        start = np.concatenate([[0], ends[:-1]])[piece]
-        return piece, lo - start, hi - start, *out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Powers()
-        for batch in batches:
-            row, first, known, pieces, held = [], [], [], [], 0
-
-            def windows() -> pa.RecordBatch:
-                piece, lo, hi, a, b = of_pieces(pieces, table)
-                take, start = pa.array(np.asarray(row, np.int64)[piece]), np.asarray(first, np.int64)[piece]
-                cols = [pa.array((start + lo).astype(np.int32)), pa.array((start + hi).astype(np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(known, bool)[piece])]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=["doc", "print", "first", "last", "a", "b", "known"])
-
-            for i, want in enumerate(batch.column(3).to_pylist()):
-                raw = batch.column(2)[i].as_buffer().to_pybytes()
-                for s in want:
-                    row.append(i)
-                    first.append(s["first"])
-                    known.append(s["copies"] > 1)
-                    pieces.append(raw[s["first"] : s["last"]])
-                    held += s["last"] - s["first"]
-                    if held > 1 << 20:
-                        yield windows()
-                        row, first, known, pieces, held = [], [], [], [], 0
-            if pieces:
-                yield windows()
-
-    return run
-
-
-def repeated_passages(rows: DataFrame, words: int = WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """``doc, print, removed`` (runs of bytes, ends excluded) of every document of ``rows``
-    (``doc, text, print``) with a passage of ``words`` words or more that stands elsewhere
-    too, byte for byte."""
-    id_type = rows.schema["doc"].dataType.simpleString()
-    some, prints = _shared_segments(rows, words, anchor, words=True)
-    wanted = prints.join(stored(_open_keys(prints), "suffix-open-keys"), "key")
-    wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last", "copies")).alias("want"))
-    pairs = rows.alias("r").join(wanted.alias("w"), F.col("r.doc").eqNullSafe(F.col("w.doc")) & (F.col("r.print") == F.col("w.print")))
-    digests = pairs.select("r.doc", "r.print", "r.text", "w.want").mapInArrow(_window_digests(words), f"doc {id_type}, print long, first int, last int, a long, b long, known boolean")
-    digests = stored(digests, "suffix-windows")
-    twice = stored(digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "suffix-twice")
-    found = digests.where("not known").join(twice, ["a", "b"]).select("doc", "print", "first", "last")
-    copied = some.join(prints.where("copies > 1").select("key", "cover"), ["key", "cover"]).select("doc", "print", "first", "last")
-    per_doc = copied.unionAll(found).groupBy("doc", "print").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    return per_doc.mapInArrow(_unite(0), f"doc {id_type}, print long, removed array<struct<begin:int,end:int>>")
-
-
-def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, words: bool = False) -> DataFrame:
     """``doc, print, removed`` (runs of bytes to remove, ends excluded) of every document of
-    ``rows`` (``doc, text, print``) that has any."""
+    ``rows`` (``doc, text, print``) that has any; with ``words``, ``match`` and ``anchor`` count
+    words and a run is a passage."""
     id_type = rows.schema["doc"].dataType.simpleString()
-    some, prints = _shared_segments(rows, match, anchor)
+    some, prints = _shared_segments(rows, match, anchor, words)
+    beyond = 0 if words else match
 
-    size = F.col("last") - F.col("first") + match + 1
+    size = F.col("last") - F.col("first") + beyond + 1
     open_keys = stored(_open_keys(prints, F.sum(size).alias("bytes")), "suffix-open-keys")
     wanted = stored(prints.join(open_keys, "key"), "suffix-open")
     total = wanted.agg(F.sum(size)).first()[0] or 0
@@ -529,16 +522,22 @@ def repeated_runs(rows: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
     salts = F.ceil(F.col("bytes") / (SALT_SHARDS * shard_bytes)).cast("int")
     salt = F.when(salts > 1, F.pmod(F.xxhash64("cover"), salts)).otherwise(F.lit(0))
     wanted = wanted.withColumn("salts", salts).withColumn("shard", F.pmod(F.xxhash64("key", salt), F.lit(shards)).cast("int"))
-    wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "cover", "first", "last", "copies", "salts", "shard")).alias("want"))
+    wanted = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "cover", "check", "first", "last", "copies", "salts", "shard")).alias("want"))
     out_schema = f"doc {id_type}, print long, first int, last int, a long, b long, copies long"
-    found = stored(_cut(rows, wanted, match).groupBy("shard").applyInArrow(_shard_function(_arrow_id(rows), match), out_schema), "suffix-windows")
+    found = stored(_cut(rows, wanted, beyond).groupBy("shard").applyInArrow(_shard_function(_arrow_id(rows), match, words), out_schema), "suffix-windows")
 
     digests = found.where("a is not null")
     crossed = digests.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_merge_digests, f"doc {id_type}, print long, first int, last int")
-    copied = some.join(prints.where("copies > 1").select("key", "cover"), ["key", "cover"]).select("doc", "print", "first", "last")
+    copied = some.join(prints.where("copies > 1").select("key", "cover", "check"), ["key", "cover", "check"]).select("doc", "print", "first", "last")
     windows = copied.unionAll(found.where("a is null").select("doc", "print", "first", "last")).unionAll(crossed)
     per_doc = windows.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    return per_doc.mapInArrow(_unite(match), f"doc {id_type}, print long, removed array<struct<begin:int,end:int>>")
+    return per_doc.mapInArrow(_unite(beyond), f"doc {id_type}, print long, removed array<struct<begin:int,end:int>>")
+
+
+def repeated_passages(rows: DataFrame, words: int = WORDS, anchor: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``doc, print, removed`` of every document of ``rows`` with a passage of ``words`` words or
+    more that stands elsewhere too, byte for byte."""
+    return repeated_runs(rows, words, anchor, shard_bytes, words=True)
 
 
 def _arrow_id(rows: DataFrame) -> pa.DataType:
@@ -547,15 +546,25 @@ def _arrow_id(rows: DataFrame) -> pa.DataType:
     return to_arrow_type(rows.schema["doc"].dataType)
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, words: int | None = None, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``removed`` (runs of bytes, ends excluded) and
-    ``kept`` (the remaining bytes)."""
+    ``kept`` (the remaining bytes). With ``words`` also ``passages``, the runs of bytes of its passages
+    of that many words or more that stand elsewhere too, and ``text``, the text without them."""
     rows = _rows(docs, id_col, text_col)
-    runs = repeated_runs(rows, match, anchor, shard_bytes)
+    kind = "array<struct<begin:int,end:int>>"
+    runs = repeated_runs(rows, match, anchor, shard_bytes).withColumn("passages", F.lit(None).cast(kind))
+    if words:
+        # Both results of a document meet in a partial aggregate; each is there once.
+        told = repeated_passages(rows, words, anchor_words, shard_bytes)
+        both = runs.unionAll(told.select("doc", "print", F.lit(None).cast(kind), F.col("removed")))
+        runs = both.groupBy("doc", "print").agg(F.max("removed").alias("removed"), F.max("passages").alias("passages"))
     both = rows.alias("r").join(runs.alias("x"), F.col("r.doc").eqNullSafe(F.col("x.doc")) & (F.col("r.print") == F.col("x.print")), "left")
     raw = F.encode("r.text", "UTF-8")
-    removed = F.coalesce("x.removed", F.array().cast("array<struct<begin:int,end:int>>"))
-    return both.select(F.col("r.doc").alias(id_col), F.length(raw).cast("long").alias("n_bytes"), removed.alias("removed"), _kept(raw, F.col("x.removed")).alias("kept"))
+    told = lambda c: F.coalesce(F.col(c), F.array().cast(kind))
+    out = [F.col("r.doc").alias(id_col), F.length(raw).cast("long").alias("n_bytes"), told("x.removed").alias("removed"), _kept(raw, F.col("x.removed")).alias("kept")]
+    if words:
+        out += [told("x.passages").alias("passages"), F.when(F.col("x.passages").isNull(), F.col("r.text")).otherwise(F.decode(_kept(raw, F.col("x.passages")), "UTF-8")).alias("text")]
+    return both.select(*out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", match: int = MATCH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -565,9 +574,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _without(docs, repeated_runs(_rows(docs, id_col, text_col), match, anchor, shard_bytes), id_col, text_col, length_col)
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", words: int = WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", words: int = WORDS, anchor: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The same for passages of ``words`` words or more that stand twice or more."""
-    return _without(docs, repeated_passages(_rows(docs, id_col, text_col), words, anchor), id_col, text_col, length_col)
+    return _without(docs, repeated_passages(_rows(docs, id_col, text_col), words, anchor, shard_bytes), id_col, text_col, length_col)
 
 
 def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, length_col: str | None) -> DataFrame:

@@ -5,7 +5,9 @@ fits decides. Pages without a rule are judged by their host: hosts get trust as
 allow their pages and distrust as far as rules block them. Trust follows links (a host that
 trusted hosts link to is trusted), distrust goes against them (a host that links to blocked
 hosts is distrusted), each as a personalised PageRank over the distinct edges between hosts.
-A host whose trust minus distrust is below ``threshold`` is blocked.
+A host whose trust minus distrust is below ``threshold`` is blocked. Rounds go on until a round
+moves less than ``TOLERANCE``, which damping brings about in a known number of them; what is
+further from all seeds than that reaches gets no score and is allowed.
 
 All steps are DataFrame operations: host and path by string functions, rules by a join on
 host suffixes (a rule list of any size is a table), both rankings in one iterated join and
@@ -20,6 +22,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +31,6 @@ from glyphframe.llm.graph import small_side, stored
 
 DAMPING = 0.85
 THRESHOLD = 0.0
-ROUNDS = 20
 TOLERANCE = 1e-6
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +75,7 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     return found.where("src <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Two personalised PageRanks at once: ``seeds`` (``host, kind, weight``; kind 1 trust,
     kind -1 distrust) -> ``host, trust, distrust``. Distrust runs over reversed edges; what
     hosts without edges hold goes back to the seeds."""
@@ -83,7 +86,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     ways = stored(ways.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (1.0 / F.col("out")).alias("share")), "url-ways")
     rank = start.select("host", "kind", F.col("seed").alias("score"))
     if not ways.isEmpty():
-        for _ in range(rounds):
+        # A round moves at most ``damping`` of what the one before has moved, and the first
+        # no more than all scores of both rankings twice.
+        most = math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1
+        for done in range(1, most + 2):
             sent = rank.join(ways, ["host", "kind"]).groupBy(F.col("dst").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
             new = start.join(sent, ["host", "kind"], "full").select("host", "kind", F.coalesce("seed", F.lit(0.0)).alias("seed"), (damping * F.coalesce("got", F.lit(0.0))).alias("got"))
             left = new.groupBy("kind").agg((1.0 - F.sum("got")).alias("left"))
@@ -93,11 +99,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             rank = new
             if (moved or 0.0) < tolerance:
                 break
+            if done > most:
+                raise RuntimeError(f"ranks still move by {moved} after {done} rounds")
     score = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0))
     return rank.groupBy("host").agg(score(1).alias("trust"), score(-1).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule`` (null: none), ``verdict``, ``trust``
     and ``distrust`` of its host."""
     url = F.col(url_col).cast("string")
@@ -106,7 +114,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ruled = judged.where("rule is not null").groupBy("host", "rule_verdict").count()
     size = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
     seeds = ruled.join(size, "host").select("host", F.when(F.col("rule_verdict") == "allow", 1).otherwise(-1).alias("kind"), (F.col("count") / F.col("pages")).alias("weight"))
-    ranks = small_side(stored(propagate(host_edges(rows, "html"), seeds, rounds=rounds), "url-ranks"))
+    ranks = small_side(stored(propagate(host_edges(rows, "html"), seeds), "url-ranks"))
     out = judged.join(ranks, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     own = F.when(trust - distrust < threshold, "block").otherwise("allow")

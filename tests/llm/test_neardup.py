@@ -4,13 +4,13 @@ from collections import defaultdict
 from glyphframe.llm import neardup
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if x]
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, width=3, percent=85):
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -21,7 +21,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -22,6 +23,34 @@ def brute(texts, match):
     return out
 
 
+def brute_words(texts, words):
+    """Per text, the runs of bytes of windows of ``words`` words that stand twice or more."""
+    found = []
+    for t in texts:
+        raw = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+        found.append([(a[0], b[1], raw[a[0] : b[1]]) for a, b in zip(at, at[words - 1 :], strict=False)])
+    seen = Counter(w for ws in found for *_, w in ws)
+    out = []
+    for ws in found:
+        runs = []
+        for a, b, w in ws:
+            if seen[w] > 1:
+                if runs and a <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], b)
+                else:
+                    runs.append((a, b))
+        out.append(runs)
+    return out
+
+
+def without(text, runs):
+    raw, out, at = text.encode(), b"", 0
+    for a, b in runs:
+        out, at = out + raw[at:a], b
+    return (out + raw[at:]).decode()
+
+
 def texts(seed):
     rnd = random.Random(seed)
     doc = lambda n=200: "".join(rnd.choice("abcdé ") for _ in range(rnd.randint(0, n)))
@@ -82,3 +111,49 @@ def test_characters_that_a_run_cuts_go_whole(spark):
     out = sd.remove_repeats(spark.createDataFrame([(0, a, 17), (1, b, 18)], "doc_id long, text string, n_chars long"), match=20, anchor=6)
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got[0][0].strip("xé") == "" and all(n == len(t) for t, n in got.values())
+
+
+def worded(seed):
+    """Texts of few different words, odd spaces and shared passages."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["a", "b", "ab", "abc", "é", "c\x01", "zz", "\x0ex"])
+    space = lambda: rnd.choice([" ", " ", " ", "  ", "\t", "\n"])
+    some = lambda n: "".join(word() + space() for _ in range(n))
+    shared = [some(rnd.randint(4, 30)) for _ in range(5)]
+    out = []
+    for _ in range(120):
+        t = some(rnd.randint(0, 30))
+        for _ in range(rnd.randint(0, 2)):
+            s = rnd.choice(shared)
+            t += rnd.choice(["", "x", " "]) + s[rnd.randint(0, 5) :].rstrip() + rnd.choice(["", "b", " ", "\t"]) + some(rnd.randint(0, 6))
+        out.append(t)
+    return out + [None, "", "a " * 60, "solid" * 300, " \t", shared[0], "  " + shared[0]]
+
+
+@pytest.mark.parametrize(("words", "anchor", "shard_bytes"), [(6, 2, 1 << 20), (6, 2, 200), (8, 3, 1500)])
+def test_passages_equal_brute_force(spark, words, anchor, shard_bytes):
+    ts = worded(words + shard_bytes)
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(4)
+    runs = brute_words(ts, words)
+    assert sum(map(bool, runs)) > 30
+    want = sorted((i, t if t is None else without(t, r)) for i, (t, r) in enumerate(zip(ts, runs, strict=True)))
+    got = sd.remove_passages(df, words=words, anchor=anchor, shard_bytes=shard_bytes)
+    assert sorted(map(tuple, got.collect())) == want
+    both = sd.find_repeats(df, match=40, anchor=10, words=words, anchor_words=anchor, shard_bytes=shard_bytes).collect()
+    assert sorted((r.doc_id, [tuple(x) for x in r.passages], r.text) for r in both) == [(i, r, without(t or "", r)) for i, (t, r) in enumerate(zip(ts, runs, strict=True))]
+    assert sorted((r.doc_id, r.n_bytes, [tuple(x) for x in r.removed], bytes(r.kept)) for r in both) == [(i, *b) for i, b in enumerate(brute(ts, 40))]
+
+
+def test_salted_key_of_real_size(spark):
+    """A key of over twice a shard: its windows are told apart in several shards and only the
+    merge of digests finds what two of them share."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    hot = " ".join(word() for _ in range(20))
+    tails = [" ".join(word() for _ in range(40)) for _ in range(30)]
+    ts = [f"{' '.join(word() for _ in range(40))} {hot} {rnd.choice(tails)}" for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(6)
+    runs = brute_words(ts, 51)
+    got = sd.remove_passages(df, words=51, anchor=13, shard_bytes=64 << 10)
+    assert sum(map(bool, runs)) > 1000
+    assert sorted(map(tuple, got.collect())) == [(i, without(t, r)) for i, (t, r) in enumerate(zip(ts, runs, strict=True))]
