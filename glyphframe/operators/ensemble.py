@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensemble_logit_sum(
@@ -57,6 +60,69 @@ def ensemble_argmax(
     )
 
 
+def best_paths(steps: list[list[tuple[int, int]]], k: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The ``k`` best choices of one ``(value, token)`` per step: ``(sum, tokens)``, larger sums
+    first, equal ones by their tokens. Every step lists its tokens best first (larger value, then
+    smaller token). Choices are made lazily: one is taken from a heap, and the choices that
+    differ from it by the next rank at one step, not before the last step it was changed
+    at, are put on it; so each is made once and at most ``k`` times the steps are."""
+    if not steps or not all(steps):
+        return []
+
+    def entry(ranks: tuple[int, ...], at: int):
+        chosen = [s[r] for s, r in zip(steps, ranks, strict=True)]
+        return -sum(v for v, _ in chosen), tuple(t for _, t in chosen), at, ranks
+
+    heap = [entry((0,) * len(steps), 0)]
+    out: list[tuple[int, tuple[int, ...]]] = []
+    while heap and len(out) < k:
+        loss, tokens, at, ranks = heapq.heappop(heap)
+        out.append((-loss, tokens))
+        for j in range(at, len(steps)):
+            if ranks[j] + 1 < len(steps[j]):
+                heapq.heappush(heap, entry((*ranks[:j], ranks[j] + 1, *ranks[j + 1 :]), j))
+    return out
+
+
+def k_best_sequences(
+    summed: DataFrame,
+    k: int = 5,
+    keys: Sequence[str] = ("row_id",),
+    step_col: str = "step",
+    token_col: str = "token_id",
+    value_col: str = "logit_sum",
+    digits: int = 6,
+) -> DataFrame:
+    """Per row the ``k`` token sequences (one token a step) of the largest sum of
+    summed logits: ``keys, rank, tokens, score``. Values are rounded to ``digits`` places and added as
+    integers, so equal scores are equal; they go by the tokens.
+
+    Only the ``k`` best tokens of a step can be in one of the ``k`` best sequences: a window
+    with a map-side group limit keeps those, so a row brings ``k`` values a step to its
+    task, whatever the vocabulary. Rows with a null value or token at a step lose that candidate."""
+    keys = list(keys)
+    unit = 10**digits
+    rows = summed.where(F.col(value_col).isNotNull() & F.col(token_col).isNotNull() & ~F.isnan(value_col))
+    rows = rows.select(*keys, F.col(step_col).alias("_step"), F.round(F.round(value_col, digits) * unit).cast("bigint").alias("_value"), F.col(token_col).cast("bigint").alias("_token"))
+    best = Window.partitionBy(*keys, "_step").orderBy(F.desc("_value"), "_token")
+    near = rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+    steps = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_step", "_rank", "_value", "_token"))).alias("_all"))
+    found = T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("score", T.LongType())]))
+
+    @F.arrow_udf(found)
+    def paths(cells: pa.Array) -> pa.Array:
+        out = []
+        for cell in cells.to_pylist():
+            by: dict = {}
+            for x in cell:
+                by.setdefault(x["_step"], []).append((x["_value"], x["_token"]))
+            out.append([{"tokens": list(t), "score": s} for s, t in best_paths(list(by.values()), k)])
+        return pa.array(out, pa.list_(pa.struct([("tokens", pa.list_(pa.int64())), ("score", pa.int64())])))
+
+    ranked = steps.select(*keys, F.posexplode(paths("_all")).alias("_at", "_path"))
+    return ranked.select(*keys, (F.col("_at") + 1).cast("int").alias("rank"), F.col("_path.tokens").alias("tokens"), (F.col("_path.score") / unit).alias("score"))
+
+
 def ensemble_vote(
     preds: DataFrame,
     key: str = "row_id",

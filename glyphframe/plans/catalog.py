@@ -24,11 +24,12 @@ from glyphframe.operators import evaluate as ev
 from glyphframe.operators import folds as fo
 from glyphframe.operators import labels as lb
 from glyphframe.operators import positions
+from glyphframe.operators import shards as sd
 from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
 from glyphframe.operators.common import checked_broadcast
 from glyphframe.sources import files as fi
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -414,6 +415,17 @@ def q_ensemble_dense_argmax(spark, sf_dir):
     return en.dense_argmax(en.ensemble_logit_sum_dense(emb))
 
 
+@register("k_best_sequences")
+def q_k_best_sequences(spark, sf_dir):
+    """Per class the five best two-step sequences of logits summed over the vectors
+    (each half of a vector is a step)."""
+    lg = vw.logits(spark, sf_dir)
+    half = lg.groupBy().agg(((F.max("token_id") + 1) / 2).cast("int")).scalar()
+    lg = lg.withColumn("step", F.when(F.col("token_id") < half, 0).otherwise(1)).withColumn("token_id", F.col("token_id") % half)
+    out = en.k_best_sequences(en.ensemble_logit_sum(lg), 5)
+    return out.select("row_id", "rank", ids_text("tokens").alias("tokens"), r6("score").alias("score"))
+
+
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf_dir):
     """Per image, the cleaned text with the largest probability sum over folds."""
@@ -464,6 +476,18 @@ def q_weighted_mean_loss(spark, sf_dir):
     return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")
 
 
+@register("shard_merge")
+def q_shard_merge(spark, sf_dir):
+    """Step results delivered in seven shards, two of which are run and delivered again;
+    the merged result equals the plain A3."""
+    path = _scratch(spark, "shard_results")
+    steps = vw.step_log(spark, sf_dir).withColumn("shard", F.col("step") % 7)
+    sd.deliver(sd.shard_partials(steps, "shard"), path, 0)
+    sd.deliver(sd.shard_partials(steps.where(F.col("shard").isin(2, 5)), "shard"), path, 1)
+    out = sd.merged(spark, path)
+    return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")
+
+
 @register("sample_count")
 def q_sample_count(spark, sf_dir):
     """A4: beam rows and distinct images per fold."""

@@ -498,6 +498,20 @@ FROM pred_encoded LEFT JOIN (
     "pred_encoded",
     "ocr_encoded",
 )
+SQL["k_best_sequences"] = with_views(
+    """SELECT row_id, CAST(rank AS INTEGER) AS rank, tokens, score FROM (
+  SELECT a.row_id, CAST(a.token AS VARCHAR) || ',' || CAST(b.token AS VARCHAR) AS tokens, round(a.v + b.v, 6) AS score,
+         row_number() OVER (PARTITION BY a.row_id ORDER BY round((a.v + b.v) * 1000000) DESC, a.token, b.token) AS rank
+  FROM s a JOIN s b ON a.row_id = b.row_id AND a.step = 0 AND b.step = 1) r WHERE rank <= 5""",
+    "logits",
+).replace(
+    "SELECT row_id, CAST(rank",
+    """, h AS (SELECT CAST((max(token_id) + 1) / 2 AS INTEGER) AS half FROM logits),
+s AS (SELECT row_id, CASE WHEN token_id < half THEN 0 ELSE 1 END AS step, token_id % half AS token, round(sum(logit), 6) AS v FROM logits, h GROUP BY row_id, token_id, half)
+SELECT row_id, CAST(rank""",
+    1,
+)
+SQL["shard_merge"] = SQL["weighted_mean_loss"]
 SQL["streaming_late_references"] = SQL["optional_label_metrics"]
 SQL["streaming_running_metric"] = SQL["weighted_mean_loss"]
 SQL["fold_leak_check"] = with_views(

@@ -29,7 +29,7 @@ spark.sparkContext.setCheckpointDir(ckpt)
 
 from glyphframe.operators import folds as fo  # noqa: E402
 from glyphframe.sources import files as fi  # noqa: E402
-from glyphframe.sources import views as vw  # noqa: E402
+from glyphframe.plans import views as vw  # noqa: E402
 
 
 @F.pandas_udf("string")

@@ -27,7 +27,7 @@ spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled","fals
 spark.sparkContext.setLogLevel("ERROR")
 from glyphframe.session import ensure_checkpoint_dir
 ensure_checkpoint_dir(spark)
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 from glyphframe.operators import folds as fo
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
 # every word in ONE stratum: the hot-key case

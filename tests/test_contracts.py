@@ -10,7 +10,7 @@ from glyphframe.operators import evaluate as ev
 from glyphframe.operators import folds as fo
 from glyphframe.operators import positions as po
 from glyphframe.operators import submission as sb
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 from glyphframe.streaming import running as st
 
 

@@ -8,7 +8,7 @@ from conftest import SF001
 from glyphframe.operators import vocab as vo
 from glyphframe.plans import entries
 from glyphframe.sources import files as fi
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 
 
 def _write_csv(path, header, rows):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF001, SF01
 from glyphframe.operators import folds as fo
 from glyphframe.operators import positions
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 
 
 def brute_force_folds(y, n):

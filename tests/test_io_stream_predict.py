@@ -12,7 +12,7 @@ from conftest import SF001, SF01
 from glyphframe.operators import evaluate as ev
 from glyphframe.operators import predict as pr
 from glyphframe.sources import files as fi
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 from glyphframe.streaming import running as st
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from glyphframe.operators import common, token_match
 from glyphframe.operators import vocab as vo
-from glyphframe.sources import views as vw
+from glyphframe.plans import views as vw
 
 
 @pytest.fixture()
