@@ -17,11 +17,13 @@ repeated documents each count; an empty benchmark gives no hits.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,9 +191,20 @@ def _merge(old: list[dict], new: list[tuple[int, int]]) -> list[tuple[int, int]]
     return out
 
 
+def _held(shared, name: uuid.UUID) -> Matcher:
+    """The tables of a block, built once per Python worker and kept for its tasks."""
+    matcher = ModelCache.get(name)
+    if matcher is None:
+        matcher = Matcher(shared.value)
+        ModelCache.add(name, matcher)
+    return matcher
+
+
 def _annotate(shared, names: list[str]) -> Callable:
+    block = uuid.uuid4()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = _held(shared, block)
         for batch in batches:
             n_words, runs, items = scan(matcher, batch.column("text"))
             old_hits, old_items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
@@ -231,8 +244,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(dict(benchmark_windows(block, window)))
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, block=uuid.uuid4()) -> Iterator[pa.RecordBatch]:
+            matcher = _held(shared, block)
             for batch in batches:
                 _, runs, _ = scan(matcher, batch.column(batch.schema.names.index(text_col)))
                 clean = [sum(b - a + 1 for a, b in r) < min_hit_words for r in runs]

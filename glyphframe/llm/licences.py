@@ -5,12 +5,15 @@ The automaton runs over the normal form of ``kernels.WordStream``, so a phrase i
 wherever its words stand consecutively, whatever stands between them. Three kinds of phrase:
 
 * base phrases, each with a label; every place counts;
-* notice phrases, which name a licence in a longer form (title or wording of the grant);
+* notice phrases, which name a licence in a longer form (title or wording of the grant); of
+  those that begin at one place the longest counts;
 * identifier tags, after which an expression such as ``MIT OR (Apache-2.0 WITH x AND GPL)``
   is read from the original text. A shunting-yard parser turns it into postfix order, and
   its evaluation gives the identifiers required (``and``) and offered (``or``).
 
-Labels are the base labels, the notice labels and the licence families of the identifiers.
+Labels are the base labels, the notice labels and the licence families of the identifiers. An
+identifier of no known family is a label only if it looks like one (``LicenseRef-``, or a
+version in it), as prose may follow a tag.
 The score is 1 minus the product of (1 - weight) over the distinct kinds of evidence.
 
 Defined results: a null or empty text has 0 words, no places, empty label strings, null
@@ -57,7 +60,8 @@ BASE_WEIGHT, NOTICE_WEIGHT, TAG_WEIGHT = 0.7, 0.6, 0.95
 
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _OPERATORS = {"or": 1, "and": 2, "with": 3}
-_TAG_TEXT = re.compile(r"licen[sc]e[^a-z0-9]{0,3}identifier\s*[:=]?[ \t]*([^\r\n*<]*)", re.IGNORECASE)
+# Between the words of a tag stands whatever separates words.
+_TAG_TEXT = re.compile(r"license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+identifier\s*[:=]?[ \t]*([^\r\n*<]*)", re.IGNORECASE)
 
 RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, "
@@ -137,10 +141,13 @@ def evaluate(tokens: list[str]) -> tuple[frozenset[str], frozenset[str]]:
     return required, frozenset().union(*(o for _, o in stack))
 
 
-def family(identifier: str) -> str:
-    """Licence family of an identifier; one of no known family is its own."""
+def family(identifier: str) -> str | None:
+    """Licence family of an identifier; one of no known family is its own, or none if it does
+    not look like an identifier."""
     found = max((f for f in FAMILIES if identifier.startswith(f)), key=len, default=None)
-    return FAMILIES[found] if found else identifier
+    if found:
+        return FAMILIES[found]
+    return identifier if identifier.startswith("licenseref-") or any(c.isdigit() for c in identifier) else None
 
 
 def automaton():
@@ -176,28 +183,28 @@ def scan(column: pa.Array, auto) -> dict[str, list]:
     n = len(column)
     n_words = np.zeros(n, np.int64)
     base: list[list[tuple[int, str]]] = [[] for _ in range(n)]
-    notices: list[set[str]] = [set() for _ in range(n)]
+    longest: list[dict[int, tuple[int, str]]] = [{} for _ in range(n)]  # notices by place
     tagged: set[int] = set()
     for a, b, raw, ends in text_chunks(column):
         ws = WordStream(raw, ends)
         n_words[a:b] = ws.n_words
         # Latin-1 keeps one character per byte, so places are byte offsets.
         flat = ws.data.tobytes()
-        places = [(end - size + 1, what) for end, (size, what) in auto.iter(flat.decode("latin-1"))]
-        places = [(p, what) for p, what in places if p == 0 or flat[p - 1] <= 32]
+        places = [(end - size + 1, size, what) for end, (size, what) in auto.iter(flat.decode("latin-1"))]
+        places = [(p, size, what) for p, size, what in places if p == 0 or flat[p - 1] <= 32]
         if not places:
             continue
-        numbers = np.searchsorted(ws.starts, [p for p, _ in places])
+        numbers = np.searchsorted(ws.starts, [p for p, *_ in places])
         docs = np.searchsorted(ws.first, numbers, side="right") - 1
-        last = ws.first[docs + 1]
-        for (place, what), word, d, stop in zip(places, numbers.tolist(), docs.tolist(), last.tolist(), strict=True):
+        for (_, size, what), word, d in zip(places, numbers.tolist(), docs.tolist(), strict=True):
             for kind, label in what:
                 if kind == "base":
                     base[a + d].append((word - int(ws.first[d]), label))
                 elif kind == "notice":
-                    notices[a + d].add(label)
+                    longest[a + d][word] = max(longest[a + d].get(word, (0, "")), (size, label))
                 else:
                     tagged.add(a + d)
+    notices = [{label for _, label in x.values()} for x in longest]
     exprs: list[list[dict]] = [[] for _ in range(n)]
     for i in tagged:
         exprs[i] = expressions(column[i].as_py())
@@ -205,7 +212,7 @@ def scan(column: pa.Array, auto) -> dict[str, list]:
     for i in range(n):
         words = [w for w, _ in base[i]]
         base_labels = sorted({x for _, x in base[i]})
-        named = {family(x) for e in exprs[i] for x in e["offered"]}
+        named = {family(x) for e in exprs[i] for x in e["offered"]} - {None}
         doubt = (1 - BASE_WEIGHT) ** len(base_labels) * (1 - NOTICE_WEIGHT) ** len(notices[i]) * ((1 - TAG_WEIGHT) if exprs[i] else 1.0)
         row = (int(n_words[i]), len(words), min(words, default=None), max(words, default=None), base_labels, sorted({*base_labels, *notices[i], *named}), 1.0 - doubt, sorted(notices[i]), exprs[i])
         for k, v in zip(out, row, strict=True):

@@ -10,11 +10,12 @@
    all vectors (and ``k`` at least). Whole cells are taken, however large. The walk needs the
    size of every cell: at most centroids ** 2 numbers.
 4. *Rerank.* Neighbouring cells are laid out in blocks of about ``block_rows`` vectors (a
-   larger cell spans several). A query goes to every block that holds one of its cells, with a
-   bitmap of its cells. Queries are dealt in turns of bounded size, so a task sees one block
-   and one turn: one matrix product in double precision scores them, only vectors in cells of
-   the query count, and the best ``k`` stay. A final top-k merges the blocks, so fewer, larger
-   blocks mean fewer rows on the way (a block of 16,384 vectors is a few MB).
+   larger cell spans several), and the index is shuffled once, by block. A query goes to every block that
+   holds one of its cells, with a bitmap of its cells. A task holds one block and reads
+   the block's queries batch by batch: one matrix product in double precision scores them, only
+   vectors in cells of the query count, and the best ``k`` stay, however many queries come. A final
+   top-k merges the blocks, so fewer, larger blocks mean fewer rows on the way (a block of 16,384
+   vectors is a few MB).
 
 ``share`` is calibrated: the least of a few values at which the traversal finds ``recall`` of
 the true neighbours inside the sample. Clustered vectors need a small part of the cells;
@@ -25,7 +26,8 @@ If fewer than ``k`` candidates exist, all are returned. Defined results: vectors
 null, empty, zero, of another length than most, or hold null or non-finite components take
 no part, neither as query nor as candidate; a null id takes no part; ties go to the smaller
 id; a row that repeats (same id, same vector) counts once, before anything is indexed; one id
-with several vectors is several vectors; an empty table gives an empty result.
+with several vectors is several vectors: each is a query with ranks of its own (told apart by
+``query_print``) and a candidate of the others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +50,6 @@ RECALL = 0.95
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 1.0)
 PROBES = 200
 BLOCK_ROWS = 1 << 14
-TURN_ROWS = 2000
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -177,7 +178,7 @@ def layout(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def _walks(shared, need: int, turns: int):
+def _walks(shared, need: int):
     """A row per query and block: the query's vector and the bitmap of its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def _walks(shared, need: int, turns: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            m = _matrix(batch.column(2))
             left, right = m[:, :h] @ one.T, m[:, h:] @ two.T
             at, blocks, maps = [], [], []
             for i in range(len(m)):
@@ -198,64 +199,80 @@ def _walks(shared, need: int, turns: int):
                 blocks += mine.tolist()
                 maps += [np.packbits(mask).tobytes()] * len(mine)
             take = pa.array(at, pa.int64())
-            turn = pa.array((ids % turns).astype(np.int32)).take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), turn, batch.column(0).take(take), batch.column(1).take(take), pa.array(maps, pa.binary())], names=["block", "turn", "id", "vec", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(c.take(take) for c in batch.columns), pa.array(maps, pa.binary())], names=["block", "id", "print", "vec", "cells"])
 
     return run
 
 
-def _best(k: int):
-    """Best ``k`` of one block of vectors for each query of one turn."""
-
-    def run(queries: pa.Table, block: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if len(queries) and len(block):
-            block = block.sort_by("id")
-            q, c = _matrix(queries["vec"].combine_chunks()), _matrix(block["vec"].combine_chunks())
-            q_ids, c_ids, cell = queries["id"].to_numpy(), block["id"].to_numpy(), block["cell"].to_numpy()
-            maps = queries["cells"].to_pylist()
-            for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ c.T
-                visited = np.unpackbits(np.frombuffer(b"".join(maps[at : at + 256]), np.uint8).reshape(len(scores), -1), axis=1)[:, cell]
-                scores[(visited == 0) | (c_ids[None] == q_ids[at : at + 256, None])] = -np.inf
-                edge = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(scores), -np.inf)
-                for i, row in enumerate(scores):
-                    top = np.flatnonzero((row >= edge[i] - 1e-9) & (row > -np.inf))  # ties at the edge stay
-                    # The score itself is summed in the order of the components.
-                    exact = (q[at + i] * c[top]).cumsum(1)[:, -1] if len(top) else np.zeros(0)
-                    best = np.lexsort((c_ids[top], -exact))[:k]
-                    out[0].append(np.full(len(best), q_ids[at + i]))
-                    out[1].append(c_ids[top[best]])
-                    out[2].append(exact[best])
-        cat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(cat, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+def best_of_block(queries: pa.RecordBatch, block: tuple[np.ndarray, ...], k: int) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` of one block (``ids, prints, cells, vectors``, by id) for each of its queries."""
+    c_ids, c_prints, cell, c = block
+    q_ids, q_prints, q = queries.column("id").to_numpy(), queries.column("print").to_numpy(), _matrix(queries.column("vec"))
+    maps = queries.column("cells").to_pylist()
+    for at in range(0, len(q), 256):
+        out = [[], [], [], []]
+        scores = q[at : at + 256] @ c.T
+        visited = np.unpackbits(np.frombuffer(b"".join(maps[at : at + 256]), np.uint8).reshape(len(scores), -1), axis=1)[:, cell]
+        own = (c_ids[None] == q_ids[at : at + 256, None]) & (c_prints[None] == q_prints[at : at + 256, None])
+        scores[(visited == 0) | own] = -np.inf
+        edge = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(scores), -np.inf)
+        for i, row in enumerate(scores):
+            top = np.flatnonzero((row >= edge[i] - 1e-9) & (row > -np.inf))  # ties at the edge stay
+            # The score itself is summed in the order of the components.
+            exact = (q[at + i] * c[top]).cumsum(1)[:, -1] if len(top) else np.zeros(0)
+            best = np.lexsort((c_ids[top], -exact))[:k]
+            for cells, x in zip(out, (np.full(len(best), q_ids[at + i]), np.full(len(best), q_prints[at + i]), c_ids[top[best]], exact[best]), strict=True):
+                cells.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "query_print", "vec_id", "score"])
+
+
+def _stream(k: int):
+    """Rows sorted by block, vectors before queries, to the best of each block and query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, block = None, [], None
+        for batch in batches:
+            blocks, asks = batch.column("block").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if blocks[a] != now:
+                    now, parts, block = blocks[a], [], None
+                if not asks[a]:
+                    parts.append(piece)
+                elif parts:
+                    if block is None:
+                        held = pa.Table.from_batches(parts).combine_chunks()
+                        block = (*(held[c].to_numpy() for c in ("id", "print", "cell")), _matrix(held["vec"].combine_chunks()))
+                    yield from best_of_block(piece, block, k)
 
     return run
 
 
 def search(index: DataFrame, books, queries: DataFrame, share: float, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` nearest found for ``queries`` (``id,
-    vec``)."""
+    """``query_id, rank, vec_id, score, query_print`` of the ``k`` nearest found for ``queries``
+    (``id, vec``)."""
     spark = index.sparkSession
     if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_print long")
     sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for r in index.groupBy("cell").count().collect():  # at most one row per cell
         sizes[r.cell] = r["count"]
     first, parts = layout(sizes, block_rows)
     need = max(k + 1, int(np.ceil(share * sizes.sum())))
-    turns = max(1, -(-queries.count() // TURN_ROWS))
     shared = spark.sparkContext.broadcast((books, sizes, first, parts))
-    by = ["block", "turn"]
-    asked = queries.mapInArrow(_walks(shared, need, turns), "block long, turn int, id long, vec array<double>, cells binary")
+    told = lambda df: df.withColumn("print", F.xxhash64("vec"))
+    asked = told(queries).select("id", "print", "vec").mapInArrow(_walks(shared, need), "block long, id long, print long, vec array<double>, cells binary")
     places = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(sizes), dtype=np.int32), "first": first, "parts": parts}))
-    held = index.join(F.broadcast(places), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")))
-    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select(*by, "id", "vec", "cell")
-    found = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    held = told(index).join(F.broadcast(places), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")))
+    held = held.select("block", F.lit(False).alias("query"), "id", "print", "vec", "cell", F.lit(None).cast("binary").alias("cells"))
+    both = held.unionAll(asked.select("block", F.lit(True), "id", "print", "vec", F.lit(0), "cells"))
+    found = both.repartition("block").sortWithinPartitions("block", "query", "id").mapInArrow(_stream(k), "query_id long, query_print long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_print").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_print")
 
 
 def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = K, centroids: int = CENTROIDS, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -8,12 +8,17 @@
 3. Importance of a branch. Content: a text that stands on ``c`` of the ``m`` pages with its
    path has the entropy ``ln c / ln m``; a branch's content importance is 1 minus the mean
    entropy of the distinct texts below it, smoothed by ``SMOOTH`` pages towards the same path
-   over all hosts, and that towards 1 (few pages say little). Presentation: how the branch is marked up. The label of
-   the nearest element that names a role (``article`` or ``main``; ``nav``, ``footer``,
-   ``aside``, ``class="ad"`` ...) speaks for or against it; without one, variety of styles
-   does. The two are combined with ``ROLE_WEIGHT`` where a role is named, else with
-   ``STYLE_WEIGHT``.
-4. Branches below ``threshold`` are cut from each page; what is left is the main text.
+   over all hosts, and that towards 1 (few pages say little). Presentation: how the branch is marked up. An
+   element may name a role (``article`` or ``main``; ``nav``, ``footer``, ``aside``,
+   ``class="ad"`` ...). A wrapper names none: a form, and a class of several words that
+   speaks of layout (``content-sidebar-wrap``) or stands beside a main word or tag
+   (``post related-topics-on``). Where no role is named, variety of styles speaks. The two are
+   combined with ``ROLE_WEIGHT`` where a role is named, else with ``STYLE_WEIGHT``.
+4. Importance of a content node: 1 minus the entropy of its text, smoothed the same way. A text
+   that nearly all pages of a host have in one place (below ``NODE_THRESHOLD``) is a notice even
+   inside an article, unless such texts are over half of a page: then the page is a copy.
+5. Branches below ``threshold`` and such nodes are cut from each page; what is left is the main
+   text.
 
 A hot host is merged by map-side sums and joined by its small list of cut branches; nothing
 gathers the pages of a host.
@@ -38,6 +43,7 @@ from pyspark.sql import functions as F
 from glyphframe.llm.graph import small_side, stored, text_session
 
 THRESHOLD = 0.3
+NODE_THRESHOLD = 0.15
 ROLE_WEIGHT, STYLE_WEIGHT = 0.75, 0.1
 SMOOTH = 20.0
 
@@ -51,37 +57,55 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Roles by element, and by word in class, id or role.
 MAIN_TAGS = frozenset("article main".split())
-AWAY_TAGS = frozenset("nav footer aside form button menu dialog".split())
+AWAY_TAGS = frozenset("nav footer aside button menu dialog".split())
 MAIN_WORDS = frozenset("article articlebody main content maincontent post entry story".split())
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu menubar navbar nav navigation sidebar footer header masthead "
     "cookie cookies consent notice notices alert popup modal newsletter subscribe signup comment comments commentlist disqus replies respond share sharing social "
     "related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright legal disclaimer".split()
 )
+# Words of layout; a name that has one names no role.
+LAYOUT_WORDS = frozenset("wrap wrapper container layout page grid row column columns col with without no has free on off".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL | re.IGNORECASE)
+# A quote opens a value only after a sign of equality; elsewhere it is part of a name.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
 
 def label(tag: str, attributes: str) -> str:
-    """Tag with the words of class, id and role: ``div.ad``."""
-    words = sorted({w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}) if attributes else ()
-    return ".".join([tag, *words]) if words else tag
+    """Tag with the names in class, id and role, words joined by ``-``: ``div.ad.main-menu``."""
+    if not attributes:
+        return tag
+    names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+    names = sorted({"-".join(words) for x in names if (words := _WORD.findall(x))})
+    return ".".join([tag, *names])
+
+
+def step_role(step: str, inside: bool) -> int:
+    """Role that one element names; ``inside``: it stands in a main element."""
+    tag, *names = step.split(".")
+    single = {x for x in names if "-" not in x}
+    several = [set(x.split("-")) for x in names if "-" in x]
+    if tag in ("html", "body"):
+        return 0
+    if tag in AWAY_TAGS or single & AWAY_WORDS or (tag == "header" and not inside):
+        return -1
+    main = tag in MAIN_TAGS or bool(single & MAIN_WORDS)
+    plain = [x for x in several if not x & LAYOUT_WORDS]
+    if any(x & AWAY_WORDS for x in plain):
+        return 0 if main else -1  # beside a main tag or word it settles nothing
+    return 1 if main or any(x & MAIN_WORDS for x in plain) else 0
 
 
 def role(path: str) -> int:
-    """1: main text, -1: not, 0: not said; by the nearest element that names a role."""
-    steps = path.split(">")
-    inside = False
+    """1: main text, -1: not, 0: not said; nothing inside a branch that is none is main text."""
     found = 0
-    for step in steps:
-        tag, *words = step.split(".")
-        away = tag in AWAY_TAGS or any(w in AWAY_WORDS for w in words) or (tag == "header" and not inside)
-        if away and tag not in ("html", "body"):
-            return -1  # nothing inside such a branch is main text again
-        if tag in MAIN_TAGS or any(w in MAIN_WORDS for w in words):
-            found, inside = 1, True
+    for step in path.split(">"):
+        mine = step_role(step, found == 1)
+        if mine < 0:
+            return -1
+        found = max(found, mine)
     return found
 
 
@@ -178,8 +202,24 @@ def _importances(counts: DataFrame, keys: list[str]) -> DataFrame:
 def branch_importance(pages: DataFrame) -> DataFrame:
     """``host, path, importance`` of every branch of the merged trees of ``pages`` (``host,
     html``)."""
+    return _branches(site_counts(pages))
+
+
+def site_counts(pages: DataFrame) -> DataFrame:
+    """``host, path, kind, value, pages`` of the merged trees, stored."""
     counts = pages.select("host", "html").mapInArrow(_tree, "host string, path string, kind int, value long, pages long")
-    counts = stored(counts.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("pages")), "style-counts")
+    return stored(counts.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("pages")), "style-counts")
+
+
+def repeated_nodes(counts: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
+    """``host, path, value`` of the texts that nearly all pages of the host have at a path."""
+    pages = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("m")).where("m > 1")
+    texts = counts.where("kind = 1").select("host", "path", "value", F.col("pages").alias("c"))
+    importance = (F.col("m") * (1 - F.log("c") / F.log("m")) + SMOOTH) / (F.col("m") + SMOOTH)
+    return texts.join(pages, ["host", "path"]).where(importance < threshold).select("host", "path", "value")
+
+
+def _branches(counts: DataFrame) -> DataFrame:
     own = _importances(counts, ["host", "path"])
     everywhere = _importances(counts.groupBy("path", "kind", "value").agg(F.sum("pages").alias("pages")), ["path"])
     shrink = lambda n, toward: (F.col("m") * F.col("worth") / F.col("texts") + n * toward) / (F.col("m") + n)
@@ -202,8 +242,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         texts, kept_all = [], []
-        for page, cut in zip(batch.column(names.index("html")).to_pylist(), batch.column(names.index("cut")).to_pylist(), strict=True):
+        for page, cut, nodes in zip(*(batch.column(names.index(c)).to_pylist() for c in ("html", "cut", "nodes")), strict=True):
             cut = set(cut or ())
+            repeats = {(x["path"], x["value"]) for x in nodes or ()}
             found = blocks(page)[0]
             kept = []
             known: dict[str, bool] = {}
@@ -216,9 +257,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             break
                         at = at.rpartition(">")[0]
                 if known[path]:
-                    kept.append(text)
-            kept_all.append(kept)
-            texts.append(" ".join(kept))
+                    kept.append((text, bool(repeats) and (path, _hash(text)) in repeats))
+            notices = sum(len(t) for t, again in kept if again)
+            if 2 * notices <= sum(len(t) for t, _ in kept):
+                kept = [(t, again) for t, again in kept if not again]
+            kept_all.append([t for t, _ in kept])
+            texts.append(" ".join(kept_all[-1]))
         arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(kept_all, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["page", "url", "text", "blocks"])
 
@@ -229,8 +273,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     address = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(address, "://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    low = branch_importance(rows).where(F.col("importance") < threshold)
-    cut = small_side(stored(low.groupBy("host").agg(F.collect_set("path").alias("cut")), "style-cut"))
+    counts = site_counts(rows)
+    low = _branches(counts).where(F.col("importance") < threshold).select("host", "path", F.lit(None).cast("long").alias("value"))
+    # What is cut of a host is bounded by the paths and texts of a page, not by its pages.
+    whole = F.collect_set(F.when(F.col("value").isNull(), F.col("path"))).alias("cut")
+    nodes = F.collect_set(F.when(F.col("value").isNotNull(), F.struct("path", "value"))).alias("nodes")
+    cut = small_side(stored(low.unionAll(repeated_nodes(counts)).groupBy("host").agg(whole, nodes), "style-cut"))
     id_type = rows.schema["page"].dataType.simpleString()
-    out = rows.join(cut, "host", "left").select("page", "url", "html", "cut").mapInArrow(_read, f"page {id_type}, url string, text string, blocks array<string>")
+    out = rows.join(cut, "host", "left").select("page", "url", "html", "cut", "nodes").mapInArrow(_read, f"page {id_type}, url string, text string, blocks array<string>")
     return out.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", "blocks")

@@ -42,7 +42,7 @@ def test_decontamination(docs, none, bench):
     out = decontaminate.find_contamination(docs, bench)
     assert ids(out) == ALL
     by = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
-    assert by[0]["items"] == ["1", "3"] and [tuple(h) for h in by[0]["hits"]] == [(1, 2), (3, 6)][0:0] + [(1, 2), (3, 6)] or [tuple(h) for h in by[0]["hits"]] == [(1, 6)]
+    assert by[0]["items"] == ["1", "3"] and [tuple(h) for h in by[0]["hits"]] == [(1, 6)]
     assert by[2].n_words == 0 and by[1].n_words == 0 and not by[5]["hits"]
     assert decontaminate.find_contamination(none, bench).count() == 0
     assert ids(decontaminate.find_contamination(docs, bench.where("false"))) == ALL

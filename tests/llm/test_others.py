@@ -46,6 +46,13 @@ def test_licence_places_equal_brute_force(spark):
     assert got[-5].labels == ["apache", "isc", "mit"] and got[-5].score > 0.9 and got[-2].labels == ["gpl"]
 
 
+def test_added_labels(spark):
+    texts = ["Licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0", "SPDX-License-Identifier: MIT and thanks to all", "license ---- /* identifier: Zlib-1.2 OR LicenseRef-mine", "license.\n\n\n  identifier: ISC"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.scan_licences(df).collect()}
+    assert got == {0: ["cc-by-nc"], 1: ["cc-by"], 2: ["mit"], 3: ["licenseref-mine", "zlib-1.2"], 4: ["isc"]}
+
+
 # ---- language
 def test_language_by_text_alone_on_rows_without_declaration(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -129,6 +136,38 @@ def test_named_branches(spark):
     assert got.text == "A <b> its line two one two" and got.blocks == ["A <b> its line two", "one", "two"]
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content-sidebar-wrap">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="post related-topics-on">{}</div>', '<div class="page no-sidebar"><article>{}</article></div>', "<article>{}</article>"])
+def test_articles_inside_wrappers(spark, wrap):
+    """Two hundred pages of one host; a notice that repeats on all of them goes wherever it is."""
+    rnd = np.random.default_rng(1)
+    words = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 5000, n))
+    texts = [[words(30), words(25)] for _ in range(200)]
+    menu = "<nav><a href='/'>Home</a> <a href='/about'>About</a></nav><div class='main-menu'>Menu</div>"
+    body = [wrap.format(f"<p>{a}</p><p>We use cookies here.</p><p>{b}</p>") for a, b in texts]
+    pages = spark.createDataFrame([(k, f"http://a.net/{k}", f"<html><body>{menu}{x}<footer>the end</footer></body></html>") for k, x in enumerate(body)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in styletree.extract(pages).collect()}
+    assert got == {k: f"{a} {b}" for k, (a, b) in enumerate(texts)}
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    rows = [(k, f"http://a.net/{k}", "<body><nav>Home</nav><article><p>one and the same</p><p>article again</p></article></body>") for k in range(300)]
+    got = {r.text for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"one and the same article again"}
+
+
+def test_stray_quotes_are_no_text():
+    shown = lambda page: [t for _, t in styletree.blocks(page)[0]]
+    assert shown('<p title="5" tall">Hello</p>') == ["Hello"]
+    assert shown("<p title='it's'>Hello</p>") == ["Hello"] and shown('<p title="a>b">Hello</p>') == ["Hello"]
+    assert shown('<p title="open>Hello</p>') == ["Hello"]
+    assert shown("<p " + "a=b " * 5000) == ["<p " + ("a=b " * 5000).strip()]
+
+
+def test_roles_of_names():
+    cases = {"body>div.content-sidebar-wrap>p": 0, "body>article.comment>p": -1, "body>div.main-menu": -1, "body>div.entry-content>p": 1, "body>aside>article>p": -1, "body>form>article>p": 1, "body>header>h1": -1, "body>article>header>h1": 1, "body>div.post.related-topics-on": 1, "body>div.main.sidebar-left": 0}
+    assert {p: styletree.role(p) for p in cases} == cases
+
+
 def test_rules_equal_brute_force(spark):
     pages = pd.read_parquet(f"{SF}/pages.parquet")
     got = queries.op3_url_filter(spark, SF).toPandas().set_index("page_id")

@@ -76,24 +76,47 @@ def test_trigrams_do_not_depend_on_neighbours():
     assert [bins[of == k].tolist() for k in range(5)] == [trigrams(t) for t in texts]
 
 
+def floors_of(rows, langs, grams, logs):
+    """What the texts of each language must reach: the background, or what all but 1 % of the rows
+    that declare it reach."""
+    fit = defaultdict(list)
+    for r, g, v in zip(rows, grams, logs, strict=True):
+        if g and langs[int(np.argmax(v))] == r["lang"]:
+            fit[r["lang"]].append(max(v) / len(g))
+    return {x: min(langid.BACKGROUND, sorted(fit[x])[max(0, math.ceil(langid.FIT_LOW * len(fit[x])) - 1)] if fit[x] else langid.BACKGROUND) for x in langs}
+
+
+def brute_accepted(rows):
+    """Ids of the rows that language identification accepts."""
+    langs = sorted(x for x, n in Counter(r["lang"] for r in rows).items() if n >= langid.MIN_ROWS)
+    grams = [trigrams(r["text"]) for r in rows]
+    counts = {x: Counter() for x in langs}
+    for r, g in zip(rows, grams, strict=True):
+        if r["lang"] in counts:
+            counts[r["lang"]].update(g)
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    logs = [[sum(math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * langid.BINS)) for b in g) for x in langs] for g in grams]
+    floors = floors_of(rows, langs, grams, logs)
+    sure = brute_language(rows)
+    out = set()
+    for r, g, v in zip(rows, grams, logs, strict=True):
+        language, posterior = sure[r["doc_id"]]
+        fits = g and max(v) / len(g) >= floors[langs[int(np.argmax(v))]] - 1e-6
+        if language != "und" and posterior >= langid.ACCEPT and fits and (r["lang"] is None or r["lang"] in langs):
+            out.add(r["doc_id"])
+    return out
+
+
 def brute_stages(rows, bench):
-    keep = {d for d, (x, p) in brute_language(rows).items() if x != "und" and p >= langid.ACCEPT}
+    keep = brute_accepted(rows)
     rows = [r for r in rows if r["doc_id"] in keep]
     yield rows
-    one = {d for d, _, c in test_neardup.brute([(r["doc_id"], r["text"]) for r in rows]) if d == c}
+    one = {d for d, _, c in test_neardup.brute([(r["doc_id"], r["text"]) for r in rows], 5, 80) if d == c}
     rows = [r for r in rows if r["doc_id"] in one]
     yield rows
     cut = []
-    for r, (_, runs, _) in zip(rows, test_suffixdedup.brute([r["text"] for r in rows], corpus_pipeline.REPEAT_BYTES), strict=True):
-        raw, gone = r["text"].encode(), set()
-        for a, b in runs:
-            gone |= set(range(a, b))
-        text, at = "", 0
-        for c in r["text"]:  # a character that a run cuts goes whole
-            size = len(c.encode())
-            text += "" if gone & set(range(at, at + size)) else c
-            at += size
-        assert at == len(raw)
+    for r, runs in zip(rows, test_suffixdedup.brute_words([r["text"] for r in rows], corpus_pipeline.REPEAT_WORDS), strict=True):
+        text = test_suffixdedup.without(r["text"], runs)
         cut.append({**r, "text": text, "n_chars": len(text) if runs else r["n_chars"]})
     rows = cut
     yield rows
