@@ -17,8 +17,8 @@
 4. Importance of a content node: 1 minus the entropy of its text, smoothed the same way. A text
    that nearly all pages of a host have in one place (below ``NODE_THRESHOLD``) is a notice even
    inside an article, unless such texts are over half of a page: then the page is a copy.
-5. Branches below ``threshold`` and such nodes are cut from each page; what is left is the main
-   text.
+5. Branches below ``threshold`` and such nodes are cut from each page, but no main element for
+   what stands around it; what is left is the main text.
 
 A hot host is merged by map-side sums and joined by its small list of cut branches; nothing
 gathers the pages of a host.
@@ -250,8 +250,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, bool] = {}
             for path, text in found:
                 if path not in known:
-                    at, known[path] = path, True
-                    while at:
+                    at, known[path], main = path, True, role(path) == 1
+                    # What stands around a main element does not cut it.
+                    while at and (not main or role(at) == 1):
                         if at in cut:
                             known[path] = False
                             break
