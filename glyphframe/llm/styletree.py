@@ -10,8 +10,8 @@
    entropy of the distinct texts below it, smoothed by ``SMOOTH`` pages towards the same path
    over all hosts, and that towards 1 (few pages say little). Presentation: how the branch is marked up. An
    element may name a role (``article`` or ``main``; ``nav``, ``footer``, ``aside``,
-   ``class="ad"`` ...). A wrapper names none: a form, and a class of several words that
-   speaks of layout (``content-sidebar-wrap``) or stands beside a main word or tag
+   ``class="ad"`` ...). A wrapper names none: a form around a main element, and a class of
+   several words that speaks of layout (``content-sidebar-wrap``) or stands beside a main word or tag
    (``post related-topics-on``). Where no role is named, variety of styles speaks. The two are
    combined with ``ROLE_WEIGHT`` where a role is named, else with ``STYLE_WEIGHT``.
 4. Importance of a content node: 1 minus the entropy of its text, smoothed the same way. A text
@@ -100,13 +100,15 @@ def step_role(step: str, inside: bool) -> int:
 
 def role(path: str) -> int:
     """1: main text, -1: not, 0: not said; nothing inside a branch that is none is main text."""
-    found = 0
+    found, form = 0, False
     for step in path.split(">"):
         mine = step_role(step, found == 1)
         if mine < 0:
             return -1
         found = max(found, mine)
-    return found
+        # A form is none, but one around a main element is only a wrapper.
+        form = step.partition(".")[0] == "form" or form and mine <= 0
+    return -1 if form else found
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, str]]:

@@ -136,7 +136,7 @@ def test_named_branches(spark):
     assert got.text == "A <b> its line two one two" and got.blocks == ["A <b> its line two", "one", "two"]
 
 
-@pytest.mark.parametrize("wrap", ['<div class="content-sidebar-wrap">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="post related-topics-on">{}</div>', '<div class="page no-sidebar"><article>{}</article></div>', "<article>{}</article>"])
+@pytest.mark.parametrize("wrap", ['<div class="content-sidebar-wrap">{}</div>', '<form id="aspnetForm"><article>{}</article></form>', '<div class="post related-topics-on">{}</div>', '<div class="page no-sidebar"><article>{}</article></div>', "<article>{}</article>"])
 def test_articles_inside_wrappers(spark, wrap):
     """Two hundred pages of one host; a notice that repeats on all of them goes wherever it is."""
     rnd = np.random.default_rng(1)
@@ -164,7 +164,7 @@ def test_stray_quotes_are_no_text():
 
 
 def test_roles_of_names():
-    cases = {"body>div.content-sidebar-wrap>p": 0, "body>article.comment>p": -1, "body>div.main-menu": -1, "body>div.entry-content>p": 1, "body>aside>article>p": -1, "body>form>article>p": 1, "body>header>h1": -1, "body>article>header>h1": 1, "body>div.post.related-topics-on": 1, "body>div.main.sidebar-left": 0}
+    cases = {"body>div.content-sidebar-wrap>p": 0, "body>article.comment>p": -1, "body>div.main-menu": -1, "body>div.entry-content>p": 1, "body>aside>article>p": -1, "body>form>article>p": 1, "body>article>form>p": -1, "body>form>p": -1, "body>header>h1": -1, "body>article>header>h1": 1, "body>div.post.related-topics-on": 1, "body>div.main.sidebar-left": 0}
     assert {p: styletree.role(p) for p in cases} == cases
 
 
