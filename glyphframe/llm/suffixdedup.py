@@ -25,9 +25,8 @@ strings repeat is decided by suffix arrays over the bytes themselves; hashes onl
 
 Passages of words (``remove_passages``) go the same way with words for bytes: a window is
 ``words`` words with the bytes between them, however short, and belongs to the smallest hash
-of the runs of ``anchor`` words inside it. In step 4 only the places where windows begin are
-looked at in suffix order, each with the length of its own window; bytes are renumbered so that
-what ends a word sorts first, which keeps equal windows side by side. Words are what stands
+of the runs of ``anchor`` words inside it. In step 4 the suffix array is over symbols, a word
+with the space after it each, and a window is ``words - 1`` equal symbols and an equal word. Words are what stands
 between ASCII white space; text without white space has no passages.
 
 Rows are known by ``(id, hash of the text)``: repeated rows have the same result, and each
@@ -54,10 +53,6 @@ SALT_SHARDS = 2  # a key is salted from so many shards' bytes on
 GAP = 0xFF  # never a byte of UTF-8 text
 WORDS, ANCHOR_WORDS = 51, 13
 _SEGMENT = "doc {id}, print long, key long, cover long, check long, first int, last int, anchors int"
-# Bytes renumbered: white space, the gap, everything else.
-_SPACES = np.flatnonzero(IS_SPACE)
-_ENDS_FIRST = np.empty(256, np.uint8)
-_ENDS_FIRST[np.concatenate([_SPACES, [GAP], np.setdiff1d(np.arange(256), [*_SPACES, GAP])])] = np.arange(256)
 CHECK_CODE = mix64(BYTE_CODE.copy())
 
 
@@ -177,13 +172,11 @@ def _segments_of(hashes: np.ndarray, ends: np.ndarray, match: int, anchor: int)
     return np.searchsorted(ends, first, side="right"), key, first, last, anchors
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Suffix array of ``data``: sorted by 8 bytes, then Larsson-Sadakane refinement of the
-    groups that are not yet told apart, twice as deep each round."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    head = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(U64)
-    order = np.argsort(head).astype(np.int32)
+def _refined(order: np.ndarray, new: np.ndarray, h: int) -> np.ndarray:
+    """Larsson-Sadakane refinement of suffixes sorted by their first ``h`` symbols, ``new``
+    marking the first of each group: only groups that are not yet told apart are sorted, twice
+    as deep each round."""
+    n = len(order)
     rank = np.empty(n, np.int32)
 
     def number(at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -194,12 +187,7 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         rank[order[at]] = np.repeat(at[group], size)
         return at[np.repeat(size > 1, size)]
 
-    head = head[order]
-    new = np.ones(n, bool)
-    new[1:] = head[1:] != head[:-1]
-    del head
     at = number(np.arange(n, dtype=np.int32), new)
-    h = 8
     while len(at):
         suffix = order[at]
         after = suffix + np.int32(h)
@@ -215,6 +203,26 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     return order
 
 
+def _first_of_group(x: np.ndarray) -> np.ndarray:
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes, sorted by 8 of them at first."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    head = np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(U64)
+    order = np.argsort(head).astype(np.int32)
+    return _refined(order, _first_of_group(head[order]), 8)
+
+
+def symbol_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array of numbers."""
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
+    return _refined(order, _first_of_group(symbols[order]), 1)
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int = 4096) -> np.ndarray:
     """Kasai: length of the common prefix of each suffix (by its place in the text) with the
     one before it in the order, up to ``limit``. Runs of the text go in step, a lane each;
@@ -247,6 +255,32 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     return out
 
 
+def symbol_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int, lanes: int = 4096) -> np.ndarray:
+    """Kasai as in ``common_prefixes``, over numbers."""
+    n = len(symbols)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    out = np.zeros(n, np.int32)
+    width = max(256, -(-n // lanes))
+    p = np.arange(0, n, width)
+    stop = np.minimum(p + width, n)
+    length = np.zeros(len(p), np.int64)
+    while len(p):
+        q = before[p]
+        room = np.minimum(limit, n - np.maximum(p, q))
+        same = (q >= 0) & (length < room)
+        same[same] = symbols[p[same] + length[same]] == symbols[q[same] + length[same]]
+        done = ~same
+        length = np.where(q < 0, 0, np.minimum(length, room)) + same
+        out[p[done]] = length[done]
+        length = np.where(done, np.maximum(length - 1, 0), length)
+        p = p + done
+        live = p < stop
+        if not live.all():
+            p, stop, length = p[live], stop[live], length[live]
+    return out
+
+
 def repeated(pieces: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Over the windows of all pieces: ``(data, begins, repeats, leads)`` where ``repeats``
     marks places whose window stands at another place too, ``leads`` the first of every
@@ -275,27 +309,38 @@ def repeated_words(pieces: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     one entry per window in order; ``lo`` and ``hi`` are its bytes in ``data``."""
     data = np.frombuffer(b"".join(x + bytes([GAP]) for x in pieces), np.uint8)
     ends = np.cumsum([len(x) + 1 for x in pieces])
-    begin, stop, _ = words_of(np.where(data == GAP, np.uint8(32), data), ends)
+    spaced = np.where(data == GAP, np.uint8(32), data)
+    begin, stop, _ = words_of(spaced, ends)
     piece = np.searchsorted(ends, begin, side="right")
     at = np.flatnonzero(piece[: max(len(piece) - words + 1, 0)] == piece[words - 1 :])
-    lo, hi, piece = begin[at], stop[at + words - 1], piece[at]
+    lo, hi, owner = begin[at], stop[at + words - 1], piece[at]
     repeats, leads = np.zeros(len(at), bool), np.ones(len(at), bool)
     if len(at) > 1:
-        sorts = _ENDS_FIRST[data]
-        order = suffix_order(sorts)
-        size = hi - lo
-        lcp = common_prefixes(sorts, order, int(size.max()))[order]
-        window = np.full(len(data), -1, np.int64)
-        window[lo] = np.arange(len(at))
+        # A symbol is a word with what stands before the next one; symbols of one word are
+        # neighbours, so windows that are equal up to the space after them stay side by side.
+        known: dict[bytes, int] = {}
+        word = np.fromiter((known.setdefault(w, len(known)) for w in spaced.tobytes().split()), np.int64, len(begin))
+        follow = np.append(begin[1:], len(data))
+        gap = np.zeros(len(begin), np.int64)  # one space
+        odd = np.flatnonzero((follow - stop != 1) | (data[stop] != 32))
+        gaps: dict[bytes, int] = {}
+        raw = data.tobytes()
+        gap[odd] = [gaps.setdefault(raw[a:b], len(gaps) + 1) for a, b in zip(stop[odd].tolist(), follow[odd].tolist(), strict=True)]
+        symbols = word * (len(gaps) + 1) + gap
+        order = symbol_order(symbols)
+        lcp = symbol_prefixes(symbols, order, words - 1)[order]
+        window = np.full(len(begin), -1, np.int64)
+        window[at] = np.arange(len(at))
         places = np.flatnonzero(window[order] >= 0)
         found = window[order[places]]
         # Common prefix with the window before: the least on the way to it.
         shared = np.minimum.reduceat(lcp[: places[-1] + 1], places[:-1] + 1)
-        same = np.concatenate([[False], (shared >= size[found[1:]]) & (size[found[1:]] == size[found[:-1]])])
+        final = word[at + words - 1][found]
+        same = np.concatenate([[False], (shared >= words - 1) & (final[1:] == final[:-1])])
         leads[found] = ~same
         repeats[found] = same
         repeats[found[:-1]] |= same[1:]
-    return data, piece, lo, hi, repeats, leads
+    return data, owner, lo, hi, repeats, leads
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:

@@ -157,3 +157,17 @@ def test_salted_key_of_real_size(spark):
     got = sd.remove_passages(df, words=51, anchor=13, shard_bytes=64 << 10)
     assert sum(map(bool, runs)) > 1000
     assert sorted(map(tuple, got.collect())) == [(i, without(t, r)) for i, (t, r) in enumerate(zip(ts, runs, strict=True))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array_of_numbers(seed):
+    rnd = random.Random(seed)
+    x = np.array([rnd.randrange(2 + 3 * (seed % 2)) for _ in range(400)] * (1 + seed % 3))
+    order = sd.symbol_order(x)
+    assert order.tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+    lcp = sd.symbol_prefixes(x, order, 20, lanes=3)
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        n = 0
+        while n < 20 and a + n < len(x) and b + n < len(x) and x[a + n] == x[b + n]:
+            n += 1
+        assert lcp[b] == n
