@@ -216,7 +216,8 @@ def site_counts(pages: DataFrame) -> DataFrame:
 def repeated_nodes(counts: DataFrame, threshold: float = NODE_THRESHOLD) -> DataFrame:
     """``host, path, value`` of the texts that nearly all pages of the host have at a path."""
     pages = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("m")).where("m > 1")
-    texts = counts.where("kind = 1").select("host", "path", "value", F.col("pages").alias("c"))
+    # A text of one page has importance 1; without those a hot host has few rows a path.
+    texts = counts.where("kind = 1 and pages > 1").select("host", "path", "value", F.col("pages").alias("c"))
     importance = (F.col("m") * (1 - F.log("c") / F.log("m")) + SMOOTH) / (F.col("m") + SMOOTH)
     return texts.join(pages, ["host", "path"]).where(importance < threshold).select("host", "path", "value")
 
