@@ -728,6 +728,15 @@ def q_streaming_running_metric(spark, sf_dir):
     return out.select("fold", r6("mean_loss").alias("mean_loss"), "n_samples")
 
 
+def labelled_predictions(spark, sf_dir):
+    # Labels grow with the rows: joined by shuffle, as the planner takes them for the few bytes
+    # of the stored keys and would broadcast them whole through the driver.
+    labels = vw.ocr_train(spark, sf_dir).select("row_id", "label").hint("merge")
+    pred = vw.ocr_raw_pred(spark, sf_dir).join(labels, "row_id")
+    # every fifth prediction is null: it counts as wrong, as in the batch form
+    return pred.select("row_id", "fold", F.when(F.col("row_id") % 5 != 1, F.col("raw_text")).alias("pred"), "label")
+
+
 @register("streaming_running_accuracy")
 def q_streaming_running_accuracy(spark, sf_dir):
     """Running exact-match counts per fold over prediction files arriving four per
@@ -735,9 +744,7 @@ def q_streaming_running_accuracy(spark, sf_dir):
     from glyphframe.streaming import running as st
 
     src = _scratch(spark, "prediction_stream")
-    pred = vw.ocr_raw_pred(spark, sf_dir).join(vw.ocr_train(spark, sf_dir).select("row_id", "label"), "row_id")
-    # every fifth prediction is null: it counts as wrong, as in the batch form
-    pred = pred.select("row_id", "fold", F.when(F.col("row_id") % 5 != 1, F.col("raw_text")).alias("pred"), "label")
+    pred = labelled_predictions(spark, sf_dir)
     pred.repartition(8, "row_id").write.mode("overwrite").parquet(src)
     stream = st.file_stream(spark, src, pred.schema, max_files_per_trigger=4)
     out = st.run_to_table(st.running_accuracy(stream), "running_accuracy")
