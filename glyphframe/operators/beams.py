@@ -19,10 +19,10 @@ def top_k_beams(
     out: str = "rank",
 ) -> DataFrame:
     """The k best beams per group (rank 1 = best; ties to the smaller beam index).
-    ``row_number() <= k`` plans a map-side partial group limit before the shuffle, so a
-    hot group sends at most k rows per task."""
+    The rows are shuffled by group first: sorting them where they are read would hold a whole
+    scan task's beams (all of them, if a table is one file). Groups are bounded by the beam count."""
     w = Window.partitionBy(*group).orderBy(F.desc(score_col), F.asc(tie_col))
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return df.repartition(*group).withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
 def best_beam(
@@ -32,10 +32,10 @@ def best_beam(
     tie_col: str = "beam",
     text_col: str = "raw_text",
 ) -> DataFrame:
-    """L1: the single best beam per group, as a partial-aggregated max over
-    (score, -beam) - no window, no sort of the group."""
+    """L1: the single best beam per group, as a max over (score, -beam) - no window. As the max
+    holds a text it is taken over sorted groups, so the rows are shuffled by group first, as in ``top_k_beams``."""
     best = F.max(F.struct(F.col(score_col), (-F.col(tie_col)).alias("_neg"), F.col(text_col))).alias("_b")
-    return df.groupBy(*group).agg(best).select(
+    return df.repartition(*group).groupBy(*group).agg(best).select(
         *group,
         (-F.col("_b._neg")).cast("int").alias(tie_col),
         F.col(f"_b.{text_col}").alias(text_col),

@@ -33,6 +33,14 @@ def plain_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("name", ["top_k_beams", "best_beam", "collect_beams", "beams_json"])
+def test_beams_are_sorted_after_a_shuffle(spark, plain_plans, name):
+    plan = nodes(catalog.QUERIES[name](spark, SF001))
+    holders = [k for k, (_, x) in enumerate(plan) if re.search(r"\b(Sort|SortAggregate|WindowGroupLimit|ObjectHashAggregate) ?[\[(]", x) and "collect_set" not in x]
+    assert holders
+    assert [plan[k][1][:150] for k in holders if not any("Exchange" in x for x in below(plan, k))] == []
+
+
 def test_streamed_predictions_meet_labels_without_a_broadcast(spark, plain_plans):
     pred = catalog.labelled_predictions(spark, SF001)
     assert not any("Broadcast" in x for _, x in nodes(pred))
