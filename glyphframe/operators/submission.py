@@ -31,8 +31,9 @@ def build_submission(submission: DataFrame, preds: DataFrame, key: str = "row_id
     sub = submission.drop("label") if "label" in submission.columns else submission
     rest = [c for c in sub.columns if c != key]
     keys = [key, *group]
-    one = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"), F.first(F.struct(*keep)).alias("_pred"))
-    rows = sub.groupBy(key).agg(F.count(F.lit(1)).alias("_s"), F.first(F.struct(F.lit(0).alias("_none"), *rest)).alias("_sub"))
+    one = preds.repartition(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"), F.first(F.struct(*keep)).alias("_pred"))
+    # shuffled by key first: the firsts hold texts, so they are taken over sorted rows
+    rows = sub.repartition(key).groupBy(key).agg(F.count(F.lit(1)).alias("_s"), F.first(F.struct(F.lit(0).alias("_none"), *rest)).alias("_sub"))
     if group:
         # the groups are few (folds): their distinct values are one small array
         groups = preds.agg(F.collect_set(F.struct(*group)).alias("g")).scalar()

@@ -33,7 +33,7 @@ def plain_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-@pytest.mark.parametrize("name", ["top_k_beams", "best_beam", "collect_beams", "beams_json"])
+@pytest.mark.parametrize("name", ["top_k_beams", "best_beam", "collect_beams", "beams_json", "kfold_submission"])
 def test_beams_are_sorted_after_a_shuffle(spark, plain_plans, name):
     plan = nodes(catalog.QUERIES[name](spark, SF001))
     holders = [k for k, (_, x) in enumerate(plan) if re.search(r"\b(Sort|SortAggregate|WindowGroupLimit|ObjectHashAggregate) ?[\[(]", x) and "collect_set" not in x]
