@@ -156,9 +156,10 @@ def q_to_subchar(spark, sf_dir):
 @register("nfc_compose")
 def q_nfc_compose(spark, sf_dir):
     """NFC of decomposed labels and of raw predictions with stray jamo (native)."""
-    a = vw.ocr_train(spark, sf_dir).select("row_id", F.lit(-1).alias("fold"), tx.hangul_decompose("label").alias("_t"))
-    b = vw.ocr_raw_pred(spark, sf_dir).select("row_id", "fold", tx.hangul_decompose("raw_text").alias("_t"))
-    return a.unionByName(b).select("row_id", "fold", tx.hangul_compose("_t").alias("text"))
+    a = vw.ocr_train(spark, sf_dir).select("row_id", F.lit(-1).alias("fold"), F.col("label").alias("_t"))
+    b = vw.ocr_raw_pred(spark, sf_dir).select("row_id", "fold", F.col("raw_text").alias("_t"))
+    rows = vw.spread(a.unionByName(b)).withColumn("_t", tx.hangul_decompose("_t"))
+    return rows.select("row_id", "fold", tx.hangul_compose("_t").alias("text"))
 
 
 @register("clean_text")

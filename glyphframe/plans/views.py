@@ -51,6 +51,12 @@ def ocr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over a few tasks per core by all its columns, for much work on rows that may lie
+    in one file: a small file is read by one task, however long its rows take."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
 def ocr_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rid = F.col("p_partkey").cast("bigint")
     return table(spark, sf_dir, "part").select(

@@ -46,3 +46,8 @@ def test_streamed_predictions_meet_labels_without_a_broadcast(spark, plain_plans
     assert not any("Broadcast" in x for _, x in nodes(pred))
     assert pred.count() == 5 * spark.read.parquet(f"{SF001}/part.parquet").count()
     assert pred.where(F.col("pred").isNull()).count() == pred.where("row_id % 5 = 1").count()
+
+
+def test_composing_is_dealt_over_the_cores(spark):
+    out = catalog.QUERIES["nfc_compose"](spark, SF001)
+    assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
