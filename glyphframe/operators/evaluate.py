@@ -33,9 +33,10 @@ def exact_match_accuracy(
     keys, unit = [key, *own], list(dict.fromkeys((key, *group)))
     same = lambda c: F.col(c) if normalizer is None else normalizer(F.col(c))
     sides = refs.select(*keys, same(ref_col).alias("_ref"))
-    joined = preds.select(*unit, same(pred_col).alias("_pred")).join(sides, keys, "left")
+    # Both sides grow with the rows, so they meet by shuffle; that has the rows of a key
+    # together, and the sums per key are taken after it, not over all keys of a scan's task.
+    joined = preds.select(*unit, same(pred_col).alias("_pred")).join(sides.hint("merge"), keys, "left")
     hit = F.coalesce(F.col("_pred") == F.col("_ref"), F.lit(False)).cast("long")
-    # Per key first: a shuffled join has the rows of a key together already.
     joined = joined.groupBy(*unit).agg(F.sum(hit).alias("_hit"), F.count(F.lit(1)).alias("_times"))
     shown = F.concat_ws("/", *[F.col(c).cast("string") for c in unit])
     twice = F.raise_error(F.concat(F.lit("predicted or listed more than once: "), shown)).cast("boolean")

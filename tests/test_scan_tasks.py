@@ -41,6 +41,13 @@ def test_beams_are_sorted_after_a_shuffle(spark, plain_plans, name):
     assert [plan[k][1][:150] for k in holders if not any("Exchange" in x for x in below(plan, k))] == []
 
 
+def test_gappy_accuracy_sums_after_the_join(spark, plain_plans):
+    plan = nodes(catalog.QUERIES["exact_match_accuracy_gaps"](spark, SF001))
+    assert not any("BroadcastHashJoin" in x for _, x in plan)
+    per_key = [k for k, (_, x) in enumerate(plan) if re.search(r"HashAggregate\(keys=\[row_id", x)]
+    assert per_key and all(any("SortMergeJoin" in x for x in below(plan, k)) for k in per_key)
+
+
 def test_streamed_predictions_meet_labels_without_a_broadcast(spark, plain_plans):
     pred = catalog.labelled_predictions(spark, SF001)
     assert not any("Broadcast" in x for _, x in nodes(pred))
