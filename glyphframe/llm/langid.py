@@ -10,23 +10,24 @@ The posterior of a language given a row is the product of
 * a prior of its host, smoothed towards its domain, smoothed towards the whole corpus:
   ``p(host) = (n_host + k p(domain)) / (N_host + k)``, and so on up.
 
-The trigram model is fitted on a bounded sample of rows with a declared language
-(``sample_rows``, as many of each language, drawn by a hash of the text). Everything else covers all rows: the text
-pass scores whole texts, and the counts behind declared language, suffix and host come from
+The trigram model is counted over all rows with a declared language, by partial sums per task: a
+language and a bin are one row of a task's result, however many texts it read. Everything else covers all rows too:
+the text pass scores whole texts, and the counts behind declared language, suffix and host come from
 grouped aggregation over all rows (map-side sums, so a host that holds a third of the rows
 is one row per task). Host tables are joined by broadcast if their counted rows allow it,
-else by a shuffle that adaptive execution splits where a host is hot.
+else by a shuffle that adaptive execution splits where a host is hot. ``sample_rows`` fits the model, and what its rows
+reach, on about that many rows instead, as many of each language, drawn by a hash of the text.
 
 Languages are the declared codes of two or three letters that at least ``min_rows`` rows have,
 a number that does not grow with the corpus: a language of a small share is modelled like any
-other, from as many sample rows as the others. A model takes 128 KB; past ``max_languages`` the job
+other, as each model is a share of its own trigrams. A model takes 128 KB; past ``max_languages`` the job
 fails instead of leaving languages out. A row that declares a code of fewer rows is not
 accepted, as nothing can be told about its language.
 
 The posterior only compares these languages with each other, so a row is accepted only if
 its text also speaks for one of them at all: the mean log-likelihood of its trigrams under
 the language of its text must reach that of a background in which all trigrams are alike, or,
-where even rows of the language lie lower, what all but ``FIT_LOW`` of its sample rows reach
+where even rows of the language lie lower, what all but ``FIT_LOW`` of its rows reach
 (rows whose text and declaration agree).
 
 Defined results: a null, empty or letterless text is ``und`` with posterior 0 and is not
@@ -47,7 +48,6 @@ from pyspark.sql import functions as F
 from glyphframe.llm.graph import small_side, spare_names, stored, text_session
 from glyphframe.llm.kernels import text_chunks
 
-SAMPLE_ROWS = 20_000
 MIN_ROWS = 5
 MAX_LANGUAGES = 1000
 BINS = 1 << 14
@@ -167,7 +167,7 @@ def identify(
     declared_col: str | None = "lang",
     host_col: str | None = "source",
     markup: bool = False,
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     min_rows: int = MIN_ROWS,
     max_languages: int = MAX_LANGUAGES,
     accept: float = ACCEPT,
@@ -185,11 +185,14 @@ def identify(
         empty = F.lit(None).cast("map<string,double>")
         return rows.select(F.col("doc").alias(id_col), "print", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), empty.alias("posteriors"), F.lit(False).alias("accepted"))
 
-    # Trigram model from the bounded sample, add-half smoothed.
-    parts = 1_000_000
-    each = sample_rows / len(languages)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(parts, int(parts * each / n) + 1))]), F.col("declared"))
-    sample = rows.where(F.col("declared").isin(languages)).where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share).select("text", "declared")
+    # Trigram model from all rows (or the sample asked for), add-half smoothed.
+    taught = F.col("declared").isin(languages)
+    if sample_rows is not None:
+        parts = 1_000_000
+        each = sample_rows / len(languages)
+        share = F.element_at(F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(parts, int(parts * each / n) + 1))]), F.col("declared"))
+        taught = taught & (F.pmod(F.col("print"), F.lit(parts)) < share)
+    sample = rows.where(taught).select("text", "declared")
     counts = np.zeros((len(languages), BINS))
     sums = sample.mapInArrow(_count(languages, markup), "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     for r in sums.toLocalIterator():  # at most languages x BINS rows
@@ -203,9 +206,9 @@ def identify(
     scored = stored(scored.withColumn("guess", guess.cast("int")), "langid-scored")
     spoken = scored.where("guess is not null")
 
-    # What rows of each language reach; rows of the sample, told by the same hash of the text.
+    # What the rows that taught a language reach.
     own = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")) - 1
-    agree = spoken.where(F.col("declared").isin(languages)).where((F.pmod(F.col("print"), F.lit(parts)) < share) & (own == F.col("guess")))
+    agree = spoken.where(taught & (own == F.col("guess")))
     low = {r.guess: r.low for r in agree.groupBy("guess").agg(F.percentile_approx(F.array_max("score") / F.col("grams"), FIT_LOW).alias("low")).collect()}
     floors = F.array(*[F.lit(min(BACKGROUND, low.get(k, BACKGROUND)) - 1e-9) for k in range(len(languages))])
 
