@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, max_bytes: int) -> None:
+    """Arrow batches of the session's Python functions take at most ``max_bytes`` (one row at least): by
+    rows alone, thousands of long texts would be one batch. A smaller setting of the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and 0 < int(now) <= max_bytes):
+        spark.conf.set(key, str(max_bytes))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or that after underscores, whichever no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from glyphframe.functions.text import chars, nfkd
 from glyphframe.operators import common
-from glyphframe.operators.common import checked_broadcast, fits, spare, stored
+from glyphframe.operators.common import checked_broadcast, fits, small_batches, spare, stored
 from glyphframe.operators.positions import sorted_positions
 from glyphframe.operators.token_match import found_places, joined_text, leftmost_longest
 
@@ -33,6 +33,8 @@ from glyphframe.operators.token_match import found_places, joined_text, leftmost
 PAD = "[PAD]"
 UNK = "[UNK]"
 DEFAULT_SPECIALS = (PAD, UNK)
+# Bytes of an Arrow batch: a worker holds a batch's texts, code points and ids (8 bytes each) at once.
+BATCH_BYTES = 2 << 20
 PAD_ID = 0
 UNK_ID = 1
 
@@ -134,6 +136,7 @@ def _tables(vocab: DataFrame, specials: Sequence[str] = DEFAULT_SPECIALS) -> tup
     """The vocabulary as a broadcast ``CharTable``, if the size check lets it; else the table of the
     one-character tokens and the specials (bounded by the code points) and, as a
     DataFrame, the added tokens, which then meet the texts in a join."""
+    small_batches(vocab.sparkSession, BATCH_BYTES)
     known = stored(vocab.where("token is not null").select("token", "id"), "vocab")
     if fits(known, common.BROADCAST_MAX_ROWS, common.BROADCAST_MAX_BYTES):
         near, far = known, None
@@ -209,6 +212,7 @@ def decode(
     """V6: ids -> text, skipping special tokens (and ids outside the vocabulary); null
     ids -> null. No shuffle while the vocabulary passes the size check: its ids are a
     sorted array, so its size does not depend on how large they are. Else a join by id."""
+    small_batches(df.sparkSession, BATCH_BYTES)
     known = stored(vocab.where("token is not null and id is not null").where(~F.col("token").isin(*specials)).select("token", "id"), "vocab")
     kept = [c for c in df.columns if c != out]
     ids = F.col(ids_col).cast("array<bigint>")
@@ -216,12 +220,11 @@ def decode(
         return _decode_by_join(df, known, ids, kept, out)
     held = known.toArrow().sort_by([("id", "ascending"), ("token", "ascending")])
     tokens = held.column("token").combine_chunks().to_pylist()
-    shared = df.sparkSession.sparkContext.broadcast((held.column("id").to_numpy(), [*tokens, ""]))
+    shared = df.sparkSession.sparkContext.broadcast((held.column("id").to_numpy(), pa.array([*tokens, ""], pa.string())))
 
     @F.arrow_udf(T.StringType())
     def text_of(lists: pa.Array) -> pa.Array:
         numbers, names = shared.value
-        names = pa.array(names, pa.string())
         flat = lists.flatten()
         asked = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
         at = np.searchsorted(numbers, asked, side="right") - 1
