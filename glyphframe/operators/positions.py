@@ -166,7 +166,8 @@ def balanced_buckets(df: DataFrame, by: Sequence[str], id_col: str, rows: int =
         head = F.size(F.filter("_heads", lambda x: x <= F.col(id_col)))
         inside = F.size(F.filter(F.get("_cuts", head - 1), lambda x: x <= F.col(id_col)))
         part = F.when(F.coalesce(head, F.lit(0)) <= 0, 0).otherwise((head - 1) * F.col("_step") + inside)
-        now = named.withColumn(out, F.col(out) * SPLIT_STRIDE + part).drop("_cuts", "_heads", "_step")
+        # stored, so no later pass compares the rows with the splitters again
+        now = stored(named.withColumn(out, F.col(out) * SPLIT_STRIDE + part).drop("_cuts", "_heads", "_step"), "buckets")
 
 
 def coarse_split(bucket: str = "_bk") -> Column:

@@ -27,7 +27,7 @@ from glyphframe.operators import positions
 from glyphframe.operators import shards as sd
 from glyphframe.operators import submission as sb
 from glyphframe.operators import vocab as vo
-from glyphframe.operators.common import checked_broadcast
+from glyphframe.operators.common import checked_broadcast, stored
 from glyphframe.sources import files as fi
 from glyphframe.plans import views as vw
 
@@ -81,7 +81,9 @@ def q_stratified_folds_shuffled(spark, sf_dir):
 @register("stratified_folds_words")
 def q_stratified_folds_words(spark, sf_dir):
     """W1 over document words as labels: many strata of very different sizes."""
-    long_rows = fo.long_labels(fo.prepare_labels(vw.ocr_words(spark, sf_dir)))
+    # Ids and lengths are stored, so the texts are split into words once, not in every pass over the rows.
+    long_rows = fo.long_labels(fo.prepare_labels(vw.ocr_words(spark, sf_dir))).select("row_id", "length")
+    long_rows = stored(long_rows, "word-lengths")
     return fo.assign_folds(long_rows, 5).select("row_id", "length", "fold")
 
 

@@ -26,3 +26,8 @@ def test_batches_are_bounded_by_bytes(spark):
     vo.decode(ids, voc, "input_ids")
     assert spark.conf.get(KEY) == "1000"
     spark.conf.unset(KEY)
+
+
+def test_words_are_split_once_for_folds(spark):
+    files = catalog.QUERIES["stratified_folds_words"](spark, SF001).inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
