@@ -641,8 +641,9 @@ def q_scan_label_csv(spark, sf_dir):
     """Document words written as a (img_path, label) CSV in row order, scanned back:
     NA-like cells become null, row_id = line position."""
     path = _scratch(spark, "labels_csv")
-    words = vw.ocr_words(spark, sf_dir)
-    fi.write_csv(words.orderBy("row_id").select("img_path", "label"), path)
+    # The path follows from the row id, so it is made after the sort instead of being shuffled.
+    words = vw.ocr_words(spark, sf_dir).select("row_id", "label").orderBy("row_id")
+    fi.write_csv(words.select(vw.img_path_for(F.col("row_id")).alias("img_path"), "label"), path, compression="gzip")
     return fi.scan_label_csv(spark, path).select("row_id", "img_path", "label")
 
 

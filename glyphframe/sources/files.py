@@ -57,7 +57,7 @@ def with_row_index(df: DataFrame, out: str = "row_id") -> DataFrame:
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"),
-    ).write.parquet(path)
+    ).write.option("compression", "zstd").parquet(path)
     d = spark.read.parquet(path)
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     # One row per file split: as many as the file listing has, which the driver plans from
@@ -212,10 +212,11 @@ def _by_fold(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "fold")
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """K2: header CSV without an index; one file only when asked for."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False, compression: str = "none") -> None:
+    """K2: header CSV without an index; one file only when asked for. A compressed file is read
+    by one task, as any file is whose cells may hold line breaks."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    out.write.mode("overwrite").option("compression", compression).option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
 
 
 def write_submission(df: DataFrame, root: str, name: str = "submission", stamp: str | None = None) -> str:

@@ -31,3 +31,16 @@ def test_batches_are_bounded_by_bytes(spark):
 def test_words_are_split_once_for_folds(spark):
     files = catalog.QUERIES["stratified_folds_words"](spark, SF001).inputFiles()
     assert files and not any("documents.parquet" in f for f in files)
+
+
+def test_label_csv_is_compressed_and_sorted_without_paths(spark, monkeypatch):
+    seen = {}
+    write = fi.write_csv
+    monkeypatch.setattr(fi, "write_csv", lambda df, path, **options: (seen.update(df=df, path=path), write(df, path, **options))[1])
+    out = catalog.QUERIES["scan_label_csv"](spark, SF001)
+    plan = seen["df"]._jdf.queryExecution().optimizedPlan().toString()
+    sort = plan[plan.index("Sort [") :]
+    assert "TRAIN_" in plan and "TRAIN_" not in sort
+    path = seen["path"].removeprefix("file://").removeprefix("file:")
+    assert glob.glob(f"{path}/*.csv.gz") and not glob.glob(f"{path}/*.csv")
+    assert out.count() == seen["df"].count()
