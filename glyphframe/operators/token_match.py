@@ -1,10 +1,10 @@
 """Added tokens of a vocabulary that no worker can hold: found by joins.
 
 A tokenizer finds added tokens (whole labels) leftmost-longest. While they fit a worker, an
-automaton does that (``vocab.CharTable``). Past the broadcast check the tokens stay a table:
+automaton does that (``vocab.CharTable``). Past that the tokens stay a table:
 
 1. The distinct lengths of the tokens are few. Rolling hashes of a text give the hash of
-   every substring of these lengths by two multiplications, for a whole text at once.
+   every substring of these lengths by two multiplications, for many texts at once.
 2. A bitmap of the tokens' hashes (at most ``MAX_BITS`` bits = 128 MB, built by partial bitmap
    aggregates) says which substrings can be tokens; only these leave the task.
 3. They meet the vocabulary in an equi-join on the token itself, so hashes decide nothing.
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
-BITS_PER_TOKEN = 16
+# A text has as many substrings to look up as there are lengths at every character; so many are taken for tokens.
+BITS_PER_TOKEN = 128
+# Characters that are hashed together, and substrings that leave a task together.
+TEXT_CHARS = 1 << 16
+PROBES = 1 << 14
 # Bits that one row of Spark's bitmap aggregate holds.
 BITMAP_ROW = 32768
 
@@ -49,22 +53,29 @@ class Rolling:
             inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * inverse[:n], dtype=np.uint64)])
 
-    def of_length(self, n: int) -> np.ndarray:
-        """One hash per begin."""
+    def at(self, begins: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """The hashes of the substrings of ``size`` characters (one size, or one per begin)."""
         with np.errstate(over="ignore"):
-            count = len(self.sums) - n
-            if count <= 0:
-                return np.zeros(0, np.uint64)
             # scaled to the same power whatever the begin
-            raw = (self.sums[n:] - self.sums[:count]) * self.power[:count] * self.power[n - 1]
+            raw = (self.sums[begins + size] - self.sums[begins]) * self.power[begins] * self.power[size - 1]
             raw = raw ^ (raw >> np.uint64(29))
             raw = raw * _SPREAD
             return raw ^ (raw >> np.uint64(32))
 
+    def of_length(self, n: int) -> np.ndarray:
+        """One hash per begin."""
+        count = len(self.sums) - n
+        return self.at(np.arange(count), n) if count > 0 else np.zeros(0, np.uint64)
+
 
 @F.arrow_udf(T.LongType())
 def _token_hash(tokens: pa.Array) -> pa.Array:
-    return pa.array([int(Rolling(t).of_length(len(t))[0] >> np.uint64(1)) if t else 0 for t in tokens.to_pylist()], pa.int64())
+    words = tokens.to_pylist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros(len(words), np.int64)
+    some = np.flatnonzero(sizes)
+    out[some] = Rolling("".join(words)).at((np.cumsum(sizes) - sizes)[some], sizes[some]) >> np.uint64(1)
+    return pa.array(out)
 
 
 def token_bitmap(tokens: DataFrame) -> np.ndarray:
@@ -77,11 +88,42 @@ def token_bitmap(tokens: DataFrame) -> np.ndarray:
     rows = tokens.select(F.bitmap_bucket_number(number).alias("row"), F.bitmap_bit_position(number).alias("bit"))
     out = np.zeros(bits // 8, np.uint8)
     size = BITMAP_ROW // 8
-    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+    # dealt before they are aggregated: a row of bits takes 4 KB, however few of them a task sets
+    for r in rows.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         out[(r.row - 1) * size : r.row * size] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _chunks(rows: list[int], texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The texts with their rows, about ``TEXT_CHARS`` characters at a time, one text at least."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= TEXT_CHARS or k + 1 == len(texts):
+            yield np.array(rows[begin : k + 1], np.int64), [t or "" for t in texts[begin : k + 1]]
+            begin, size = k + 1, 0
+
+
+def _probes(words: list[str], lengths: list[int], bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """``(numbers of words, begins in them, substrings)`` that can be tokens."""
+    joined = "".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = (starts + sizes)[word] - np.arange(len(joined))
+    rolling, at = Rolling(joined), np.arange(len(joined))
+    mask = np.uint64(len(bitmap) * 8 - 1)
+    for n in lengths:
+        at = at[left[at] >= n]
+        if not len(at):
+            return
+        bit = (rolling.at(at, n) >> np.uint64(1)) & mask
+        hits = at[(bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        for k in range(0, len(hits), PROBES):
+            some = hits[k : k + PROBES]
+            yield word[some], some - starts[word[some]], [joined[b : b + n] for b in some.tolist()]
+
+
 def found_places(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """``row, places``: where tokens ``(token, id)`` stand in the texts ``(row, text)``, as
     ``array<struct<begin, size, id>>`` in order, overlapping ones included. Texts without any are left out."""
@@ -90,18 +132,10 @@ def found_places(texts: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, bitmap = shared.value
-        mask = np.uint64(len(bitmap) * 8 - 1)
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rolling = Rolling(text) if text else None
-                for n in lengths if text else ():
-                    if n > len(text):
-                        break
-                    bit = (rolling.of_length(n) >> np.uint64(1)) & mask
-                    hit = np.flatnonzero(bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(hit):
-                        found = [text[b : b + n] for b in hit.tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), row), pa.int64()), pa.array(hit, pa.int32()), pa.array(found, pa.string())], names=["row", "begin", "token"])
+            for rows, words in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for which, begin, found in _probes(words, lengths, bitmap):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[which]), pa.array(begin, pa.int32()), pa.array(found, pa.string())], names=["row", "begin", "token"])
 
     probes = texts.mapInArrow(run, "row long, begin int, token string")
     places = probes.hint("merge").join(tokens.select("token", "id"), "token")

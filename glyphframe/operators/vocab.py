@@ -7,8 +7,8 @@ Texts are encoded and decoded in place, batch by batch: the vocabulary is a broa
 indexed by code point (encode; at most 1,114,112 entries) or by id (decode), so there is no
 explode, no shuffle and no key. Tokens of several characters that a vocabulary was extended
 with take part: the longest that fits at the leftmost place comes first, as a tokenizer does
-with added tokens. A vocabulary is held whole by every worker only if it passes the size check
-of ``common``; one that was extended beyond it meets the texts in joins (``token_match``).
+with added tokens. Every worker holds the added tokens only while they are few
+(``ADDED_MAX_ROWS``, ``ADDED_MAX_BYTES``); more of them meet the texts in joins (``token_match``).
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ UNK = "[UNK]"
 DEFAULT_SPECIALS = (PAD, UNK)
 # Bytes of an Arrow batch: a worker holds a batch's texts, code points and ids (8 bytes each) at once.
 BATCH_BYTES = 2 << 20
+# Added tokens that a worker may hold: their automaton takes up to a hundred times their bytes.
+ADDED_MAX_ROWS = 50_000
+ADDED_MAX_BYTES = 2 << 20
 PAD_ID = 0
 UNK_ID = 1
 
@@ -92,7 +95,8 @@ class CharTable:
             for t, i in self.added.items():
                 self._automaton.add_word(t, (len(t), i))
             self._automaton.make_automaton()
-        return [(end - size + 1, end + 1, i) for end, (size, i) in self._automaton.iter_long(text)]
+        # all places, as iter_long misses some after a longer token that was begun and not ended
+        return leftmost_longest([{"begin": end - size + 1, "size": size, "id": i} for end, (size, i) in self._automaton.iter(text)])
 
     def encode(self, texts: pa.Array, places: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of all texts one after the other; -1 marks an unknown
@@ -133,16 +137,15 @@ class CharTable:
 
 
 def _tables(vocab: DataFrame, specials: Sequence[str] = DEFAULT_SPECIALS) -> tuple[Broadcast, DataFrame | None]:
-    """The vocabulary as a broadcast ``CharTable``, if the size check lets it; else the table of the
-    one-character tokens and the specials (bounded by the code points) and, as a
-    DataFrame, the added tokens, which then meet the texts in a join."""
+    """The vocabulary as a broadcast ``CharTable``, if its added tokens are few enough for a worker; else the
+    table of the one-character tokens and the specials (bounded by the code points) and,
+    as a DataFrame, the added tokens, which then meet the texts in a join."""
     small_batches(vocab.sparkSession, BATCH_BYTES)
     known = stored(vocab.where("token is not null").select("token", "id"), "vocab")
-    if fits(known, common.BROADCAST_MAX_ROWS, common.BROADCAST_MAX_BYTES):
+    longer = (F.length("token") > 1) & ~F.col("token").isin(*specials)
+    near, far = known.where(~longer), known.where(longer)
+    if fits(far, min(common.BROADCAST_MAX_ROWS, ADDED_MAX_ROWS), min(common.BROADCAST_MAX_BYTES, ADDED_MAX_BYTES)):
         near, far = known, None
-    else:
-        added = (F.length("token") > 1) & ~F.col("token").isin(*specials)
-        near, far = known.where(~added), known.where(added)
     return vocab.sparkSession.sparkContext.broadcast(CharTable(near.toArrow(), specials)), far
 
 
@@ -253,26 +256,29 @@ def _decode_by_join(df: DataFrame, known: DataFrame, ids: Column, kept: list[str
 
 def _unknown(labels: DataFrame, tables: tuple[Broadcast, DataFrame | None]) -> DataFrame:
     """``(_label, unknown)`` of the rows ``(_label, _t)`` whose text holds characters that
-    the vocabulary (its ``_tables``) cannot encode."""
+    the vocabulary (its ``_tables``) cannot encode. Added tokens that no worker holds matter
+    only to texts with characters that are no tokens. Of these, a text that is an added token itself is
+    known: the leftmost longest match is the whole text. The rest goes through the matcher."""
     shared, far = tables
     kind = T.ArrayType(T.StringType())
-    if far is None:
 
-        @F.arrow_udf(kind)
-        def one(texts: pa.Array) -> pa.Array:
-            return shared.value.unknown(texts)
+    @F.arrow_udf(kind)
+    def one(texts: pa.Array) -> pa.Array:
+        return shared.value.unknown(texts)
 
-        # not deterministic: else the filter below is pushed in front of a distinct
-        marked = labels.select("_label", one.asNondeterministic()("_t").alias("unknown"))
-    else:
+    # not deterministic: else the filter below is pushed in front of a distinct
+    marked = labels.select("_label", "_t", one.asNondeterministic()("_t").alias("unknown")).where(F.size("unknown") > 0)
+    if far is None:
+        return marked.select("_label", "unknown")
 
-        @F.arrow_udf(kind)
-        def placed(texts: pa.Array, places: pa.Array) -> pa.Array:
-            return shared.value.unknown(texts, places)
+    @F.arrow_udf(kind)
+    def placed(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return shared.value.unknown(texts, places)
 
-        rows, text_name, places = _with_places(labels.select("_label", "_t"), F.col("_t"), far)
-        marked = rows.select("_label", placed.asNondeterministic()(text_name, places).alias("unknown"))
-    return marked.where(F.size("unknown") > 0)
+    tokens = far.select(F.col("token").alias("_t")).hint("merge")
+    rows, text_name, places = _with_places(marked.select("_label", "_t").join(tokens, "_t", "left_anti"), F.col("_t"), far)
+    matched = rows.select("_label", placed.asNondeterministic()(text_name, places).alias("unknown"))
+    return matched.where(F.size("unknown") > 0)
 
 
 def _with_text(df: DataFrame, text_col: str, sub_char: bool, distinct: bool = False) -> DataFrame:

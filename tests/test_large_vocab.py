@@ -91,3 +91,49 @@ def test_ids_of_any_size_decode(spark):
     out = vo.decode(df, voc)
     assert time.time() - began < 5
     assert {r.row_id: r.text for r in out.collect()} == {1: "abneg", 2: "", 3: None}
+
+
+def test_added_tokens_past_a_small_limit_are_not_held(spark):
+    few = spark.range(40_000).select(F.concat(F.lit("t"), "id").alias("token"), "id")
+    assert vo._tables(few)[1] is None
+    for many in (spark.range(60_000), spark.range(3000).select("id", F.repeat(F.lit("x"), 1000).alias("x"))):
+        voc = many.select(F.concat(F.lit("t"), *many.columns).alias("token"), "id")
+        shared, far = vo._tables(voc)
+        assert not shared.value.added and far.count() == voc.count()
+
+
+def test_labels_that_are_tokens_need_no_matcher(spark, small_limit, monkeypatch):
+    voc = vo.extend_vocab(vo.build_vocab(spark.createDataFrame([("abc ",)], "text string"), "text"), spark.createDataFrame([("xy",), ("xyz",), ("z",)], "token string"))
+    seen = []
+    found = vo.found_places
+    monkeypatch.setattr(vo, "found_places", lambda texts, tokens: (seen.append(sorted(r.text for r in texts.collect())), found(texts, tokens))[1])
+    labels = [("xyz",), ("xy",), ("ab c",), ("a xyzxy",), ("",), (None,), ("z",), ("xyx",), ("xyx",)]
+    df = spark.createDataFrame(labels, "label string")
+    assert [r.label for r in vo.oov_labels(df, voc).collect()] == ["xyx"]
+    assert [r.token for r in vo.oov_chars(df, voc).collect()] == ["x"]
+    assert vo.has_oov(df, voc).first().has_oov
+    assert not vo.has_oov(df.where("label != 'xyx'"), voc).first().has_oov
+    assert seen == [["a xyzxy", "xyx"]] * 3 + [["a xyzxy"]]
+
+
+def leftmost_longest_by_trial(text, ids):
+    out, at = [], 0
+    while at < len(text):
+        n = next((n for n in range(len(text) - at, 1, -1) if text[at : at + n] in ids), 1)
+        out.append(ids[text[at : at + n]])
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("rows", [common.BROADCAST_MAX_ROWS, 0])
+def test_encoding_equals_trial(spark, monkeypatch, rows):
+    """Also after a longer token that was begun and not ended."""
+    monkeypatch.setattr(common, "BROADCAST_MAX_ROWS", rows)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    tokens = {"aaba", "cbabac", "babc", *(word(rng.randint(3, 7)) for _ in range(8))}
+    ids = {t: i for i, t in enumerate(["a", "b", "c", *sorted(tokens)], 2)}
+    voc = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), *ids.items()], "token string, id long")
+    texts = ["accaabccacbaccccaab", "bcbba", *(word(rng.randint(0, 40)) for _ in range(400))]
+    got = vo.encode(spark.createDataFrame(list(enumerate(texts)), "row_id long, label string"), voc).collect()
+    assert {r.row_id: r.input_ids for r in got} == {i: leftmost_longest_by_trial(t, ids) for i, t in enumerate(texts)}
