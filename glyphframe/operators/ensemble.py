@@ -5,10 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ensemble_logit_sum(
@@ -99,28 +97,31 @@ def k_best_sequences(
 
     Only the ``k`` best tokens of a step can be in one of the ``k`` best sequences: a window
     with a map-side group limit keeps those, so a row brings ``k`` values a step to its
-    task, whatever the vocabulary. Rows with a null value or token at a step lose that candidate."""
+    task, whatever the vocabulary. Rows with a null value or token at a step lose that candidate.
+
+    Sequences grow step by step (``best_paths`` gives the same for one row): of the begun ones only the ``k``
+    best can be part of a best whole, and the i-th of them only with the ``k / i`` best tokens,
+    as all better or equal pairs come before it."""
     keys = list(keys)
     unit = 10**digits
     rows = summed.where(F.col(value_col).isNotNull() & F.col(token_col).isNotNull() & ~F.isnan(value_col))
     rows = rows.select(*keys, F.col(step_col).alias("_step"), F.round(F.round(value_col, digits) * unit).cast("bigint").alias("_value"), F.col(token_col).cast("bigint").alias("_token"))
     best = Window.partitionBy(*keys, "_step").orderBy(F.desc("_value"), "_token")
     near = rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
-    steps = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_step", "_rank", "_value", "_token"))).alias("_all"))
-    found = T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("score", T.LongType())]))
-
-    @F.arrow_udf(found)
-    def paths(cells: pa.Array) -> pa.Array:
-        out = []
-        for cell in cells.to_pylist():
-            by: dict = {}
-            for x in cell:
-                by.setdefault(x["_step"], []).append((x["_value"], x["_token"]))
-            out.append([{"tokens": list(t), "score": s} for s, t in best_paths(list(by.values()), k)])
-        return pa.array(out, pa.list_(pa.struct([("tokens", pa.list_(pa.int64())), ("score", pa.int64())])))
-
-    ranked = steps.select(*keys, F.posexplode(paths("_all")).alias("_at", "_path"))
-    return ranked.select(*keys, (F.col("_at") + 1).cast("int").alias("rank"), F.col("_path.tokens").alias("tokens"), (F.col("_path.score") / unit).alias("score"))
+    choices = near.groupBy(*keys, "_step").agg(F.array_sort(F.collect_list(F.struct("_rank", "_value", "_token"))).alias("_choices"))
+    steps = choices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_step", "_choices"))).alias("_steps"))
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("loss"), F.array().cast("array<bigint>").alias("tokens")))
+
+    def grown(paths: Column, step: Column) -> Column:
+        def with_choices(path: Column, i: Column) -> Column:
+            choices = F.slice(step["_choices"], F.lit(1), (F.lit(k) / (i + 1)).cast("int"))
+            longer = lambda c: F.struct((path["loss"] - c["_value"]).alias("loss"), F.concat(path["tokens"], F.array(c["_token"])).alias("tokens"))
+            return F.transform(choices, longer)
+
+        return F.slice(F.array_sort(F.flatten(F.transform(paths, with_choices))), 1, k)
+
+    ranked = steps.select(*keys, F.posexplode(F.aggregate("_steps", start, grown)).alias("_at", "_path"))
+    return ranked.select(*keys, (F.col("_at") + 1).cast("int").alias("rank"), F.col("_path.tokens").alias("tokens"), (-F.col("_path.loss") / unit).alias("score"))
 
 
 def ensemble_vote(
